@@ -1,0 +1,75 @@
+"""Registered queries: name -> callable(spark, sf_dir) -> DataFrame.
+
+Each query runs over whole driver tables (or views Spark derives from them)
+and aliases every computed column to the name used by its oracle SQL in
+``sluice.plans.oracle``. Doubles are rounded to 6 places for the check.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sluice.operators import retrieval as rt
+from sluice.plans import inputs as inp
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def register(name: str):
+    def deco(fn):
+        QUERIES[name] = fn
+        return fn
+    return deco
+
+
+def r6(c: str):
+    return F.round(F.col(c), 6).alias(c)
+
+
+# ----------------------------------------------------------- retrieval ---
+SEARCH = dict(limit=5, offset=2, threshold=0.6)
+
+
+@register("search_page")
+def q_search_page(spark, sf_dir):
+    page = rt.search_page(inp.vector_queries(spark, sf_dir), inp.vector_corpus(spark, sf_dir),
+                          **SEARCH)
+    return page.select("query_id", "chunk_id", "rank", "position", "total_results",
+                       r6("similarity_score"), r6("vector_score"))
+
+
+@register("knn_join")
+def q_knn_join(spark, sf_dir):
+    hits = rt.knn_join(inp.vector_queries(spark, sf_dir), inp.vector_corpus(spark, sf_dir), 10)
+    return hits.select("query_id", "chunk_id", "rank", r6("similarity_score"))
+
+
+@register("metadata_filter")
+def q_metadata_filter(spark, sf_dir):
+    """PF1 inside J2: {lang: ["en", "de"], label: 3} (list of strings + number)."""
+    hits = rt.knn_join(inp.vector_queries(spark, sf_dir), inp.vector_corpus(spark, sf_dir), 5,
+                       filters={"lang": ["en", "de"], "label": 3})
+    return hits.select("query_id", "chunk_id", "rank", r6("similarity_score"))
+
+
+@register("similar_chunks")
+def q_similar_chunks(spark, sf_dir):
+    hits = rt.similar_chunks(inp.vector_corpus(spark, sf_dir), 5)
+    return hits.select("query_id", "chunk_id", "rank", r6("similarity_score"))
+
+
+@register("rerank")
+def q_rerank(spark, sf_dir):
+    hits = rt.knn_join(inp.vector_queries(spark, sf_dir), inp.vector_corpus(spark, sf_dir), 10,
+                       payload=["content"])
+    return rt.rerank(hits).select("query_id", "chunk_id", "rank", r6("similarity_score"))
+
+
+@register("top_sources")
+def q_top_sources(spark, sf_dir):
+    hits = rt.knn_join(inp.vector_queries(spark, sf_dir), inp.vector_corpus(spark, sf_dir), 5,
+                       payload=["content"])
+    return rt.top_sources(hits, 3).select("query_id", "chunk_id", "rank", "preview")

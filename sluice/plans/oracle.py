@@ -1,0 +1,66 @@
+"""Oracle SQL (DuckDB dialect) for the registered queries.
+
+Written independently of the Spark code from the operator definitions; the
+driver tables are pre-registered views. Shared derivations are CTE snippets.
+"""
+
+from __future__ import annotations
+
+ORACLE: dict[str, str] = {}
+
+CORPUS = """
+corpus AS (
+  SELECT e.vec_id AS chunk_id, e.embedding::DOUBLE[] AS cv, d.text AS content,
+         d.lang, d.source, e.label
+  FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id),
+qry AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings)"""
+
+
+def knn_sql(k: int, where: str = "TRUE", self_join: bool = False) -> str:
+    src = "corpus q2" if self_join else "qry"
+    qcols = "q2.chunk_id AS query_id, q2.cv AS qv" if self_join else "query_id, qv"
+    excl = "AND q.query_id <> c.chunk_id" if self_join else ""
+    return f"""
+scored AS (
+  SELECT q.query_id, c.chunk_id, c.content,
+         (1 + list_cosine_similarity(q.qv, c.cv)) / 2 AS similarity_score
+  FROM (SELECT {qcols} FROM {src}) q, corpus c WHERE {where} {excl}),
+hits AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id
+                               ORDER BY similarity_score DESC, chunk_id) AS rank
+  FROM scored QUALIFY rank <= {k})"""
+
+
+ORACLE["knn_join"] = f"""WITH {CORPUS}, {knn_sql(10)}
+SELECT query_id, chunk_id, rank, round(similarity_score, 6) AS similarity_score FROM hits"""
+
+ORACLE["metadata_filter"] = f"""WITH {CORPUS}, {knn_sql(5, "c.lang IN ('en', 'de') AND c.label = 3")}
+SELECT query_id, chunk_id, rank, round(similarity_score, 6) AS similarity_score FROM hits"""
+
+ORACLE["similar_chunks"] = f"""WITH {CORPUS}, {knn_sql(5, self_join=True)}
+SELECT query_id, chunk_id, rank, round(similarity_score, 6) AS similarity_score FROM hits"""
+
+RERANK = """
+rr AS (
+  SELECT query_id, chunk_id, rank AS old_rank, similarity_score AS vector_score,
+         similarity_score * (0.8 + 0.2 * least(length(content) / 500.0, 1.0)) AS new_score
+  FROM hits),
+rk AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY new_score DESC, old_rank) AS rank
+  FROM rr)"""
+
+ORACLE["rerank"] = f"""WITH {CORPUS}, {knn_sql(10)}, {RERANK}
+SELECT query_id, chunk_id, rank, round(new_score, 6) AS similarity_score FROM rk"""
+
+ORACLE["search_page"] = f"""WITH {CORPUS}, {knn_sql(7)}, {RERANK},
+kept AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position,
+         count(*) OVER (PARTITION BY query_id) AS total_results
+  FROM rk WHERE new_score >= 0.6)
+SELECT query_id, chunk_id, rank, position, total_results,
+       round(new_score, 6) AS similarity_score, round(vector_score, 6) AS vector_score
+FROM kept WHERE position > 2 AND position <= 7"""
+
+ORACLE["top_sources"] = f"""WITH {CORPUS}, {knn_sql(5)}
+SELECT query_id, chunk_id, rank, substr(content, 1, 200) || '...' AS preview
+FROM hits WHERE rank <= 3"""
