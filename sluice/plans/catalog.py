@@ -73,3 +73,35 @@ def q_top_sources(spark, sf_dir):
     hits = rt.knn_join(inp.vector_queries(spark, sf_dir), inp.vector_corpus(spark, sf_dir), 5,
                        payload=["content"])
     return rt.top_sources(hits, 3).select("query_id", "chunk_id", "rank", "preview")
+
+
+# ------------------------------------------------------------ chunking ---
+from sluice.operators import chunking as ch  # noqa: E402
+from sluice.sources import tables as tb  # noqa: E402
+
+CHUNK_COLS = ["doc_id", "chunk_index", "chunk_id", "start_char", "end_char", "tokens_count",
+              "content"]
+
+
+def _docs(spark, sf_dir, paragraphs=False):
+    d = tb.table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"))
+    if paragraphs:   # the driver documents have no blank lines: lines become paragraphs
+        d = d.withColumn("text", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")))
+    return d
+
+
+def _chunk_query(strategy, paragraphs=False):
+    def run(spark, sf_dir):
+        c = ch.chunk(_docs(spark, sf_dir, paragraphs), strategy, keep=["title"])
+        return ch.with_chunk_id(c).select(*CHUNK_COLS)
+    return run
+
+
+for _name, _strategy, _para in [("chunk_fixed", "fixed_size", False),
+                                ("chunk_sentence", "sentence", False),
+                                ("chunk_semantic", "semantic", False),
+                                ("chunk_paragraph", "paragraph", True),
+                                ("chunk_hybrid", "hybrid", True),
+                                ("chunk_sliding", "sliding_window", False)]:
+    register(_name)(_chunk_query(_strategy, _para))

@@ -64,3 +64,123 @@ FROM kept WHERE position > 2 AND position <= 7"""
 ORACLE["top_sources"] = f"""WITH {CORPUS}, {knn_sql(5)}
 SELECT query_id, chunk_id, rank, substr(content, 1, 200) || '...' AS preview
 FROM hits WHERE rank <= 3"""
+
+
+# ------------------------------------------------------------ chunking ---
+NL2 = "chr(10) || chr(10)"
+
+
+def strip_sql(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def words_sql(x: str) -> str:
+    return f"len(list_filter(regexp_split_to_array({x}, '\\s+'), lambda w: w <> ''))"
+
+
+def chunk_select(src: str) -> str:
+    """src has doc_id, ord, content, start_char, end_char."""
+    return f"""
+SELECT doc_id, chunk_index,
+       substr(md5(concat_ws('_', doc_id::VARCHAR, 'doc-' || doc_id::VARCHAR, '',
+                            chunk_index::VARCHAR)), 1, 16) AS chunk_id,
+       start_char, end_char, {words_sql('content')} AS tokens_count, content
+FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1)::INTEGER AS chunk_index
+      FROM {src})"""
+
+
+def pieces_sql(name: str, source: str, split_expr: str) -> str:
+    """CTE ``name``(doc_id, i, piece): stripped, non-empty pieces numbered 1.."""
+    return f"""
+{name}_raw AS (
+  SELECT doc_id, unnest(arr) AS piece, generate_subscripts(arr, 1) AS pos
+  FROM (SELECT doc_id, {split_expr} AS arr FROM {source})),
+{name} AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, piece
+  FROM (SELECT doc_id, pos, {strip_sql('piece')} AS piece FROM {name}_raw) WHERE piece <> '')"""
+
+
+def fold_sql(name: str, pieces: str, sep: str, size: int = 512) -> str:
+    """Greedy packing as a recursive CTE; ``name`` gets
+    (doc_id, ord, content, start_char, end_char)."""
+    pot = f"(f.cur || {sep} || p.piece)"
+    return f"""
+{name}_f(doc_id, i, cur, st, out_c, out_s) AS (
+  SELECT doc_id, i, piece, 0::BIGINT, NULL::VARCHAR, NULL::BIGINT FROM {pieces} WHERE i = 1
+  UNION ALL
+  SELECT f.doc_id, p.i,
+         CASE WHEN length({pot}) > {size} THEN p.piece ELSE {pot} END,
+         CASE WHEN length({pot}) > {size} THEN f.st + length(f.cur) ELSE f.st END,
+         CASE WHEN length({pot}) > {size} THEN f.cur END,
+         CASE WHEN length({pot}) > {size} THEN f.st END
+  FROM {name}_f f JOIN {pieces} p ON p.doc_id = f.doc_id AND p.i = f.i + 1),
+{name} AS (
+  SELECT doc_id, i AS ord, out_c AS content, out_s AS start_char,
+         out_s + length(out_c) AS end_char FROM {name}_f WHERE out_c IS NOT NULL
+  UNION ALL
+  SELECT f.doc_id, f.i + 1, f.cur, f.st, f.st + length(f.cur)
+  FROM {name}_f f JOIN (SELECT doc_id, max(i) AS mi FROM {pieces} GROUP BY doc_id) m
+    ON m.doc_id = f.doc_id AND f.i = m.mi)"""
+
+
+DOCS_PARA = f"(SELECT doc_id, replace(text, chr(10), {NL2}) AS text FROM documents)"
+
+ORACLE["chunk_sentence"] = f"""WITH RECURSIVE
+{pieces_sql('sp', 'documents', "regexp_split_to_array(text, '[.!?]+')")},
+{fold_sql('sc', 'sp', "' '")}
+{chunk_select('sc')}"""
+ORACLE["chunk_semantic"] = ORACLE["chunk_sentence"]
+
+ORACLE["chunk_paragraph"] = f"""WITH RECURSIVE
+{pieces_sql('pp', DOCS_PARA, f"string_split(text, {NL2})")},
+{fold_sql('pc', 'pp', NL2)}
+{chunk_select('pc')}"""
+
+ORACLE["chunk_hybrid"] = f"""WITH RECURSIVE
+{pieces_sql('pp', DOCS_PARA, f"string_split(text, {NL2})")},
+{fold_sql('pc', 'pp', NL2)},
+pcl AS (SELECT doc_id * 100000 + ord AS doc_id, doc_id AS real_doc, ord AS p_ord,
+               content AS text, start_char AS p_start
+        FROM pc WHERE length(content) > 2048),
+{pieces_sql('sp', 'pcl', "regexp_split_to_array(text, '[.!?]+')")},
+{fold_sql('sc', 'sp', "' '")},
+hy AS (
+  SELECT doc_id, ord * 100000 AS ord, content, start_char, end_char
+  FROM pc WHERE length(content) <= 2048
+  UNION ALL
+  SELECT l.real_doc, l.p_ord * 100000 + s.ord, s.content, s.start_char + l.p_start,
+         s.end_char + l.p_start
+  FROM sc s JOIN pcl l ON l.doc_id = s.doc_id)
+{chunk_select('hy')}"""
+
+ORACLE["chunk_sliding"] = f"""WITH
+w AS (
+  SELECT doc_id, s, length(text) AS n, {strip_sql('substr(text, s + 1, 512)')} AS content
+  FROM (SELECT doc_id, text, unnest(generate_series(0, length(text) - 1, 462)) AS s
+        FROM documents WHERE length(text) > 0)),
+k AS (
+  SELECT doc_id, s AS ord, content, s::INTEGER AS start_char, least(s + 512, n)::INTEGER AS end_char
+  FROM w WHERE (s = 0 OR s - 462 + 512 < n) AND length(content) >= 50)
+{chunk_select('k')}"""
+
+ORACLE["chunk_fixed"] = f"""WITH RECURSIVE
+fx(doc_id, text, n, start, c_start, c_end, piece) AS (
+  SELECT doc_id, text, length(text), 0::BIGINT, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR
+  FROM documents WHERE length(text) > 0
+  UNION ALL
+  SELECT doc_id, text, n, greatest(start + 1, e - 50), start, e,
+         {strip_sql('substr(text, start + 1, e - start)')}
+  FROM (
+    SELECT *, CASE WHEN e0 < n AND ls > start THEN ls ELSE e0 END AS e
+    FROM (
+      SELECT doc_id, text, n, start, e0,
+             CASE WHEN strpos(reverse(sub), ' ') > 0
+                  THEN start + length(sub) - strpos(reverse(sub), ' ') ELSE -1 END AS ls
+      FROM (SELECT *, least(start + 512, n) AS e0,
+                   substr(text, start + 1, least(start + 512, n) - start) AS sub
+            FROM fx WHERE start < n)))),
+k AS (
+  SELECT doc_id, c_start AS ord, piece AS content, c_start::INTEGER AS start_char,
+         c_end::INTEGER AS end_char
+  FROM fx WHERE piece IS NOT NULL AND length(piece) >= 50)
+{chunk_select('k')}"""
