@@ -105,3 +105,91 @@ for _name, _strategy, _para in [("chunk_fixed", "fixed_size", False),
                                 ("chunk_hybrid", "hybrid", True),
                                 ("chunk_sliding", "sliding_window", False)]:
     register(_name)(_chunk_query(_strategy, _para))
+
+
+# -------------------------------------------------------------- safety ---
+from sluice.functions import safety as sfn  # noqa: E402
+from sluice.operators import safety as sop  # noqa: E402
+
+
+def _user_turns(spark, sf_dir):
+    return tb.chat_requests(tb.table(spark, sf_dir, "conversations"))
+
+
+@register("pii_detect")
+def q_pii_detect(spark, sf_dir):
+    return sop.pii_detect(tb.table(spark, sf_dir, "documents"), "doc_id")
+
+
+@register("pii_mask")
+def q_pii_mask(spark, sf_dir):
+    return tb.table(spark, sf_dir, "documents").select(
+        "doc_id", sfn.pii_mask("text").alias("masked"))
+
+
+@register("pii_anonymize")
+def q_pii_anonymize(spark, sf_dir):
+    return tb.table(spark, sf_dir, "documents").select(
+        "doc_id", sfn.pii_anonymize("text").alias("anonymized"))
+
+
+@register("pii_stats")
+def q_pii_stats(spark, sf_dir):
+    f = sop.pii_detect(tb.table(spark, sf_dir, "documents"), "doc_id")
+    return sop.pii_stats(f, "doc_id").select("entity_type", "detections", "documents",
+                                             r6("best_score"))
+
+
+@register("content_risk")
+def q_content_risk(spark, sf_dir):
+    d = tb.table(spark, sf_dir, "documents").withColumn("cr", sfn.content_risk("text"))
+    return d.select("doc_id", F.col("cr.blocked").alias("blocked"),
+                    F.round("cr.risk_score", 6).alias("risk_score"),
+                    F.array_join("cr.reasons", "; ").alias("reasons"),
+                    F.col("cr.filtered_content").isNull().alias("content_withheld"))
+
+
+@register("injection_score")
+def q_injection_score(spark, sf_dir):
+    return tb.table(spark, sf_dir, "documents").select(
+        "doc_id", F.round(sfn.injection_score("text"), 6).alias("injection_score"))
+
+
+@register("suspicious_patterns")
+def q_suspicious_patterns(spark, sf_dir):
+    flags = sfn.suspicious_flags("html")
+    return tb.table(spark, sf_dir, "pages").select(
+        "page_id", F.concat(*[F.when(f, "1").otherwise("0") for f in flags]).alias("flags"))
+
+
+@register("short_probe")
+def q_short_probe(spark, sf_dir):
+    return tb.table(spark, sf_dir, "documents").select(
+        "doc_id", sfn.short_probe("text").alias("short_probe"),
+        sfn.input_length_ok("text").alias("input_length_ok"))
+
+
+@register("filter_stats")
+def q_filter_stats(spark, sf_dir):
+    docs = tb.table(spark, sf_dir, "documents").select("text")
+    pages = tb.table(spark, sf_dir, "pages").select(F.col("html").alias("text"))
+    return sop.filter_stats(docs.unionByName(pages))
+
+
+@register("sanitize_input")
+def q_sanitize_input(spark, sf_dir):
+    s = sop.sanitize_input(_user_turns(spark, sf_dir), "message")
+    return s.select("request_id", "blocked", r6("risk_score"), "sanitized")
+
+
+@register("request_verdict")
+def q_request_verdict(spark, sf_dir):
+    v = sop.request_verdict(_user_turns(spark, sf_dir), "message")
+    return v.select("request_id", "allowed", "pii_detected", r6("content_risk_score"),
+                    "security_events")
+
+
+@register("hash_sensitive")
+def q_hash_sensitive(spark, sf_dir):
+    return tb.table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", sfn.hash_sensitive("text").alias("hashed"))

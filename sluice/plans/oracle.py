@@ -184,3 +184,139 @@ k AS (
          c_end::INTEGER AS end_char
   FROM fx WHERE piece IS NOT NULL AND length(piece) >= 50)
 {chunk_select('k')}"""
+
+
+# -------------------------------------------------------------- safety ---
+from sluice.functions.safety import (  # noqa: E402
+    HASH_SALT, INJECTION_INDICATORS, MASKS, PII_RECOGNIZERS, SUSPICIOUS_PATTERNS)
+
+
+def lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def chain_replace(x: str, threshold: float | None, fmt) -> str:
+    for e, p, sc in PII_RECOGNIZERS:
+        if threshold is None or sc >= threshold:
+            x = f"regexp_replace({x}, {lit(p)}, {lit(fmt(e))}, 'g')"
+    return x
+
+
+def findings_sql(tab: str, idc: str, textc: str, threshold: float = 0.8) -> str:
+    parts = []
+    for e, p, sc in PII_RECOGNIZERS:
+        if sc < threshold:
+            continue
+        parts.append(f"""
+  SELECT {idc}, {lit(e)} AS entity_type, m, i, pieces, ms, {sc}::DOUBLE AS score
+  FROM (SELECT {idc}, ms, pieces, unnest(ms) AS m, generate_subscripts(ms, 1) AS i
+        FROM (SELECT {idc}, regexp_extract_all({textc}, {lit(p)}) AS ms,
+                     regexp_split_to_array({textc}, {lit(p)}) AS pieces
+              FROM {tab} WHERE trim({textc}) <> ''))""")
+    return " UNION ALL ".join(parts)
+
+
+OFFSET = ("coalesce(list_sum(list_transform(pieces[1:i], lambda x: length(x))), 0)"
+          " + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0)")
+
+ORACLE["pii_detect"] = f"""
+SELECT doc_id, entity_type, ({OFFSET})::INTEGER AS start,
+       ({OFFSET} + length(m))::INTEGER AS "end", score, m AS text
+FROM ({findings_sql('documents', 'doc_id', 'text')})"""
+
+ORACLE["pii_stats"] = f"""
+SELECT entity_type, sum(n)::BIGINT AS detections, count(*)::BIGINT AS documents,
+       round(max(best), 6) AS best_score
+FROM (SELECT doc_id, entity_type, count(*) AS n, max(score) AS best
+      FROM ({findings_sql('documents', 'doc_id', 'text')}) GROUP BY doc_id, entity_type)
+GROUP BY entity_type"""
+
+ORACLE["pii_mask"] = f"""
+SELECT doc_id, {chain_replace('text', 0.8, lambda e: MASKS.get(e, f'[{e}]'))} AS masked
+FROM documents"""
+
+ORACLE["pii_anonymize"] = f"""
+SELECT doc_id, {chain_replace('text', None, lambda e: f'<{e}>')} AS anonymized FROM documents"""
+
+
+def inj_tenths(x: str) -> str:
+    terms = " + ".join(f"(CASE WHEN contains(lower({x}), {lit(i.lower())}) THEN 1 ELSE 0 END)"
+                       for i in INJECTION_INDICATORS)
+    return f"least(2 * ({terms}), 10)"
+
+
+def sus_flag(x: str, i: int) -> str:
+    return f"regexp_matches({x}, {lit(SUSPICIOUS_PATTERNS[i])}, 'i')"
+
+
+def risk_cte(src: str, x: str, idc: str) -> str:
+    sus = " + ".join(f"(CASE WHEN {sus_flag(x, i)} THEN 3 ELSE 0 END)"
+                     for i in range(len(SUSPICIOUS_PATTERNS)))
+    reasons = ", ".join(
+        [f"CASE WHEN length({x}) > 10000 THEN 'Content too long (' || length({x}) || ' > 10000)' END"]
+        + [f"CASE WHEN {sus_flag(x, i)} THEN 'Suspicious pattern #{i} detected' END"
+           for i in range(len(SUSPICIOUS_PATTERNS))]
+        + ["CASE WHEN inj > 5 THEN 'Potential injection attack detected' END"])
+    return f"""
+r0 AS (SELECT *, {inj_tenths(x)} AS inj FROM {src}),
+r1 AS (SELECT *, (CASE WHEN length({x}) > 10000 THEN 3 ELSE 0 END) + {sus}
+                 + (CASE WHEN inj > 5 THEN inj ELSE 0 END) AS risk,
+              list_filter([{reasons}], lambda r: r IS NOT NULL) AS reasons
+       FROM r0),
+risk AS (SELECT *, (length({x}) > 10000 OR inj > 5 OR risk > 7) AS blocked,
+                least(risk, 10) / 10.0 AS risk_score FROM r1)"""
+
+
+ORACLE["content_risk"] = f"""WITH {risk_cte('documents', 'text', 'doc_id')}
+SELECT doc_id, blocked, round(risk_score, 6) AS risk_score,
+       array_to_string(reasons, '; ') AS reasons, blocked AS content_withheld FROM risk"""
+
+ORACLE["injection_score"] = f"""
+SELECT doc_id, round(least({inj_tenths('text')} / 10.0, 1.0), 6) AS injection_score
+FROM documents"""
+
+ORACLE["suspicious_patterns"] = "SELECT page_id, " + " || ".join(
+    f"(CASE WHEN {sus_flag('html', i)} THEN '1' ELSE '0' END)"
+    for i in range(len(SUSPICIOUS_PATTERNS))) + " AS flags FROM pages"
+
+ORACLE["short_probe"] = """
+SELECT doc_id, (length(text) < 10 AND NOT contains(text, ' ')) AS short_probe,
+       length(text) <= 10000 AS input_length_ok FROM documents"""
+
+ORACLE["filter_stats"] = f"""
+WITH t AS (SELECT text FROM documents UNION ALL SELECT html FROM pages)
+SELECT 'suspicious_pattern' AS filter_type, 'detected' AS action, count(*)::BIGINT AS events
+FROM ({" UNION ALL ".join(f"SELECT 1 FROM t WHERE {sus_flag('text', i)}"
+                          for i in range(len(SUSPICIOUS_PATTERNS)))})
+HAVING count(*) > 0"""
+
+USER_TURNS = """
+turns AS (
+  SELECT conv_id * 100 + turn AS request_id, conv_id AS user_id, conv_id, turn,
+         text AS message,
+         CASE conv_id % 4 WHEN 1 THEN 'openai' WHEN 2 THEN 'anthropic' WHEN 3 THEN 'ollama' END
+           AS provider,
+         (turn % 5) * 0.6 AS temperature, (1 + turn * 700)::INTEGER AS max_tokens
+  FROM conversations WHERE role = 'user')"""
+
+ORACLE["sanitize_input"] = f"""WITH {USER_TURNS},
+anon AS (SELECT request_id, {chain_replace('message', None, lambda e: f'<{e}>')} AS a FROM turns),
+{risk_cte('anon', 'a', 'request_id')}
+SELECT request_id, blocked, round(risk_score, 6) AS risk_score,
+       CASE WHEN blocked THEN NULL ELSE a END AS sanitized FROM risk"""
+
+
+def has_pii_sql(x: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches({x}, {lit(p)})" for e, p, sc in PII_RECOGNIZERS
+                             if sc >= 0.8) + f") AND trim({x}) <> ''"
+
+
+ORACLE["request_verdict"] = f"""WITH {USER_TURNS}, {risk_cte('turns', 'message', 'request_id')}
+SELECT request_id, NOT blocked AS allowed, {has_pii_sql('message')} AS pii_detected,
+       round(risk_score, 6) AS content_risk_score,
+       (CASE WHEN length(message) < 10 AND NOT contains(message, ' ') THEN 1 ELSE 0 END)
+         AS security_events
+FROM risk"""
+
+ORACLE["hash_sensitive"] = f"""
+SELECT conv_id, turn, sha256({lit(HASH_SALT)} || text) AS hashed FROM conversations"""
