@@ -193,3 +193,326 @@ def q_request_verdict(spark, sf_dir):
 def q_hash_sensitive(spark, sf_dir):
     return tb.table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", sfn.hash_sensitive("text").alias("hashed"))
+
+
+# ------------------------------------------------------- usage & limits ---
+from pyspark.sql import Window as W  # noqa: E402
+
+from sluice.operators import alerts as al  # noqa: E402
+from sluice.operators import cache as ca  # noqa: E402
+from sluice.operators import limits as lm  # noqa: E402
+from sluice.operators import routing as ro  # noqa: E402
+from sluice.operators import traces as tr  # noqa: E402
+from sluice.operators import usage as us  # noqa: E402
+
+AS_OF_TEXT = "2024-01-30 00:00:00"
+
+
+def _as_of():
+    return F.lit(AS_OF_TEXT).cast("timestamp")
+
+
+def _events(spark, sf_dir):
+    return tb.table(spark, sf_dir, "events")
+
+
+def _http(spark, sf_dir):
+    return tb.http_log(_events(spark, sf_dir))
+
+
+@register("http_counters")
+def q_http_counters(spark, sf_dir):
+    return us.counter(_http(spark, sf_dir), ["method", "endpoint", "status_code"], name="requests")
+
+
+@register("latency_histogram")
+def q_latency_histogram(spark, sf_dir):
+    h = us.histogram(_http(spark, sf_dir), "duration_s", ["method", "endpoint"])
+    return h.select("method", "endpoint", "le", "bucket_count", "count", r6("sum"))
+
+
+@register("summary_quantiles")
+def q_summary_quantiles(spark, sf_dir):
+    s = us.summary(_http(spark, sf_dir), "duration_s", ["endpoint"])
+    return s.select("endpoint", "count", r6("sum"), r6("q50"), r6("q90"), r6("q95"), r6("q99"))
+
+
+@register("error_rate")
+def q_error_rate(spark, sf_dir):
+    e = us.error_rate(_http(spark, sf_dir))
+    return e.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                    "requests", r6("error_rate"))
+
+
+@register("gauge_latest")
+def q_gauge_latest(spark, sf_dir):
+    g = us.gauge_latest(_events(spark, sf_dir), ["user_id"], tie="event_id")
+    return g.select("user_id", r6("value"))
+
+
+def _business(spark, sf_dir):
+    return tb.business_events(_events(spark, sf_dir))
+
+
+@register("user_activity_stats")
+def q_user_activity_stats(spark, sf_dir):
+    return us.user_activity_stats(_business(spark, sf_dir), _as_of())
+
+
+@register("revenue_stats")
+def q_revenue_stats(spark, sf_dir):
+    r = us.revenue_stats(_business(spark, sf_dir), _as_of())
+    return r.select("currency", "events", r6("amount"))
+
+
+@register("feature_stats")
+def q_feature_stats(spark, sf_dir):
+    return us.feature_stats(_business(spark, sf_dir), _as_of())
+
+
+@register("health_rollup")
+def q_health_rollup(spark, sf_dir):
+    comp = (_http(spark, sf_dir).groupBy(F.to_date("ts").alias("day"), "endpoint")
+            .agg(F.avg((F.col("status_code") >= 500).cast("int")).alias("err"))
+            .withColumn("healthy", F.col("err") <= 0.5))
+    h = us.health_rollup(comp, ["day"])
+    return h.select(F.col("day").cast("string").alias("day"), "all_healthy", "any_healthy",
+                    "components", "status")
+
+
+@register("rate_breach")
+def q_rate_breach(spark, sf_dir):
+    r = lm.rate_breach(_events(spark, sf_dir), limit=1)
+    return r.select("event_id", "user_id", "requests_in_window", "breach")
+
+
+@register("hourly_count")
+def q_hourly_count(spark, sf_dir):
+    return lm.hourly_count(_events(spark, sf_dir)).select("event_id", "requests_last_hour")
+
+
+@register("rate_limit_admit")
+def q_rate_limit_admit(spark, sf_dir):
+    h = _http(spark, sf_dir).withColumn("bucket", F.concat_ws(":", "api_key", "client_ip"))
+    r = lm.rate_limit_admit(h, "bucket", limit=3, seconds=6 * 3600)
+    return r.select("request_id", "admitted", "in_window", "remaining")
+
+
+def _failures(spark, sf_dir):
+    return (_events(spark, sf_dir).filter(F.col("event_type") == "error")
+            .withColumnRenamed("user_id", "identifier"))
+
+
+@register("failed_attempts")
+def q_failed_attempts(spark, sf_dir):
+    return lm.failed_attempts(_failures(spark, sf_dir))
+
+
+@register("flag_attempts")
+def q_flag_attempts(spark, sf_dir):
+    f = lm.flag_attempts(_failures(spark, sf_dir))
+    return f.select("event_id", "identifier", "failures_so_far", "suspicious", "blocked")
+
+
+@register("blocked_requests")
+def q_blocked_requests(spark, sf_dir):
+    req = _events(spark, sf_dir).withColumnRenamed("user_id", "identifier")
+    return lm.blocked_requests(req, _failures(spark, sf_dir)).select("event_id", "identifier")
+
+
+@register("repeat_requests")
+def q_repeat_requests(spark, sf_dir):
+    r = lm.repeat_requests(_events(spark, sf_dir), "user_id", "props", limit=10)
+    return r.select("event_id", "repeats", "repeated")
+
+
+# --------------------------------------------------------------- cache ---
+def _ops(spark, sf_dir):
+    return tb.cache_ops(_events(spark, sf_dir))
+
+
+def _entries(spark, sf_dir):
+    return ca.entries_as_of(_ops(spark, sf_dir), _as_of())
+
+
+def _levels(spark, sf_dir):
+    e = _entries(spark, sf_dir)
+    k = F.substring_index("key", ":", -1).cast("long")
+    return e.filter(k % 2 == 0), e.filter(k % 3 == 0)
+
+
+@register("cache_stats")
+def q_cache_stats(spark, sf_dir):
+    s = ca.cache_stats(ca.replay(_ops(spark, sf_dir)))
+    return s.select("hits", "misses", "sets", "deletes", "evictions", "errors", r6("hit_ratio"))
+
+
+@register("cache_lookup")
+def q_cache_lookup(spark, sf_dir):
+    gets = _ops(spark, sf_dir).filter(F.col("op") == "get").select("op_id", "key")
+    l1, l2 = _levels(spark, sf_dir)
+    r = ca.cache_lookup(gets, l1, l2, _as_of())
+    return r.select("op_id", "key", "hit_level", "promoted", r6("value"))
+
+
+@register("key_exists")
+def q_key_exists(spark, sf_dir):
+    keys = _ops(spark, sf_dir).select("key").distinct()
+    l1, l2 = _levels(spark, sf_dir)
+    return ca.key_exists(keys, l1, l2, _as_of())
+
+
+@register("hot_keys")
+def q_hot_keys(spark, sf_dir):
+    h = ca.hot_keys(_ops(spark, sf_dir), _as_of(), limit=50)
+    return h.select("key", "freq", F.round("score", 9).alias("score"))
+
+
+@register("missing_keys")
+def q_missing_keys(spark, sf_dir):
+    hot = ca.hot_keys(_ops(spark, sf_dir), _as_of(), limit=50).select("key")
+    l1, l2 = _levels(spark, sf_dir)
+    return ca.missing_keys(hot, l1, l2)
+
+
+@register("lru_evict")
+def q_lru_evict(spark, sf_dir):
+    plan = ca.lru_evict(_entries(spark, sf_dir), _as_of(), max_entries=50, max_bytes=1_000_000)
+    return plan.select("key", "kept", "reason", "rank", "running_bytes")
+
+
+@register("coalesce_writes")
+def q_coalesce_writes(spark, sf_dir):
+    sets = _ops(spark, sf_dir).filter(F.col("op") == "set")
+    batch = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (5 * 1_000_000)).cast("long")
+    c = ca.coalesce_writes(sets, batch)
+    return c.select("batch", "key", r6("value"), "ttl_s")
+
+
+# ---------------------------------------------------- routing and costs ---
+def _usage(spark, sf_dir):
+    conv = tb.table(spark, sf_dir, "conversations")
+    w = W.partitionBy("conv_id").orderBy("turn")
+    a = conv.withColumn("prompt", F.lag("text").over(w)).filter(F.col("role") == "assistant")
+    requested = (F.when(F.col("conv_id") % 4 == 1, "openai")
+                 .when(F.col("conv_id") % 4 == 2, "anthropic")
+                 .when(F.col("conv_id") % 4 == 3, "ollama"))
+    a = ro.route_provider(a.withColumn("requested", requested), "requested")
+    model = F.element_at(
+        F.create_map(*[x for p in ro.DEFAULT_PROVIDERS for x in (F.lit(p["provider"]),
+                                                                  F.lit(p["models"][0]))]),
+        F.col("selected"))
+    u = a.select(
+        (F.col("conv_id") * 100 + F.col("turn") - 1).alias("request_id"),
+        F.when(F.col("conv_id") % 5 == 0, F.lit(None)).otherwise(F.col("conv_id") % 50)
+         .cast("long").alias("user_id"),
+        F.col("selected").alias("provider"), model.alias("model"),
+        F.when(F.col("conv_id") % 10 == 0, "error").otherwise("success").alias("status"),
+        us.token_estimate(F.coalesce("prompt", F.lit(""))).alias("input_tokens"),
+        us.token_estimate("text").alias("output_tokens"))
+    u = u.withColumn("latency_s", F.col("output_tokens") * 0.02)
+    return ro.price_usage(u, ro.providers_df(spark))
+
+
+@register("route_provider")
+def q_route_provider(spark, sf_dir):
+    r = ro.route_provider(_user_turns(spark, sf_dir), "provider")
+    return r.select("request_id", "selected", F.array_join("candidates", ",").alias("candidates"))
+
+
+@register("price_usage")
+def q_price_usage(spark, sf_dir):
+    u = _usage(spark, sf_dir)
+    return u.select("request_id", "provider", "model", "status", r6("input_tokens"),
+                    r6("output_tokens"), r6("cost_usd"))
+
+
+@register("llm_usage")
+def q_llm_usage(spark, sf_dir):
+    u = us.llm_usage(_usage(spark, sf_dir))
+    return u.select("provider", "model", "status", "user", "requests", r6("input_tokens"),
+                    r6("output_tokens"), r6("cost_usd"), r6("latency_s"))
+
+
+@register("provider_stats")
+def q_provider_stats(spark, sf_dir):
+    return us.provider_stats(_usage(spark, sf_dir), ro.providers_df(spark))
+
+
+@register("lb_counts")
+def q_lb_counts(spark, sf_dir):
+    c = ro.lb_counts(_usage(spark, sf_dir), ["request_id"])
+    return c.select("request_id", "provider", "requests_so_far", "failures_so_far")
+
+
+# -------------------------------------------------------------- traces ---
+def _spans(spark, sf_dir):
+    s = tb.spans(_events(spark, sf_dir))
+    w = W.partitionBy("user_id", F.to_date("start_ts")).orderBy("start_ts", "span_id")
+    return s.withColumn("trace_id", F.first("span_id").over(w))
+
+
+def _pairs(spark, sf_dir):
+    s = _spans(spark, sf_dir).withColumn("tags", F.create_map(F.lit("op"), F.col("operation"))) \
+        .withColumn("logs", F.array().cast("array<string>"))
+    fin = s.filter(F.col("end_ts").isNotNull()).select("span_id", "end_ts", "status", "tags", "logs")
+    return tr.span_pairs(s.drop("end_ts", "status"), fin)
+
+
+@register("span_pairs")
+def q_span_pairs(spark, sf_dir):
+    return _pairs(spark, sf_dir).select("span_id", "trace_id", r6("duration_ms"), "active", "status")
+
+
+@register("trace_stats")
+def q_trace_stats(spark, sf_dir):
+    return tr.trace_stats(_pairs(spark, sf_dir)).select("active_spans", "completed_spans",
+                                                        r6("avg_duration_ms"))
+
+
+@register("trace_roots")
+def q_trace_roots(spark, sf_dir):
+    return tr.trace_roots(spark, _spans(spark, sf_dir))
+
+
+@register("trace_sample")
+def q_trace_sample(spark, sf_dir):
+    return tr.trace_sample(_spans(spark, sf_dir)).select("span_id", "trace_id")
+
+
+# -------------------------------------------------------------- alerts ---
+RULES = [
+    {"name": "purchase_high", "metric": "purchase", "condition": "> 150", "threshold": 150,
+     "severity": "high", "cooldown_s": 86400},
+    {"name": "click_ge", "metric": "click", "condition": ">= 100", "threshold": 100.0,
+     "severity": "medium", "cooldown_s": 3600},
+    {"name": "view_le", "metric": "view", "condition": "<= 1", "threshold": 1.0,
+     "severity": "low", "cooldown_s": 300},
+]
+
+
+def _matches(spark, sf_dir):
+    samples = _events(spark, sf_dir).withColumnRenamed("event_type", "metric")
+    return al.alert_match(samples, al.rules_df(spark, RULES))
+
+
+@register("alert_match")
+def q_alert_match(spark, sf_dir):
+    return _matches(spark, sf_dir).select("name", "event_id", r6("value"))
+
+
+@register("alert_cooldown")
+def q_alert_cooldown(spark, sf_dir):
+    return al.alert_cooldown(_matches(spark, sf_dir)).select("name", "event_id")
+
+
+@register("alert_stats")
+def q_alert_stats(spark, sf_dir):
+    fired = al.alert_cooldown(_matches(spark, sf_dir)).withColumn("resolved", F.lit(False))
+    return al.alert_stats(fired)
+
+
+@register("token_estimate")
+def q_token_estimate(spark, sf_dir):
+    c = tb.table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.round(us.token_estimate("text"), 6).alias("tokens"))

@@ -320,3 +320,378 @@ FROM risk"""
 
 ORACLE["hash_sensitive"] = f"""
 SELECT conv_id, turn, sha256({lit(HASH_SALT)} || text) AS hashed FROM conversations"""
+
+
+# ------------------------------------------------------- usage & limits ---
+AS_OF = "TIMESTAMP '2024-01-30 00:00:00'"
+
+HTTP = """
+http AS (
+  SELECT event_id AS request_id, ts, user_id,
+         CASE WHEN event_type IN ('purchase', 'signup') THEN 'POST' ELSE 'GET' END AS method,
+         CASE event_type WHEN 'view' THEN '/api/v1/search'
+                         WHEN 'click' THEN '/api/v1/chat/generate'
+                         WHEN 'purchase' THEN '/api/v1/documents/upload'
+                         WHEN 'signup' THEN '/api/v1/auth/keys'
+                         WHEN 'error' THEN '/api/v1/chat/generate'
+                         ELSE '/api/v1/status' END AS endpoint,
+         CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status_code,
+         value / 1000.0 AS duration_s,
+         printf('10.0.%d.%d', user_id % 4, user_id) AS client_ip,
+         'k' || (user_id % 3)::VARCHAR AS api_key,
+         round(value * 100000)::BIGINT AS content_length
+  FROM events)"""
+
+ORACLE["http_counters"] = f"""WITH {HTTP}
+SELECT method, endpoint, status_code, count(*)::BIGINT AS requests
+FROM http GROUP BY ALL"""
+
+BUCKETS = [0.1, 0.5, 1.0, 2.5, 5.0, 10.0]
+ORACLE["latency_histogram"] = f"""WITH {HTTP},
+b(le, bound) AS (VALUES {", ".join(f"('{b!r}', {b})" for b in BUCKETS)}, ('+Inf', 'Infinity'::DOUBLE)),
+g AS (SELECT method, endpoint, count(*)::BIGINT AS count, sum(duration_s) AS sum FROM http GROUP BY ALL)
+SELECT g.method, g.endpoint, b.le,
+       (SELECT count(*) FROM http h WHERE h.method = g.method AND h.endpoint = g.endpoint
+                                      AND h.duration_s <= b.bound)::BIGINT AS bucket_count,
+       g.count, round(g.sum, 6) AS sum
+FROM g, b"""
+
+ORACLE["summary_quantiles"] = f"""WITH {HTTP}
+SELECT endpoint, count(*)::BIGINT AS count, round(sum(duration_s), 6) AS sum,
+       round(quantile_cont(duration_s, 0.5), 6) AS q50, round(quantile_cont(duration_s, 0.9), 6) AS q90,
+       round(quantile_cont(duration_s, 0.95), 6) AS q95, round(quantile_cont(duration_s, 0.99), 6) AS q99
+FROM http GROUP BY endpoint"""
+
+ORACLE["error_rate"] = f"""WITH {HTTP}
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+       count(*)::BIGINT AS requests, round(avg((status_code >= 500)::INTEGER), 6) AS error_rate
+FROM http GROUP BY 1"""
+
+ORACLE["gauge_latest"] = """
+SELECT user_id, round(arg_max(value, (ts, event_id)), 6) AS value FROM events GROUP BY user_id"""
+
+BUSINESS = """
+business AS (
+  SELECT event_id, ts, user_id, 'user_activity' AS kind, event_type AS action,
+         NULL::VARCHAR AS feature, NULL::DOUBLE AS amount, NULL::VARCHAR AS currency FROM events
+  UNION ALL
+  SELECT event_id, ts, user_id, 'revenue', NULL, NULL, value,
+         CASE WHEN user_id % 2 = 0 THEN 'USD' ELSE 'EUR' END FROM events WHERE event_type = 'purchase'
+  UNION ALL
+  SELECT event_id, ts, user_id, 'feature_usage', NULL,
+         'f' || (json_extract_string(props, '$.k')::BIGINT)::VARCHAR, NULL, NULL
+  FROM events WHERE event_type = 'click'),
+recent AS (
+  SELECT * FROM business
+  WHERE epoch_us(TIMESTAMP '2024-01-30 00:00:00') - epoch_us(ts) < 86400000000)"""
+
+ORACLE["user_activity_stats"] = f"""WITH {BUSINESS}
+SELECT action, count(*)::BIGINT AS events, count(DISTINCT user_id)::BIGINT AS unique_users
+FROM recent WHERE kind = 'user_activity' GROUP BY ROLLUP (action)"""
+
+ORACLE["revenue_stats"] = f"""WITH {BUSINESS}
+SELECT currency, count(*)::BIGINT AS events, round(sum(amount), 6) AS amount
+FROM recent WHERE kind = 'revenue' GROUP BY ROLLUP (currency)"""
+
+ORACLE["feature_stats"] = f"""WITH {BUSINESS}
+SELECT feature, count(*)::BIGINT AS events
+FROM recent WHERE kind = 'feature_usage' GROUP BY ROLLUP (feature)"""
+
+ORACLE["health_rollup"] = f"""WITH {HTTP},
+comp AS (SELECT ts::DATE AS day, endpoint, avg((status_code >= 500)::INTEGER) <= 0.5 AS healthy
+         FROM http GROUP BY ALL)
+SELECT day::VARCHAR AS day, bool_and(healthy) AS all_healthy, bool_or(healthy) AS any_healthy,
+       count(*)::BIGINT AS components,
+       CASE WHEN bool_and(healthy) THEN 'healthy' WHEN bool_or(healthy) THEN 'degraded'
+            ELSE 'unhealthy' END AS status
+FROM comp GROUP BY day"""
+
+
+def window_count_sql(seconds: int, key: str = "user_id", src: str = "events",
+                     idc: str = "event_id") -> str:
+    return f"""
+SELECT e.{idc}, e.{key}, count(*)::BIGINT AS n
+FROM {src} e JOIN {src} p ON p.{key} = e.{key}
+  AND epoch_us(p.ts) > epoch_us(e.ts) - {seconds * 1000000}
+  AND (p.ts < e.ts OR (p.ts = e.ts AND p.{idc} <= e.{idc}))
+GROUP BY e.{idc}, e.{key}"""
+
+
+ORACLE["rate_breach"] = f"""
+SELECT event_id, user_id, n AS requests_in_window, n > 1 AS breach
+FROM ({window_count_sql(60)})"""
+
+ORACLE["hourly_count"] = f"""
+SELECT event_id, n AS requests_last_hour FROM ({window_count_sql(3600)})"""
+
+ORACLE["rate_limit_admit"] = f"""WITH RECURSIVE {HTTP},
+r AS (SELECT request_id, api_key || ':' || client_ip AS bucket, epoch_us(ts) AS us,
+             row_number() OVER (PARTITION BY api_key || ':' || client_ip
+                                ORDER BY epoch_us(ts), request_id) AS i
+      FROM http),
+f(bucket, i, request_id, admitted, in_window, log) AS (
+  SELECT bucket, i, request_id, true, 0::BIGINT, [us] FROM r WHERE i = 1
+  UNION ALL
+  SELECT r.bucket, r.i, r.request_id,
+         len(list_filter(f.log, lambda x: x > r.us - {6 * 3600 * 1000000})) < 3,
+         len(list_filter(f.log, lambda x: x > r.us - {6 * 3600 * 1000000}))::BIGINT,
+         CASE WHEN len(list_filter(f.log, lambda x: x > r.us - {6 * 3600 * 1000000})) < 3
+              THEN list_append(list_filter(f.log, lambda x: x > r.us - {6 * 3600 * 1000000}), r.us)
+              ELSE list_filter(f.log, lambda x: x > r.us - {6 * 3600 * 1000000}) END
+  FROM f JOIN r ON r.bucket = f.bucket AND r.i = f.i + 1)
+SELECT request_id, admitted, in_window, greatest(0, 3 - len(log))::BIGINT AS remaining FROM f"""
+
+FAILS = "(SELECT event_id, ts, user_id AS identifier FROM events WHERE event_type = 'error')"
+
+ORACLE["failed_attempts"] = f"""
+SELECT identifier, count(*)::BIGINT AS failures FROM {FAILS} GROUP BY identifier"""
+
+ORACLE["flag_attempts"] = f"""
+SELECT event_id, identifier, n AS failures_so_far, n > 5 AS suspicious, (n > 5 OR n > 10) AS blocked
+FROM (SELECT event_id, identifier,
+             count(*) OVER (PARTITION BY identifier ORDER BY ts, event_id
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS n
+      FROM {FAILS})"""
+
+ORACLE["blocked_requests"] = f"""
+SELECT event_id, user_id AS identifier FROM events
+WHERE user_id IN (SELECT identifier FROM {FAILS} GROUP BY identifier
+                  HAVING count(*) > 5 OR count(*) > 10)"""
+
+ORACLE["repeat_requests"] = """
+SELECT event_id, repeats, repeats > 10 AS repeated
+FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id, md5(props))::BIGINT AS repeats
+      FROM events)"""
+
+# --------------------------------------------------------------- cache ---
+OPS = """
+ops AS (
+  SELECT event_id AS op_id, ts, user_id,
+         'key:' || (json_extract_string(props, '$.k')::BIGINT)::VARCHAR AS key,
+         CASE WHEN event_type IN ('view', 'click') THEN 'get'
+              WHEN event_type IN ('signup', 'purchase') THEN 'set' ELSE 'delete' END AS op,
+         round(value * 100)::BIGINT AS size_bytes, 3600::BIGINT AS ttl_s, value
+  FROM events)"""
+
+REPLAY = """
+rp0 AS (
+  SELECT *,
+    last_value(CASE WHEN op IN ('set', 'delete') THEN op END IGNORE NULLS) OVER w AS lw_op,
+    last_value(CASE WHEN op IN ('set', 'delete') THEN epoch_us(ts) END IGNORE NULLS) OVER w AS lw_us,
+    last_value(CASE WHEN op IN ('set', 'delete') THEN ttl_s END IGNORE NULLS) OVER w AS lw_ttl
+  FROM ops
+  WINDOW w AS (PARTITION BY key ORDER BY epoch_us(ts), op_id
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+rp AS (
+  SELECT *, CASE WHEN op <> 'get' THEN op
+                 WHEN lw_op = 'set' AND epoch_us(ts) > lw_us + lw_ttl * 1000000 THEN 'expired'
+                 WHEN lw_op = 'set' THEN 'hit' ELSE 'miss' END AS status
+  FROM rp0)"""
+
+ORACLE["cache_stats"] = f"""WITH {OPS}, {REPLAY}
+SELECT count_if(status = 'hit')::BIGINT AS hits,
+       count_if(status IN ('miss', 'expired'))::BIGINT AS misses,
+       count_if(status = 'set')::BIGINT AS sets, count_if(status = 'delete')::BIGINT AS deletes,
+       count_if(status = 'expired')::BIGINT AS evictions, count_if(status = 'error')::BIGINT AS errors,
+       round(CASE WHEN count_if(status IN ('hit', 'miss', 'expired')) > 0
+                  THEN count_if(status = 'hit') / count_if(status IN ('hit', 'miss', 'expired'))
+                  ELSE 0.0 END, 6) AS hit_ratio
+FROM rp"""
+
+ENTRIES = f"""
+before AS (SELECT * FROM ops WHERE ts < {AS_OF}),
+lastw AS (
+  SELECT key, arg_max(op, (epoch_us(ts), op_id)) AS op, max((epoch_us(ts), op_id)) AS o,
+         arg_max(ts, (epoch_us(ts), op_id)) AS at, arg_max(size_bytes, (epoch_us(ts), op_id)) AS size_bytes,
+         arg_max(ttl_s, (epoch_us(ts), op_id)) AS ttl_s, arg_max(value, (epoch_us(ts), op_id)) AS value
+  FROM before WHERE op IN ('set', 'delete') GROUP BY key),
+entries AS (
+  SELECT l.key, l.value, l.at AS created_at,
+         (SELECT max(b.ts) FROM before b WHERE b.key = l.key) AS last_accessed,
+         (SELECT count(*) FROM before b WHERE b.key = l.key AND b.op = 'get'
+            AND (epoch_us(b.ts), b.op_id) > l.o) AS access_count,
+         l.ttl_s, l.size_bytes
+  FROM lastw l WHERE l.op = 'set'),
+live AS (SELECT * FROM entries
+         WHERE NOT (epoch_us({AS_OF}) > epoch_us(created_at) + ttl_s * 1000000)),
+l1 AS (SELECT * FROM live WHERE split_part(key, ':', 2)::BIGINT % 2 = 0),
+l2 AS (SELECT * FROM live WHERE split_part(key, ':', 2)::BIGINT % 3 = 0)"""
+
+ORACLE["cache_lookup"] = f"""WITH {OPS}, {ENTRIES}
+SELECT g.op_id, g.key,
+       CASE WHEN l1.key IS NOT NULL THEN 'L1' WHEN l2.key IS NOT NULL THEN 'L2' END AS hit_level,
+       CASE WHEN l1.key IS NOT NULL THEN false WHEN l2.key IS NOT NULL THEN true END AS promoted,
+       round(coalesce(l1.value, l2.value), 6) AS value
+FROM (SELECT op_id, key FROM ops WHERE op = 'get') g
+LEFT JOIN l1 ON l1.key = g.key LEFT JOIN l2 ON l2.key = g.key"""
+
+ORACLE["key_exists"] = f"""WITH {OPS}, {ENTRIES}
+SELECT DISTINCT key FROM ops WHERE key IN (SELECT key FROM l1 UNION SELECT key FROM l2)"""
+
+HOT = f"""
+hot AS (
+  SELECT key, count_if(epoch_us(ts) > epoch_us({AS_OF}) - 3600000000)::BIGINT AS freq,
+         count_if(epoch_us(ts) > epoch_us({AS_OF}) - 3600000000)
+           / ((epoch_us({AS_OF}) - max(epoch_us(ts))) / 1000000.0 + 1.0) AS score,
+         min(epoch_us(ts)) AS first_us
+  FROM ops WHERE epoch_us(ts) > epoch_us({AS_OF}) - 86400000000 GROUP BY key
+  ORDER BY score DESC, first_us, key LIMIT 50)"""
+
+ORACLE["hot_keys"] = f"""WITH {OPS}, {HOT}
+SELECT key, freq, round(score, 9) AS score FROM hot"""
+
+ORACLE["missing_keys"] = f"""WITH {OPS}, {ENTRIES}, {HOT},
+l1a AS (SELECT key FROM entries WHERE split_part(key, ':', 2)::BIGINT % 2 = 0),
+l2a AS (SELECT key FROM entries WHERE split_part(key, ':', 2)::BIGINT % 3 = 0)
+SELECT key, CASE WHEN key IN (SELECT key FROM l2a) THEN 'L2' ELSE 'warm' END AS source
+FROM hot WHERE key NOT IN (SELECT key FROM l1a)"""
+
+ORACLE["lru_evict"] = f"""WITH {OPS}, {ENTRIES},
+e AS (SELECT *, epoch_us({AS_OF}) > epoch_us(created_at) + ttl_s * 1000000 AS expired FROM entries),
+r AS (SELECT key, row_number() OVER w AS rank, sum(size_bytes) OVER w AS running_bytes
+      FROM e WHERE NOT expired
+      WINDOW w AS (ORDER BY last_accessed DESC, key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT key, rank <= 50 AND running_bytes <= 1000000 AS kept,
+       CASE WHEN rank <= 50 AND running_bytes <= 1000000 THEN NULL ELSE 'size_limit' END AS reason,
+       rank::BIGINT AS rank, running_bytes::BIGINT AS running_bytes FROM r
+UNION ALL
+SELECT key, false, 'expired', NULL, NULL FROM e WHERE expired"""
+
+ORACLE["coalesce_writes"] = f"""WITH {OPS},
+s AS (SELECT *, floor(epoch_us(ts) / 5000000)::BIGINT AS batch FROM ops WHERE op = 'set')
+SELECT k.batch, k.key, round(k.value, 6) AS value, t.ttl_s
+FROM (SELECT batch, key, arg_max(value, op_id) AS value FROM s GROUP BY batch, key) k
+LEFT JOIN (SELECT batch, arg_min(ttl_s, op_id) AS ttl_s FROM s WHERE ttl_s IS NOT NULL
+           GROUP BY batch) t ON t.batch = k.batch"""
+
+# ---------------------------------------------------- routing and costs ---
+ORACLE["route_provider"] = f"""WITH {USER_TURNS}
+SELECT request_id, coalesce(provider, 'ollama') AS selected,
+       CASE WHEN provider IS NULL THEN 'ollama,anthropic,openai' ELSE provider END AS candidates
+FROM turns"""
+
+USAGE = """
+prices(provider, model, cost_in_1k, cost_out_1k) AS (
+  VALUES ('openai', 'gpt-4', 0.03, 0.06), ('anthropic', 'claude-2', 0.008, 0.024),
+         ('ollama', 'llama3', 0.0, 0.0)),
+conv AS (SELECT *, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prompt FROM conversations),
+u0 AS (
+  SELECT conv_id * 100 + turn - 1 AS request_id,
+         CASE WHEN conv_id % 5 = 0 THEN NULL ELSE conv_id % 50 END AS user_id,
+         CASE conv_id % 4 WHEN 1 THEN 'openai' WHEN 2 THEN 'anthropic' ELSE 'ollama' END AS provider,
+         CASE WHEN conv_id % 10 = 0 THEN 'error' ELSE 'success' END AS status,
+         len(list_filter(regexp_split_to_array(coalesce(prompt, ''), '\\s+'), lambda w: w <> '')) * 1.3::DOUBLE
+           AS input_tokens,
+         len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) * 1.3::DOUBLE AS output_tokens
+  FROM conv WHERE role = 'assistant'),
+usage AS (
+  SELECT u0.*, p.model, u0.output_tokens * 0.02::DOUBLE AS latency_s,
+         u0.input_tokens / 1000.0 * p.cost_in_1k::DOUBLE
+           + u0.output_tokens / 1000.0 * p.cost_out_1k::DOUBLE AS cost_usd
+  FROM u0 JOIN prices p USING (provider))"""
+
+ORACLE["price_usage"] = f"""WITH {USAGE}
+SELECT request_id, provider, model, status, round(input_tokens, 6) AS input_tokens,
+       round(output_tokens, 6) AS output_tokens, round(cost_usd, 6) AS cost_usd FROM usage"""
+
+ORACLE["llm_usage"] = f"""WITH {USAGE}
+SELECT provider, model, status, coalesce(user_id::VARCHAR, 'anonymous') AS "user",
+       count(*)::BIGINT AS requests,
+       round(sum(CASE WHEN input_tokens > 0 THEN input_tokens ELSE 0 END), 6) AS input_tokens,
+       round(sum(CASE WHEN output_tokens > 0 THEN output_tokens ELSE 0 END), 6) AS output_tokens,
+       round(sum(CASE WHEN cost_usd > 0 THEN cost_usd ELSE 0 END), 6) AS cost_usd,
+       round(sum(latency_s), 6) AS latency_s
+FROM usage GROUP BY ALL"""
+
+ORACLE["provider_stats"] = f"""WITH {USAGE},
+cfg(provider, priority, enabled) AS (VALUES ('openai', 1, true), ('anthropic', 2, true),
+                                            ('ollama', 3, true)),
+per AS (SELECT provider, count(*) AS requests, count_if(status <> 'success') AS failures
+        FROM usage GROUP BY provider)
+SELECT c.provider, c.priority, c.enabled, coalesce(p.requests, 0)::BIGINT AS requests,
+       coalesce(p.failures, 0)::BIGINT AS failures
+FROM cfg c LEFT JOIN per p USING (provider)"""
+
+ORACLE["lb_counts"] = f"""WITH {USAGE}
+SELECT request_id, provider,
+       count(*) OVER w::BIGINT AS requests_so_far,
+       sum((status <> 'success')::INTEGER) OVER w::BIGINT AS failures_so_far
+FROM usage
+WINDOW w AS (PARTITION BY provider ORDER BY request_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+ORACLE["token_estimate"] = """
+SELECT conv_id, turn,
+       round(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) * 1.3, 6) AS tokens
+FROM conversations"""
+
+# -------------------------------------------------------------- traces ---
+SPANS = """
+spans AS (
+  SELECT event_id AS span_id,
+         lag(event_id) OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS parent_span_id,
+         first_value(event_id) OVER (PARTITION BY user_id, ts::DATE ORDER BY ts, event_id) AS trace_id,
+         event_type AS operation, user_id, ts AS start_ts,
+         CASE WHEN event_type = 'error' THEN NULL
+              ELSE make_timestamp(epoch_us(ts) + round(value * 1000)::BIGINT) END AS end_ts,
+         CASE WHEN event_type = 'error' THEN 'error' ELSE 'ok' END AS status
+  FROM events),
+pairs AS (
+  SELECT span_id, trace_id,
+         CASE WHEN end_ts IS NOT NULL THEN (epoch_us(end_ts) - epoch_us(start_ts)) / 1000.0 END
+           AS duration_ms,
+         end_ts IS NULL AS active, CASE WHEN end_ts IS NULL THEN 'active' ELSE status END AS status
+  FROM spans)"""
+
+ORACLE["span_pairs"] = f"""WITH {SPANS}
+SELECT span_id, trace_id, round(duration_ms, 6) AS duration_ms, active, status FROM pairs"""
+
+ORACLE["trace_stats"] = f"""WITH {SPANS}
+SELECT count_if(active)::BIGINT AS active_spans, count_if(NOT active)::BIGINT AS completed_spans,
+       round(CASE WHEN count_if(NOT active) > 0
+                  THEN coalesce(sum(CASE WHEN NOT active THEN duration_ms END), 0) / count_if(NOT active)
+                  ELSE 0.0 END, 6) AS avg_duration_ms
+FROM pairs"""
+
+ORACLE["trace_roots"] = f"""WITH RECURSIVE {SPANS},
+walk(span_id, root_id, depth) AS (
+  SELECT span_id, span_id, 0 FROM spans WHERE parent_span_id IS NULL
+  UNION ALL
+  SELECT s.span_id, w.root_id, w.depth + 1 FROM spans s JOIN walk w ON s.parent_span_id = w.span_id)
+SELECT span_id, root_id AS trace_id, depth FROM walk"""
+
+ORACLE["trace_sample"] = f"""WITH {SPANS}
+SELECT span_id, trace_id FROM spans
+WHERE ('0x' || substr(md5(trace_id::VARCHAR), 1, 8))::BIGINT % 1000 < 100"""
+
+# -------------------------------------------------------------- alerts ---
+MATCHES = """
+rules(name, metric, op, threshold, severity, cooldown_s) AS (
+  VALUES ('purchase_high', 'purchase', '>', 150.0, 'high', 86400),
+         ('click_ge', 'click', '>=', 100.0, 'medium', 3600),
+         ('view_le', 'view', '<=', 1.0, 'low', 300)),
+matches AS (
+  SELECT r.name, r.cooldown_s, r.severity, e.event_id, e.ts, e.value
+  FROM events e JOIN rules r ON r.metric = e.event_type
+  WHERE (r.op = '>' AND e.value > r.threshold) OR (r.op = '>=' AND e.value >= r.threshold)
+     OR (r.op = '<=' AND e.value <= r.threshold))"""
+
+COOLDOWN = """
+m AS (SELECT *, epoch_us(ts) AS us,
+             row_number() OVER (PARTITION BY name ORDER BY epoch_us(ts), event_id) AS i FROM matches),
+cd(name, i, event_id, fired, last_us) AS (
+  SELECT name, i, event_id, true, us FROM m WHERE i = 1
+  UNION ALL
+  SELECT m.name, m.i, m.event_id, m.us - cd.last_us >= m.cooldown_s::BIGINT * 1000000,
+         CASE WHEN m.us - cd.last_us >= m.cooldown_s::BIGINT * 1000000 THEN m.us ELSE cd.last_us END
+  FROM cd JOIN m ON m.name = cd.name AND m.i = cd.i + 1)"""
+
+ORACLE["alert_match"] = f"""WITH {MATCHES}
+SELECT name, event_id, round(value, 6) AS value FROM matches"""
+
+ORACLE["alert_cooldown"] = f"""WITH RECURSIVE {MATCHES}, {COOLDOWN}
+SELECT name, event_id FROM cd WHERE fired"""
+
+ORACLE["alert_stats"] = f"""WITH RECURSIVE {MATCHES}, {COOLDOWN},
+fired AS (SELECT cd.name, m.severity FROM cd JOIN m USING (name, i) WHERE cd.fired)
+SELECT severity, count(*)::BIGINT AS total, count(*)::BIGINT AS active
+FROM fired GROUP BY ROLLUP (severity)"""
