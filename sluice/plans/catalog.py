@@ -516,3 +516,25 @@ def q_alert_stats(spark, sf_dir):
 def q_token_estimate(spark, sf_dir):
     c = tb.table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", F.round(us.token_estimate("text"), 6).alias("tokens"))
+
+
+# ----------------------------------------------------------- streaming ---
+from sluice.streaming import core as st  # noqa: E402
+
+
+@register("stream_counters")
+def q_stream_counters(spark, sf_dir):
+    out = st.run_available(st.stream_counters(st.event_stream(spark, sf_dir)), "append",
+                           "stream_counters")
+    return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                      "event_type", "requests", r6("value_sum"))
+
+
+@register("stream_rate_limit")
+def q_stream_rate_limit(spark, sf_dir):
+    ev = st.event_stream(spark, sf_dir)
+    h = tb.http_log(ev).withColumn("bucket", F.concat_ws(":", "api_key", "client_ip"))
+    out = st.run_available(st.stream_rate_limit(h, "bucket", limit=3, seconds=6 * 3600,
+                                                watermark="7 hours"),
+                           "append", "stream_rate_limit")
+    return out.select("request_id", "admitted", "in_window", "remaining")

@@ -695,3 +695,15 @@ ORACLE["alert_stats"] = f"""WITH RECURSIVE {MATCHES}, {COOLDOWN},
 fired AS (SELECT cd.name, m.severity FROM cd JOIN m USING (name, i) WHERE cd.fired)
 SELECT severity, count(*)::BIGINT AS total, count(*)::BIGINT AS active
 FROM fired GROUP BY ROLLUP (severity)"""
+
+
+# ----------------------------------------------------------- streaming ---
+ORACLE["stream_counters"] = """
+SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start,
+       event_type, count(*)::BIGINT AS requests, round(sum(value), 6) AS value_sum
+FROM events
+WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR
+      <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
+GROUP BY ALL"""
+
+ORACLE["stream_rate_limit"] = ORACLE["rate_limit_admit"]
