@@ -91,13 +91,15 @@ def price_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
 def round_robin(requests: DataFrame, order: list[str], n_providers: int,
                 names: list[str] | None = None) -> DataFrame:
     """With equal priority and no failures, the load order assigns
-    providers cyclically: (row_number - 1) % n."""
-    w = W.orderBy(*order)
-    slot = (F.row_number().over(w) - 1) % n_providers
-    out = requests.withColumn("slot", slot)
+    providers cyclically: (rank - 1) % n over the request order. The rank
+    is computed distributed (range partitions + offsets), not in one task."""
+    from sluice.operators.cache import global_running
+    ranked = global_running(requests.withColumn("_one", F.lit(1)), [F.col(c) for c in order], "_one")
+    out = ranked.withColumn("slot", ((F.col("rank") - 1) % n_providers).cast("int")).drop(
+        "_one", "rank", "running_bytes")
     if names:
         out = out.withColumn("selected", F.element_at(F.array(*[F.lit(n) for n in names]),
-                                                      (F.col("slot") + 1).cast("int")))
+                                                      F.col("slot") + 1))
     return out
 
 

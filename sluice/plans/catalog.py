@@ -84,7 +84,7 @@ CHUNK_COLS = ["doc_id", "chunk_index", "chunk_id", "start_char", "end_char", "to
 
 
 def _docs(spark, sf_dir, paragraphs=False):
-    d = tb.table(spark, sf_dir, "documents").select(
+    d = tb.text_table(spark, sf_dir, "documents").select(
         "doc_id", "text", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"))
     if paragraphs:   # the driver documents have no blank lines: lines become paragraphs
         d = d.withColumn("text", F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")))
@@ -113,36 +113,36 @@ from sluice.operators import safety as sop  # noqa: E402
 
 
 def _user_turns(spark, sf_dir):
-    return tb.chat_requests(tb.table(spark, sf_dir, "conversations"))
+    return tb.chat_requests(tb.text_table(spark, sf_dir, "conversations"))
 
 
 @register("pii_detect")
 def q_pii_detect(spark, sf_dir):
-    return sop.pii_detect(tb.table(spark, sf_dir, "documents"), "doc_id")
+    return sop.pii_detect(tb.text_table(spark, sf_dir, "documents"), "doc_id")
 
 
 @register("pii_mask")
 def q_pii_mask(spark, sf_dir):
-    return tb.table(spark, sf_dir, "documents").select(
+    return tb.text_table(spark, sf_dir, "documents").select(
         "doc_id", sfn.pii_mask("text").alias("masked"))
 
 
 @register("pii_anonymize")
 def q_pii_anonymize(spark, sf_dir):
-    return tb.table(spark, sf_dir, "documents").select(
+    return tb.text_table(spark, sf_dir, "documents").select(
         "doc_id", sfn.pii_anonymize("text").alias("anonymized"))
 
 
 @register("pii_stats")
 def q_pii_stats(spark, sf_dir):
-    f = sop.pii_detect(tb.table(spark, sf_dir, "documents"), "doc_id")
+    f = sop.pii_detect(tb.text_table(spark, sf_dir, "documents"), "doc_id")
     return sop.pii_stats(f, "doc_id").select("entity_type", "detections", "documents",
                                              r6("best_score"))
 
 
 @register("content_risk")
 def q_content_risk(spark, sf_dir):
-    d = tb.table(spark, sf_dir, "documents").withColumn("cr", sfn.content_risk("text"))
+    d = tb.text_table(spark, sf_dir, "documents").withColumn("cr", sfn.content_risk("text"))
     return d.select("doc_id", F.col("cr.blocked").alias("blocked"),
                     F.round("cr.risk_score", 6).alias("risk_score"),
                     F.array_join("cr.reasons", "; ").alias("reasons"),
@@ -151,28 +151,28 @@ def q_content_risk(spark, sf_dir):
 
 @register("injection_score")
 def q_injection_score(spark, sf_dir):
-    return tb.table(spark, sf_dir, "documents").select(
+    return tb.text_table(spark, sf_dir, "documents").select(
         "doc_id", F.round(sfn.injection_score("text"), 6).alias("injection_score"))
 
 
 @register("suspicious_patterns")
 def q_suspicious_patterns(spark, sf_dir):
     flags = sfn.suspicious_flags("html")
-    return tb.table(spark, sf_dir, "pages").select(
+    return tb.text_table(spark, sf_dir, "pages").select(
         "page_id", F.concat(*[F.when(f, "1").otherwise("0") for f in flags]).alias("flags"))
 
 
 @register("short_probe")
 def q_short_probe(spark, sf_dir):
-    return tb.table(spark, sf_dir, "documents").select(
+    return tb.text_table(spark, sf_dir, "documents").select(
         "doc_id", sfn.short_probe("text").alias("short_probe"),
         sfn.input_length_ok("text").alias("input_length_ok"))
 
 
 @register("filter_stats")
 def q_filter_stats(spark, sf_dir):
-    docs = tb.table(spark, sf_dir, "documents").select("text")
-    pages = tb.table(spark, sf_dir, "pages").select(F.col("html").alias("text"))
+    docs = tb.text_table(spark, sf_dir, "documents").select("text")
+    pages = tb.text_table(spark, sf_dir, "pages").select(F.col("html").alias("text"))
     return sop.filter_stats(docs.unionByName(pages))
 
 
@@ -191,7 +191,7 @@ def q_request_verdict(spark, sf_dir):
 
 @register("hash_sensitive")
 def q_hash_sensitive(spark, sf_dir):
-    return tb.table(spark, sf_dir, "conversations").select(
+    return tb.text_table(spark, sf_dir, "conversations").select(
         "conv_id", "turn", sfn.hash_sensitive("text").alias("hashed"))
 
 
@@ -391,7 +391,7 @@ def q_coalesce_writes(spark, sf_dir):
 
 # ---------------------------------------------------- routing and costs ---
 def _usage(spark, sf_dir):
-    conv = tb.table(spark, sf_dir, "conversations")
+    conv = tb.text_table(spark, sf_dir, "conversations")
     w = W.partitionBy("conv_id").orderBy("turn")
     a = conv.withColumn("prompt", F.lag("text").over(w)).filter(F.col("role") == "assistant")
     requested = (F.when(F.col("conv_id") % 4 == 1, "openai")
@@ -514,7 +514,7 @@ def q_alert_stats(spark, sf_dir):
 
 @register("token_estimate")
 def q_token_estimate(spark, sf_dir):
-    c = tb.table(spark, sf_dir, "conversations")
+    c = tb.text_table(spark, sf_dir, "conversations")
     return c.select("conv_id", "turn", F.round(us.token_estimate("text"), 6).alias("tokens"))
 
 
@@ -538,3 +538,315 @@ def q_stream_rate_limit(spark, sf_dir):
                                                 watermark="7 hours"),
                            "append", "stream_rate_limit")
     return out.select("request_id", "admitted", "in_window", "remaining")
+
+
+# ------------------------------------------------- sources, html, rag ---
+from sluice.functions import html as fh  # noqa: E402
+from sluice.functions import requests as rq  # noqa: E402
+from sluice.functions import vectors as vec  # noqa: E402
+from sluice.operators import rag  # noqa: E402
+from sluice.sources import files as fl  # noqa: E402
+from sluice.sources import sinks as sk  # noqa: E402
+
+
+@register("html_to_text")
+def q_html_to_text(spark, sf_dir):
+    return tb.text_table(spark, sf_dir, "pages").select("page_id", fh.html_to_text("html").alias("text"))
+
+
+@register("page_scrape")
+def q_page_scrape(spark, sf_dir):
+    return rag.page_scrape(tb.text_table(spark, sf_dir, "pages")).select("page_id", "title", "links")
+
+
+@register("extract_links")
+def q_extract_links(spark, sf_dir):
+    return rag.extract_links(tb.text_table(spark, sf_dir, "pages"))
+
+
+@register("title_from_url")
+def q_title_from_url(spark, sf_dir):
+    return tb.table(spark, sf_dir, "pages").select(
+        "page_id", fl.title_from_url(F.col("url")).alias("title"))
+
+
+@register("url_documents")
+def q_url_documents(spark, sf_dir):
+    return fl.url_documents(tb.text_table(spark, sf_dir, "pages")).select(
+        "doc_id", "title", "source_url", "document_type", "file_size")
+
+
+def _raw(spark, sf_dir):
+    return fl.raw_documents(tb.text_table(spark, sf_dir, "documents"))
+
+
+@register("doc_type_ext")
+def q_doc_type_ext(spark, sf_dir):
+    return _raw(spark, sf_dir).select("doc_id", fl.doc_type_ext(F.col("file_path")).alias("document_type"))
+
+
+@register("upload_filter")
+def q_upload_filter(spark, sf_dir):
+    return fl.upload_filter(_raw(spark, sf_dir)).select("doc_id", "extension", "accepted", "reason")
+
+
+@register("decode_text")
+def q_decode_text(spark, sf_dir):
+    return _raw(spark, sf_dir).select("doc_id", F.length(fl.decode_text(F.col("content"))).alias("n_chars"),
+                                      F.octet_length("content").alias("file_size"))
+
+
+@register("ingest_report")
+def q_ingest_report(spark, sf_dir):
+    raw = fl.upload_filter(_raw(spark, sf_dir))
+    ok = raw.filter("accepted").select("doc_id", fl.decode_text(F.col("content")).alias("text"))
+    chunks = ch.chunk(ok, "sliding_window")
+    return sk.ingest_report(chunks, ok)
+
+
+@register("collection_stats")
+def q_collection_stats(spark, sf_dir):
+    d = tb.documents_meta(tb.text_table(spark, sf_dir, "documents"))
+    return rag.collection_stats(ch.chunk(d, "sliding_window", keep=["collection"]))
+
+
+@register("embed")
+def q_embed(spark, sf_dir):
+    e = vec.embed_sparse(tb.text_table(spark, sf_dir, "documents"), "doc_id", "text")
+    return e.select("doc_id", "dim_index", r6("weight"))
+
+
+def _rag_hits(spark, sf_dir):
+    return rt.knn_join(inp.vector_queries(spark, sf_dir), inp.vector_corpus(spark, sf_dir), 5,
+                       payload=["content", "title"])
+
+
+@register("rag_context")
+def q_rag_context(spark, sf_dir):
+    return rag.rag_context(_rag_hits(spark, sf_dir))
+
+
+@register("rag_prompt")
+def q_rag_prompt(spark, sf_dir):
+    ctx = rag.rag_context(_rag_hits(spark, sf_dir), max_len=40000)
+    q = F.concat(F.lit("What is document "), F.col("query_id").cast("string"), F.lit(" about?"))
+    return ctx.select("query_id", F.md5(rq.rag_prompt(q, F.col("context"))).alias("prompt_md5"))
+
+
+@register("chat_messages")
+def q_chat_messages(spark, sf_dir):
+    m = rag.chat_messages(tb.text_table(spark, sf_dir, "conversations"))
+    return m.select("conv_id", "turn", F.size("messages").alias("n_messages"),
+                    F.array_join(F.transform("messages", lambda x: x["role"]), ",").alias("roles"))
+
+
+@register("last_n")
+def q_last_n(spark, sf_dir):
+    return rag.last_n(_events(spark, sf_dir), "user_id", "ts", 5).select("user_id", "event_id")
+
+
+@register("validate_chat")
+def q_validate_chat(spark, sf_dir):
+    r = _user_turns(spark, sf_dir).withColumn(
+        "reasons", rq.validate_chat("message", "temperature", "max_tokens", "provider"))
+    return r.select("request_id", (F.size("reasons") == 0).alias("valid"),
+                    F.array_join("reasons", "; ").alias("reasons"))
+
+
+def _headers(spark, sf_dir):
+    h = _http(spark, sf_dir)
+    u = F.col("user_id")
+    return h.select(
+        "request_id", "content_length",
+        F.when(u % 3 == 0, F.concat(F.lit(" 172.16."), (u % 7).cast("string"), F.lit(".1 , "),
+                                    F.col("client_ip"))).alias("x_forwarded_for"),
+        F.when(u % 3 == 1, F.col("client_ip")).alias("x_real_ip"),
+        F.when(u % 5 != 0, F.col("client_ip")).alias("peer"),
+        F.when(u % 4 == 0, F.concat(F.lit("key-"), F.col("api_key"), F.lit("-long"))).alias("x_api_key"),
+        F.when(u % 4 == 1, F.concat(F.lit("Bearer "), F.col("api_key"))).alias("authorization"),
+        F.when(u % 10 == 0, F.lit("Googlebot/2.1 (+http://www.google.com/bot.html)"))
+         .when(u % 10 == 1, F.lit("python-Scraper/1.0")).otherwise(F.lit("Mozilla/5.0")).alias("user_agent"),
+        F.when(u % 6 == 0, F.lit("http")).otherwise(F.lit("https")).alias("scheme"))
+
+
+@register("client_ip")
+def q_client_ip(spark, sf_dir):
+    return _headers(spark, sf_dir).select(
+        "request_id", rq.client_ip("x_forwarded_for", "x_real_ip", "peer").alias("client_ip"))
+
+
+@register("api_key_norm")
+def q_api_key_norm(spark, sf_dir):
+    return _headers(spark, sf_dir).select(
+        "request_id", rq.api_key_norm("x_api_key", "authorization").alias("api_key"))
+
+
+@register("key_prefix")
+def q_key_prefix(spark, sf_dir):
+    return _headers(spark, sf_dir).select(
+        "request_id", rq.key_prefix(rq.api_key_norm("x_api_key", "authorization")).alias("key_prefix"))
+
+
+@register("suspicious_ua")
+def q_suspicious_ua(spark, sf_dir):
+    return _headers(spark, sf_dir).select("request_id", rq.suspicious_ua("user_agent").alias("suspicious"))
+
+
+@register("request_size_ok")
+def q_request_size_ok(spark, sf_dir):
+    return _headers(spark, sf_dir).select(
+        "request_id", rq.request_size_ok("content_length", 20_000_000).alias("size_ok"))
+
+
+@register("require_https")
+def q_require_https(spark, sf_dir):
+    return _headers(spark, sf_dir).select("request_id", rq.require_https("scheme").alias("allowed"))
+
+
+KEYS_ROTATION = ["k0", "k1"]
+KEY_SINGLE = "k1"
+
+
+def _keys(spark):
+    rot = spark.createDataFrame([(k,) for k in KEYS_ROTATION], "api_key string")
+    return rot.union(spark.createDataFrame([(KEY_SINGLE,)], "api_key string")).distinct()
+
+
+@register("key_union")
+def q_key_union(spark, sf_dir):
+    return _keys(spark)
+
+
+@register("valid_keys")
+def q_valid_keys(spark, sf_dir):
+    h = _http(spark, sf_dir).select("request_id", "api_key")
+    keys = F.broadcast(_keys(spark))
+    ok = h.join(keys, "api_key", "left_semi").withColumn("valid", F.lit(True))
+    bad = h.join(keys, "api_key", "left_anti").withColumn("valid", F.lit(False))
+    return ok.unionByName(bad)
+
+
+# Exception class -> (error_code, HTTP status).
+ERROR_CATALOG = [
+    ("ValidationError", "VALIDATION_ERROR", 422), ("AuthenticationError", "AUTHENTICATION_ERROR", 401),
+    ("AuthorizationError", "AUTHORIZATION_ERROR", 403), ("RateLimitExceededError", "RATE_LIMIT_EXCEEDED", 429),
+    ("LLMProviderError", "LLM_PROVIDER_ERROR", 502), ("VectorDatabaseError", "VECTOR_DATABASE_ERROR", 502),
+    ("CacheError", "CACHE_ERROR", 500), ("PluginError", "PLUGIN_ERROR", 500),
+    ("PluginExecutionError", "PLUGIN_EXECUTION_ERROR", 500), ("PluginTimeoutError", "PLUGIN_TIMEOUT_ERROR", 408),
+    ("SecurityError", "SECURITY_ERROR", 403), ("PIIDetectionError", "PII_DETECTION_ERROR", 500),
+    ("FileProcessingError", "FILE_PROCESSING_ERROR", 422), ("ConfigurationError", "CONFIGURATION_ERROR", 500),
+    ("ServiceUnavailableError", "SERVICE_UNAVAILABLE", 503), ("ContentTooLargeError", "CONTENT_TOO_LARGE", 413),
+    ("NotFoundError", "NOT_FOUND", 404), ("DatabaseError", "DATABASE_ERROR", 500),
+]
+
+
+@register("error_catalog")
+def q_error_catalog(spark, sf_dir):
+    cat = spark.createDataFrame(ERROR_CATALOG, "exception string, error_code string, status_code int")
+    names = F.array(*[F.lit(e[0]) for e in ERROR_CATALOG])
+    errs = (_events(spark, sf_dir).filter(F.col("event_type") == "error")
+            .select("event_id", F.element_at(names, (F.col("user_id") % len(ERROR_CATALOG) + 1)
+                                             .cast("int")).alias("exception")))
+    return errs.join(F.broadcast(cat), "exception", "left").select(
+        "event_id", "exception", "error_code", "status_code")
+
+
+REPUTATION = [("blog.tionsh.example.net", False, "spam", 0.9),
+              ("thther.example.org", True, "news", 0.1),
+              ("blog.tionsh.example.com", False, "malware", 0.95)]
+
+
+@register("domain_reputation")
+def q_domain_reputation(spark, sf_dir):
+    rep = spark.createDataFrame(REPUTATION, "host string, safe boolean, category string, risk_score double")
+    p = tb.table(spark, sf_dir, "pages").select("page_id", rq.url_host("url").alias("host"))
+    return (p.join(F.broadcast(rep), "host", "left")
+            .select("page_id", "host", F.coalesce("safe", F.lit(True)).alias("safe"),
+                    F.coalesce("category", F.lit("unknown")).alias("category"),
+                    F.coalesce("risk_score", F.lit(0.0)).alias("risk_score")))
+
+
+@register("domain_allowed")
+def q_domain_allowed(spark, sf_dir):
+    allowed = [r[0] for r in REPUTATION if r[1]] + ["blog.ththan.example.net"]
+    return tb.table(spark, sf_dir, "pages").select(
+        "page_id", rq.domain_allowed("url", allowed).alias("allowed"))
+
+
+@register("retention")
+def q_retention(spark, sf_dir):
+    return us.retention(_events(spark, sf_dir), _as_of(), 7).select("event_id")
+
+
+@register("prom_text")
+def q_prom_text(spark, sf_dir):
+    c = us.counter(_http(spark, sf_dir), ["method", "endpoint", "status_code"], name="value")
+    m = c.select(F.lit("http_requests_total").alias("metric"),
+                 F.create_map(F.lit("method"), "method", F.lit("endpoint"), "endpoint",
+                              F.lit("status"), F.col("status_code").cast("string")).alias("labels"),
+                 "value")
+    return m.select(sk.prom_text(m).alias("line"))
+
+
+@register("parse_request_log")
+def q_parse_request_log(spark, sf_dir):
+    h = _http(spark, sf_dir).withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    lines = h.select(F.to_json(F.struct("request_id", "ts", "method", "endpoint", "status_code",
+                                        "duration_s", "client_ip", "api_key", "content_length"))
+                     .alias("value"))
+    p = fl.parse_request_log(lines)
+    return p.select("request_id", "ts", "method", "endpoint", "status_code", r6("duration_s"),
+                    "client_ip", "api_key", "content_length")
+
+
+@register("duration_ms")
+def q_duration_ms(spark, sf_dir):
+    return _http(spark, sf_dir).select("request_id", us.duration_ms("duration_s").alias("duration_ms"))
+
+
+@register("cache_key")
+def q_cache_key(spark, sf_dir):
+    r = _user_turns(spark, sf_dir)
+    k = ca.cache_key(F.lit("chat"), F.coalesce("provider", F.lit("any")),
+                     F.col("max_tokens").cast("string"),
+                     ca.nested_part(F.struct(F.col("message").alias("message"))))
+    return r.select("request_id", k.alias("cache_key"))
+
+
+@register("round_robin")
+def q_round_robin(spark, sf_dir):
+    names = [p["provider"] for p in ro.DEFAULT_PROVIDERS]
+    rr = ro.round_robin(_user_turns(spark, sf_dir), ["request_id"], len(names), names)
+    return rr.select("request_id", "selected")
+
+
+@register("cache_stats_combined")
+def q_cache_stats_combined(spark, sf_dir):
+    rp = ca.replay(_ops(spark, sf_dir)).withColumn(
+        "level", F.when(F.substring_index("key", ":", -1).cast("long") % 2 == 0, "L1").otherwise("L2"))
+    s = ca.cache_stats_combined(ca.cache_stats(rp, ["level"]))
+    return s.select("hits", "misses", r6("hit_ratio"))
+
+
+@register("latest_quote")
+def q_latest_quote(spark, sf_dir):
+    """Per symbol (event type) last price, change to the previous tick,
+    percent and volume -- two hash aggregates, no per-symbol window."""
+    ev = _events(spark, sf_dir).withColumnRenamed("event_type", "symbol")
+    key = F.struct("ts", "event_id")
+    last = ev.groupBy("symbol").agg(F.max_by("value", key).alias("price"),
+                                    F.max(key).alias("_k"), F.count("*").alias("volume"))
+    prev = (ev.join(last.select("symbol", "_k"), "symbol")
+            .filter(F.struct("ts", "event_id") < F.col("_k"))
+            .groupBy("symbol").agg(F.max_by("value", key).alias("prev")))
+    q = last.join(prev, "symbol", "left")
+    return q.select("symbol", F.round("price", 6).alias("price"),
+                    F.round(F.col("price") - F.col("prev"), 6).alias("change"),
+                    F.round((F.col("price") - F.col("prev")) / F.col("prev") * 100, 6).alias("percent"),
+                    "volume")
+
+
+@register("knn_approx")
+def q_knn_approx(spark, sf_dir):
+    a = rt.knn_approx(inp.vector_queries(spark, sf_dir), inp.vector_corpus(spark, sf_dir), 10)
+    return a.select("query_id", "chunk_id", "rank", r6("similarity_score"))

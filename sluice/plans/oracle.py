@@ -707,3 +707,246 @@ WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR
 GROUP BY ALL"""
 
 ORACLE["stream_rate_limit"] = ORACLE["rate_limit_admit"]
+
+
+# ------------------------------------------------- sources, html, rag ---
+from sluice.functions.html import DROP_BLOCKS, ENTITIES, LINK, TITLE  # noqa: E402
+
+
+def unescape_sql(x: str) -> str:
+    for a, b in ENTITIES:
+        x = f"replace({x}, {lit(a)}, {lit(b)})"
+    return x
+
+
+def html_text_sql(x: str) -> str:
+    for p in DROP_BLOCKS:
+        x = f"regexp_replace({x}, {lit(p)}, '', 'g')"
+    x = f"regexp_replace({x}, '<[^>]*>', chr(10), 'g')"
+    x = unescape_sql(x)
+    x = f"regexp_replace({x}, '[ \\t]+', ' ', 'g')"
+    x = f"regexp_replace({x}, ' ?\\n[ \\n]*', chr(10), 'g')"
+    return f"regexp_replace({x}, '^[ \\n]+|[ \\n]+$', '', 'g')"
+
+
+ORACLE["html_to_text"] = f"SELECT page_id, {html_text_sql('html')} AS text FROM pages"
+
+ORACLE["page_scrape"] = f"""
+SELECT page_id, {unescape_sql(f"regexp_extract(html, {lit(TITLE)}, 1)")} AS title,
+       len(regexp_extract_all(html, {lit(LINK)}, 1))::INTEGER AS links FROM pages"""
+
+ORACLE["extract_links"] = f"""
+SELECT page_id, (pos - 1)::INTEGER AS pos, t[pos] AS text, h[pos] AS href
+FROM (SELECT page_id, h, t, generate_subscripts(h, 1) AS pos
+      FROM (SELECT page_id, regexp_extract_all(html, {lit(LINK)}, 1) AS h,
+                   regexp_extract_all(html, {lit(LINK)}, 2) AS t FROM pages))"""
+
+URL_PATH = "regexp_extract(url, '^[A-Za-z]+://[^/?#]*([^?#]*)', 1)"
+URL_HOST = "regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)"
+TITLE_URL = (f"CASE WHEN regexp_replace({URL_PATH}, '^/+|/+$', '', 'g') <> '' "
+             f"THEN split_part(regexp_replace({URL_PATH}, '^/+|/+$', '', 'g'), '/', -1) "
+             f"ELSE {URL_HOST} END")
+
+ORACLE["title_from_url"] = f"SELECT page_id, {TITLE_URL} AS title FROM pages"
+
+ORACLE["url_documents"] = f"""
+SELECT page_id AS doc_id, {TITLE_URL} AS title, url AS source_url, 'html' AS document_type,
+       octet_length(encode(html))::INTEGER AS file_size FROM pages"""
+
+RAW = """
+raw AS (
+  SELECT doc_id, text,
+         '/docs/' || doc_id::VARCHAR || '.' ||
+         CASE WHEN doc_id % 50 = 0 THEN 'exe'
+              ELSE ['pdf', 'docx', 'txt', 'html', 'htm', 'md', 'json', 'csv'][doc_id % 8 + 1] END
+           AS file_path
+  FROM documents)"""
+
+ORACLE["doc_type_ext"] = f"""WITH {RAW}
+SELECT doc_id, CASE split_part(file_path, '.', -1)
+  WHEN 'pdf' THEN 'pdf' WHEN 'docx' THEN 'docx' WHEN 'txt' THEN 'txt' WHEN 'html' THEN 'html'
+  WHEN 'htm' THEN 'html' WHEN 'md' THEN 'markdown' WHEN 'json' THEN 'json' WHEN 'csv' THEN 'csv'
+  WHEN 'xlsx' THEN 'xlsx' ELSE 'txt' END AS document_type FROM raw"""
+
+ORACLE["upload_filter"] = f"""WITH {RAW}
+SELECT doc_id, split_part(file_path, '.', -1) AS extension,
+       split_part(file_path, '.', -1) IN ('pdf', 'docx', 'txt', 'html', 'md', 'json') AS accepted,
+       CASE WHEN split_part(file_path, '.', -1) IN ('pdf', 'docx', 'txt', 'html', 'md', 'json')
+            THEN NULL ELSE 'File type .' || split_part(file_path, '.', -1) || ' not allowed' END AS reason
+FROM raw"""
+
+ORACLE["decode_text"] = """
+SELECT doc_id, length(text)::INTEGER AS n_chars, octet_length(encode(text))::INTEGER AS file_size
+FROM documents"""
+
+ORACLE["ingest_report"] = f"""WITH {RAW},
+ok AS (SELECT doc_id, text FROM raw
+       WHERE split_part(file_path, '.', -1) IN ('pdf', 'docx', 'txt', 'html', 'md', 'json')),
+w AS (SELECT doc_id, s, length(text) AS n, {strip_sql('substr(text, s + 1, 512)')} AS content
+      FROM (SELECT doc_id, text, unnest(generate_series(0, length(text) - 1, 462)) AS s
+            FROM ok WHERE length(text) > 0)),
+k AS (SELECT doc_id, count(*) AS c FROM w
+      WHERE (s = 0 OR s - 462 + 512 < n) AND length(content) >= 50 GROUP BY doc_id)
+SELECT ok.doc_id, coalesce(k.c, 0)::BIGINT AS chunks_created, true AS success
+FROM ok LEFT JOIN k USING (doc_id)"""
+
+ORACLE["collection_stats"] = """
+WITH w AS (SELECT source AS collection, s, length(text) AS n,
+                  regexp_replace(substr(text, s + 1, 512), '^\\s+|\\s+$', '', 'g') AS content
+           FROM (SELECT source, text, unnest(generate_series(0, length(text) - 1, 462)) AS s
+                 FROM documents WHERE length(text) > 0))
+SELECT collection, count(*)::BIGINT AS chunks FROM w
+WHERE (s = 0 OR s - 462 + 512 < n) AND length(content) >= 50 GROUP BY collection"""
+
+ORACLE["embed"] = """
+WITH t AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'),
+                                             lambda x: x <> '')) AS tok FROM documents),
+b AS (SELECT doc_id, (('0x' || substr(md5(tok), 1, 8))::BIGINT % 384)::INTEGER AS dim_index,
+             count(*) AS cnt FROM t GROUP BY ALL)
+SELECT doc_id, dim_index, round(cnt / sqrt(sum(cnt * cnt) OVER (PARTITION BY doc_id)), 6) AS weight
+FROM b"""
+
+CORPUS_T = CORPUS.replace("d.lang, d.source, e.label", "d.lang, d.source, e.label, 'doc-' || e.vec_id::VARCHAR AS title")
+KNN5_T = knn_sql(5).replace("SELECT q.query_id, c.chunk_id, c.content,", "SELECT q.query_id, c.chunk_id, c.content, c.title,")
+
+
+def rag_sql(max_len: int) -> str:
+    return f"""WITH {CORPUS_T}, {KNN5_T},
+p AS (SELECT query_id, rank, '[Source: ' || title || ']' || chr(10) || content || chr(10) || '---' || chr(10) AS piece
+      FROM hits),
+r AS (SELECT *, sum(length(piece)) OVER (PARTITION BY query_id ORDER BY rank
+                                          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM p),
+ctx AS (SELECT query_id, string_agg(piece, chr(10) ORDER BY rank) AS context, count(*)::BIGINT AS pieces
+        FROM r WHERE run <= {max_len} GROUP BY query_id)"""
+
+
+ORACLE["rag_context"] = rag_sql(4000) + "\nSELECT query_id, context, pieces FROM ctx"
+
+ORACLE["rag_prompt"] = rag_sql(40000) + """
+SELECT query_id, md5('You are a helpful assistant. Use the provided context to answer the question. '
+                     || 'If the context doesn''t contain relevant information, say so.'
+                     || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10)
+                     || 'Question: What is document ' || query_id::VARCHAR || ' about?'
+                     || chr(10) || chr(10) || 'Answer:') AS prompt_md5 FROM ctx"""
+
+ORACLE["chat_messages"] = """
+SELECT conv_id, turn, n_messages, roles FROM (
+  SELECT conv_id, turn, role,
+         count(*) OVER w::INTEGER AS n_messages, array_to_string(list(role) OVER w, ',') AS roles
+  FROM conversations
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+WHERE role = 'user'"""
+
+ORACLE["last_n"] = """
+SELECT user_id, event_id FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) <= 5"""
+
+ORACLE["validate_chat"] = f"""WITH {USER_TURNS},
+v AS (SELECT request_id, list_filter([
+        CASE WHEN length(trim(message)) < 1 THEN 'message is empty' END,
+        CASE WHEN length(trim(message)) > 8192 THEN 'message longer than 8192' END,
+        CASE WHEN temperature < 0 OR temperature > 2 THEN 'temperature outside 0..2' END,
+        CASE WHEN max_tokens < 1 OR max_tokens > 4096 THEN 'max_tokens outside 1..4096' END,
+        CASE WHEN provider IS NOT NULL AND provider NOT IN ('openai', 'anthropic', 'ollama')
+             THEN 'unknown provider' END], lambda r: r IS NOT NULL) AS reasons FROM turns)
+SELECT request_id, len(reasons) = 0 AS valid, array_to_string(reasons, '; ') AS reasons FROM v"""
+
+HEADERS = f"""{HTTP},
+hdr AS (
+  SELECT request_id, content_length, client_ip AS cip, api_key AS k, user_id,
+         CASE WHEN user_id % 3 = 0 THEN ' 172.16.' || (user_id % 7)::VARCHAR || '.1 , ' || client_ip END AS xff,
+         CASE WHEN user_id % 3 = 1 THEN client_ip END AS real_ip,
+         CASE WHEN user_id % 5 <> 0 THEN client_ip END AS peer,
+         CASE WHEN user_id % 4 = 0 THEN 'key-' || api_key || '-long' END AS x_api_key,
+         CASE WHEN user_id % 4 = 1 THEN 'Bearer ' || api_key END AS auth_hdr,
+         CASE WHEN user_id % 10 = 0 THEN 'Googlebot/2.1 (+http://www.google.com/bot.html)'
+              WHEN user_id % 10 = 1 THEN 'python-Scraper/1.0' ELSE 'Mozilla/5.0' END AS user_agent,
+         CASE WHEN user_id % 6 = 0 THEN 'http' ELSE 'https' END AS scheme
+  FROM http),
+hk AS (SELECT *, CASE WHEN coalesce(x_api_key, auth_hdr, 'anonymous') LIKE 'Bearer %'
+                      THEN substr(coalesce(x_api_key, auth_hdr, 'anonymous'), 8)
+                      ELSE coalesce(x_api_key, auth_hdr, 'anonymous') END AS norm_key FROM hdr)"""
+
+ORACLE["client_ip"] = f"""WITH {HEADERS}
+SELECT request_id, coalesce(nullif(trim(split_part(xff, ',', 1)), ''), nullif(real_ip, ''), peer, 'unknown')
+  AS client_ip FROM hdr"""
+
+ORACLE["api_key_norm"] = f"""WITH {HEADERS} SELECT request_id, norm_key AS api_key FROM hk"""
+
+ORACLE["key_prefix"] = f"""WITH {HEADERS}
+SELECT request_id, CASE WHEN length(norm_key) > 8 THEN substr(norm_key, 1, 8) || '...' ELSE norm_key END
+  AS key_prefix FROM hk"""
+
+ORACLE["suspicious_ua"] = f"""WITH {HEADERS}
+SELECT request_id, regexp_matches(lower(user_agent), 'bot|crawler|spider|scraper') AS suspicious FROM hdr"""
+
+ORACLE["request_size_ok"] = f"""WITH {HEADERS}
+SELECT request_id, coalesce(content_length <= 20000000, true) AS size_ok FROM hdr"""
+
+ORACLE["require_https"] = f"""WITH {HEADERS} SELECT request_id, scheme = 'https' AS allowed FROM hdr"""
+
+ORACLE["key_union"] = "SELECT DISTINCT api_key FROM (VALUES ('k0'), ('k1'), ('k1')) t(api_key)"
+
+ORACLE["valid_keys"] = f"""WITH {HTTP}
+SELECT request_id, api_key, api_key IN ('k0', 'k1') AS valid FROM http"""
+
+ORACLE["error_catalog"] = """
+WITH cat(i, exception, error_code, status_code) AS (VALUES
+  (0, 'ValidationError', 'VALIDATION_ERROR', 422), (1, 'AuthenticationError', 'AUTHENTICATION_ERROR', 401),
+  (2, 'AuthorizationError', 'AUTHORIZATION_ERROR', 403), (3, 'RateLimitExceededError', 'RATE_LIMIT_EXCEEDED', 429),
+  (4, 'LLMProviderError', 'LLM_PROVIDER_ERROR', 502), (5, 'VectorDatabaseError', 'VECTOR_DATABASE_ERROR', 502),
+  (6, 'CacheError', 'CACHE_ERROR', 500), (7, 'PluginError', 'PLUGIN_ERROR', 500),
+  (8, 'PluginExecutionError', 'PLUGIN_EXECUTION_ERROR', 500), (9, 'PluginTimeoutError', 'PLUGIN_TIMEOUT_ERROR', 408),
+  (10, 'SecurityError', 'SECURITY_ERROR', 403), (11, 'PIIDetectionError', 'PII_DETECTION_ERROR', 500),
+  (12, 'FileProcessingError', 'FILE_PROCESSING_ERROR', 422), (13, 'ConfigurationError', 'CONFIGURATION_ERROR', 500),
+  (14, 'ServiceUnavailableError', 'SERVICE_UNAVAILABLE', 503), (15, 'ContentTooLargeError', 'CONTENT_TOO_LARGE', 413),
+  (16, 'NotFoundError', 'NOT_FOUND', 404), (17, 'DatabaseError', 'DATABASE_ERROR', 500))
+SELECT e.event_id, c.exception, c.error_code, c.status_code
+FROM events e JOIN cat c ON c.i = e.user_id % 18 WHERE e.event_type = 'error'"""
+
+ORACLE["domain_reputation"] = f"""
+WITH rep(host, safe, category, risk_score) AS (VALUES
+  ('blog.tionsh.example.net', false, 'spam', 0.9), ('thther.example.org', true, 'news', 0.1),
+  ('blog.tionsh.example.com', false, 'malware', 0.95))
+SELECT p.page_id, p.host, coalesce(r.safe, true) AS safe, coalesce(r.category, 'unknown') AS category,
+       coalesce(r.risk_score::DOUBLE, 0.0) AS risk_score
+FROM (SELECT page_id, {URL_HOST} AS host FROM pages) p LEFT JOIN rep r USING (host)"""
+
+ORACLE["domain_allowed"] = f"""
+SELECT page_id, {URL_HOST} IN ('thther.example.org', 'blog.ththan.example.net') AS allowed FROM pages"""
+
+ORACLE["retention"] = f"SELECT event_id FROM events WHERE ts > {AS_OF} - INTERVAL 7 DAY"
+
+ORACLE["prom_text"] = f"""WITH {HTTP}
+SELECT 'http_requests_total{{endpoint="' || endpoint || '",method="' || method || '",status="'
+       || status_code::VARCHAR || '"}} ' || count(*)::VARCHAR AS line
+FROM http GROUP BY method, endpoint, status_code"""
+
+ORACLE["parse_request_log"] = f"""WITH {HTTP}
+SELECT request_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts, method, endpoint, status_code,
+       round(duration_s, 6) AS duration_s, client_ip, api_key, content_length FROM http"""
+
+ORACLE["duration_ms"] = f"WITH {HTTP} SELECT request_id, round(duration_s * 1000, 2) AS duration_ms FROM http"
+
+ORACLE["cache_key"] = f"""WITH {USER_TURNS}
+SELECT request_id, 'chat:' || coalesce(provider, 'any') || ':' || max_tokens::VARCHAR || ':'
+       || substr(md5(to_json({{'message': message}})), 1, 8) AS cache_key FROM turns"""
+
+ORACLE["round_robin"] = f"""WITH {USER_TURNS}
+SELECT request_id, ['openai', 'anthropic', 'ollama'][((row_number() OVER (ORDER BY request_id) - 1) % 3) + 1]
+  AS selected FROM turns"""
+
+ORACLE["cache_stats_combined"] = f"""WITH {OPS}, {REPLAY}
+SELECT count_if(status = 'hit')::BIGINT AS hits, count_if(status IN ('miss', 'expired'))::BIGINT AS misses,
+       round(count_if(status = 'hit') / greatest(1, count_if(status IN ('hit', 'miss', 'expired'))), 6)
+         AS hit_ratio
+FROM rp"""
+
+ORACLE["latest_quote"] = """
+WITH t AS (SELECT event_type AS symbol, value, ts, event_id,
+                  lag(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS prev FROM events)
+SELECT symbol, round(arg_max(value, (ts, event_id)), 6) AS price,
+       round(arg_max(value - prev, (ts, event_id)), 6) AS change,
+       round(arg_max((value - prev) / prev * 100, (ts, event_id)), 6) AS percent,
+       count(*)::BIGINT AS volume
+FROM t GROUP BY symbol"""

@@ -144,3 +144,22 @@ def documents_meta(documents: DataFrame, labels: DataFrame | None = None) -> Dat
     if labels is not None:
         out = out.join(labels.select("doc_id", "quality", "toxic"), "doc_id", "left")
     return out
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hash-spread rows over the task slots when the input has fewer
+    partitions than slots (one big file, one row group). Inputs that already
+    come in many splits -- the normal case at scale -- are left untouched, so
+    no shuffle is added there."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par, key)
+    return df
+
+
+TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A text-heavy table, spread over the task slots (see ``spread``)."""
+    return spread(table(spark, sf_dir, name), TEXT_KEYS[name])
