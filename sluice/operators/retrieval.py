@@ -234,6 +234,13 @@ def search_page(queries: DataFrame, corpus: DataFrame, *, limit: int = 5,
     payload = list(dict.fromkeys([content_col, *(payload or [])]))
     hits = knn_join(queries, corpus, limit + offset, qid=qid, qvec=qvec, cid=cid,
                     cvec=cvec, payload=payload, filters=filters)
+    return page_hits(hits, limit=limit, offset=offset, threshold=threshold,
+                     do_rerank=do_rerank, content_col=content_col)
+
+
+def page_hits(hits: DataFrame, *, limit: int = 5, offset: int = 0, threshold: float = 0.7,
+              do_rerank: bool = True, content_col: str = "content") -> DataFrame:
+    """T2 on fetched hits (query_id, rank, similarity_score, content)."""
     if do_rerank:
         hits = rerank(hits, content_col)
     else:
