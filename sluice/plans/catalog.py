@@ -850,3 +850,29 @@ def q_latest_quote(spark, sf_dir):
 def q_knn_approx(spark, sf_dir):
     a = rt.knn_approx(inp.vector_queries(spark, sf_dir), inp.vector_corpus(spark, sf_dir), 10)
     return a.select("query_id", "chunk_id", "rank", r6("similarity_score"))
+
+
+# ------------------------------------------------------------- plug-ins ---
+from sluice.functions import plugins as pl  # noqa: E402
+
+PRICING_SQL = """
+SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty,
+       round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n
+FROM {lineitem} WHERE l_shipdate <= DATE '1998-09-02'
+GROUP BY l_returnflag, l_linestatus"""
+
+
+@register("sql_query")
+def q_sql_query(spark, sf_dir):
+    tb.table(spark, sf_dir, "lineitem").createOrReplaceTempView("sluice_lineitem")
+    df = pl.sql_query(spark, PRICING_SQL.format(lineitem="sluice_lineitem"), max_rows=1000)
+    return df.select("l_returnflag", "l_linestatus", F.col("sum_qty").cast("double").alias("sum_qty"),
+                     F.col("revenue").cast("double").alias("revenue"), F.col("n").cast("long").alias("n"))
+
+
+@register("links_udtf")
+def q_links_udtf(spark, sf_dir):
+    spark.udtf.register("sluice_links", pl.links_udtf())
+    tb.text_table(spark, sf_dir, "pages").createOrReplaceTempView("sluice_pages")
+    return spark.sql("SELECT p.page_id, l.pos, l.text, l.href "
+                     "FROM sluice_pages p, LATERAL sluice_links(p.html) l")

@@ -950,3 +950,12 @@ SELECT symbol, round(arg_max(value, (ts, event_id)), 6) AS price,
        round(arg_max((value - prev) / prev * 100, (ts, event_id)), 6) AS percent,
        count(*)::BIGINT AS volume
 FROM t GROUP BY symbol"""
+
+
+# ------------------------------------------------------------- plug-ins ---
+ORACLE["sql_query"] = """
+SELECT l_returnflag, l_linestatus, sum(l_quantity)::DOUBLE AS sum_qty,
+       round(sum(l_extendedprice * (1 - l_discount)), 2)::DOUBLE AS revenue, count(*)::BIGINT AS n
+FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus"""
+
+ORACLE["links_udtf"] = ORACLE["extract_links"]
