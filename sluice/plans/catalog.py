@@ -876,3 +876,19 @@ def q_links_udtf(spark, sf_dir):
     tb.text_table(spark, sf_dir, "pages").createOrReplaceTempView("sluice_pages")
     return spark.sql("SELECT p.page_id, l.pos, l.text, l.href "
                      "FROM sluice_pages p, LATERAL sluice_links(p.html) l")
+
+
+@register("stream_ingest")
+def q_stream_ingest(spark, sf_dir):
+    out = st.run_available(st.stream_ingest(st.document_stream(spark, sf_dir)), "append",
+                           "stream_ingest")
+    return out.select(*CHUNK_COLS)
+
+
+@register("stream_dedup")
+def q_stream_dedup(spark, sf_dir):
+    ev = st.event_stream(spark, sf_dir).withColumn(
+        "cache_key", F.concat_ws(":", F.col("user_id").cast("string"), "event_type"))
+    out = st.run_available(st.stream_dedup(ev, "cache_key", "1 hour").select("cache_key"),
+                           "append", "stream_dedup")
+    return out

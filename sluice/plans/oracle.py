@@ -959,3 +959,7 @@ SELECT l_returnflag, l_linestatus, sum(l_quantity)::DOUBLE AS sum_qty,
 FROM lineitem WHERE l_shipdate <= DATE '1998-09-02' GROUP BY l_returnflag, l_linestatus"""
 
 ORACLE["links_udtf"] = ORACLE["extract_links"]
+
+ORACLE["stream_ingest"] = ORACLE["chunk_sliding"]
+ORACLE["stream_dedup"] = """
+SELECT DISTINCT user_id::VARCHAR || ':' || event_type AS cache_key FROM events"""

@@ -179,3 +179,18 @@ def stream_spans(starts: DataFrame, finishes: DataFrame, max_span: str = "1 hour
                     ((F.unix_micros("f.end_ts") - F.unix_micros("s.start_ts")) / 1000.0)
                     .alias("duration_ms"),
                     F.col("f.end_ts").isNull().alias("active"))
+
+
+# ---------------------------------------------------------------- ST12 ---
+def document_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    return file_stream(spark, f"{sf_dir.rstrip('/')}/documents*.parquet", schema, max_files)
+
+
+def stream_ingest(documents: DataFrame, strategy: str = "sliding_window") -> DataFrame:
+    """ST12: new documents -> chunks with ids (stateless per micro-batch;
+    the sink appends to the collection)."""
+    from sluice.operators.chunking import chunk, with_chunk_id
+    d = documents.select("doc_id", "text",
+                         F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"))
+    return with_chunk_id(chunk(d, strategy, keep=["title"]))
