@@ -892,3 +892,17 @@ def q_stream_dedup(spark, sf_dir):
     out = st.run_available(st.stream_dedup(ev, "cache_key", "1 hour").select("cache_key"),
                            "append", "stream_dedup")
     return out
+
+
+@register("stream_gauges")
+def q_stream_gauges(spark, sf_dir):
+    out = st.run_available(st.stream_gauges(st.event_stream(spark, sf_dir)), "append", "stream_gauges")
+    return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
+                      "user_id", r6("value"))
+
+
+@register("stream_alerts")
+def q_stream_alerts(spark, sf_dir):
+    samples = st.event_stream(spark, sf_dir).withColumnRenamed("event_type", "metric")
+    m = al.alert_match(samples, al.rules_df(spark, RULES))
+    return st.run_available(st.stream_alerts(m), "append", "stream_alerts")

@@ -963,3 +963,13 @@ ORACLE["links_udtf"] = ORACLE["extract_links"]
 ORACLE["stream_ingest"] = ORACLE["chunk_sliding"]
 ORACLE["stream_dedup"] = """
 SELECT DISTINCT user_id::VARCHAR || ':' || event_type AS cache_key FROM events"""
+
+ORACLE["stream_gauges"] = """
+SELECT strftime(time_bucket(INTERVAL 60 SECOND, ts), '%Y-%m-%d %H:%M:%S') AS window_start, user_id,
+       round(arg_max(value, (ts, event_id)), 6) AS value
+FROM events
+WHERE time_bucket(INTERVAL 60 SECOND, ts) + INTERVAL 60 SECOND
+      <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
+GROUP BY ALL"""
+
+ORACLE["stream_alerts"] = ORACLE["alert_cooldown"]

@@ -194,3 +194,46 @@ def stream_ingest(documents: DataFrame, strategy: str = "sliding_window") -> Dat
     d = documents.select("doc_id", "text",
                          F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"))
     return with_chunk_id(chunk(d, strategy, keep=["title"]))
+
+
+# ---------------------------------------------------------------- ST10 ---
+def stream_gauges(samples: DataFrame, labels=("user_id",), every: str = "60 seconds",
+                  watermark: str = WATERMARK) -> DataFrame:
+    """ST10: sampled gauges, last value per label set and sampling interval
+    (``max_by`` on (ts, id)), emitted once the watermark closes the interval."""
+    return (samples.withWatermark("ts", watermark)
+            .groupBy(F.window("ts", every).alias("w"), *labels)
+            .agg(F.max_by("value", F.struct("ts", "event_id")).alias("value")))
+
+
+# ----------------------------------------------------------------- ST6 ---
+STATE_LAST = T.StructType([T.StructField("last_us", T.LongType())])
+
+
+def _cooldown_state(id_col: str):
+    def fn(k, pdfs: Iterator[pd.DataFrame], state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        rows = pd.concat(list(pdfs), ignore_index=True)
+        rows = rows.assign(_us=rows["ts"].astype("int64") // 1000).sort_values(["_us", id_col])
+        fired = []
+        for t, cd in zip(rows["_us"].to_numpy(), rows["cooldown_s"].to_numpy()):
+            ok = last is None or t - last >= int(cd) * US
+            if ok:
+                last = int(t)
+            fired.append(ok)
+        state.update((last,))
+        yield rows.loc[fired, ["name", id_col]]
+    return fn
+
+
+def stream_alerts(matches: DataFrame, id_col: str = "event_id",
+                  watermark: str = WATERMARK) -> DataFrame:
+    """ST6: matched samples (J13 on the stream) fire under the rule's
+    cooldown; the state per rule is the last fired time."""
+    out = f"name string, {id_col} long"
+    return (matches.withWatermark("ts", watermark).groupBy("name")
+            .applyInPandasWithState(_cooldown_state(id_col), out, STATE_LAST, "append",
+                                    "NoTimeout"))
