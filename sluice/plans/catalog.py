@@ -906,3 +906,9 @@ def q_stream_alerts(spark, sf_dir):
     samples = st.event_stream(spark, sf_dir).withColumnRenamed("event_type", "metric")
     m = al.alert_match(samples, al.rules_df(spark, RULES))
     return st.run_available(st.stream_alerts(m), "append", "stream_alerts")
+
+
+@register("stream_threats")
+def q_stream_threats(spark, sf_dir):
+    ev = st.event_stream(spark, sf_dir)
+    return st.run_available(st.stream_threats(ev, limit=1), "append", "stream_threats")

@@ -973,3 +973,5 @@ WHERE time_bucket(INTERVAL 60 SECOND, ts) + INTERVAL 60 SECOND
 GROUP BY ALL"""
 
 ORACLE["stream_alerts"] = ORACLE["alert_cooldown"]
+
+ORACLE["stream_threats"] = ORACLE["rate_breach"]

@@ -237,3 +237,40 @@ def stream_alerts(matches: DataFrame, id_col: str = "event_id",
     return (matches.withWatermark("ts", watermark).groupBy("name")
             .applyInPandasWithState(_cooldown_state(id_col), out, STATE_LAST, "append",
                                     "NoTimeout"))
+
+
+# ----------------------------------------------------------------- ST3 ---
+STATE_TIMES = T.StructType([T.StructField("times", T.ArrayType(T.LongType()))])
+
+
+def _threat_state(window_us: int, limit: int, id_col: str):
+    def fn(k, pdfs: Iterator[pd.DataFrame], state):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(pdfs), ignore_index=True)
+        rows = rows.assign(_us=rows["ts"].astype("int64") // 1000).sort_values(["_us", id_col])
+        counts = []
+        for t in rows["_us"].to_numpy():
+            times = [x for x in times if t - x < window_us]   # age < window, this one included
+            times.append(int(t))
+            counts.append(len(times))
+        state.update((times,))
+        state.setTimeoutTimestamp(max(max(times) // 1000 + window_us // 1000,
+                                      state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({id_col: rows[id_col].to_numpy(), "user_id": rows["user_id"].to_numpy(),
+                            "requests_in_window": counts,
+                            "breach": [c > limit for c in counts]})
+    return fn
+
+
+def stream_threats(requests: DataFrame, id_col: str = "event_id", limit: int = 100,
+                   seconds: int = 60, watermark: str = WATERMARK) -> DataFrame:
+    """ST3: W1 on a stream -- per user the request times of the last window
+    are the state (every request counts); breach when the count exceeds the
+    limit. State expires by event-time timeout."""
+    out = f"{id_col} long, user_id long, requests_in_window long, breach boolean"
+    return (requests.withWatermark("ts", watermark).groupBy("user_id")
+            .applyInPandasWithState(_threat_state(seconds * US, limit, id_col), out, STATE_TIMES,
+                                    "append", "EventTimeTimeout"))
