@@ -35,8 +35,33 @@ def get_session(master: str | None = None, app: str = "sluice",
 
 
 def apply_sql_conf(spark: SparkSession) -> None:
-    """Runtime SQL settings that are safe to set on an existing session."""
+    """Runtime SQL settings that are safe to set on an existing session, and
+    the package shipped to the executors' Python workers."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``sluice`` importable in executor Python workers (pandas UDFs,
+    mapInPandas and state functions pickle references to its modules):
+    zip the package once per SparkContext and hand it to ``addPyFile``,
+    which distributes it to every executor."""
+    import zipfile
+    sc = spark.sparkContext
+    if getattr(sc, "_sluice_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg)
+    fd, path = tempfile.mkstemp(prefix="sluice-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    sc._sluice_shipped = True
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -151,10 +151,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     partitions than slots (one big file, one row group). Inputs that already
     come in many splits -- the normal case at scale -- are left untouched, so
     no shuffle is added there."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par, key)
-    return df
+    try:
+        par = df.sparkSession.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access: leave the plan as it is
+        return df
+    return df.repartition(par, key) if n < par else df
 
 
 TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
