@@ -111,4 +111,3 @@ def test_registry_shapes():
     qs, orc = E.queries(), E.oracle_sql()
     assert set(orc) <= set(qs)
     assert len(qs) >= 90
-    assert not any(k.startswith("op") or "pipeline" in k for k in qs)
