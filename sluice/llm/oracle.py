@@ -32,3 +32,33 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
        coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+# Budgets end on a hash: running sums over all documents in hash order give
+# the same cut as the refined histograms.
+ORACLE["op4_mix_sources"] = rf"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len({SPACE_WORDS}) AS BIGINT) AS size,
+         CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS h
+  FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS place FROM s0),
+s2 AS (SELECT *, [5.0::DOUBLE, 2.0::DOUBLE, 1.0::DOUBLE][place % 3 + 1] AS w, 2.0::DOUBLE * source_size AS stop FROM s1),
+s3 AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(stop) OVER (
+             ORDER BY stop / w, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+           / sum(w) OVER (ORDER BY stop / w, place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM s2),
+f AS (SELECT min_by(lvl, stop / w) AS lvl FROM s3 WHERE stop / w > lvl),
+t AS (SELECT source, source_size, CASE WHEN f.lvl IS NULL OR stop / w <= f.lvl THEN stop ELSE w * f.lvl END AS target
+      FROM s3 LEFT JOIN f ON true),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS copies FROM t),
+g AS (SELECT d.source, h, sum(size) AS n FROM d GROUP BY ALL),
+c AS (SELECT g.source, h, n, p.target - p.copies * p.source_size AS budget,
+             sum(n) OVER (PARTITION BY g.source ORDER BY h) AS upto
+      FROM g JOIN p ON g.source IS NOT DISTINCT FROM p.source),
+e AS (SELECT source, min(h) AS h FROM c WHERE upto > budget AND budget > 0 GROUP BY source),
+cut AS (SELECT c.source, CASE WHEN c.upto - c.budget < c.budget - (c.upto - c.n) THEN c.h ELSE c.h - 1 END AS cutoff
+        FROM c JOIN e ON c.source IS NOT DISTINCT FROM e.source AND c.h = e.h)
+SELECT d.doc_id, d.size, p.source_size, round(p.target, 6) AS target,
+       CAST((p.copies + CASE WHEN d.h <= coalesce(cut.cutoff, -1) THEN 1 ELSE 0 END) * d.size AS BIGINT) AS taken
+FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source
+LEFT JOIN cut ON d.source IS NOT DISTINCT FROM cut.source
+"""

@@ -26,3 +26,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op10_decontaminate(spark, sf_dir):
     from sluice.llm.decontam import contamination
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register
+def op4_mix_sources(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sluice.llm.mixing import mix
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size",
+                        F.round("target", 6).alias("target"), "taken")
