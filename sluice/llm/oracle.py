@@ -82,3 +82,82 @@ SELECT conv_id, n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS BIGI
        CAST(0 AS BIGINT) AS expanded_tokens
 FROM a
 """
+
+_CLASSES = [r"\p{Lu}", r"\p{Ll}", "0-9", r"\x20\x09-\x0D", r".,;:!?''\"()\-", "#*$%&|<>"]
+_COMMON = {
+    "de": "das den der des die ein ist mit und von zu",
+    "en": "a and for in is it of on that the to",
+    "es": "de del el en la las los para por que y",
+    "fr": "de des du en et la le les que un une",
+}
+_SHARES = "list_transform({0}, lambda x: x::DOUBLE / {1})"
+_PLOGP = "CASE WHEN {0} > 0 THEN {0} * log2({0} / ((p[i] + q[i]) / 2)) ELSE 0 END"
+
+
+def _distance(name: str, p: str, q: str) -> str:
+    return f"""(SELECT sqrt(greatest(sum({_PLOGP.format('p[i]')} + {_PLOGP.format('q[i]')}) / 2, 0))
+      FROM (SELECT {p} AS p, {q} AS q, unnest(range(1, len({p}) + 1)) AS i))"""
+
+
+def _pool(name: str, rows: str) -> str:
+    """References: class and word sums by language, as shares."""
+    return f"""
+{name}c AS (SELECT lang, i, sum(v)::DOUBLE AS v FROM (
+    SELECT lang, unnest(range(1, len(classes) + 1)) AS i, unnest(classes) AS v FROM {rows}) GROUP BY lang, i),
+{name}w AS (SELECT lang, i, sum(v)::DOUBLE AS v FROM (
+    SELECT lang, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS v FROM {rows}) GROUP BY lang, i),
+{name} AS (
+  SELECT c.lang, rc, rw
+  FROM (SELECT lang, list(v / t ORDER BY i) AS rc FROM (SELECT *, sum(v) OVER (PARTITION BY lang) AS t FROM {name}c) GROUP BY lang) c
+  JOIN (SELECT lang, list(v / t ORDER BY i) AS rw FROM (SELECT *, sum(v) OVER (PARTITION BY lang) AS t FROM {name}w) GROUP BY lang) w
+    ON c.lang IS NOT DISTINCT FROM w.lang)"""
+
+
+def _judge(name: str, refs: str) -> str:
+    return f"""
+{name}0 AS (
+  SELECT h.*, CASE WHEN chars >= 400 AND rc IS NOT NULL
+                   THEN {_distance('c', "list_transform(classes, lambda x: x::DOUBLE / chars)", "rc")} END AS char_distance,
+         CASE WHEN n_tokens >= 80 AND len(rw) > 1
+              THEN {_distance('w', "list_transform(words, lambda x: x::DOUBLE / n_tokens)", "rw")} END AS word_distance
+  FROM h LEFT JOIN {refs} r ON h.lang IS NOT DISTINCT FROM r.lang),
+{name} AS (
+  SELECT *, coalesce(char_distance > 0.3, false) OR coalesce(word_distance > 0.42, false)
+            OR coalesce((char_distance + word_distance) / 2 > 0.22, false) AS far FROM {name}0)"""
+
+
+ORACLE["op9_quality_rules"] = rf"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, {SPACE_WORDS} AS w FROM documents),
+l AS (
+  SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM win) WHERE n > 1),
+r AS (SELECT doc_id, count(DISTINCT p) AS n_rep FROM (SELECT doc_id, unnest(range(i, i + 8)) AS p FROM rep) GROUP BY doc_id),
+f AS (
+  SELECT d.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_rep, 0) AS BIGINT) AS n_repeat_words,
+         CAST(length(text) AS BIGINT) AS chars,
+         [{', '.join(f"CAST(length(regexp_replace(text, '[^{c}]+', '', 'g')) AS BIGINT)" for c in _CLASSES)}] AS cls,
+         list_filter(string_split(regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g'), ' '), lambda t: t <> '') AS tokens
+  FROM d LEFT JOIN l ON d.doc_id IS NOT DISTINCT FROM l.doc_id LEFT JOIN r ON d.doc_id IS NOT DISTINCT FROM r.doc_id),
+h0 AS (
+  SELECT *, len(tokens) AS n_tokens, list_append(cls, CAST(chars - list_sum(cls) AS BIGINT)) AS classes,
+         CASE {' '.join(f"WHEN lang = '{k}' THEN [{', '.join(f'''len(list_filter(tokens, lambda t: t = '{x}'))''' for x in v.split())}]" for k, v in _COMMON.items())}
+              ELSE [] END AS bins,
+         n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
+  FROM f),
+h AS (SELECT *, list_append(bins, CAST(n_tokens - coalesce(list_sum(bins), 0) AS BIGINT)) AS words FROM h0),
+{_pool('ref1', "(SELECT * FROM h WHERE NOT base_failed)")},
+{_judge('j1', 'ref1')},
+{_pool('ref2', "(SELECT * FROM j1 WHERE NOT base_failed AND NOT far)")},
+{_judge('j2', 'ref2')}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT far AS kept, round(char_distance, 6) AS char_distance,
+       round(word_distance, 6) AS word_distance
+FROM j2
+"""

@@ -46,3 +46,15 @@ def op7_chat_format(spark, sf_dir):
     extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)],
                                   "conv_id long, turn long, role string, text string")
     return digest(format_chats(turns.unionByName(extra)))
+
+
+@register
+def op9_quality_rules(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sluice.llm.quality_rules import quality
+    judged = quality(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                         "n_repeat_words", "base_failed", "kept",
+                         F.round("char_distance", 6).alias("char_distance"),
+                         F.round("word_distance", 6).alias("word_distance"))
