@@ -161,3 +161,61 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        round(word_distance, 6) AS word_distance
 FROM j2
 """
+
+# Fixed values, as in the operator's tables.
+_SENTENCES = [
+    ("licensed under the apache license version 2 0", "apache2-short"),
+    ("licensed under the apache license version 2 0 the license", "apache2-head"),
+    ("you may not use this file except in compliance with the license", "apache2-compliance"),
+    ("you may obtain a copy of the license at", "apache2-copy"),
+    ("released under the mit license", "mit-short"),
+    ("this project is licensed under the mit license", "mit-short"),
+    ("permission is hereby granted free of charge to any person obtaining a copy", "mit-grant"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit-notice"),
+    ("this work is licensed under the gnu general public license version 3", "gpl3-short"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "gpl-grant"),
+    ("either version 3 of the license or at your option any later version", "gpl3-later"),
+    ("either version 2 of the license or at your option any later version", "gpl2-later"),
+    ("licensed under cc by nc 4 0", "cc-by-nc-4"),
+    ("licensed under cc by 4 0", "cc-by-4"),
+    ("licensed under cc by sa 4 0", "cc-by-sa-4"),
+    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by-4"),
+    ("this is free and unencumbered software released into the public domain", "unlicense-head"),
+    ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd-grant"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "bsd-endorse"),
+    ("all rights reserved", "all-rights"),
+]
+_RULES = [
+    ("Apache-2.0", "apache2-head apache2-compliance apache2-copy"), ("Apache-2.0", "apache2-short apache2-compliance"),
+    ("MIT", "mit-grant mit-notice"), ("GPL-3.0-or-later", "gpl-grant gpl3-later"),
+    ("GPL-2.0-or-later", "gpl-grant gpl2-later"), ("BSD-3-Clause", "bsd-grant bsd-endorse"),
+    ("BSD-2-Clause", "bsd-grant"), ("Apache-2.0", "apache2-head"), ("Apache-2.0", "apache2-short"),
+    ("MIT", "mit-short"), ("MIT", "mit-grant"), ("GPL-3.0-only", "gpl3-short"), ("GPL-2.0-or-later", "gpl-grant"),
+    ("CC-BY-NC-4.0", "cc-by-nc-4"), ("CC-BY-SA-4.0", "cc-by-sa-4"), ("CC-BY-4.0", "cc-by-4"),
+    ("Unlicense", "unlicense-head"),
+]
+_PATTERNS = [(name, "(.*?)".join(f";{x};" for x in ids.split()),
+              "".join(f"\\{i + 1}" for i in range(len(ids.split()) - 1))) for name, ids in _RULES]
+
+ORACLE["op1_license_scan"] = rf"""
+WITH known(sentence, id) AS (VALUES {', '.join(f"('{s}', '{i}')" for s, i in _SENTENCES)}),
+cut AS (
+  SELECT doc_id, generate_subscripts(parts, 1) AS i, unnest(parts) AS part
+  FROM (SELECT doc_id, string_split(regexp_replace(coalesce(text, ''), '([.!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), chr(10)) AS parts FROM documents)),
+norm AS (SELECT doc_id, i, trim(regexp_replace(lower(part), '[^0-9a-z]+', ' ', 'g')) AS sentence FROM cut),
+seq AS (
+  SELECT doc_id, count(*) FILTER (WHERE norm.sentence <> '') AS n_sentences,
+         coalesce(string_agg(id, ',' ORDER BY i), '') AS ids,
+         coalesce(string_agg(';' || id || ';', '' ORDER BY i), '') AS r0
+  FROM norm LEFT JOIN known USING (sentence) GROUP BY doc_id),
+{', '.join(f"m{k} AS (SELECT *, regexp_replace(r{k}, '{p}', '{g}', 'g') AS r{k + 1}, len(regexp_extract_all(r{k}, '{p}')) AS n{k} FROM {'seq' if not k else f'm{k - 1}'})" for k, (_, p, g) in enumerate(_PATTERNS))},
+hits AS (
+  SELECT doc_id, n_sentences, ids, r{len(_PATTERNS)} AS rest, {' + '.join(f'n{k}' for k in range(len(_PATTERNS)))} AS n_matches,
+         [{', '.join(f"CASE WHEN n{k} > 0 THEN '{name}' END" for k, (name, _, _) in enumerate(_PATTERNS))}] AS names
+  FROM m{len(_PATTERNS) - 1})
+SELECT doc_id, n_sentences, ids AS sentence_ids,
+       coalesce((SELECT string_agg(x, ',' ORDER BY k) FROM (
+         SELECT x, min(k) AS k FROM (SELECT unnest(names) AS x, generate_subscripts(names, 1) AS k) WHERE x IS NOT NULL GROUP BY x)), '') AS licenses,
+       CAST(n_matches AS BIGINT) AS n_matches, trim(replace(replace(rest, ';;', ','), ';', ''), ',') AS unmatched_ids
+FROM hits
+"""

@@ -58,3 +58,14 @@ def op9_quality_rules(spark, sf_dir):
                          "n_repeat_words", "base_failed", "kept",
                          F.round("char_distance", 6).alias("char_distance"),
                          F.round("word_distance", 6).alias("word_distance"))
+
+
+@register
+def op1_license_scan(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from sluice.llm.licenses import scan_licenses
+    found = scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("doc_id", "n_sentences", F.array_join("sentence_ids", ",").alias("sentence_ids"),
+                        F.array_join("licenses", ",").alias("licenses"), "n_matches",
+                        F.array_join("unmatched_ids", ",").alias("unmatched_ids"))
