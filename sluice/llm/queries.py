@@ -69,3 +69,9 @@ def op1_license_scan(spark, sf_dir):
     return found.select("doc_id", "n_sentences", F.array_join("sentence_ids", ",").alias("sentence_ids"),
                         F.array_join("licenses", ",").alias("licenses"), "n_matches",
                         F.array_join("unmatched_ids", ",").alias("unmatched_ids"))
+
+
+@register
+def op5_language_id(spark, sf_dir):
+    from sluice.llm.langid import identify
+    return identify(table(spark, sf_dir, "documents"))
