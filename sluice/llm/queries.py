@@ -75,3 +75,9 @@ def op1_license_scan(spark, sf_dir):
 def op5_language_id(spark, sf_dir):
     from sluice.llm.langid import identify
     return identify(table(spark, sf_dir, "documents"))
+
+
+@register
+def op6_toxicity(spark, sf_dir):
+    from sluice.llm.toxicity import toxicity
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -135,9 +135,10 @@ class Slice:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self) -> np.ndarray:
-        """64-bit hash of each word's bytes."""
+    def hashes(self, prefix: int | None = None) -> np.ndarray:
+        """64-bit hash of each word's bytes, or of its first ``prefix`` bytes."""
         out = np.empty(len(self), dtype=_U)
+        ends = self.ends if prefix is None else np.minimum(self.ends, self.starts + prefix)
         i, n = 0, len(self)
         with np.errstate(over="ignore"):
             while i < n:
@@ -147,7 +148,7 @@ class Slice:
                 p, q = _pow_tables(len(piece))
                 acc = np.zeros(len(piece) + 1, dtype=_U)
                 np.cumsum(BYTE_CODE[piece] * p[:len(piece)], out=acc[1:])
-                s, e = self.starts[i:j] - s0, self.ends[i:j] - s0
+                s, e = self.starts[i:j] - s0, ends[i:j] - s0
                 out[i:j] = (acc[e] - acc[s]) * q[s] + (e - s).astype(_U) * _U(0xD6E8FEB86659FD93)
                 i = j
             return mix(out)
@@ -175,9 +176,10 @@ def grams(h: np.ndarray, m: int) -> np.ndarray:
         return mix(g + _U(m))
 
 
-def slices(col: pa.Array, sep: np.ndarray = SPACES, fold: np.ndarray | None = None,
+def slices(col: pa.Array, sep: np.ndarray = SPACES, fold=None,
            limit: int = SLICE_BYTES) -> Iterator[Slice]:
-    """Cut a text column into ``Slice`` objects of whole documents."""
+    """Cut a text column into ``Slice`` objects of whole documents. ``fold``:
+    a byte map, or a function of the bytes that keeps their number."""
     raw, off = column_bytes(col)
     i, n = 0, len(off) - 1
     while i < n:
@@ -185,7 +187,7 @@ def slices(col: pa.Array, sep: np.ndarray = SPACES, fold: np.ndarray | None = No
         j = min(j, n)
         buf = raw[off[i]:off[j]]
         if fold is not None:
-            buf = fold[buf]
+            buf = fold(buf) if callable(fold) else fold[buf]
         yield Slice(i, buf, off[i:j + 1] - off[i], sep)
         i = j
 
@@ -193,3 +195,22 @@ def slices(col: pa.Array, sep: np.ndarray = SPACES, fold: np.ndarray | None = No
 def signed(h: np.ndarray) -> np.ndarray:
     """The hash as Spark's long."""
     return h.astype(_U).view(np.int64)
+
+
+def fold_latin(buf: np.ndarray) -> np.ndarray:
+    """Lower-case A-Z and the two-byte letters U+00C0 to U+00DE."""
+    out = LOWER[buf]
+    if len(buf) > 1:
+        big = (buf[:-1] == 0xC3) & (buf[1:] >= 0x80) & (buf[1:] <= 0x9E) & (buf[1:] != 0x97)
+        out[1:][big] += 0x20
+    return out
+
+
+def word_hash(words: list[str]) -> np.ndarray:
+    """Hashes of single words, folded like ``fold_latin``."""
+    out = []
+    for w in words:
+        b = fold_latin(np.frombuffer(w.encode(), dtype=np.uint8))
+        s = Slice(0, b, np.array([0, len(b)]), NON_ALNUM)
+        out.append(s.hashes()[0])
+    return np.array(out, dtype=_U)
