@@ -81,3 +81,9 @@ def op5_language_id(spark, sf_dir):
 def op6_toxicity(spark, sf_dir):
     from sluice.llm.toxicity import toxicity
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op8_quality_classifier(spark, sf_dir):
+    from sluice.llm.quality_model import quality_scores
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
