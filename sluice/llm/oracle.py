@@ -219,3 +219,19 @@ SELECT doc_id, n_sentences, ids AS sentence_ids,
        CAST(n_matches AS BIGINT) AS n_matches, trim(replace(replace(rest, ';;', ','), ';', ''), ',') AS unmatched_ids
 FROM hits
 """
+
+ORACLE["op2_substring_dedup"] = rf"""
+WITH d AS (SELECT doc_id, {SPACE_WORDS} AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+late AS (SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM late),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+  FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -87,3 +87,9 @@ def op6_toxicity(spark, sf_dir):
 def op8_quality_classifier(spark, sf_dir):
     from sluice.llm.quality_model import quality_scores
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register
+def op2_substring_dedup(spark, sf_dir):
+    from sluice.llm.substring_dedup import dedup_substrings
+    return dedup_substrings(table(spark, sf_dir, "documents"), with_text=False)
