@@ -93,3 +93,9 @@ def op8_quality_classifier(spark, sf_dir):
 def op2_substring_dedup(spark, sf_dir):
     from sluice.llm.substring_dedup import dedup_substrings
     return dedup_substrings(table(spark, sf_dir, "documents"), with_text=False)
+
+
+@register
+def op3_ngram_jaccard(spark, sf_dir):
+    from sluice.llm.ngram_join import link_components
+    return link_components(table(spark, sf_dir, "documents"))
