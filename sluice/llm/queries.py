@@ -92,7 +92,8 @@ def op8_quality_classifier(spark, sf_dir):
 @register
 def op2_substring_dedup(spark, sf_dir):
     from sluice.llm.substring_dedup import dedup_substrings
-    return dedup_substrings(table(spark, sf_dir, "documents"), with_text=False)
+    out = dedup_substrings(table(spark, sf_dir, "documents"), with_text=False)
+    return out.selectExpr("doc AS doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 @register

@@ -165,7 +165,7 @@ def window_runs(docs: DataFrame, id_col: str, text_col: str, hot: np.ndarray) ->
 
 def cut_runs(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Text of the runs in ``cuts`` of each document of a batch."""
-    cuts = b.column(2)
+    cuts = b.column(b.schema.get_field_index("cuts"))
     counts = np.diff(cuts.offsets.to_numpy()) if len(cuts) else np.zeros(0, int)
     if cuts.null_count:
         counts = np.where(cuts.is_valid().to_numpy(zero_copy_only=False), counts, 0)
@@ -245,9 +245,16 @@ def search_shards(batches: Iterator[pa.RecordBatch], shard_words: int) -> Iterat
         yield search_shard(pa.Table.from_batches(held))
 
 
-def repeated_intervals(docs: DataFrame, id_col: str, text_col: str, hot: int = HOT,
+def document_rows(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """(doc, text, row): ``row`` holds the columns ``carry``."""
+    row = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.lit(None).cast("int")
+    return docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), row.alias("row"))
+
+
+def repeated_intervals(docs: DataFrame, id_col: str, text_col: str, texts: DataFrame, hot: int = HOT,
                        hot_local: int = HOT_LOCAL, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """(doc, first, last): word ranges covered by repeated windows."""
+    """(doc, first, last): word ranges covered by repeated windows. ``texts``:
+    ``document_rows`` of ``docs``."""
     runs = window_runs(docs, id_col, text_col, hot_minimisers(docs, text_col, hot, hot_local))
     shared = runs.groupBy("key").agg(F.sum("times").alias("t")).filter("t > 1").drop("t")
     runs = materialise(runs.drop("times").join(shared, "key"), "dedup-runs")
@@ -259,7 +266,6 @@ def repeated_intervals(docs: DataFrame, id_col: str, text_col: str, hot: int = H
             .agg(F.collect_list(F.struct("pos", "n", "key")).alias("cuts")))
     schema = T.StructType([T.StructField("doc", docs.schema[id_col].dataType)]
                           + T._parse_datatype_string("pos int, n int, key bigint, words binary").fields)
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -280,18 +286,19 @@ def by_document(texts: DataFrame, rows: DataFrame, name: str) -> DataFrame:
     """``texts`` (doc, text) with the list column of ``rows``; the text side
     is the same exchange wherever it is joined, and is not sorted."""
     other = rows.select(F.col("doc").alias("__doc"), name).hint("shuffle_hash")
-    return texts.join(other, F.col("doc").eqNullSafe(F.col("__doc")), "left").select("doc", "text", name)
+    return texts.join(other, F.col("doc").eqNullSafe(F.col("__doc")), "left").drop("__doc")
 
 
 def remove_words(b: pa.RecordBatch, with_text: bool) -> Iterator[pa.RecordBatch]:
     """Remove the word ranges ``spans`` of each document of a batch."""
-    spans = b.column(2)
+    spans = b.column(b.schema.get_field_index("spans"))
     counts = np.diff(spans.offsets.to_numpy()) if len(spans) else np.zeros(0, int)
     if spans.null_count:
         counts = np.where(spans.is_valid().to_numpy(zero_copy_only=False), counts, 0)
     flat = spans.flatten()
     first, last = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
     begin = np.concatenate(([0], np.cumsum(counts)))
+    is_text = b.column(1).is_valid().to_numpy(zero_copy_only=False) & with_text
     for s in tk.slices(b.column(1)):
         lo, hi = begin[s.first], begin[s.first + s.n_docs]
         doc = np.repeat(np.arange(s.n_docs), counts[s.first:s.first + s.n_docs])
@@ -320,29 +327,46 @@ def remove_words(b: pa.RecordBatch, with_text: bool) -> Iterator[pa.RecordBatch]
             else:
                 words = whole.split()          # the same separators
             digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            kept.append(whole if with_text else None)
+            kept.append(whole if is_text[s.first + d] else None)
         yield pa.RecordBatch.from_arrays(
-            [b.column(0).slice(s.first, s.n_docs), pa.array(s.counts.astype(np.int64)),
-             pa.array(removed.astype(np.int64)), pa.array(digests),
-             pa.array(kept, pa.binary()).cast(pa.string())],
-            names=["doc", "n_words", "n_removed", "kept_sha256", "kept_text"])
+            [b.column(0).slice(s.first, s.n_docs), b.column(2).slice(s.first, s.n_docs),
+             pa.array(s.counts.astype(np.int64)), pa.array(removed.astype(np.int64)),
+             pa.array(digests), pa.array(kept, pa.binary()).cast(pa.string())],
+            names=["doc", "row", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 
 def dedup_substrings(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                     with_text: bool = True, **limits) -> DataFrame:
-    """One row per document: its id, n_words, n_removed, kept_sha256 (digest of
-    the kept words joined by one blank) and, if asked, kept_text: the text
-    without the removed words, unchanged where nothing is removed. ``limits``:
-    ``hot``, ``hot_local`` and ``shard_words``, which do not change results."""
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
-    spans = (repeated_intervals(docs, id_col, text_col, **limits).groupBy("doc")
+                     carry: list[str] | None = None, with_text: bool = True, **limits) -> DataFrame:
+    """One row per document: doc (its id), row (a struct of the columns
+    ``carry``; null without), n_words, n_removed, kept_sha256 (digest of the
+    kept words joined by one blank) and kept_text: the text without the
+    removed words, unchanged where nothing is removed (null if not asked
+    for). ``limits``: ``hot``, ``hot_local`` and ``shard_words``, which do not
+    change results."""
+    texts = document_rows(docs, id_col, text_col, carry or [])
+    spans = (repeated_intervals(docs, id_col, text_col, texts, **limits).groupBy("doc")
              .agg(F.collect_list(F.struct("first", "last")).alias("spans")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield from remove_words(b, with_text)
-    schema = T.StructType([T.StructField("doc", docs.schema[id_col].dataType)]
+    schema = T.StructType([texts.schema["doc"], texts.schema["row"]]
                           + T._parse_datatype_string("n_words bigint, n_removed bigint, "
                                                      "kept_sha256 string, kept_text string").fields)
-    out = by_document(texts, spans, "spans").mapInArrow(run, schema).withColumnRenamed("doc", id_col)
-    return out if with_text else out.drop("kept_text")
+    return by_document(texts, spans, "spans").mapInArrow(run, schema)
+
+
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with repeated words removed from their text; documents
+    of which no word is left go. A column ``n_chars`` follows the text; null
+    text stays null."""
+    cols = docs.columns
+    out = dedup_substrings(docs, id_col=id_col, text_col=text_col,
+                           carry=[c for c in cols if c not in (id_col, text_col)])
+    changed = F.col("n_removed") > 0
+    new = {id_col: F.col("doc"), text_col: F.col("kept_text")}
+    if "n_chars" in cols:
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(changed, F.length("kept_text").cast(kind)).otherwise(F.col("row.n_chars"))
+    return (out.filter(~changed | (F.col("n_removed") < F.col("n_words")))
+            .select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in cols]))
