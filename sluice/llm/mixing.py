@@ -110,25 +110,60 @@ def thresholds(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     return state.select("source", cutoff.alias("cutoff"))
 
 
-def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source", weights=WEIGHTS, share: float = SHARE,
-        max_copies: int = MAX_COPIES, seed: str = "mix") -> DataFrame:
-    """One row per document: id, size, source, source_size, target, copies
-    and taken (copies * size)."""
-    sizes = materialise(docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
-        F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
-        id_hash(id_col, seed).alias("hash")), "mix-sizes")
+def word_count(text_col: str) -> Column:
+    return F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def mix_plan(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE,
+             max_copies: int = MAX_COPIES) -> DataFrame:
+    """Per source: source_size, target, copies and cutoff, from rows (source,
+    size, hash)."""
     targets = materialise(source_targets(sizes, weights, share, max_copies), "mix-targets")
-    plan = materialise(targets.alias("t").join(
+    copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
+    return materialise(targets.alias("t").join(
         thresholds(sizes, targets).alias("c"),
         F.col("t.source").eqNullSafe(F.col("c.source")), "left").select(
             F.col("t.source").alias("source"), "source_size", "target",
-            F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size")))
-            .otherwise(0).cast("bigint").alias("copies"),
+            copies.otherwise(0).cast("bigint").alias("copies"),
             F.coalesce("cutoff", F.lit(-1)).alias("cutoff")), "mix-plan")
-    extra = (F.col("d.hash") <= F.col("p.cutoff")).cast("bigint")
-    copies = F.col("p.copies") + extra
-    return (sizes.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
-            .select("d.id", "d.size", "d.source", "p.source_size", "p.target",
-                    copies.alias("copies"), (copies * F.col("d.size")).alias("taken")))
+
+
+def apply_plan(rows: DataFrame, plan: DataFrame, keep: list[Column]) -> DataFrame:
+    """``keep`` of ``rows`` (with source, size and hash; alias d), then
+    source_size, target, copies and taken."""
+    copies = F.col("p.copies") + (F.col("d.hash") <= F.col("p.cutoff")).cast("bigint")
+    return (rows.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
+            .select(*keep, "p.source_size", "p.target", copies.alias("copies"),
+                    (copies * F.col("d.size")).alias("taken")))
+
+
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str,
+          *more: Column) -> DataFrame:
+    """(id, source, size, hash) of every document, and ``more``."""
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
+                       word_count(text_col).alias("size"), id_hash(id_col, seed).alias("hash"), *more)
+
+
+def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+        source_col: str = "source", weights=WEIGHTS, share: float = SHARE,
+        max_copies: int = MAX_COPIES, seed: str = "mix") -> DataFrame:
+    """One row per document: id, size, source, source_size, target, copies
+    and taken (copies * size)."""
+    sizes = materialise(sized(docs, id_col, text_col, source_col, seed), "mix-sizes")
+    plan = mix_plan(sizes, weights, share, max_copies)
+    return apply_plan(sizes, plan, [F.col("d.id"), F.col("d.size"), F.col("d.source")])
+
+
+def mixed_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
+                    source_col: str = "source", seed: str = "mix", **kw) -> DataFrame:
+    """The documents of which the mix takes words: their columns, then size,
+    source_size, target, copies and taken. The texts are not shuffled.
+    Columns of ``docs`` with one of these five names are replaced."""
+    new = ["size", "source_size", "target", "copies", "taken"]
+    cols = [c for c in docs.columns if c not in new]
+    sizes = materialise(sized(docs, id_col, text_col, source_col, seed), "mix-sizes")
+    plan = mix_plan(sizes, **kw)
+    row = F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row")
+    rows = sized(docs, id_col, text_col, source_col, seed, row)
+    out = apply_plan(rows, plan, [F.col("d.row"), F.col("d.size")])
+    return out.filter(F.col("taken") > 0).select("row.*", *new)

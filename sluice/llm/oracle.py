@@ -252,3 +252,39 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles,
        least(d.doc_id, coalesce((SELECT min(b) FROM reach WHERE reach.a = d.doc_id), d.doc_id)) AS component_id
 FROM d LEFT JOIN n USING (doc_id)
 """
+
+
+def _over(query: str, table: str) -> str:
+    """The query's SQL over another documents table."""
+    return ORACLE[query].replace("FROM documents", f"FROM {table}")
+
+
+# The stages in order; each reads what the one before it kept.
+PIPELINE = rf"""
+WITH k9 AS MATERIALIZED ({ORACLE["op9_quality_rules"]}),
+p9 AS MATERIALIZED (SELECT d.* FROM documents d JOIN k9 USING (doc_id) WHERE k9.kept),
+k3 AS MATERIALIZED ({_over("op3_ngram_jaccard", "p9")}),
+p3 AS MATERIALIZED (SELECT d.* FROM p9 d JOIN k3 USING (doc_id) WHERE k3.component_id = d.doc_id),
+tok AS MATERIALIZED (
+  SELECT doc_id, regexp_extract(text, '^[\x20\x09-\x0D]*') AS head,
+         regexp_extract_all(text, '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS w FROM p3),
+win AS (SELECT doc_id, i, array_to_string(list_transform(w[i:i + 19], lambda x: regexp_extract(x, '^[^\x20\x09-\x0D]+')), ' ') AS g
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM tok)),
+late AS (SELECT doc_id, i FROM (
+    SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM win) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM late),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM tok),
+kept AS (SELECT doc_id, string_agg(word, '' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p)
+         WHERE doc_id IN (SELECT doc_id FROM gone) GROUP BY doc_id),
+p2 AS MATERIALIZED (
+  SELECT d.doc_id, CASE WHEN kept.t IS NULL THEN d.text ELSE head || kept.t END AS text, lang, source,
+         CASE WHEN kept.t IS NULL THEN n_chars ELSE length(head || kept.t) END AS n_chars
+  FROM p3 d JOIN tok USING (doc_id) LEFT JOIN kept USING (doc_id)
+  WHERE kept.t IS NOT NULL OR d.doc_id NOT IN (SELECT doc_id FROM gone)),
+k10 AS MATERIALIZED ({_over("op10_decontaminate", "p2")}),
+p10 AS MATERIALIZED (SELECT d.* FROM p2 d JOIN k10 USING (doc_id) WHERE NOT k10.contaminated),
+k4 AS MATERIALIZED ({_over("op4_mix_sources", "p10")})
+SELECT p10.*, k4.size, k4.source_size, k4.target,
+       CAST(CASE WHEN k4.size > 0 THEN k4.taken // k4.size ELSE 0 END AS BIGINT) AS copies, k4.taken
+FROM p10 JOIN k4 USING (doc_id) WHERE k4.taken > 0
+"""
