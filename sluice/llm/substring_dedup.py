@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -171,7 +172,7 @@ def cut_runs(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         counts = np.where(cuts.is_valid().to_numpy(zero_copy_only=False), counts, 0)
     flat = cuts.flatten()
     pos, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-    key = flat.field(2)
+    key, seg = flat.field(2), flat.field(3).to_numpy(zero_copy_only=False).view(_U)
     begin = np.concatenate(([0], np.cumsum(counts)))
     for s in tk.slices(b.column(1)):
         lo, hi = begin[s.first], begin[s.first + s.n_docs]
@@ -180,8 +181,10 @@ def cut_runs(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         doc = np.repeat(np.arange(s.n_docs), counts[s.first:s.first + s.n_docs])
         first = s.word_off[doc] + pos[lo:hi]
         last = first + n[lo:hi] + WINDOW - 2
-        fits = last < s.word_off[doc + 1]      # a repeated id may have a shorter text
-        rows = np.flatnonzero(fits)
+        # rows that share an id may have other texts: only the run's own words
+        rows = np.flatnonzero(last < s.word_off[doc + 1])
+        rows = rows[range_hashes(s.hashes(), first[rows], last[rows] - first[rows] + 1)
+                    == seg[lo:hi][rows]]
         words = [s.buf[x:y].tobytes() for x, y in
                  zip(s.starts[first[rows]].tolist(), s.ends[last[rows]].tolist())]
         take = pa.array(rows + lo)
@@ -193,7 +196,19 @@ def cut_runs(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def search_shard(rows: pa.Table) -> pa.RecordBatch:
     """Index the runs of a shard, sorted by (key, doc, pos), and report the
-    repeated intervals of their windows as word ranges."""
+    repeated intervals of their windows as word ranges. Repeated rows of one
+    place are one run."""
+    rows = rows.combine_chunks()
+    again = np.ones(rows.num_rows, dtype=bool)
+    again[:1] = False
+    for name in ("key", "pos", "doc"):
+        c = rows[name]
+        same = pc.fill_null(pc.equal(c.slice(1), c.slice(0, len(c) - 1)), False).to_numpy() \
+            | (pc.is_null(c.slice(1)).to_numpy() & pc.is_null(c.slice(0, len(c) - 1)).to_numpy())
+        again[1:] &= same
+    text = rows["words"]
+    again[again] = [text[i].as_py() == text[i - 1].as_py() for i in np.flatnonzero(again).tolist()]
+    rows = rows.filter(pa.array(~again)).combine_chunks()
     s = next(iter(tk.slices(rows["words"].combine_chunks().cast(pa.string()), limit=1 << 62)))
     n = rows["n"].to_numpy().astype(np.int64)
     symbols = np.unique(s.hashes(), return_inverse=True)[1] + 1       # 0 separates runs
@@ -263,7 +278,7 @@ def repeated_intervals(docs: DataFrame, id_col: str, text_col: str, texts: DataF
         runs.groupBy("key", "seg", "whole").agg(F.min(place).alias("p"), F.max("n").alias("n"))
         .select("key", "seg", "whole", "p.doc", "p.pos", "n"), "dedup-firsts")
     cuts = (firsts.filter(~F.col("whole")).groupBy("doc")
-            .agg(F.collect_list(F.struct("pos", "n", "key")).alias("cuts")))
+            .agg(F.collect_list(F.struct("pos", "n", "key", "seg")).alias("cuts")))
     schema = T.StructType([T.StructField("doc", docs.schema[id_col].dataType)]
                           + T._parse_datatype_string("pos int, n int, key bigint, words binary").fields)
 
