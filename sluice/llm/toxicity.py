@@ -4,10 +4,10 @@ Features are the distinct words of a document (letters and digits, case
 folded) and their beginnings of ``PREFIX`` bytes, which inflected forms share. The classifier is fitted on a bounded sample of labelled rows
 (``PER_CLASS`` documents a class, in the order of an id hash). Every sampled
 sentence that names an identity group is also taken with its identity terms
-swapped for the next term of the same list; the squared change of the score
-is part of the loss, so a term that only marks a group cannot carry the
-verdict and neutral mentions of one group score like those of another. An L1
-term keeps words without evidence at zero. Both classes weigh the same, so 0.5
+swapped for the next term of the same list, and with the terms left out; the
+squared changes of the score are part of the loss, so a term that only marks a
+group cannot carry the verdict and neutral mentions of a group score like
+those of another group or of none. An L1 term keeps words without evidence at zero. Both classes weigh the same, so 0.5
 is the point where a text is as likely to come from either class.
 
 The vocabulary is counted with Spark over the sample and holds at most
@@ -39,7 +39,7 @@ PER_CLASS = 6000
 MIN_DOCS = 4
 MAX_WORDS = 20000
 PREFIX = 5
-SWAP_PENALTY = 4.0
+SWAP_PENALTY = 8.0
 L1 = 2e-4
 STEPS = 400
 
@@ -73,7 +73,8 @@ def features(s: tk.Slice, h: np.ndarray) -> np.ndarray:
 
 
 def sentence_swaps(s: tk.Slice, h: np.ndarray, terms: np.ndarray, to: np.ndarray):
-    """Per document with identity terms, per sentence: (words, swapped words).
+    """Per document with identity terms, two pairs per such sentence: its
+    words and the swapped words, its words and those without the terms.
 
     A sentence ends at a line break or at ``.``, ``!`` or ``?``.
     """
@@ -87,13 +88,14 @@ def sentence_swaps(s: tk.Slice, h: np.ndarray, terms: np.ndarray, to: np.ndarray
     out: dict[int, list] = {}
     for d, n in {(int(s.doc[i]), int(sentence[i])) for i in np.flatnonzero(named)}:
         at = (s.doc == d) & (sentence == n)
-        out.setdefault(d, []).append((np.unique(h[at]), np.unique(other[at])))
+        words = np.unique(h[at])
+        out.setdefault(d, []).extend([(words, np.unique(other[at])), (words, np.unique(h[at & ~named]))])
     return out
 
 
 def words_and_swaps(sample: DataFrame, groups=IDENTITY) -> DataFrame:
     """(y, pair, words, swapped): one row per document with its words, and
-    one (``pair``) per sentence that names a group, as it is and swapped."""
+    one (``pair``) per counterfactual of a sentence that names a group."""
     terms, to = swap_table(groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
