@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.session import write_table
+
 
 # ------------------------------------------------------------------- U1 ---
 @dataclass
@@ -85,21 +87,44 @@ def model_hook(fn: Callable[[pd.Series], pd.Series], return_type: T.DataType | s
 
 
 # ------------------------------------------------------------- U4, U5 ---
-_SELECT = re.compile(r"^\s*(\(\s*)*(select|with|values)\b", re.IGNORECASE)
+def writes(spark: SparkSession, sql: str) -> bool:
+    """Whether the parsed statement holds a command or a write anywhere (also
+    behind WITH). Nothing is analysed or run."""
+    logical = "org.apache.spark.sql.catalyst.plans.logical."
+    find = spark._jvm.java.lang.Class.forName
+    kinds = [find(logical + "Command"), find(logical + "ParsedStatement")]
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    while todo:
+        node = todo.pop()
+        if any(k.isInstance(node) for k in kinds):
+            return True
+        for many in (node.children(), node.innerChildren()):
+            todo += [many.apply(i) for i in range(many.size())
+                     if find(logical + "LogicalPlan").isInstance(many.apply(i))]
+    return False
 
 
 def sql_query(spark: SparkSession, sql: str, args: dict | None = None,
-              max_rows: int = 1000) -> DataFrame:
-    """U4: parameterised read-only query, capped at ``max_rows`` (the cap
-    is the feature: the plug-in returns at most that many rows)."""
-    if not _SELECT.match(sql):
+              max_rows: int | None = None) -> DataFrame:
+    """U4: parameterised read-only query. All rows are returned unless the
+    caller sets ``max_rows``; then the column ``truncated`` tells whether rows
+    were cut. Statements that write are refused from their parsed plan."""
+    if writes(spark, sql):
         raise ValueError("only SELECT / WITH / VALUES statements are allowed")
-    return spark.sql(sql, args=args or {}).limit(max_rows)
+    out = spark.sql(sql, args=args or {})
+    if max_rows is None:
+        return out
+    some = out.limit(max_rows + 1)
+    total = some.agg(F.count("*").alias("_n"))
+    return (some.limit(max_rows).join(F.broadcast(total))
+            .withColumn("truncated", F.col("_n") > max_rows).drop("_n"))
 
 
 def sql_execute(spark: SparkSession, target: str, rows: DataFrame, mode: str = "append") -> int:
     """Write statement as a DataFrame write (INSERT INTO / CTAS);
-    affected rows = rows written. Plain Parquet has no UPDATE/DELETE."""
+    affected rows = rows written. The rows are computed once. Plain Parquet
+    has no UPDATE/DELETE."""
+    rows = write_table(rows, "sql-execute")
     n = rows.count()
     if mode == "insert":
         rows.write.insertInto(target)

@@ -3,8 +3,7 @@ anonymising (F16), content risk (F17), injection score (F18), suspicious
 patterns (F19), short probes (F20), hashing of sensitive data (F23).
 
 All are JVM-side column expressions (regex, contains, HOFs), evaluated per
-row inside whole-stage-codegen'd projections where Spark allows. Patterns
-avoid word boundaries and lookaround so Java and RE2 agree on them.
+row inside whole-stage-codegen'd projections where Spark allows.
 """
 
 from __future__ import annotations
@@ -23,7 +22,7 @@ PII_RECOGNIZERS = [
     ("CREDIT_CARD", r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", 1.0),
     ("US_SSN", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.85),
     ("PHONE_NUMBER", r"(\+1[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}-[0-9]{4}", 0.9),
-    ("IP_ADDRESS", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", 0.95),
+    ("IP_ADDRESS", r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])", 0.95),
     ("US_PASSPORT", r"[A-Z][0-9]{8}", 0.4),
 ]
 PII_THRESHOLD = 0.8
@@ -56,7 +55,6 @@ INJECTION_INDICATORS = [
 ]
 
 MAX_INPUT_LENGTH = 10000
-HASH_SALT = "enterprise-ai-gateway"   # fixed value: default salt of hash_sensitive
 
 FINDING = T.StructType([
     T.StructField("entity_type", T.StringType()),
@@ -76,25 +74,32 @@ def _recognizers(threshold: float | None):
 
 
 # ------------------------------------------------------------------ F14 ---
+# A finding is not part of a longer run of letters and digits: the recogniser
+# is preceded and followed by an end of the text or another character (Java
+# look-around; has_pii and the masks use the same findings).
+def bounded(pattern: str) -> str:
+    return r"(?<![0-9A-Za-z])(?:" + pattern + r")(?![0-9A-Za-z])"
+
+
 def findings_of(text: Column | str, entity: str, pattern: str, score: float) -> Column:
     """All matches of one recogniser with their character offsets.
 
-    Offsets come from the pieces between matches: start_i is the length of
-    the pieces before match i plus the lengths of the earlier matches."""
+    One fold over the matches and the text between them carries the offset:
+    a match starts after everything before it."""
     text = _c(text)
-    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
-    pieces = F.split(text, pattern, -1)
-
-    def length_sum(arr):
-        return F.aggregate(arr, F.lit(0), lambda s, x: s + F.length(x))
+    matches = F.regexp_extract_all(text, F.lit(bounded(pattern)), 0)
+    pieces = F.split(text, bounded(pattern), -1)
+    pairs = F.filter(F.arrays_zip(pieces.alias("p"), matches.alias("m")), lambda x: x["m"].isNotNull())
+    empty = F.array().cast(T.ArrayType(FINDING))
 
-    return F.transform(matches, lambda m, i: F.struct(
-        F.lit(entity).alias("entity_type"),
-        (length_sum(F.slice(pieces, 1, i + 1)) + length_sum(F.slice(matches, 1, i))).alias("start"),
-        (length_sum(F.slice(pieces, 1, i + 1)) + length_sum(F.slice(matches, 1, i))
-         + F.length(m)).alias("end"),
-        F.lit(float(score)).alias("score"),
-        m.alias("text")))
+    def step(s, x):
+        start = s["at"] + F.length(x["p"])
+        end = start + F.length(x["m"])
+        one = F.struct(F.lit(entity).alias("entity_type"), start.alias("start"), end.alias("end"),
+                       F.lit(float(score)).alias("score"), x["m"].alias("text"))
+        return F.struct(end.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step,
+                       lambda s: s["out"])
 
 
 def pii_findings(text: Column | str, threshold: float | None = PII_THRESHOLD) -> Column:
@@ -112,7 +117,7 @@ def has_pii(text: Column | str, threshold: float | None = PII_THRESHOLD) -> Colu
     text = _c(text)
     cond = F.lit(False)
     for _, p, _s in _recognizers(threshold):
-        cond = cond | text.rlike(p)
+        cond = cond | text.rlike(bounded(p))
     return cond & (F.trim(text) != "")
 
 
@@ -122,38 +127,61 @@ def entity_order_desc(findings: Column) -> Column:
 
 
 # ------------------------------------------------------------ F15, F16 ---
+def disjoint(findings: Column) -> Column:
+    """Findings without overlaps, in text order. Of findings that overlap the
+    one that starts first stays; at equal starts the longer, then the one of
+    the higher score, then the smaller type name."""
+    ordered = F.array_sort(F.transform(findings, lambda f: F.struct(
+        f["start"].alias("start"), (-f["end"]).alias("last"), (-f["score"]).alias("worse"),
+        f["entity_type"].alias("entity_type"))))
+    kind = "array<struct<entity_type:string,start:int,end:int>>"
+
+    def step(s, f):
+        one = F.struct(f["entity_type"].alias("entity_type"), f["start"].alias("start"),
+                       (-f["last"]).alias("end"))
+        return F.when(f["start"] >= s["at"], F.struct(
+            (-f["last"]).alias("at"), F.concat(s["out"], F.array(one)).alias("out"))).otherwise(s)
+    return F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out")), step,
+                       lambda s: s["out"])
+
+
+def replace_findings(text: Column, findings: Column, mask) -> Column:
+    """Every disjoint finding replaced by ``mask(entity_type)``, from the
+    right, so earlier positions stay valid."""
+    return F.aggregate(entity_order_desc(disjoint(findings)), text, lambda t, f: F.concat(
+        F.substr(t, F.lit(1), f["start"]), mask(f["entity_type"]),
+        F.substr(t, f["end"] + 1, F.length(t))))
+
+
 def pii_mask(text: Column | str, threshold: float | None = PII_THRESHOLD) -> Column:
     """every finding replaced by its mask ([EMAIL], [PHONE], ... else
-    [TYPE]). Recognisers never overlap on their own masks, so replacing
-    type after type equals replacing the findings from the right."""
-    out = _c(text)
-    for e, p, _s in _recognizers(threshold):
-        out = F.regexp_replace(out, p, MASKS.get(e, f"[{e}]"))
-    return out
+    [TYPE]); overlapping findings are resolved first (``disjoint``)."""
+    def mask(e):
+        out = F.concat(F.lit("["), e, F.lit("]"))
+        for name, m in MASKS.items():
+            out = F.when(e == name, m).otherwise(out)
+        return out
+    return replace_findings(_c(text), pii_findings(text, threshold), mask)
 
 
 def pii_anonymize(text: Column | str, anonymize_all: bool = True,
                   threshold: float = PII_THRESHOLD) -> Column:
     """F16: findings replaced by ``<TYPE>``. With ``anonymize_all`` (the
     reference behaviour) findings under the threshold are replaced too."""
-    out = _c(text)
-    for e, p, _s in _recognizers(None if anonymize_all else threshold):
-        out = F.regexp_replace(out, p, f"<{e}>")
-    return out
+    return replace_findings(_c(text), pii_findings(text, None if anonymize_all else threshold),
+                            lambda e: F.concat(F.lit("<"), e, F.lit(">")))
 
 
 # ------------------------------------------------------------ F18-F20 ---
 def injection_score(text: Column | str) -> Column:
     """0.2 per indicator found (lower-cased), capped at 1.0."""
-    low = F.lower(_c(text))
-    n = sum(F.when(low.contains(i.lower()), 1).otherwise(0) for i in INJECTION_INDICATORS)
-    return F.least(n * 0.2, F.lit(1.0))
+    return _injection_tenths(_c(text)) / 10.0
 
 
 def _injection_tenths(text: Column) -> Column:
-    low = F.lower(text)
-    n = sum(F.when(low.contains(i.lower()), 1).otherwise(0) for i in INJECTION_INDICATORS)
-    return F.least(n * 2, F.lit(10))
+    found = F.get(F.transform(F.array(F.lower(text)), lambda low: sum(
+        F.when(low.contains(i.lower()), 1).otherwise(0) for i in INJECTION_INDICATORS)), F.lit(0))
+    return F.least(found * 2, F.lit(10))
 
 
 def suspicious_flags(text: Column | str, extra: list[str] | None = None) -> list[Column]:
@@ -186,44 +214,48 @@ def content_risk(text: Column | str, blocked_patterns: list[str] | None = None,
     ``custom_rules`` (U6) are (name, condition, weight in tenths, blocks).
     """
     text = _c(text)
-    n = F.length(text)
-    blocked_flags = [text.rlike("(?i)" + p) for p in (blocked_patterns or [])]
-    sus_flags = suspicious_flags(text, suspicious)
-    inj = _injection_tenths(text)
     rules = custom_rules or []
-
-    too_long = n > max_len
-    risk = F.when(too_long, 3).otherwise(0)
-    for f in blocked_flags:
-        risk = risk + F.when(f, 5).otherwise(0)
-    for f in sus_flags:
-        risk = risk + F.when(f, 3).otherwise(0)
-    risk = risk + F.when(inj > 5, inj).otherwise(0)
-    for _, cond, w, _b in rules:
-        risk = risk + F.when(cond, w).otherwise(0)
-
-    hard = too_long | (inj > 5)
-    for f in blocked_flags:
-        hard = hard | f
-    for _, cond, _w, b in rules:
-        if b:
-            hard = hard | cond
-    blocked = hard | (risk > 7)
-
-    reasons = [F.when(too_long, F.format_string(f"Content too long (%d > {max_len})", n))]
-    reasons += [F.when(f, F.lit(f"Blocked pattern #{i} matched")) for i, f in enumerate(blocked_flags)]
-    reasons += [F.when(f, F.lit(f"Suspicious pattern #{i} detected")) for i, f in enumerate(sus_flags)]
-    reasons += [F.when(inj > 5, F.lit("Potential injection attack detected"))]
-    reasons += [F.when(cond, F.lit(f"Custom rule {name} matched")) for name, cond, _w, _b in rules]
-    return F.struct(
-        blocked.alias("blocked"),
-        (F.least(risk, F.lit(10)) / 10.0).alias("risk_score"),
-        F.filter(F.array(*reasons), lambda r: r.isNotNull()).alias("reasons"),
-        F.when(blocked, F.lit(None).cast("string")).otherwise(text).alias("filtered_content"),
-    )
+    n_blocked = len(blocked_patterns or [])
+    patterns = [*(blocked_patterns or []), *(suspicious or []), *SUSPICIOUS_PATTERNS]
+    # everything that reads the text, once per row; the lambda below binds the
+    # values, so no pattern is evaluated again for a second output
+    seen = F.struct(F.length(text).alias("n"), _injection_tenths(text).alias("inj"),
+                    F.array(*[text.rlike("(?i)" + p) for p in patterns]).alias("hit"),
+                    F.array(*[cond for _, cond, _w, _b in rules]).cast("array<boolean>").alias("own"),
+                    text.alias("text"))
+
+    def judge(s):
+        too_long, inj = s["n"] > max_len, s["inj"] > 5
+        weights = [5] * n_blocked + [3] * (len(patterns) - n_blocked)
+        risk = F.when(too_long, 3).otherwise(0) + F.when(inj, s["inj"]).otherwise(0)
+        hard = too_long | inj
+        reasons = [F.when(too_long, F.format_string(f"Content too long (%d > {max_len})", s["n"]))]
+        for i, w in enumerate(weights):
+            hit = F.get(s["hit"], F.lit(i))
+            risk = risk + F.when(hit, w).otherwise(0)
+            if i < n_blocked:
+                hard = hard | hit
+                reasons.append(F.when(hit, F.lit(f"Blocked pattern #{i} matched")))
+            else:
+                reasons.append(F.when(hit, F.lit(f"Suspicious pattern #{i - n_blocked} detected")))
+        reasons.append(F.when(inj, F.lit("Potential injection attack detected")))
+        for i, (name, _c1, w, blocks) in enumerate(rules):
+            hit = F.get(s["own"], F.lit(i))
+            risk = risk + F.when(hit, w).otherwise(0)
+            hard = (hard | hit) if blocks else hard
+            reasons.append(F.when(hit, F.lit(f"Custom rule {name} matched")))
+        return F.struct(s["text"].alias("text"), hard.alias("hard"), risk.alias("risk"),
+                        F.filter(F.array(*reasons), lambda r: r.isNotNull()).alias("reasons"))
+
+    def result(s):
+        blocked = s["hard"] | (s["risk"] > 7)
+        return F.struct(blocked.alias("blocked"), (F.least(s["risk"], F.lit(10)) / 10.0).alias("risk_score"),
+                        s["reasons"].alias("reasons"),
+                        F.when(blocked, F.lit(None).cast("string")).otherwise(s["text"]).alias("filtered_content"))
+    return F.get(F.transform(F.transform(F.array(seen), judge), result), F.lit(0))
 
 
 # ------------------------------------------------------------------ F23 ---
-def hash_sensitive(data: Column | str, salt: str = HASH_SALT) -> Column:
-    """sha256 hex of salt + data."""
+def hash_sensitive(data: Column | str, salt: str) -> Column:
+    """sha256 hex of salt + data; the salt is the caller's."""
     return F.sha2(F.concat(F.lit(salt), _c(data)), 256)

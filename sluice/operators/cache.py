@@ -134,13 +134,15 @@ def cache_lookup(requests: DataFrame, l1: DataFrame, l2: DataFrame, now: Column,
     promotions. Two left joins on the key, then ``coalesce``."""
     def live(t, tag):
         return (t.filter(~is_expired(F.col("created_at"), F.col("ttl_s"), now))
-                .select(key, F.col("value").alias(f"{tag}_value")))
+                .select(key, F.col("value").alias(f"{tag}_value"), F.lit(True).alias(f"{tag}_there")))
     out = (requests.join(live(l1, "l1"), key, "left").join(live(l2, "l2"), key, "left"))
-    level = F.when(F.col("l1_value").isNotNull(), "L1").when(F.col("l2_value").isNotNull(), "L2")
+    # presence, not the value, decides: a cached null is a hit
+    level = F.when(F.col("l1_there"), "L1").when(F.col("l2_there"), "L2")
     return (out.withColumn("hit_level", level)
-            .withColumn("value", F.coalesce("l1_value", "l2_value"))
+            .withColumn("value", F.when(F.col("hit_level") == "L1", F.col("l1_value"))
+                        .when(F.col("hit_level") == "L2", F.col("l2_value")))
             .withColumn("promoted", F.col("hit_level") == "L2")
-            .drop("l1_value", "l2_value"))
+            .drop("l1_value", "l2_value", "l1_there", "l2_there"))
 
 
 def key_exists(keys: DataFrame, l1: DataFrame, l2: DataFrame, now: Column,
@@ -151,13 +153,16 @@ def key_exists(keys: DataFrame, l1: DataFrame, l2: DataFrame, now: Column,
     return keys.join(live, key, "left_semi")
 
 
-def missing_keys(wanted: DataFrame, l1: DataFrame, l2: DataFrame, key: str = "key") -> DataFrame:
+def missing_keys(wanted: DataFrame, l1: DataFrame, l2: DataFrame, now: Column,
+                 key: str = "key") -> DataFrame:
     """Keys wanted but absent from L1; of those, the ones
-    found in L2 are overlaid (level 'L2'), the rest are to warm."""
-    not_l1 = wanted.join(l1.select(key), key, "left_anti")
-    in_l2 = not_l1.join(l2.select(key), key, "left_semi").withColumn("source", F.lit("L2"))
-    to_warm = not_l1.join(l2.select(key), key, "left_anti").withColumn("source", F.lit("warm"))
-    return in_l2.unionByName(to_warm)
+    found in L2 are overlaid (level 'L2'), the rest are to warm. An expired
+    entry does not exist."""
+    def live(t):
+        return t.filter(~is_expired(F.col("created_at"), F.col("ttl_s"), now)).select(key).distinct()
+    second = live(l2).withColumn("_l2", F.lit(True))
+    return (wanted.join(live(l1), key, "left_anti").join(second, key, "left")
+            .withColumn("source", F.when(F.col("_l2"), "L2").otherwise("warm")).drop("_l2"))
 
 
 # ------------------------------------------------------------------- W9 ---
@@ -225,12 +230,12 @@ def lru_evict(entries: DataFrame, now: Column, max_entries: int = MAX_ENTRIES,
 # ------------------------------------------------------------------ W10 ---
 def hot_keys(accesses: DataFrame, now: Column, limit: int = 100, key: str = "key",
              ts: str = "ts") -> DataFrame:
-    """Accesses of the last 24 h (t > now - 24 h); score = accesses
+    """Accesses of the last 24 h (now - 24 h < t <= now); score = accesses
     in the last hour / (seconds since the last access + 1); top ``limit`` by
     score, ties by first access (a global top-k, partial per partition)."""
     now_us = F.unix_micros(now)
     t = _us(ts)
-    recent = accesses.filter(t > now_us - 24 * 3600 * US)
+    recent = accesses.filter((t > now_us - 24 * 3600 * US) & (t <= now_us))
     g = recent.groupBy(key).agg(
         F.count_if(t > now_us - 3600 * US).alias("freq"),
         F.max(t).alias("_last"), F.min(t).alias("_first"))

@@ -16,11 +16,11 @@ MAX_CONTEXT = 4000
 def rag_context(hits: DataFrame, max_len: int = MAX_CONTEXT, title_col: str = "title",
                 content_col: str = "content", url_col: str | None = None,
                 include_metadata: bool = True) -> DataFrame:
-    """Per query, pieces '[Source: t]\\ncontent\\n' (+ 'URL: u\\n') +
+    """One row per query of ``hits``: pieces '[Source: t]\\ncontent\\n' (+ 'URL: u\\n') +
     '---\\n' in rank order while the running length stays <= max_len (the
     first piece that would pass it ends the context); pieces joined by a
-    newline. Lengths are positive, so the running-sum prefix equals the
-    reference's break."""
+    newline. A query whose first piece does not fit gets an empty context.
+    Lengths are positive, so the running-sum prefix is that break."""
     piece = F.concat(F.lit("[Source: "), F.coalesce(F.nullif(F.col(title_col), F.lit("")),
                                                     F.lit("Unknown")),
                      F.lit("]\n"), F.col(content_col), F.lit("\n"))
@@ -30,12 +30,12 @@ def rag_context(hits: DataFrame, max_len: int = MAX_CONTEXT, title_col: str = "t
                          .otherwise(F.lit("")))
     piece = F.concat(piece, F.lit("---\n"))
     w = W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, 0)
-    kept = (hits.withColumn("_p", piece).withColumn("_run", F.sum(F.length("_p")).over(w))
-            .filter(F.col("_run") <= max_len))
-    return kept.groupBy("query_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "_p"))),
+    run = hits.withColumn("_p", piece).withColumn("_run", F.sum(F.length("_p")).over(w))
+    fits = F.col("_run") <= max_len
+    return run.groupBy("query_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(fits, F.struct("rank", "_p")))),
                                  lambda x: x["_p"]), "\n").alias("context"),
-        F.count("*").alias("pieces"))
+        F.count_if(fits).alias("pieces"))
 
 
 def chat_messages(conversations: DataFrame, system_prompt: str | None = None) -> DataFrame:
@@ -52,9 +52,9 @@ def chat_messages(conversations: DataFrame, system_prompt: str | None = None) ->
     return out.select("conv_id", "turn", "messages")
 
 
-def last_n(df: DataFrame, key: str, order: str, n: int) -> DataFrame:
-    """Newest n rows per key."""
-    w = W.partitionBy(key).orderBy(F.col(order).desc())
+def last_n(df: DataFrame, key: str, order: str, n: int, tie: str) -> DataFrame:
+    """Newest n rows per key; equal times are ordered by ``tie``."""
+    w = W.partitionBy(key).orderBy(F.col(order).desc(), F.col(tie).desc())
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 

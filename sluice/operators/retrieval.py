@@ -28,10 +28,11 @@ MAX_QUERY_BLOCK_BYTES = 64 * 1024 * 1024
 
 
 # ------------------------------------------------------------------ PF1 ---
-def metadata_filter(filters: dict[str, Any] | None) -> Column | None:
+def metadata_filter(filters: dict[str, Any] | None, schema: T.StructType | None = None) -> Column | None:
     """Fold a filter dict into one Column (None = no filter).
 
-    string -> equal; number (bool counts as a number) -> equal; list -> OR of
+    string -> equal; number (bool counts as a number, but compares as a bool
+    with a boolean column of ``schema``) -> equal; list -> OR of
     its string members (dropped when it has none); other values ignored; all
     conditions ANDed. Plain columns, so Parquet receives the predicates.
     """
@@ -41,7 +42,9 @@ def metadata_filter(filters: dict[str, Any] | None) -> Column | None:
         if isinstance(value, str):
             c = F.col(key) == F.lit(value)
         elif isinstance(value, bool):
-            c = F.col(key) == F.lit(int(value))
+            is_bool = schema is not None and key in schema.names \
+                and isinstance(schema[key].dataType, T.BooleanType)
+            c = F.col(key) == F.lit(value if is_bool else int(value))
         elif isinstance(value, (int, float)):
             c = F.col(key) == F.lit(value)
         elif isinstance(value, list):
@@ -54,7 +57,7 @@ def metadata_filter(filters: dict[str, Any] | None) -> Column | None:
 
 
 def apply_filter(df: DataFrame, filters: dict[str, Any] | None) -> DataFrame:
-    cond = metadata_filter(filters)
+    cond = metadata_filter(filters, df.schema)
     return df if cond is None else df.filter(cond)
 
 

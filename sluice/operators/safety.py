@@ -119,7 +119,7 @@ def security_stats(events: DataFrame, as_of: Column) -> DataFrame:
     type first (partial aggregates map-side), then the few type rows."""
     age = F.unix_micros(as_of) - F.unix_micros(F.col("ts").cast("timestamp"))
     per_type = events.groupBy("event_type").agg(
-        F.count("*").alias("n"), F.count_if(age < 3600 * 1_000_000).alias("r"))
+        F.count("*").alias("n"), F.count_if((age >= 0) & (age < 3600 * 1_000_000)).alias("r"))
     return per_type.agg(
         F.sum("n").alias("total_events"), F.sum("r").alias("events_last_hour"),
         F.map_from_entries(F.array_sort(F.filter(

@@ -1,9 +1,7 @@
 """Tracing: J14 span_pairs, J15 trace_roots, A7 trace_stats, PF15
 trace_sample.
 
-J15 walks parent links with a recursive CTE (``WITH RECURSIVE``): one join
-per level, so the work is proportional to spans x depth; the depth limit is
-``spark.sql.cteRecursionLevelLimit``.
+J15 follows parent links by pointer doubling: log2(depth) joins.
 """
 
 from __future__ import annotations
@@ -11,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluice.session import write_table
+
 US = 1_000_000
 
 
@@ -31,21 +31,48 @@ def span_pairs(starts: DataFrame, finishes: DataFrame) -> DataFrame:
         F.when(F.col("end_ts").isNotNull(), dur).alias("duration_ms"),
         F.col("end_ts").isNull().alias("active"),
         F.coalesce("status", F.lit("active")).alias("status"),
-        F.map_concat(F.coalesce("s_tags", empty_map), F.coalesce("f_tags", empty_map)).alias("tags"),
+        # start tags that the finish repeats give way before the maps are joined
+        F.map_concat(F.map_filter(F.coalesce("s_tags", empty_map), lambda k, v: ~F.map_contains_key(
+            F.coalesce("f_tags", empty_map), k)), F.coalesce("f_tags", empty_map)).alias("tags"),
         F.concat(F.coalesce("s_logs", F.array().cast("array<string>")),
                  F.coalesce("f_logs", F.array().cast("array<string>"))).alias("logs"))
 
 
-def trace_roots(spark, spans: DataFrame, view: str = "_sluice_spans") -> DataFrame:
-    """Root span and depth of every span through parent_span_id."""
-    spans.select("span_id", "parent_span_id").createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE walk(span_id, root_id, depth) AS (
-          SELECT span_id, span_id, 0 FROM {view} WHERE parent_span_id IS NULL
-          UNION ALL
-          SELECT s.span_id, w.root_id, w.depth + 1
-          FROM {view} s JOIN walk w ON s.parent_span_id = w.span_id)
-        SELECT span_id, root_id AS trace_id, depth FROM walk""")
+def trace_roots(spans: DataFrame) -> DataFrame:
+    """Root span and depth of every span through parent_span_id, as
+    (span_id, trace_id, depth, orphan). A span whose parent is not in the
+    table is the root of what hangs below it (``orphan``: that root has lost
+    its parent). Spans on a cycle have a null root and depth.
+
+    Pointer doubling: each round looks at the ancestor's ancestor, so a chain
+    of depth d takes log2(d) joins, each from a written table; there is no
+    limit on rows or depth.
+    """
+    known = spans.select(F.col("span_id").alias("parent_span_id"), F.lit(True).alias("there")).distinct()
+    first = (spans.select("span_id", "parent_span_id").join(known, "parent_span_id", "left")
+             .select("span_id", F.when(F.col("there"), F.col("parent_span_id")).alias("up"),
+                     F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth"),
+                     (F.col("parent_span_id").isNotNull() & F.col("there").isNull()).alias("orphan")))
+    # up: ancestor 2**round steps above, null once the root is passed;
+    # top: the highest span reached so far
+    state = write_table(first.withColumn("top", F.coalesce("up", "span_id")), "trace-up")
+    left, rounds = state.filter(F.col("up").isNotNull()).count(), 0
+    limit = state.count()
+    while left and 2 ** rounds <= limit:
+        above = state.select(F.col("span_id").alias("up"), F.col("up").alias("up2"),
+                             F.col("depth").alias("depth2"), F.col("top").alias("top2"),
+                             F.col("orphan").alias("orphan2"))
+        state = write_table(
+            state.join(above, "up", "left").select(
+                "span_id", F.col("up2").alias("up"),
+                (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
+                F.coalesce("top2", "top").alias("top"),
+                F.coalesce("orphan2", "orphan").alias("orphan")), "trace-up")
+        left, rounds = state.filter(F.col("up").isNotNull()).count(), rounds + 1
+    done = F.col("up").isNull()
+    return state.select("span_id", F.when(done, F.col("top")).alias("trace_id"),
+                        F.when(done, F.col("depth")).alias("depth"),
+                        F.when(done, F.col("orphan")).otherwise(False).alias("orphan"))
 
 
 def trace_stats(pairs: DataFrame) -> DataFrame:

@@ -117,12 +117,12 @@ def gauge_latest(samples: DataFrame, labels: Sequence[str], value: str = "value"
 
 def _recent(ts: str, as_of: Column, hours: float) -> Column:
     age = F.unix_micros(as_of) - F.unix_micros(F.col(ts).cast("timestamp"))
-    return age < int(hours * 3600 * 1_000_000)
+    return (age >= 0) & (age < int(hours * 3600 * 1_000_000))
 
 
 def user_activity_stats(business: DataFrame, as_of: Column, hours: float = 24,
                         approx: bool = False) -> DataFrame:
-    """A2: last ``hours`` (ts > as_of - hours): per action and in total
+    """A2: last ``hours`` (as_of - hours < ts <= as_of): per action and in total
     (action null) -> events and distinct users (one ROLLUP pass)."""
     ev = business.filter((F.col("kind") == "user_activity") & _recent("ts", as_of, hours))
     distinct = (F.approx_count_distinct("user_id") if approx else F.count_distinct("user_id"))

@@ -192,7 +192,7 @@ def q_request_verdict(spark, sf_dir):
 @register("hash_sensitive")
 def q_hash_sensitive(spark, sf_dir):
     return tb.text_table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", sfn.hash_sensitive("text").alias("hashed"))
+        "conv_id", "turn", sfn.hash_sensitive("text", "pepper-1").alias("hashed"))
 
 
 # ------------------------------------------------------- usage & limits ---
@@ -372,7 +372,7 @@ def q_hot_keys(spark, sf_dir):
 def q_missing_keys(spark, sf_dir):
     hot = ca.hot_keys(_ops(spark, sf_dir), _as_of(), limit=50).select("key")
     l1, l2 = _levels(spark, sf_dir)
-    return ca.missing_keys(hot, l1, l2)
+    return ca.missing_keys(hot, l1, l2, _as_of())
 
 
 @register("lru_evict")
@@ -383,7 +383,8 @@ def q_lru_evict(spark, sf_dir):
 
 @register("coalesce_writes")
 def q_coalesce_writes(spark, sf_dir):
-    sets = _ops(spark, sf_dir).filter(F.col("op") == "set")
+    sets = _ops(spark, sf_dir).filter(F.col("op") == "set").withColumn(
+        "ttl_s", F.when(F.col("op_id") % 3 != 0, F.col("op_id") % 7 * 600))
     batch = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (5 * 1_000_000)).cast("long")
     c = ca.coalesce_writes(sets, batch)
     return c.select("batch", "key", r6("value"), "ttl_s")
@@ -453,15 +454,22 @@ def _spans(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    s = _spans(spark, sf_dir).withColumn("tags", F.create_map(F.lit("op"), F.col("operation"))) \
-        .withColumn("logs", F.array().cast("array<string>"))
-    fin = s.filter(F.col("end_ts").isNotNull()).select("span_id", "end_ts", "status", "tags", "logs")
+    s = _spans(spark, sf_dir).withColumn("tags", F.create_map(
+        F.lit("op"), F.col("operation"), F.lit("state"), F.lit("open"))) \
+        .withColumn("logs", F.array(F.concat(F.lit("start:"), F.col("span_id").cast("string"))))
+    fin = s.filter(F.col("end_ts").isNotNull()).select(
+        "span_id", "end_ts", "status",
+        F.create_map(F.lit("state"), F.lit("closed"), F.lit("user"), F.col("user_id").cast("string")).alias("tags"),
+        F.array(F.concat(F.lit("end:"), F.col("status"))).alias("logs"))
     return tr.span_pairs(s.drop("end_ts", "status"), fin)
 
 
 @register("span_pairs")
 def q_span_pairs(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("span_id", "trace_id", r6("duration_ms"), "active", "status")
+    text = lambda m: F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(
+        e["key"], F.lit("="), e["value"]))), ",")
+    return _pairs(spark, sf_dir).select("span_id", "trace_id", r6("duration_ms"), "active", "status",
+                                        text("tags").alias("tags"), F.array_join("logs", ",").alias("logs"))
 
 
 @register("trace_stats")
@@ -472,7 +480,7 @@ def q_trace_stats(spark, sf_dir):
 
 @register("trace_roots")
 def q_trace_roots(spark, sf_dir):
-    return tr.trace_roots(spark, _spans(spark, sf_dir))
+    return tr.trace_roots(_spans(spark, sf_dir))
 
 
 @register("trace_sample")
@@ -556,7 +564,8 @@ def q_html_to_text(spark, sf_dir):
 
 @register("page_scrape")
 def q_page_scrape(spark, sf_dir):
-    return rag.page_scrape(tb.text_table(spark, sf_dir, "pages")).select("page_id", "title", "links")
+    return rag.page_scrape(tb.text_table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "title", "content", "links")
 
 
 @register("extract_links")
@@ -592,8 +601,11 @@ def q_upload_filter(spark, sf_dir):
 
 @register("decode_text")
 def q_decode_text(spark, sf_dir):
-    return _raw(spark, sf_dir).select("doc_id", F.length(fl.decode_text(F.col("content"))).alias("n_chars"),
-                                      F.octet_length("content").alias("file_size"))
+    """Every third file carries bytes that are not UTF-8; they are dropped."""
+    bad = F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("content"), F.unhex(F.lit("FFFE80"))))
+    raw = _raw(spark, sf_dir).withColumn("content", F.coalesce(bad, F.col("content")))
+    return raw.select("doc_id", fl.decode_text(F.col("content")).alias("text"),
+                      F.octet_length("content").alias("file_size"))
 
 
 @register("ingest_report")
@@ -628,7 +640,7 @@ def q_rag_context(spark, sf_dir):
 
 @register("rag_prompt")
 def q_rag_prompt(spark, sf_dir):
-    ctx = rag.rag_context(_rag_hits(spark, sf_dir), max_len=40000)
+    ctx = rag.rag_context(_rag_hits(spark, sf_dir))
     q = F.concat(F.lit("What is document "), F.col("query_id").cast("string"), F.lit(" about?"))
     return ctx.select("query_id", F.md5(rq.rag_prompt(q, F.col("context"))).alias("prompt_md5"))
 
@@ -636,13 +648,14 @@ def q_rag_prompt(spark, sf_dir):
 @register("chat_messages")
 def q_chat_messages(spark, sf_dir):
     m = rag.chat_messages(tb.text_table(spark, sf_dir, "conversations"))
+    said = F.array_join(F.transform("messages", lambda x: F.concat(x["role"], F.lit("\n"), x["content"])), "\n")
     return m.select("conv_id", "turn", F.size("messages").alias("n_messages"),
-                    F.array_join(F.transform("messages", lambda x: x["role"]), ",").alias("roles"))
+                    F.sha2(said, 256).alias("messages_sha256"))
 
 
 @register("last_n")
 def q_last_n(spark, sf_dir):
-    return rag.last_n(_events(spark, sf_dir), "user_id", "ts", 5).select("user_id", "event_id")
+    return rag.last_n(_events(spark, sf_dir), "user_id", "ts", 5, "event_id").select("user_id", "event_id")
 
 
 @register("validate_chat")
@@ -714,16 +727,16 @@ def _keys(spark):
 
 @register("key_union")
 def q_key_union(spark, sf_dir):
-    return _keys(spark)
+    """Configured keys and the keys seen in the request log, each once."""
+    seen = _http(spark, sf_dir).select("api_key")
+    return _keys(spark).union(seen).distinct()
 
 
 @register("valid_keys")
 def q_valid_keys(spark, sf_dir):
-    h = _http(spark, sf_dir).select("request_id", "api_key")
-    keys = F.broadcast(_keys(spark))
-    ok = h.join(keys, "api_key", "left_semi").withColumn("valid", F.lit(True))
-    bad = h.join(keys, "api_key", "left_anti").withColumn("valid", F.lit(False))
-    return ok.unionByName(bad)
+    keys = F.broadcast(_keys(spark).withColumn("valid", F.lit(True)))      # configuration
+    return (_http(spark, sf_dir).select("request_id", "api_key").join(keys, "api_key", "left")
+            .withColumn("valid", F.coalesce("valid", F.lit(False))))
 
 
 # Exception class -> (error_code, HTTP status).
@@ -831,15 +844,15 @@ def q_cache_stats_combined(spark, sf_dir):
 @register("latest_quote")
 def q_latest_quote(spark, sf_dir):
     """Per symbol (event type) last price, change to the previous tick,
-    percent and volume -- two hash aggregates, no per-symbol window."""
-    ev = _events(spark, sf_dir).withColumnRenamed("event_type", "symbol")
-    key = F.struct("ts", "event_id")
-    last = ev.groupBy("symbol").agg(F.max_by("value", key).alias("price"),
-                                    F.max(key).alias("_k"), F.count("*").alias("volume"))
-    prev = (ev.join(last.select("symbol", "_k"), "symbol")
-            .filter(F.struct("ts", "event_id") < F.col("_k"))
-            .groupBy("symbol").agg(F.max_by("value", key).alias("prev")))
-    q = last.join(prev, "symbol", "left")
+    percent and volume."""
+    ev = _events(spark, sf_dir).withColumnRenamed("event_type", "symbol").select(
+        "symbol", "ts", "event_id", "value")
+    # the two newest ticks per symbol: a group limit runs before the shuffle
+    newest = W.partitionBy("symbol").orderBy(F.col("ts").desc(), F.col("event_id").desc())
+    last = (ev.withColumn("_rn", F.row_number().over(newest)).filter(F.col("_rn") <= 2)
+            .groupBy("symbol").agg(F.max(F.when(F.col("_rn") == 1, F.col("value"))).alias("price"),
+                                   F.max(F.when(F.col("_rn") == 2, F.col("value"))).alias("prev")))
+    q = last.join(ev.groupBy("symbol").agg(F.count("*").alias("volume")), "symbol")
     return q.select("symbol", F.round("price", 6).alias("price"),
                     F.round(F.col("price") - F.col("prev"), 6).alias("change"),
                     F.round((F.col("price") - F.col("prev")) / F.col("prev") * 100, 6).alias("percent"),
@@ -865,7 +878,7 @@ GROUP BY l_returnflag, l_linestatus"""
 @register("sql_query")
 def q_sql_query(spark, sf_dir):
     tb.table(spark, sf_dir, "lineitem").createOrReplaceTempView("sluice_lineitem")
-    df = pl.sql_query(spark, PRICING_SQL.format(lineitem="sluice_lineitem"), max_rows=1000)
+    df = pl.sql_query(spark, PRICING_SQL.format(lineitem="sluice_lineitem"))
     return df.select("l_returnflag", "l_linestatus", F.col("sum_qty").cast("double").alias("sum_qty"),
                      F.col("revenue").cast("double").alias("revenue"), F.col("n").cast("long").alias("n"))
 

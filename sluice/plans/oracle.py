@@ -188,7 +188,7 @@ k AS (
 
 # -------------------------------------------------------------- safety ---
 from sluice.functions.safety import (  # noqa: E402
-    HASH_SALT, INJECTION_INDICATORS, MASKS, PII_RECOGNIZERS, SUSPICIOUS_PATTERNS)
+    INJECTION_INDICATORS, MASKS, PII_RECOGNIZERS, SUSPICIOUS_PATTERNS)
 
 
 def lit(s: str) -> str:
@@ -319,7 +319,7 @@ SELECT request_id, NOT blocked AS allowed, {has_pii_sql('message')} AS pii_detec
 FROM risk"""
 
 ORACLE["hash_sensitive"] = f"""
-SELECT conv_id, turn, sha256({lit(HASH_SALT)} || text) AS hashed FROM conversations"""
+SELECT conv_id, turn, sha256('pepper-1' || text) AS hashed FROM conversations"""
 
 
 # ------------------------------------------------------- usage & limits ---
@@ -383,7 +383,7 @@ business AS (
   FROM events WHERE event_type = 'click'),
 recent AS (
   SELECT * FROM business
-  WHERE epoch_us(TIMESTAMP '2024-01-30 00:00:00') - epoch_us(ts) < 86400000000)"""
+  WHERE ts > TIMESTAMP '2024-01-29 00:00:00' AND ts <= TIMESTAMP '2024-01-30 00:00:00')"""
 
 ORACLE["user_activity_stats"] = f"""WITH {BUSINESS}
 SELECT action, count(*)::BIGINT AS events, count(DISTINCT user_id)::BIGINT AS unique_users
@@ -534,17 +534,18 @@ hot AS (
          count_if(epoch_us(ts) > epoch_us({AS_OF}) - 3600000000)
            / ((epoch_us({AS_OF}) - max(epoch_us(ts))) / 1000000.0 + 1.0) AS score,
          min(epoch_us(ts)) AS first_us
-  FROM ops WHERE epoch_us(ts) > epoch_us({AS_OF}) - 86400000000 GROUP BY key
+  FROM ops WHERE ts > {AS_OF} - INTERVAL 24 HOUR AND ts <= {AS_OF} GROUP BY key
   ORDER BY score DESC, first_us, key LIMIT 50)"""
 
 ORACLE["hot_keys"] = f"""WITH {OPS}, {HOT}
 SELECT key, freq, round(score, 9) AS score FROM hot"""
 
+# an entry is alive for its 3600 s
 ORACLE["missing_keys"] = f"""WITH {OPS}, {ENTRIES}, {HOT},
-l1a AS (SELECT key FROM entries WHERE split_part(key, ':', 2)::BIGINT % 2 = 0),
-l2a AS (SELECT key FROM entries WHERE split_part(key, ':', 2)::BIGINT % 3 = 0)
-SELECT key, CASE WHEN key IN (SELECT key FROM l2a) THEN 'L2' ELSE 'warm' END AS source
-FROM hot WHERE key NOT IN (SELECT key FROM l1a)"""
+alive AS (SELECT key, split_part(key, ':', 2)::BIGINT AS k FROM entries
+          WHERE created_at + INTERVAL 3600 SECOND >= {AS_OF})
+SELECT key, CASE WHEN key IN (SELECT key FROM alive WHERE k % 3 = 0) THEN 'L2' ELSE 'warm' END AS source
+FROM hot WHERE key NOT IN (SELECT key FROM alive WHERE k % 2 = 0)"""
 
 ORACLE["lru_evict"] = f"""WITH {OPS}, {ENTRIES},
 e AS (SELECT *, epoch_us({AS_OF}) > epoch_us(created_at) + ttl_s * 1000000 AS expired FROM entries),
@@ -558,7 +559,8 @@ UNION ALL
 SELECT key, false, 'expired', NULL, NULL FROM e WHERE expired"""
 
 ORACLE["coalesce_writes"] = f"""WITH {OPS},
-s AS (SELECT *, floor(epoch_us(ts) / 5000000)::BIGINT AS batch FROM ops WHERE op = 'set')
+s AS (SELECT * EXCLUDE ttl_s, CASE WHEN op_id % 3 <> 0 THEN op_id % 7 * 600 END AS ttl_s,
+             floor(epoch_us(ts) / 5000000)::BIGINT AS batch FROM ops WHERE op = 'set')
 SELECT k.batch, k.key, round(k.value, 6) AS value, t.ttl_s
 FROM (SELECT batch, key, arg_max(value, op_id) AS value FROM s GROUP BY batch, key) k
 LEFT JOIN (SELECT batch, arg_min(ttl_s, op_id) AS ttl_s FROM s WHERE ttl_s IS NOT NULL
@@ -643,7 +645,12 @@ pairs AS (
   FROM spans)"""
 
 ORACLE["span_pairs"] = f"""WITH {SPANS}
-SELECT span_id, trace_id, round(duration_ms, 6) AS duration_ms, active, status FROM pairs"""
+SELECT p.span_id, p.trace_id, round(duration_ms, 6) AS duration_ms, active, p.status,
+       CASE WHEN active THEN 'op=' || operation || ',state=open'
+            ELSE 'op=' || operation || ',state=closed,user=' || user_id::VARCHAR END AS tags,
+       CASE WHEN active THEN 'start:' || p.span_id::VARCHAR
+            ELSE 'start:' || p.span_id::VARCHAR || ',end:' || p.status END AS logs
+FROM pairs p JOIN spans s USING (span_id)"""
 
 ORACLE["trace_stats"] = f"""WITH {SPANS}
 SELECT count_if(active)::BIGINT AS active_spans, count_if(NOT active)::BIGINT AS completed_spans,
@@ -657,7 +664,7 @@ walk(span_id, root_id, depth) AS (
   SELECT span_id, span_id, 0 FROM spans WHERE parent_span_id IS NULL
   UNION ALL
   SELECT s.span_id, w.root_id, w.depth + 1 FROM spans s JOIN walk w ON s.parent_span_id = w.span_id)
-SELECT span_id, root_id AS trace_id, depth FROM walk"""
+SELECT span_id, root_id AS trace_id, depth::BIGINT AS depth, false AS orphan FROM walk"""
 
 ORACLE["trace_sample"] = f"""WITH {SPANS}
 SELECT span_id, trace_id FROM spans
@@ -732,7 +739,7 @@ def html_text_sql(x: str) -> str:
 ORACLE["html_to_text"] = f"SELECT page_id, {html_text_sql('html')} AS text FROM pages"
 
 ORACLE["page_scrape"] = f"""
-SELECT page_id, {unescape_sql(f"regexp_extract(html, {lit(TITLE)}, 1)")} AS title,
+SELECT page_id, url, {html_text_sql('html')} AS content, {unescape_sql(f"regexp_extract(html, {lit(TITLE)}, 1)")} AS title,
        len(regexp_extract_all(html, {lit(LINK)}, 1))::INTEGER AS links FROM pages"""
 
 ORACLE["extract_links"] = f"""
@@ -776,7 +783,8 @@ SELECT doc_id, split_part(file_path, '.', -1) AS extension,
 FROM raw"""
 
 ORACLE["decode_text"] = """
-SELECT doc_id, length(text)::INTEGER AS n_chars, octet_length(encode(text))::INTEGER AS file_size
+SELECT doc_id, text,
+       (octet_length(encode(text)) + CASE WHEN doc_id % 3 = 0 THEN 3 ELSE 0 END)::INTEGER AS file_size
 FROM documents"""
 
 ORACLE["ingest_report"] = f"""WITH {RAW},
@@ -816,13 +824,14 @@ p AS (SELECT query_id, rank, '[Source: ' || title || ']' || chr(10) || content |
       FROM hits),
 r AS (SELECT *, sum(length(piece)) OVER (PARTITION BY query_id ORDER BY rank
                                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM p),
-ctx AS (SELECT query_id, string_agg(piece, chr(10) ORDER BY rank) AS context, count(*)::BIGINT AS pieces
-        FROM r WHERE run <= {max_len} GROUP BY query_id)"""
+ctx AS (SELECT query_id, coalesce(string_agg(piece, chr(10) ORDER BY rank) FILTER (WHERE run <= {max_len}), '') AS context,
+               count(*) FILTER (WHERE run <= {max_len})::BIGINT AS pieces
+        FROM r GROUP BY query_id)"""
 
 
 ORACLE["rag_context"] = rag_sql(4000) + "\nSELECT query_id, context, pieces FROM ctx"
 
-ORACLE["rag_prompt"] = rag_sql(40000) + """
+ORACLE["rag_prompt"] = rag_sql(4000) + """
 SELECT query_id, md5('You are a helpful assistant. Use the provided context to answer the question. '
                      || 'If the context doesn''t contain relevant information, say so.'
                      || chr(10) || chr(10) || 'Context:' || chr(10) || context || chr(10) || chr(10)
@@ -830,16 +839,16 @@ SELECT query_id, md5('You are a helpful assistant. Use the provided context to a
                      || chr(10) || chr(10) || 'Answer:') AS prompt_md5 FROM ctx"""
 
 ORACLE["chat_messages"] = """
-SELECT conv_id, turn, n_messages, roles FROM (
-  SELECT conv_id, turn, role,
-         count(*) OVER w::INTEGER AS n_messages, array_to_string(list(role) OVER w, ',') AS roles
+SELECT conv_id, turn, n_messages, messages_sha256 FROM (
+  SELECT conv_id, turn, role, count(*) OVER w::INTEGER AS n_messages,
+         sha256(array_to_string(list(role || chr(10) || text) OVER w, chr(10))) AS messages_sha256
   FROM conversations
   WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
 WHERE role = 'user'"""
 
 ORACLE["last_n"] = """
 SELECT user_id, event_id FROM events
-QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC) <= 5"""
+QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5"""
 
 ORACLE["validate_chat"] = f"""WITH {USER_TURNS},
 v AS (SELECT request_id, list_filter([
@@ -885,7 +894,8 @@ SELECT request_id, coalesce(content_length <= 20000000, true) AS size_ok FROM hd
 
 ORACLE["require_https"] = f"""WITH {HEADERS} SELECT request_id, scheme = 'https' AS allowed FROM hdr"""
 
-ORACLE["key_union"] = "SELECT DISTINCT api_key FROM (VALUES ('k0'), ('k1'), ('k1')) t(api_key)"
+ORACLE["key_union"] = """
+SELECT 'k0' AS api_key UNION SELECT 'k1' UNION SELECT 'k' || (user_id % 3)::VARCHAR FROM events"""
 
 ORACLE["valid_keys"] = f"""WITH {HTTP}
 SELECT request_id, api_key, api_key IN ('k0', 'k1') AS valid FROM http"""

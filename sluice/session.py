@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,8 +69,10 @@ def ship_package(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster.
 
-    Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir). Only
-    when neither is set (local tests) a scratch folder is created.
+    Reads ``spark.checkpoint.dir`` (or the context's checkpoint dir). A
+    session that runs in one process (master ``local``) may do without: it
+    gets a scratch folder. On a cluster a missing setting is an error, since
+    executors do not share local folders.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -76,6 +80,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="sluice-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
@@ -94,3 +100,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A sub path of the shared checkpoint folder for written tables."""
     return os.path.join(checkpoint_dir(spark), "tables", name)
+
+
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and
+    read it back: cuts the lineage and survives lost executors."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

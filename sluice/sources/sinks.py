@@ -119,9 +119,16 @@ def delete_document(chunks: DataFrame, doc_ids: DataFrame, key: str = "doc_id")
 
 
 def upsert_chunks(chunks: DataFrame, updates: DataFrame, key: str = "chunk_id",
-                  embed_col: str = "embedding", embedder=None) -> DataFrame:
-    """SRC20: replace rows by id, insert new ids; an update without a vector
-    is re-embedded with ``embedder(content_col) -> Column`` when given."""
+                  embed_col: str = "embedding", embedder=None,
+                  version_col: str | None = None) -> DataFrame:
+    """SRC20: replace rows by id, insert new ids; of several updates with one
+    id the last counts (largest ``version_col``, if given; then the largest
+    row, so reruns agree). An update without a vector is re-embedded with
+    ``embedder(content_col) -> Column`` when given."""
+    order = F.struct(*([version_col] if version_col else []),
+                     F.xxhash64(*updates.columns).alias("h"))
+    row = F.struct(*updates.columns)
+    updates = updates.groupBy(key).agg(F.max_by(row, order).alias("r")).select("r.*")
     if embedder is not None and embed_col in updates.columns:
         updates = updates.withColumn(embed_col, F.coalesce(F.col(embed_col), embedder(F.col("content"))))
     kept = chunks.join(updates.select(key), key, "left_anti")

@@ -146,22 +146,20 @@ def documents_meta(documents: DataFrame, labels: DataFrame | None = None) -> Dat
     return out
 
 
+SPREAD_CONF = "sluice.text.partitions"
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread rows over the task slots when the input has fewer
-    partitions than slots (one big file, one row group). Inputs that already
-    come in many splits -- the normal case at scale -- are left untouched, so
-    no shuffle is added there."""
-    try:
-        par = df.sparkSession.sparkContext.defaultParallelism
-        n = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access: leave the plan as it is
-        return df
-    return df.repartition(par, key) if n < par else df
+    """Hash-spread rows over the number of partitions that the caller has set
+    in ``sluice.text.partitions``; without the setting the scan's own splits
+    stay and no shuffle is added (the normal case at scale)."""
+    n = df.sparkSession.conf.get(SPREAD_CONF, None)
+    return df.repartition(int(n), key) if n else df
 
 
 TEXT_KEYS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
 
 
 def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A text-heavy table, spread over the task slots (see ``spread``)."""
+    """A text-heavy table (see ``spread``)."""
     return spread(table(spark, sf_dir, name), TEXT_KEYS[name])

@@ -96,7 +96,8 @@ def test_rag_context_limit(spark):
     assert ctx.pieces == 1 and len(ctx.context) == 4000
     rows = [(1, 1, "t", "x" * (n + 1))]
     hits = spark.createDataFrame(rows, "query_id long, rank int, title string, content string")
-    assert rag.rag_context(hits).count() == 0
+    none = rag.rag_context(hits).collect()
+    assert [(r.context, r.pieces) for r in none] == [("", 0)]
 
 
 def test_entry_smoke(spark):
