@@ -1,7 +1,4 @@
-"""Chunking and safety edge rows (FIXTURES.md section 4) against plain
-Python brute force."""
-
-import re
+"""Chunking and safety edge rows (FIXTURES.md section 4), hand-worked."""
 
 from pyspark.sql import functions as F
 
@@ -13,36 +10,6 @@ def _docs(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
 
 
-def _py_sliding(text, size=512, overlap=50, min_size=50):
-    out = []
-    for start in range(0, len(text), size - overlap):
-        end = min(start + size, len(text))
-        piece = text[start:end].strip()
-        if len(piece) >= min_size:
-            out.append((piece, start, end))
-        if end >= len(text):
-            break
-    return out
-
-
-def _py_pack(text, split, joiner, size=512):
-    out, cur, st = [], "", 0
-    for s in (re.split(split, text) if split != "\n\n" else text.split("\n\n")):
-        s = s.strip()
-        if not s:
-            continue
-        pot = cur + joiner + s if cur else s
-        if len(pot) > size and cur:
-            out.append((cur, st, st + len(cur)))
-            st = st + len(cur)
-            cur = s
-        else:
-            cur = pot
-    if cur:
-        out.append((cur, st, st + len(cur)))
-    return out
-
-
 EDGE_TEXTS = [
     "", "x" * 49, "x" * 50, "y" * 511, "z" * 512, "w" * 513, "a" * 974,
     ("word " * 200).strip(), " leading space " + "b " * 300, "tail " * 102 + " " * 3,
@@ -50,33 +17,55 @@ EDGE_TEXTS = [
 ]
 
 
-def test_fixed_size_matches_python(spark):
-    got = ch.chunk(_docs(spark, EDGE_TEXTS), "fixed_size").collect()
-    by_doc = {}
-    for r in got:
-        by_doc.setdefault(r.doc_id, []).append((r.chunk_index, r.content, r.start_char, r.end_char))
-    for i, t in enumerate(EDGE_TEXTS):
-        want = [(j, *x) for j, x in enumerate(ch.fixed_size_spans(t))]
-        assert sorted(by_doc.get(i, [])) == want
-
-
-def test_sliding_matches_python(spark):
-    got = ch.chunk(_docs(spark, EDGE_TEXTS), "sliding_window").collect()
-    for i, t in enumerate(EDGE_TEXTS):
-        rows = sorted((r.chunk_index, r.content, r.start_char, r.end_char)
-                      for r in got if r.doc_id == i)
-        assert rows == [(j, *x) for j, x in enumerate(_py_sliding(t))]
-
-
-def test_sentence_and_paragraph_match_python(spark):
-    texts = EDGE_TEXTS + ["p1 line\n\np2 " + "q" * 600 + "\n\n\n\np3", "a" * 255 + ". " + "b" * 256]
-    got_s = ch.chunk(_docs(spark, texts), "sentence").collect()
-    got_p = ch.chunk(_docs(spark, texts), "paragraph").collect()
-    for i, t in enumerate(texts):
-        s = sorted((r.chunk_index, r.content, r.start_char, r.end_char) for r in got_s if r.doc_id == i)
-        p = sorted((r.chunk_index, r.content, r.start_char, r.end_char) for r in got_p if r.doc_id == i)
-        assert s == [(j, *x) for j, x in enumerate(_py_pack(t, r"[.!?]+", " "))]
-        assert p == [(j, *x) for j, x in enumerate(_py_pack(t, "\n\n", "\n\n"))]
+def _chunks(spark, texts, strategy, **kw):
+    out = {i: [] for i in range(len(texts))}
+    for r in ch.chunk(_docs(spark, texts), strategy, **kw).collect():
+        out[r.doc_id].append((r.chunk_index, r.content, r.start_char, r.end_char))
+    return {i: sorted(v) for i, v in out.items()}
+
+
+def test_fixed_size_hand_worked(spark):
+    # size 10, overlap 3, at least 4 characters
+    texts = ["", "abcde", "abcdefghij", "abcd efgh ijkl mnop qrstu", "abcdefghijklmnop", "   x   ", None]
+    got = _chunks(spark, texts, "fixed_size", size=10, overlap=3, min_size=4)
+    assert got[0] == got[5] == got[6] == []
+    assert got[1] == [(0, "abcde", 0, 5)]
+    assert got[2] == [(0, "abcdefghij", 0, 10)]
+    # cut at the last blank before the limit, then 3 characters back
+    assert got[3] == [(0, "abcd efgh", 0, 9), (1, "fgh ijkl", 6, 14), (2, "jkl mnop", 11, 19),
+                      (3, "nop qrstu", 16, 25)]
+    # no blank: cut at the limit
+    assert got[4] == [(0, "abcdefghij", 0, 10), (1, "hijklmnop", 7, 16)]
+
+
+def test_fixed_size_default_lengths(spark):
+    got = _chunks(spark, EDGE_TEXTS, "fixed_size")
+    spans = {i: [(s, e) for _, _, s, e in v] for i, v in got.items()}
+    assert spans[0] == spans[1] == []                   # empty, 49 characters
+    assert spans[2] == [(0, 50)]                        # exactly the minimum
+    assert spans[3] == [(0, 511)] or spans[3] == [(0, 511), (461, 511)]
+    assert spans[5][0] == (0, 512) and spans[5][1][0] == 462
+
+
+def test_sliding_hand_worked(spark):
+    got = _chunks(spark, ["x" * 49, "x" * 50, "y" * 512, "w" * 513, "a" * 974, "b" * 975], "sliding_window")
+    spans = {i: [(s, e) for _, _, s, e in v] for i, v in got.items()}
+    assert spans[0] == []
+    assert spans[1] == [(0, 50)]
+    assert spans[2] == [(0, 512)]
+    assert spans[3] == [(0, 512), (462, 513)]
+    assert spans[4] == [(0, 512), (462, 974)]
+    assert spans[5] == [(0, 512), (462, 974), (924, 975)]
+
+
+def test_sentence_and_paragraph_hand_worked(spark):
+    kw = {"size": 10}
+    got = _chunks(spark, ["One. Two! Three? Four", "..!!??", "longer than ten. no", ""], "sentence", **kw)
+    assert got[0] == [(0, "One Two", 0, 7), (1, "Three Four", 7, 17)]
+    assert got[1] == got[3] == []
+    assert got[2] == [(0, "longer than ten", 0, 15), (1, "no", 15, 17)]
+    got = _chunks(spark, ["ab\n\ncd\n\n\n\nefghij\n\nk"], "paragraph", **kw)
+    assert got[0] == [(0, "ab\n\ncd", 0, 6), (1, "efghij\n\nk", 6, 15)]
 
 
 def test_exactly_512_after_join(spark):
@@ -135,3 +124,27 @@ def test_pii_findings_and_mask(spark):
 def test_short_probe(spark):
     df = spark.createDataFrame([("abc",), ("a b",), ("abcdefghij",)], "t string")
     assert [r.p for r in df.select(sf.short_probe("t").alias("p")).collect()] == [True, False, False]
+
+
+def test_overlapping_and_bounded_findings(spark):
+    texts = ["see http://10.0.0.1/a now", "v 1.2.3.4444 and 300.1.2.3", "id 12345678901234567890",
+             "a@b.example.com,c@d.example.com", "10.0.0.1", "4111 1111 1111 1111 10.0.0.1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    m = {r.i: r.m for r in df.select("i", sf.pii_mask("t").alias("m")).collect()}
+    assert m[0] == "see [URL] now"
+    assert m[1] == texts[1] and m[2] == texts[2]
+    assert m[3] == "[EMAIL],[EMAIL]"
+    assert m[4] == "[IP_ADDRESS]" and m[5] == "[CREDIT_CARD] [IP_ADDRESS]"
+    f = df.select("i", F.explode(sf.pii_findings("t")).alias("f")).select("i", "f.*").collect()
+    assert all(texts[r.i][r.start:r.end] == r.text for r in f)
+    # Positions from the right
+    order = df.filter("i = 3").select(sf.entity_order_desc(sf.pii_findings("t")).alias("x")).first().x
+    assert [x.start for x in order] == sorted((x.start for x in order), reverse=True)
+
+
+def test_risk_reads_each_pattern_once(spark):
+    df = spark.createDataFrame([("x",)], "t string").withColumn("cr", sf.content_risk("t"))
+    out = df.select("cr.blocked", "cr.risk_score", "cr.reasons", "cr.filtered_content")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == len(sf.SUSPICIOUS_PATTERNS)
+    assert plan.count("lower(") == 1
