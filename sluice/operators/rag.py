@@ -23,7 +23,7 @@ def rag_context(hits: DataFrame, max_len: int = MAX_CONTEXT, title_col: str = "t
     Lengths are positive, so the running-sum prefix is that break."""
     piece = F.concat(F.lit("[Source: "), F.coalesce(F.nullif(F.col(title_col), F.lit("")),
                                                     F.lit("Unknown")),
-                     F.lit("]\n"), F.col(content_col), F.lit("\n"))
+                     F.lit("]\n"), F.coalesce(F.col(content_col), F.lit("")), F.lit("\n"))
     if include_metadata and url_col:
         piece = F.concat(piece, F.when(F.col(url_col).isNotNull() & (F.col(url_col) != ""),
                                        F.concat(F.lit("URL: "), F.col(url_col), F.lit("\n")))

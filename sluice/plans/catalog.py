@@ -43,7 +43,7 @@ def q_search_page(spark, sf_dir):
 
 @register("knn_join")
 def q_knn_join(spark, sf_dir):
-    hits = rt.knn_join(inp.vector_queries(spark, sf_dir), inp.vector_corpus(spark, sf_dir), 10)
+    hits = rt.knn_join(inp.vector_queries(spark, sf_dir), inp.vectors(spark, sf_dir), 10)
     return hits.select("query_id", "chunk_id", "rank", r6("similarity_score"))
 
 
@@ -57,7 +57,8 @@ def q_metadata_filter(spark, sf_dir):
 
 @register("similar_chunks")
 def q_similar_chunks(spark, sf_dir):
-    hits = rt.similar_chunks(inp.vector_corpus(spark, sf_dir), 5)
+    chunks = inp.vectors(spark, sf_dir)
+    hits = rt.similar_chunks(chunks, 5, queries=chunks.filter(F.col("chunk_id") % 50 == 0))
     return hits.select("query_id", "chunk_id", "rank", r6("similarity_score"))
 
 
@@ -859,9 +860,17 @@ def q_latest_quote(spark, sf_dir):
                     "volume")
 
 
+@register("knn_recall")
+def q_knn_recall(spark, sf_dir):
+    """Recall of J3 against J2 at 10, over the whole query set."""
+    q, c = inp.vector_queries(spark, sf_dir), inp.vectors(spark, sf_dir)
+    r = rt.recall_at_k(rt.knn_approx(q, c, 10), rt.knn_join(q, c, 10))
+    return r.select(r6("recall"), (F.col("recall") >= 0.9).alias("enough"))
+
+
 @register("knn_approx")
 def q_knn_approx(spark, sf_dir):
-    a = rt.knn_approx(inp.vector_queries(spark, sf_dir), inp.vector_corpus(spark, sf_dir), 10)
+    a = rt.knn_approx(inp.vector_queries(spark, sf_dir), inp.vectors(spark, sf_dir), 10)
     return a.select("query_id", "chunk_id", "rank", r6("similarity_score"))
 
 

@@ -10,14 +10,14 @@ ORACLE: dict[str, str] = {}
 
 CORPUS = """
 corpus AS (
-  SELECT e.vec_id AS chunk_id, e.embedding::DOUBLE[] AS cv, d.text AS content,
+  SELECT e.vec_id AS chunk_id, e.embedding::DOUBLE[] AS cv, coalesce(d.text, '') AS content,
          d.lang, d.source, e.label
-  FROM embeddings e JOIN documents d ON e.vec_id = d.doc_id),
-qry AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings)"""
+  FROM embeddings e LEFT JOIN documents d ON e.vec_id = d.doc_id),
+qry AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 50 = 0)"""
 
 
 def knn_sql(k: int, where: str = "TRUE", self_join: bool = False) -> str:
-    src = "corpus q2" if self_join else "qry"
+    src = "corpus q2 WHERE q2.chunk_id % 50 = 0" if self_join else "qry"
     qcols = "q2.chunk_id AS query_id, q2.cv AS qv" if self_join else "query_id, qv"
     excl = "AND q.query_id <> c.chunk_id" if self_join else ""
     return f"""
@@ -962,6 +962,30 @@ SELECT symbol, round(arg_max(value, (ts, event_id)), 6) AS price,
 FROM t GROUP BY symbol"""
 
 
+# planes: coordinate i of plane b of table t from md5('t:b:i'); 16 tables of 4 planes
+APPROX = f"""{CORPUS},
+plane AS (SELECT t, b, i, ('0x' || substr(md5(t::VARCHAR || ':' || b::VARCHAR || ':' || (i - 1)::VARCHAR), 1, 8))::BIGINT
+                 / 2147483648.0::DOUBLE - 1 AS v
+          FROM range(16) x(t), range(4) y(b), range(1, 65) z(i)),
+coord AS (SELECT chunk_id, i, cv[i] AS v FROM corpus, range(1, 65) z(i)),
+sign AS (SELECT chunk_id, t, b, sum(coord.v * plane.v) > 0 AS s FROM coord JOIN plane USING (i) GROUP BY ALL),
+bucket AS (SELECT chunk_id, t, sum(CASE WHEN s THEN 1 << b ELSE 0 END) AS k FROM sign GROUP BY ALL),
+met AS (SELECT DISTINCT q.chunk_id AS query_id, c.chunk_id FROM bucket q JOIN bucket c USING (t, k)
+        WHERE q.chunk_id % 50 = 0),
+approx AS (
+  SELECT query_id, m.chunk_id, (1 + list_cosine_similarity(qv, cv)) / 2 AS similarity_score,
+         row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, m.chunk_id) AS rank
+  FROM met m JOIN qry USING (query_id) JOIN corpus c ON c.chunk_id = m.chunk_id QUALIFY rank <= 10)"""
+
+ORACLE["knn_approx"] = f"""WITH {APPROX}
+SELECT query_id, chunk_id, rank, round(similarity_score, 6) AS similarity_score FROM approx"""
+
+ORACLE["knn_recall"] = f"""WITH {APPROX}, {knn_sql(10)}
+SELECT round(avg(CASE WHEN a.chunk_id IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall,
+       avg(CASE WHEN a.chunk_id IS NULL THEN 0.0 ELSE 1.0 END) >= 0.9 AS enough
+FROM hits h LEFT JOIN approx a ON a.query_id = h.query_id AND a.chunk_id = h.chunk_id"""
+
+
 # ------------------------------------------------------------- plug-ins ---
 ORACLE["sql_query"] = """
 SELECT l_returnflag, l_linestatus, sum(l_quantity)::DOUBLE AS sum_qty,

@@ -55,14 +55,14 @@ def test_knn_ties_break_on_id(spark):
 
 
 def test_knn_query_blocks(spark):
-    # a tiny block bound forces several broadcast blocks; result unchanged
+    # small blocks meet pair by pair; result unchanged
     rng = np.random.default_rng(2)
     cdf = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(50)],
                                 "chunk_id long, embedding array<double>")
     qdf = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(9)],
                                 "query_id long, embedding array<double>")
     a = sorted(map(tuple, rt.knn_join(qdf, cdf, 3).select("query_id", "chunk_id", "rank").collect()))
-    b = sorted(map(tuple, rt.knn_join(qdf, cdf, 3, max_block_bytes=200)
+    b = sorted(map(tuple, rt.knn_join(qdf, cdf, 3, block_queries=2, block_chunks=7)
                    .select("query_id", "chunk_id", "rank").collect()))
     assert a == b
 
@@ -73,6 +73,8 @@ def test_metadata_filter_folding(spark):
     assert rt.metadata_filter({"x": None}) is None                 # other types ignored
     df = spark.createDataFrame([(1, "en", 1), (2, "de", 0), (3, "fr", 1)],
                                "id int, lang string, flag int")
+    flags = spark.createDataFrame([(1, True), (2, False)], "id int, flag boolean")
+    assert [r.id for r in rt.apply_filter(flags, {"flag": True}).collect()] == [1]
     f = rt.metadata_filter({"lang": ["en", "fr", 3], "flag": True})
     assert sorted(r.id for r in df.filter(f).collect()) == [1, 3]
 
