@@ -3,7 +3,7 @@
 A document's set holds its distinct ``SHINGLE``-word shingles as 64-bit hashes
 (the whole word sequence if it has fewer words). Two documents link when
 100 * intersection >= PERCENT * union. The result names each document's
-component under the links.
+component under the links and counts its links.
 
 1. Equal sets are one class, named by its smallest id (a sum over hashed
    tokens identifies a set); copies go no further.
@@ -11,19 +11,21 @@ component under the links.
    of tokens, the others in hash order. A class shows only the prefix of its
    tokens: |x| - ceil(0.8 |x|) + l(|x|) of them, with l(n) = 1 + n // SLACK.
    Linked classes x, y share at least min(l(|x|), l(|y|)) prefix tokens.
-3. Groups of similar documents: each class is compared with the smallest class
-   that holds one of its tokens if they share enough prefix tokens; verified
-   links, closed under components, make the groups. Candidates are linear in
-   the prefix tokens, also for thousands of near copies.
-4. Token-group matrix: (token, group) for each group's union of prefix tokens.
-   The number of a query's tokens found in another group bounds the tokens
-   shared with any member; only groups that reach l(ceil(0.8 |query|)) are
-   opened and their members compared. Inside its own group a query has nothing
-   to gain, so a large group of near copies is never paired up.
-5. The links of 3 and 4 give the components. Every link between classes of
-   different groups is found by 4, so none is lost.
-
-Texts move only for candidate pairs: a bitmap of fixed size keeps all other
+3. Groups of similar classes: a class joins the smallest class with which it
+   shares the most prefix tokens, if they are enough for a link. A large group
+   is dealt into blocks of bounded size; blocks are the groups from here on.
+4. Token-group matrix: (token, group) for the union of each group's prefix
+   tokens. Two groups that have fewer tokens in common than any two of their
+   members would need are never opened together.
+5. An opened pair of groups meets in one task: each member of one is first
+   bounded by its overlap with the other's token union, and only if that is
+   large enough compared with the members. The task reports a spanning set of
+   the links and the number of links of each member, never the pairs.
+6. The links give the components. Two linked classes are in one group, which
+   is always opened with itself, or in two groups that 4 opens: no link is
+   lost.
+
+Texts move only for opened groups: a bitmap of fixed size keeps all other
 documents out of the shuffle.
 
 Defined results: null text and text without words has an empty set and links
@@ -53,6 +55,8 @@ COMMON_LOCAL = 2        # documents of one chunk that make a token a candidate
 COMMON = 16             # documents that make a token common
 MAX_COMMON = 1 << 18    # bound of the broadcast list (the most frequent)
 SPLIT = 5000            # documents of one common token in one place
+BLOCK_DOCS = 1024       # classes of one group
+BLOCK_TOKENS = 400_000  # tokens of one group, but for a single larger class
 BITMAP_BITS = 24        # bits of the bitmap of candidate ids, as a power of two
 _U = np.uint64
 
@@ -91,8 +95,7 @@ def prefix_size(n: int) -> int:
 
 def least_shared(n: Column) -> Column:
     """Prefix tokens that a set of size ``n`` shares with any partner."""
-    smallest = F.ceil(n * PERCENT / 100)
-    return F.floor(smallest / SLACK) + 1
+    return F.floor(F.ceil(n * PERCENT / 100) / SLACK) + 1
 
 
 def common_tokens(docs: DataFrame, text_col: str, common: int, common_local: int) -> DataFrame:
@@ -209,45 +212,122 @@ def only_listed(docs: DataFrame, key: str, listed: DataFrame) -> DataFrame:
     return hit.filter(F.expr("(shiftright(bits, cast(__bit & 63 as int)) & 1L) = 1")).select(*docs.columns)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The pairs (a, b) whose documents link."""
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = only_listed(texts, "id", pairs.select(F.explode(F.array("a", "b")).alias("id")))
-    both = (pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b"))
+class Member:
+    """Sets of one side of an opened pair: tokens by place."""
+
+    def __init__(self, ids: list, sizes: list[int], sets: list[np.ndarray]):
+        self.ids, self.weights, self.sets = ids, np.array(sizes), sets
+        self.lengths = np.array([len(x) for x in sets])
+        flat = np.concatenate(sets) if sets else np.zeros(0, _U)
+        order = np.argsort(flat, kind="stable")
+        self.union, first = np.unique(flat[order], return_index=True)
+        self.owner = np.repeat(np.arange(len(sets)), self.lengths)[order]
+        self.begin = np.append(first, len(flat))
+
+    def overlaps(self, x: np.ndarray) -> np.ndarray | None:
+        """Tokens that ``x`` shares with each set; None if the union of all
+        holds too few of them for any link."""
+        at = np.minimum(np.searchsorted(self.union, x), len(self.union) - 1)
+        at = at[self.union[at] == x]
+        if len(at) < least_overlap(len(x)):
+            return None
+        size = self.begin[at + 1] - self.begin[at]
+        place = np.arange(size.sum()) + np.repeat(self.begin[at] - (np.cumsum(size) - size), size)
+        return np.bincount(self.owner[place], minlength=len(self.sets))
+
+
+def compare(a: Member, b: Member | None) -> tuple[list, list, list]:
+    """Links of ``a`` with ``b``, or inside ``a``: (node, partner) of a
+    spanning set, and (node, None, links) of each linked member."""
+    other = a if b is None else b
+    n_a = len(a.sets)
+    root = list(range(n_a + (0 if b is None else len(other.sets))))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+    count = [np.zeros(n_a, dtype=np.int64), np.zeros(len(other.sets), dtype=np.int64)]
+    node, partner, links = [], [], []
+    shift = 0 if b is None else n_a
+    for i, x in enumerate(a.sets):
+        both = other.overlaps(x)
+        if both is None:
+            continue
+        linked = 100 * both >= PERCENT * (len(x) + other.lengths - both)
+        if b is None:
+            linked[i:] = False              # each pair once
+        for j in np.flatnonzero(linked).tolist():
+            if a.ids[i] == other.ids[j]:
+                continue                    # rows of one node
+            count[0][i] += other.weights[j]
+            count[1][j] += a.weights[i]
+            u, v = find(i), find(j + shift)
+            if u != v:
+                root[u] = v
+                node.append(a.ids[i])
+                partner.append(other.ids[j])
+                links.append(0)
+    for side, c in ((a, count[0]), (other, count[1])):
+        for i in np.flatnonzero(c).tolist():
+            node.append(side.ids[i])
+            partner.append(None)
+            links.append(int(c[i]))
+    return node, partner, links
+
+
+def find_links(opened: DataFrame, members: DataFrame, docs: DataFrame, id_col: str, text_col: str,
+               kind: str) -> DataFrame:
+    """(a, b, links): spanning links (a, b, 0) and link counts (a, null, n) of
+    the opened pairs of groups (g, h)."""
+    side = lambda c, name: opened.join(members.withColumnRenamed("group", c), c).select(
+        "g", "h", F.lit(name).alias("side"), "doc", "size")
+    rows = side("g", 0).unionByName(side("h", 1).filter("g <> h"))
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    texts = only_listed(texts, "doc", members.select(F.col("doc").alias("id")))
+    both = (rows.join(texts, "doc").repartition("g", "h").sortWithinPartitions("g", "h", "side", "doc")
+            .select("g", "h", "side", "doc", "size", "text"))
+
+    def read(rows: list[pa.RecordBatch], want: int) -> Member:
+        t = pa.Table.from_batches(rows).combine_chunks()
+        t = t.filter(pa.array(t["side"].to_numpy() == want)).combine_chunks()
+        sets = []
+        for c in t["text"].chunks:
+            for s in tk.slices(c, fold=tk.LOWER):
+                sets += list(token_sets(s))
+        return Member(t["doc"].to_pylist(), t["size"].to_pylist(), sets)
+
+    def judge(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        one = held[0].column(0)[0].as_py() == held[0].column(1)[0].as_py()
+        node, partner, links = compare(read(held, 0), None if one else read(held, 1))
+        names = held[0].schema.field("doc").type
+        return pa.RecordBatch.from_arrays([pa.array(node, names), pa.array(partner, names),
+                                           pa.array(links, pa.int64())], names=["a", "b", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept_text, kept_set = None, None            # rows of one b follow each other
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            ta, tb = b.column(2), b.column(3)
-            good = []
-            i = 0
-            for s in tk.slices(ta, fold=tk.LOWER):
-                for x in token_sets(s):
-                    text = tb[i].as_py()
-                    if text != kept_text:
-                        kept_text = text
-                        kept_set = next(token_sets(next(tk.slices(pa.array([text], pa.string()),
-                                                                  fold=tk.LOWER))))
-                    y = kept_set
-                    both_n = len(np.intersect1d(x, y, assume_unique=True)) \
-                        if PERCENT * max(len(x), len(y)) <= 100 * min(len(x), len(y)) else 0
-                    if both_n and 100 * both_n >= PERCENT * (len(x) + len(y) - both_n):
-                        good.append(i)
-                    i += 1
-            take = pa.array(good, pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take)],
-                                             names=["a", "b"])
-    kind = docs.schema[id_col].dataType.simpleString()
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, f"a {kind}, b {kind}")
+            g, h = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((g[1:] != g[:-1]) | (h[1:] != h[:-1])) + 1).tolist(), b.num_rows]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if i == j:
+                    continue
+                if held and (held[-1].column(0)[0].as_py(), held[-1].column(1)[0].as_py()) != (g[i], h[i]):
+                    yield judge(held)
+                    held = []
+                held.append(b.slice(i, j - i))
+        if held:
+            yield judge(held)
+    return both.mapInArrow(run, f"a {kind}, b {kind}, links bigint")
 
 
 def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-                    common: int = COMMON, common_local: int = COMMON_LOCAL,
-                    split: int = SPLIT) -> DataFrame:
-    """One row per document: its id, n_shingles and component_id, the smallest
-    id reachable by links. ``common``, ``common_local`` and ``split`` spread
-    the work and do not change results."""
+                    common: int = COMMON, common_local: int = COMMON_LOCAL, split: int = SPLIT,
+                    block_docs: int = BLOCK_DOCS, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """One row per document: its id, n_shingles, component_id (the smallest id
+    reachable by links) and n_links (documents it links with). ``common`` and
+    the other numbers spread the work and do not change results."""
     kind = docs.schema[id_col].dataType.simpleString()
     often = materialise(common_tokens(docs, text_col, common, common_local), "join-common")
     listed = often.toPandas()                        # at most MAX_COMMON rows
@@ -266,48 +346,51 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = rows.repartition("token", "part").sortWithinPartitions("token", "part", "doc")
     shared = materialise(postings(rows, kind), "join-postings")
 
-    # 3. groups: verified links to the smallest class of a token
-    tops = shared.groupBy("token").agg(F.min("first").alias("top"))
-    split_tops = (shared.select("token", "first").distinct().join(tops, "token")
-                  .filter(F.col("first") != F.col("top"))
-                  .groupBy(F.col("first").alias("a"), F.col("top").alias("b")).agg(F.count("*").alias("c")))
-    stars = (shared.filter(F.col("doc") != F.col("first"))
-             .groupBy(F.col("doc").alias("a"), F.col("first").alias("b"), "n").agg(F.count("*").alias("c"))
-             .filter(F.col("c") >= least_shared(F.col("n"))).select("a", "b"))
-    tried = materialise(stars.union(split_tops.select("a", "b")).distinct(), "join-stars")
-    links = materialise(verify(tried, docs, id_col, text_col), "join-links")
-    groups = materialise(components(links), "join-groups")
+    # 3. groups of bounded size
+    alike = (shared.groupBy("doc", "n", "first").agg(F.count("*").alias("c"))
+             .filter(F.col("c") >= least_shared(F.col("n")))
+             .groupBy("doc").agg(F.max(F.struct("c", (-F.hash("first")).alias("tie"), "first"))["first"]
+                                 .alias("key")))
+    sizes = real.groupBy("f1", "f2", "n").agg(F.min("doc").alias("doc"), F.count("*").alias("size"))
+    named = (shared.select("doc").distinct().join(alike, "doc", "left")
+             .join(sizes.select("doc", "n", "size"), "doc")
+             .select("doc", "n", "size", F.coalesce("key", "doc").alias("key")))
+    named = materialise(named, "join-keys")
+    blocks = F.greatest(F.ceil(F.count("*") / block_docs), F.ceil(F.sum("n") / block_tokens), F.lit(1))
+    members = named.join(named.groupBy("key").agg(blocks.alias("blocks")), "key").select(
+        "doc", "n", "size", F.xxhash64("key", F.pmod(F.xxhash64("doc"), F.col("blocks"))).alias("group"))
+    members = materialise(members, "join-members")
 
     # 4. token-group matrix over the tokens that different groups hold
-    grouped = (shared.select("token", "doc", "n").distinct()
-               .join(groups.withColumnRenamed("node", "doc"), "doc", "left")
-               .select("token", "doc", "n", F.coalesce("label", "doc").alias("g")))
-    mixed = (grouped.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"))
-             .filter(F.col("lo") != F.col("hi")).select("token"))
-    grouped = materialise(grouped.join(mixed, "token"), "join-grouped")
-    matrix = grouped.select("token", F.col("g").alias("other")).distinct()
-    opened = (grouped.join(matrix, "token").filter(F.col("g") != F.col("other"))
-              .groupBy("doc", "n", "other").agg(F.count("*").alias("c"))
-              .filter(F.col("c") >= least_shared(F.col("n"))).select("doc", "other"))
-    opened = materialise(opened, "join-opened")
-    # both sides of a link open each other's group: keep pairs once
-    query = grouped.join(opened, "doc").select("token", F.col("doc").alias("a"), "n", "other")
-    member = grouped.select("token", F.col("doc").alias("b"), F.col("g").alias("other"),
-                            F.col("n").alias("m"))
-    close = (F.col("n") * PERCENT <= F.col("m") * 100) & (F.col("m") * PERCENT <= F.col("n") * 100)
-    pairs = (query.join(member, ["token", "other"]).filter(close & (F.col("a") > F.col("b")))
-             .groupBy("a", "b", "n", "m").agg(F.count("*").alias("c"))
-             .filter(F.col("c") >= least_shared(F.greatest("n", "m"))).select("a", "b").distinct())
-    pairs = materialise(pairs.join(tried, ["a", "b"], "left_anti"), "join-pairs")
-    more = verify(pairs, docs, id_col, text_col)
-    labels = materialise(components(links.union(more)), "join-components")
-
-    # 5. every document: its class, the class's component
-    reps = real.groupBy("f1", "f2", "n").agg(F.min("doc").alias("rep"))
-    named = reps.join(labels, F.col("rep") == F.col("node"), "left").select(
-        "f1", "f2", "n", F.coalesce("label", "rep").alias("component_id"))
-    linked = real.join(named, ["f1", "f2", "n"]).select("doc", "n", "component_id")
+    place = members.select("doc", "group").distinct()
+    matrix = shared.select("token", "doc").join(place, "doc").select("token", "group").distinct()
+    groups = members.groupBy("group").agg(F.min("n").alias("least"), F.count("*").alias("docs"))
+    mixed = matrix.groupBy("token").agg(F.count("*").alias("times")).filter("times > 1").select("token")
+    matrix = materialise(matrix.join(mixed, "token"), "join-matrix")
+    pairs = (matrix.select("token", F.col("group").alias("g"))
+             .join(matrix.select("token", F.col("group").alias("h")), "token").filter("g < h")
+             .groupBy("g", "h").agg(F.count("*").alias("c")))
+    low = lambda c: groups.select(F.col("group").alias(c), F.col("least").alias(f"least_{c}"))
+    across = (pairs.join(low("g"), "g").join(low("h"), "h")
+              .filter(F.col("c") >= F.floor(F.least("least_g", "least_h") / SLACK) + 1).select("g", "h"))
+    inside = groups.filter("docs > 1").select(F.col("group").alias("g"), F.col("group").alias("h"))
+    opened = materialise(across.unionByName(inside), "join-opened")
+
+    # 5. links of the opened groups
+    seen = opened.select(F.explode(F.array("g", "h")).alias("group")).distinct()
+    found = materialise(find_links(opened, members.join(seen, "group").select("doc", "size", "group"),
+                                   docs, id_col, text_col, kind), "join-links")
+    labels = materialise(components(found.filter(F.col("b").isNotNull()).select("a", "b")),
+                         "join-components")
+    counted = found.filter(F.col("b").isNull()).groupBy("a").agg(F.sum("links").alias("links"))
+
+    # 6. every document: its class, the class's component and links
+    reps = (sizes.join(labels, F.col("doc") == F.col("node"), "left")
+            .join(counted, F.col("doc") == F.col("a"), "left")
+            .select("f1", "f2", "n", F.coalesce("label", "doc").alias("component_id"),
+                    (F.coalesce("links", F.lit(0)) + F.col("size") - 1).alias("n_links")))
+    linked = real.join(reps, ["f1", "f2", "n"]).select("doc", "n", "component_id", "n_links")
     alone = sigs.filter((F.col("n") == 0) | F.col("doc").isNull()).select(
-        "doc", "n", F.col("doc").alias("component_id"))
+        "doc", "n", F.col("doc").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
     return linked.unionByName(alone).select(F.col("doc").alias(id_col),
-                                            F.col("n").alias("n_shingles"), "component_id")
+                                            F.col("n").alias("n_shingles"), "component_id", "n_links")

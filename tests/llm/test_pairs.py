@@ -88,6 +88,7 @@ def brute_components(rows):
         sets[d] = s
     ids = [d for d in sets if d is not None]
     parent = {d: d for d in ids}
+    links = dict.fromkeys(sets, 0)
 
     def find(x):
         while parent[x] != x:
@@ -97,9 +98,11 @@ def brute_components(rows):
         for b in ids[:i]:
             both = len(sets[a] & sets[b])
             if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                links[a] += 1
+                links[b] += 1
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-    return {d: (len(sets[d]), find(d) if d is not None else None) for d in sets}
+    return {d: (len(sets[d]), find(d) if d is not None else None, links[d]) for d in sets}
 
 
 def chain(n=40):
@@ -115,10 +118,10 @@ def chain(n=40):
 def test_components_match_brute_force(make):
     rows = corpus(3) + chain() + EDGE
     want = brute_components(rows)
-    assert len({c for _, c in want.values()}) < len(want) - 20
-    for knobs in ({}, {"common": 2, "common_local": 1, "split": 3}):
+    assert len({w[1] for w in want.values()}) < len(want) - 20
+    for knobs in ({}, {"common": 2, "common_local": 1, "split": 3, "block_docs": 2}):
         out = ngram_join.link_components(make(rows), **knobs).collect()
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in out} == want
+        assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in out} == want
 
 
 def test_many_near_copies_are_one_component(make):
@@ -130,8 +133,8 @@ def test_many_near_copies_are_one_component(make):
         w[r.randrange(200)] = f"z{i}"
         rows.append((i, " ".join(w)))
     want = brute_components(rows)
-    out = ngram_join.link_components(make(rows), common=2, common_local=1, split=10).collect()
-    assert {x.doc_id: (x.n_shingles, x.component_id) for x in out} == want
+    out = ngram_join.link_components(make(rows), common=2, common_local=1, split=10, block_tokens=3000).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in out} == want
 
 
 def test_join_of_empty_and_repeated_rows(make):
