@@ -2,17 +2,19 @@
 alert_stats.
 
 W12 is sequential (a match fires only if the rule's last *fired* alert is
-at least ``cooldown`` old). Matches are hash-partitioned by rule and sorted
-inside the partition; a streaming fold keeps one timestamp per rule.
+at least ``cooldown`` old), but a match that follows the one before it by the
+cooldown fires in any case: segments between such gaps are independent and are
+folded apart, so a rule is not one task.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.operators.timeline import segments
+
 US = 1_000_000
 OPERATORS = (">=", "<=", "==", "!=", ">", "<")   # parsed longest first
 
@@ -54,28 +56,26 @@ def alert_match(samples: DataFrame, rules: DataFrame, metric: str = "metric",
     return j.filter(alert_compare(F.col(value), F.col("op"), F.col("threshold")))
 
 
-def _cooldown_fold(id_col: str):
-    def run(batches):
-        last: dict = {}
-        for pdf in batches:
-            fired = []
-            for name, t, cd in zip(pdf["name"].to_numpy(), pdf["_us"].to_numpy(),
-                                   pdf["cooldown_s"].to_numpy()):
-                prev = last.get(name)
-                ok = prev is None or t - prev >= int(cd) * US
-                if ok:
-                    last[name] = t
-                fired.append(ok)
-            yield pdf.drop(columns=["_us"]).assign(fired=fired)
-    return run
+def _cooldown_fold(batches):
+    segment, last = None, None
+    for pdf in batches:
+        fired = []
+        for name, seg, t, cd in zip(pdf["name"].to_numpy(), pdf["_seg"].to_numpy(),
+                                    pdf["_us"].to_numpy(), pdf["cooldown_s"].to_numpy()):
+            fired.append((name, seg) != segment or t - last >= int(cd) * US)
+            if fired[-1]:
+                segment, last = (name, seg), t
+        yield pdf.drop(columns=["_us", "_seg"]).assign(fired=fired)
 
 
 def alert_cooldown(matches: DataFrame, ts: str = "ts", id_col: str = "event_id") -> DataFrame:
     """Keep the matches that fire under the rule's cooldown."""
-    d = matches.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    part = d.repartition("name").sortWithinPartitions("name", "_us", id_col)
+    d = segments(matches.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))), "name", "_us",
+                 id_col, F.col("cooldown_s") * US)
+    part = (d.select(*matches.columns, "_us", "_seg").repartition("name", "_seg")
+            .sortWithinPartitions("name", "_seg", "_us", id_col))
     schema = T.StructType([*matches.schema.fields, T.StructField("fired", T.BooleanType())])
-    return part.mapInPandas(_cooldown_fold(id_col), schema).filter("fired").drop("fired")
+    return part.mapInPandas(_cooldown_fold, schema).filter("fired").drop("fired")
 
 
 def alert_stats(alerts: DataFrame) -> DataFrame:

@@ -3,20 +3,22 @@ levels (J7), presence (J12), missing keys and warm plans (J11, S4, S5),
 LRU eviction plan (W9), hot keys (W10, T5), write coalescing (W14), cache
 keys (F24, F25) and expiry (F26).
 
-The replay is an as-of computation without a join: gets, sets and deletes
-of one key are ordered in one window and each get sees the last set/delete
-before it (``last(..., ignorenulls)`` over the preceding rows).
+The replay is an as-of computation: each operation sees the last set or delete
+of its key before it. Operations are ordered inside (key, day); the last write
+of the days before comes from a table with one row per (key, day), so a hot
+key is not one task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from sluice.operators.timeline import carried, join_slots
+from sluice.session import write_table
 
 DEFAULT_TTL_S = 3600
 MAX_ENTRIES = 10000
@@ -63,14 +65,17 @@ def replay(ops: DataFrame, key: str = "key", ts: str = "ts", id_col: str = "op_i
 
     get -> hit | miss | expired (expired counts as miss and eviction);
     set -> set; delete -> delete. Adds created_at/ttl of the entry seen."""
-    w = (W.partitionBy(key).orderBy(_us(ts), F.col(id_col))
-         .rowsBetween(W.unboundedPreceding, -1))
     is_write = F.col("op").isin("set", "delete")
-    last_write = F.last(F.when(is_write, F.struct(
+    write = F.when(is_write, F.struct(
         F.col("op").alias("op"), F.col(ts).cast("timestamp").alias("at"),
-        effective_ttl(F.col("ttl_s")).alias("ttl_s"), F.col("size_bytes").alias("size"))),
-        ignorenulls=True).over(w)
-    d = ops.withColumn("_lw", last_write)
+        effective_ttl(F.col("ttl_s")).alias("ttl_s"), F.col("size_bytes").alias("size")))
+    d = (ops.withColumn("_slot", F.floor(_us(ts) / (86400 * US)).cast("long"))
+         .withColumn("_w", write).withColumn("_o", F.struct(_us(ts).alias("u"), F.col(id_col).alias("i"))))
+    w = W.partitionBy(key, "_slot").orderBy("_o").rowsBetween(W.unboundedPreceding, -1)
+    d = d.withColumn("_here", F.last("_w", ignorenulls=True).over(w))
+    d = join_slots(d, carried(d, [key], F.max_by("_w", F.when(is_write, F.col("_o")))), [key])
+    d = (d.withColumn("_lw", F.coalesce("_here", "carry"))
+         .drop("_slot", "_w", "_o", "_here", "carry"))
     present = F.col("_lw").isNotNull() & (F.col("_lw.op") == "set")
     expired = present & is_expired(F.col("_lw.at"), F.col("_lw.ttl_s"), F.col(ts).cast("timestamp"))
     status = (F.when(F.col("op") != "get", F.col("op"))
@@ -94,6 +99,12 @@ def cache_stats(replayed: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     return out.withColumn("hit_ratio", F.when(tot > 0, F.col("hits") / tot).otherwise(F.lit(0.0)))
 
 
+def cache_size(entries: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """A8, second half: entries and bytes held."""
+    return entries.groupBy(*group).agg(F.count("*").alias("entries"),
+                                       F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
+
+
 def cache_stats_combined(per_level: DataFrame) -> DataFrame:
     """Both levels together; ratio over max(1, total)."""
     out = per_level.agg(F.sum("hits").alias("hits"), F.sum("misses").alias("misses"))
@@ -110,16 +121,16 @@ def entries_as_of(ops: DataFrame, as_of: Column, key: str = "key", ts: str = "ts
     is_write = F.col("op").isin("set", "delete")
     before = (ops.filter(F.col(ts).cast("timestamp") < as_of)
               .withColumn("_o", F.struct(_us(ts).alias("u"), F.col(id_col).alias("i"))))
-    # last write per key, seen by every row of the key (same partitioning as
-    # the aggregate below, so one shuffle serves both)
-    d = before.withColumn("_lw", F.max(F.when(is_write, F.col("_o"))).over(W.partitionBy(key)))
-    g = d.groupBy(key).agg(
+    # last write per key (a partial aggregate), then its accesses
+    last = before.filter(is_write).groupBy(key).agg(
+        F.max("_o").alias("_lw"),
         F.max_by(F.struct(F.col("op"), F.col(ts).cast("timestamp").alias("at"),
                           F.col("size_bytes"), effective_ttl(F.col("ttl_s")).alias("ttl_s"),
-                          F.col("value")),
-                 F.when(is_write, F.col("_o"))).alias("w"),
+                          F.col("value")), "_o").alias("w"))
+    uses = before.join(last.select(key, "_lw"), key).groupBy(key).agg(
         F.max(F.col(ts).cast("timestamp")).alias("last_accessed"),
         F.count_if((F.col("op") == "get") & (F.col("_o") > F.col("_lw"))).alias("access_count"))
+    g = last.join(uses, key)
     live = g.filter(F.col("w.op") == "set")
     return live.select(
         key, F.col("w.value").alias("value"), F.col("w.at").alias("created_at"),
@@ -166,41 +177,30 @@ def missing_keys(wanted: DataFrame, l1: DataFrame, l2: DataFrame, now: Column,
 
 
 # ------------------------------------------------------------------- W9 ---
-def _local_running(order_cols: Sequence[str], size_col: str):
-    def run(batches):
-        n = 0
-        b = 0
-        for pdf in batches:
-            cnt = pd.Series(1, index=pdf.index, dtype="int64").cumsum() + n
-            cum = pdf[size_col].astype("int64").cumsum() + b
-            n = int(cnt.iloc[-1]) if len(pdf) else n
-            b = int(cum.iloc[-1]) if len(pdf) else b
-            yield pdf.assign(_rn=cnt.to_numpy(), _cum=cum.to_numpy())
-    return run
-
-
-def global_running(df: DataFrame, order: Sequence[Column], size_col: str,
+def global_running(df: DataFrame, order: Sequence[Column], key: str, size_col: str,
                    n_parts: int | None = None) -> DataFrame:
     """Rank and running sum of ``size_col`` over a total order, distributed:
-    range-partition on the order, running values inside each partition,
-    then add the offsets of the earlier partitions (a table with one row per
-    partition, broadcast). No step puts all rows into one task."""
+    order, key and size are range-partitioned and written once; running values
+    inside each partition and the totals of the partitions before (one row per
+    partition) both come from that table, so they agree. No step puts all rows
+    into one task; the other columns are joined back by key."""
     spark = df.sparkSession
-    n_parts = n_parts or max(spark.sparkContext.defaultParallelism,
-                             int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ordered = (df.repartitionByRange(n_parts, *order).sortWithinPartitions(*order)
-               .withColumn("_pid", F.spark_partition_id()))
-    schema = T.StructType([*ordered.schema.fields, T.StructField("_rn", T.LongType()),
-                           T.StructField("_cum", T.LongType())])
-    local = ordered.mapInPandas(_local_running(order, size_col), schema)
-    totals = local.groupBy("_pid").agg(F.max("_rn").alias("_pn"), F.max("_cum").alias("_pb"))
-    wp = W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select("_pid", F.coalesce(F.sum("_pn").over(wp), F.lit(0)).alias("_on"),
-                            F.coalesce(F.sum("_pb").over(wp), F.lit(0)).alias("_ob"))
-    return (local.join(F.broadcast(offsets), "_pid")
-            .withColumn("rank", F.col("_rn") + F.col("_on"))
-            .withColumn("running_bytes", F.col("_cum") + F.col("_ob"))
-            .drop("_pid", "_rn", "_cum", "_on", "_ob"))
+    n_parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    named = [F.col(key), F.col(size_col).cast("long").alias("_size"),
+             *[c.alias(f"_k{i}") for i, (c, _) in enumerate(order)]]
+    by = [F.col(f"_k{i}").desc() if down else F.col(f"_k{i}").asc() for i, (_, down) in enumerate(order)]
+    rows = write_table(df.select(*named).repartitionByRange(n_parts, *by, key)
+                       .withColumn("_pid", F.spark_partition_id()), "running")
+    inside = W.partitionBy("_pid").orderBy(*by, key).rowsBetween(W.unboundedPreceding, 0)
+    totals = rows.groupBy("_pid").agg(F.count("*").alias("_pn"), F.sum("_size").alias("_pb"))
+    before = W.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select("_pid", F.coalesce(F.sum("_pn").over(before), F.lit(0)).alias("_on"),
+                            F.coalesce(F.sum("_pb").over(before), F.lit(0)).alias("_ob"))
+    ranked = (rows.withColumn("_rn", F.row_number().over(inside)).withColumn("_cum", F.sum("_size").over(inside))
+              .join(F.broadcast(offsets), "_pid")
+              .select(key, (F.col("_rn") + F.col("_on")).alias("rank"),
+                      (F.col("_cum") + F.col("_ob")).alias("running_bytes")))
+    return df.join(ranked, key)
 
 
 def lru_evict(entries: DataFrame, now: Column, max_entries: int = MAX_ENTRIES,
@@ -212,12 +212,12 @@ def lru_evict(entries: DataFrame, now: Column, max_entries: int = MAX_ENTRIES,
     exp = is_expired(F.col("created_at"), F.col("ttl_s"), now)
     d = entries.withColumn("_expired", exp)
     if order == "lfu":
-        keys = [F.col("access_count").desc(), F.col("last_accessed").desc()]
+        keys = [(F.col("access_count"), True), (F.col("last_accessed"), True)]
     elif order == "ttl":
-        keys = [(F.unix_micros("created_at") + F.col("ttl_s") * US).desc()]
+        keys = [(F.unix_micros("created_at") + F.col("ttl_s") * US, True)]
     else:
-        keys = [F.col("last_accessed").desc()]
-    live = global_running(d.filter(~F.col("_expired")), [*keys, F.col(key)], "size_bytes")
+        keys = [(F.col("last_accessed"), True)]
+    live = global_running(d.filter(~F.col("_expired")), keys, key, "size_bytes")
     kept = (F.col("rank") <= max_entries) & (F.col("running_bytes") <= max_bytes)
     live = (live.withColumn("kept", kept)
             .withColumn("reason", F.when(kept, F.lit(None)).otherwise(F.lit("size_limit"))))

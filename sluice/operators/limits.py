@@ -2,14 +2,12 @@
 rate_limit_admit, W11 flag_attempts, W13 repeat_requests, A20
 failed_attempts, J10 blocked_requests.
 
-W1/W2 are RANGE frames over event microseconds. The reference counts the
-current request plus the earlier ones (``age < window``), so rows at the
-same instant that come later in (ts, id) order are subtracted again.
-
-W3 is sequential: whether a request is admitted depends on which earlier
-ones were admitted. Rows are hash-partitioned by bucket and sorted inside
-the partition; a streaming fold then keeps at most ``limit`` timestamps per
-active bucket, so memory never holds a whole group.
+No operator puts all rows of a key into one task. W1/W2 are RANGE frames over
+(key, time slot), each slot with the one before it copied in. W3 is
+sequential, but a gap of the window's length empties the log: segments between
+such gaps are independent and are folded apart (a bucket without any gap stays
+sequential by definition; it streams with at most ``limit`` times in memory).
+W11 adds up counts per slot.
 """
 
 from __future__ import annotations
@@ -22,6 +20,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluice.operators.timeline import running_counts, segments, with_previous_slot
+
 US = 1_000_000
 
 
@@ -32,13 +32,14 @@ def _micros(ts: str):
 def window_count(df: DataFrame, key: str, ts: str = "ts", id_col: str = "event_id",
                  seconds: int = 60, name: str = "window_count") -> DataFrame:
     """Requests of the same key within ``age < seconds`` up to and including
-    this one (W1 frame; W2 with 3600)."""
-    d = df.withColumn("_us", _micros(ts))
-    w_range = W.partitionBy(key).orderBy("_us").rangeBetween(-(seconds * US - 1), 0)
-    w_peer = W.partitionBy(key, "_us")
-    w_peer_ord = W.partitionBy(key, "_us").orderBy(id_col)
-    later_peers = F.count("*").over(w_peer) - F.row_number().over(w_peer_ord)
-    return (d.withColumn(name, F.count("*").over(w_range) - later_peers).drop("_us"))
+    this one (W1 frame; W2 with 3600), in (ts, id) order."""
+    width = seconds * US
+    d = with_previous_slot(df.withColumn("_us", _micros(ts)), F.floor(F.col("_us") / width))
+    w_range = W.partitionBy(key, "_slot").orderBy("_us").rangeBetween(-(width - 1), 0)
+    w_peer = W.partitionBy(key, "_slot", "_us")
+    later_peers = F.count("*").over(w_peer) - F.row_number().over(w_peer.orderBy(id_col))
+    return (d.withColumn(name, F.count("*").over(w_range) - later_peers)
+            .filter("_own").drop("_us", "_slot", "_own"))
 
 
 def rate_breach(df: DataFrame, key: str = "user_id", ts: str = "ts", id_col: str = "event_id",
@@ -55,33 +56,22 @@ def hourly_count(df: DataFrame, key: str = "user_id", ts: str = "ts",
     return window_count(df, key, ts, id_col, 3600, "requests_last_hour")
 
 
-def _admit_fold(limit: int, window_us: int, key: str, id_col: str):
+def _admit_fold(limit: int, window_us: int, key: str):
     def run(batches):
-        logs: dict = {}
+        segment, log = None, deque()
         for pdf in batches:
-            keys = pdf[key].to_numpy()
-            us = pdf["_us"].to_numpy()
-            admitted = []
-            remaining = []
-            current = []
-            for k, t in zip(keys, us):
-                log = logs.get(k)
-                if log is None:
-                    log = logs[k] = deque()
-                while log and not (log[0] > t - window_us):
+            admitted, remaining, current = [], [], []
+            for k, seg, t in zip(pdf[key].to_numpy(), pdf["_seg"].to_numpy(), pdf["_us"].to_numpy()):
+                if (k, seg) != segment:         # rows of one segment follow each other
+                    segment, log = (k, seg), deque()
+                while log and log[0] <= t - window_us:
                     log.popleft()
-                n = len(log)
-                current.append(n)
-                if n >= limit:
-                    admitted.append(False)
-                    remaining.append(max(0, limit - n))
-                else:
+                current.append(len(log))
+                admitted.append(len(log) < limit)
+                if admitted[-1]:
                     log.append(t)
-                    admitted.append(True)
-                    remaining.append(max(0, limit - len(log)))
-                if not log:
-                    del logs[k]
-            yield pdf.drop(columns=["_us"]).assign(
+                remaining.append(max(0, limit - len(log)))
+            yield pdf.drop(columns=["_us", "_seg"]).assign(
                 admitted=admitted, in_window=pd.array(current, dtype="int64"),
                 remaining=pd.array(remaining, dtype="int64"))
     return run
@@ -94,12 +84,13 @@ def rate_limit_admit(df: DataFrame, key: str, ts: str = "ts", id_col: str = "req
     rejected requests are not recorded; remaining = max(0, limit - admitted).
 
     Returns the input rows plus admitted, in_window, remaining."""
-    d = df.withColumn("_us", _micros(ts))
-    part = d.repartition(key).sortWithinPartitions(key, "_us", id_col)
+    d = segments(df.withColumn("_us", _micros(ts)), key, "_us", id_col, F.lit(seconds * US))
+    d = d.select(*df.columns, "_us", "_seg")
+    part = d.repartition(key, "_seg").sortWithinPartitions(key, "_seg", "_us", id_col)
     schema = T.StructType([*df.schema.fields, T.StructField("admitted", T.BooleanType()),
                            T.StructField("in_window", T.LongType()),
                            T.StructField("remaining", T.LongType())])
-    return part.mapInPandas(_admit_fold(limit, seconds * US, key, id_col), schema)
+    return part.mapInPandas(_admit_fold(limit, seconds * US, key), schema)
 
 
 def failed_attempts(failures: DataFrame, key: str = "identifier") -> DataFrame:
@@ -111,9 +102,8 @@ def flag_attempts(failures: DataFrame, key: str = "identifier", ts: str = "ts",
                   id_col: str = "event_id") -> DataFrame:
     """Running failures per identifier; suspicious from the 6th (> 5),
     blocked when suspicious or > 10."""
-    w = W.partitionBy(key).orderBy(ts, id_col).rowsBetween(W.unboundedPreceding, 0)
-    n = F.count("*").over(w)
-    return (failures.withColumn("failures_so_far", n)
+    day = F.floor(_micros(ts) / (86400 * US))
+    return (running_counts(failures, key, [ts, id_col], day, {"failures_so_far": F.lit(1)})
             .withColumn("suspicious", F.col("failures_so_far") > 5)
             .withColumn("blocked", F.col("suspicious") | (F.col("failures_so_far") > 10)))
 
@@ -129,8 +119,9 @@ def blocked_requests(requests: DataFrame, failures: DataFrame, key: str = "ident
 
 
 def repeat_requests(df: DataFrame, key: str, content: str, limit: int = 10) -> DataFrame:
-    """Identical content (md5) of one key seen more than ``limit`` times."""
-    w = W.partitionBy(key, "_h")
-    return (df.withColumn("_h", F.md5(F.col(content)))
-            .withColumn("repeats", F.count("*").over(w))
-            .withColumn("repeated", F.col("repeats") > limit).drop("_h"))
+    """Identical content (md5) of one key seen more than ``limit`` times:
+    counts summed before the shuffle, joined back."""
+    d = df.withColumn("_h", F.md5(F.col(content)))
+    n = d.groupBy(F.col(key).alias("_k"), F.col("_h").alias("_g")).agg(F.count("*").alias("repeats"))
+    return (d.join(n, F.col(key).eqNullSafe(F.col("_k")) & F.col("_h").eqNullSafe(F.col("_g")))
+            .withColumn("repeated", F.col("repeats") > limit).drop("_h", "_k", "_g"))

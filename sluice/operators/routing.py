@@ -10,9 +10,10 @@ broadcasts the same table (its size is fixed by the configuration).
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sluice.operators.timeline import running_counts
+
 # Default provider configuration (type, models, USD per 1k
 # input / output tokens, priority).
 DEFAULT_PROVIDERS = [
@@ -88,13 +89,14 @@ def price_usage(usage: DataFrame, prices: DataFrame) -> DataFrame:
             .drop("cost_in_1k", "cost_out_1k"))
 
 
-def round_robin(requests: DataFrame, order: list[str], n_providers: int,
+def round_robin(requests: DataFrame, order: str, n_providers: int,
                 names: list[str] | None = None) -> DataFrame:
     """With equal priority and no failures, the load order assigns
-    providers cyclically: (rank - 1) % n over the request order. The rank
-    is computed distributed (range partitions + offsets), not in one task."""
+    providers cyclically: (rank - 1) % n over the request order (``order``
+    identifies a request). The rank is computed distributed (range partitions
+    + offsets), not in one task."""
     from sluice.operators.cache import global_running
-    ranked = global_running(requests.withColumn("_one", F.lit(1)), [F.col(c) for c in order], "_one")
+    ranked = global_running(requests.withColumn("_one", F.lit(1)), [], order, "_one")
     out = ranked.withColumn("slot", ((F.col("rank") - 1) % n_providers).cast("int")).drop(
         "_one", "rank", "running_bytes")
     if names:
@@ -103,9 +105,8 @@ def round_robin(requests: DataFrame, order: list[str], n_providers: int,
     return out
 
 
-def lb_counts(usage: DataFrame, order: list[str]) -> DataFrame:
-    """Running requests and failures per provider."""
-    w = W.partitionBy("provider").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    return (usage.withColumn("requests_so_far", F.count("*").over(w))
-            .withColumn("failures_so_far",
-                        F.sum((F.col("status") != "success").cast("int")).over(w)))
+def lb_counts(usage: DataFrame, order: str, slot_size: int = 100_000) -> DataFrame:
+    """Running requests and failures per provider in the order of the
+    request number, slot by slot of ``slot_size`` numbers."""
+    return running_counts(usage, "provider", [order], F.floor(F.col(order) / slot_size), {
+        "requests_so_far": F.lit(1), "failures_so_far": (F.col("status") != "success").cast("int")})
