@@ -65,20 +65,24 @@ def _bincount_unit(buckets: pd.Series, dims: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def embed(text: Column | str, dim: int = EMBED_DIM) -> Column:
-    """E1 default offline embedder: hashed bag of words, L2-normalised."""
+def embed(text: Column | str, dim: int = EMBED_DIM, model=None) -> Column:
+    """``model`` (a U3 hook from text to array<float>) or the default
+    offline embedder: hashed bag of words, L2-normalised."""
+    if model is not None:
+        return model(F.col(text) if isinstance(text, str) else text)
     return _bincount_unit(token_buckets(text, dim), F.lit(dim))
 
 
 def embed_sparse(df: DataFrame, id_col: str, text_col: str, dim: int = EMBED_DIM) -> DataFrame:
     """E1 in sparse form: one row per (id, dim_index) with the unit weight.
 
-    Identical texts are encoded once: distinct texts are embedded, then the
-    ids are joined back (the reference caches embeddings by text)."""
-    texts = df.select(text_col).distinct()
-    cells = (texts.select(text_col, F.explode(token_buckets(text_col, dim)).alias("dim_index"))
-             .groupBy(text_col, "dim_index").agg(F.count("*").alias("cnt")))
+    Identical texts are encoded once; rows carry the text's digest, never the
+    text."""
     from pyspark.sql import Window as W
-    norm = F.sqrt(F.sum(F.col("cnt") * F.col("cnt")).over(W.partitionBy(text_col)))
-    unit = cells.select(text_col, "dim_index", (F.col("cnt") / norm).alias("weight"))
-    return df.select(id_col, text_col).join(unit, text_col).drop(text_col)
+    named = df.select(id_col, F.sha2(text_col, 256).alias("_h"), text_col)
+    texts = named.groupBy("_h").agg(F.first(text_col).alias("_t"))
+    cells = (texts.select("_h", F.explode(token_buckets("_t", dim)).alias("dim_index"))
+             .groupBy("_h", "dim_index").agg(F.count("*").alias("cnt")))
+    norm = F.sqrt(F.sum(F.col("cnt") * F.col("cnt")).over(W.partitionBy("_h")))
+    unit = cells.select("_h", "dim_index", (F.col("cnt") / norm).alias("weight"))
+    return named.select(id_col, "_h").join(unit, "_h").drop("_h")

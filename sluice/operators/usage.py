@@ -107,6 +107,20 @@ def provider_stats(usage: DataFrame, providers: DataFrame) -> DataFrame:
                     F.coalesce("failures", F.lit(0)).alias("failures")))
 
 
+def provider_totals(stats: DataFrame) -> DataFrame:
+    """A14 totals over the per-provider rows."""
+    return stats.agg(F.count("*").alias("providers"), F.count_if("enabled").alias("enabled_providers"),
+                     F.sum("requests").alias("requests"), F.sum("failures").alias("failures"))
+
+
+def market_rollup(ticks: DataFrame, day: str, symbol: str, price: str) -> DataFrame:
+    """Per day a map symbol -> (trades, average price). Per symbol
+    first (partial aggregates), then the few symbols of a day."""
+    per = ticks.groupBy(day, symbol).agg(F.count("*").alias("trades"), F.avg(price).alias("price"))
+    return per.groupBy(day).agg(F.map_from_entries(F.array_sort(F.collect_list(
+        F.struct(F.col(symbol), F.struct("trades", "price"))))).alias("symbols"))
+
+
 def gauge_latest(samples: DataFrame, labels: Sequence[str], value: str = "value",
                  ts: str = "ts", tie: str | None = None) -> DataFrame:
     """Last value per label set, ``max_by(value, (ts, tie))``."""

@@ -443,7 +443,7 @@ def q_provider_stats(spark, sf_dir):
 
 @register("lb_counts")
 def q_lb_counts(spark, sf_dir):
-    c = ro.lb_counts(_usage(spark, sf_dir), ["request_id"])
+    c = ro.lb_counts(_usage(spark, sf_dir), "request_id")
     return c.select("request_id", "provider", "requests_so_far", "failures_so_far")
 
 
@@ -533,8 +533,8 @@ from sluice.streaming import core as st  # noqa: E402
 
 @register("stream_counters")
 def q_stream_counters(spark, sf_dir):
-    out = st.run_available(st.stream_counters(st.event_stream(spark, sf_dir)), "append",
-                           "stream_counters")
+    c = st.stream_counters(st.event_stream(spark, sf_dir))
+    out = st.run_latest(c, ["w", "event_type"], "stream_counters")
     return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                       "event_type", "requests", r6("value_sum"))
 
@@ -830,7 +830,7 @@ def q_cache_key(spark, sf_dir):
 @register("round_robin")
 def q_round_robin(spark, sf_dir):
     names = [p["provider"] for p in ro.DEFAULT_PROVIDERS]
-    rr = ro.round_robin(_user_turns(spark, sf_dir), ["request_id"], len(names), names)
+    rr = ro.round_robin(_user_turns(spark, sf_dir), "request_id", len(names), names)
     return rr.select("request_id", "selected")
 
 
@@ -911,18 +911,80 @@ def q_stream_ingest(spark, sf_dir):
 def q_stream_dedup(spark, sf_dir):
     ev = st.event_stream(spark, sf_dir).withColumn(
         "cache_key", F.concat_ws(":", F.col("user_id").cast("string"), "event_type"))
-    out = st.run_available(st.stream_dedup(ev, "cache_key", "1 hour").select("cache_key"),
-                           "append", "stream_dedup")
-    return out
+    return st.run_available(st.stream_dedup(ev, "cache_key"), "append", "stream_dedup")
 
 
 @register("stream_gauges")
 def q_stream_gauges(spark, sf_dir):
-    out = st.run_available(st.stream_gauges(st.event_stream(spark, sf_dir)), "append", "stream_gauges")
+    out = st.run_latest(st.stream_gauges(st.event_stream(spark, sf_dir)), ["w", "user_id"], "stream_gauges")
     return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"),
                       "user_id", r6("value"))
 
 
+@register("stream_cache_ttl")
+def q_stream_cache_ttl(spark, sf_dir):
+    ops = tb.cache_ops(st.event_stream(spark, sf_dir))
+    return st.run_available(st.stream_cache_ttl(ops), "append", "stream_cache_ttl")
+
+
+@register("stream_write_behind")
+def q_stream_write_behind(spark, sf_dir):
+    sets = tb.cache_ops(st.event_stream(spark, sf_dir)).filter(F.col("op") == "set")
+    return st.write_behind(sets).select("key", r6("value"), "last_seq")
+
+
+@register("stream_spans")
+def q_stream_spans(spark, sf_dir):
+    """ST7: spans finished within the hour, starts and finishes as two streams."""
+    s = _spans(spark, sf_dir).select("span_id", "start_ts", "end_ts")
+    starts, ends = s.select("span_id", "start_ts"), s.filter("end_ts IS NOT NULL").select(
+        F.col("span_id").alias("fspan_id"), "end_ts")
+    a = st.file_stream(spark, st.split_by_time(starts, "starts", "start_ts"), starts.schema)
+    b = st.file_stream(spark, st.split_by_time(ends, "ends", "end_ts"), ends.schema)
+    out = st.run_available(st.stream_spans(a, b, watermark="1 day"), "append", "stream_spans")
+    return out.filter("NOT active").select("span_id", r6("duration_ms"))
+
+
+def _answer_chunks(spark, sf_dir):
+    """Assistant texts as streamed answers: pieces of 50 characters in order,
+    the last one done; every tenth conversation ends with an error row."""
+    c = tb.table(spark, sf_dir, "conversations").filter(F.col("role") == "assistant")
+    n = F.greatest(F.ceil(F.length("text") / 50), F.lit(1)).cast("int")
+    rows = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), "conv_id", "text",
+                    n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("seq"))
+    said = rows.select("request_id", "seq", F.substr("text", F.col("seq") * 50 + 1, F.lit(50)).alias("chunk"),
+                       (F.col("seq") == F.col("n") - 1).alias("done"), F.lit(False).alias("is_error"))
+    errors = rows.filter((F.col("conv_id") % 10 == 0) & (F.col("seq") == F.col("n") - 1)).select(
+        "request_id", F.col("n").alias("seq"), F.lit("Error: upstream").alias("chunk"),
+        F.lit(False).alias("done"), F.lit(True).alias("is_error"))
+    both = said.unionByName(errors)
+    return both.withColumn("ts", F.timestamp_micros((F.col("request_id") * 1000 + F.col("seq")) * 1000))
+
+
+def _answer_stream(spark, sf_dir):
+    rows = _answer_chunks(spark, sf_dir)
+    return st.file_stream(spark, st.split_by_time(rows, "answers"), rows.schema)
+
+
+@register("stream_chunks_sanitize")
+def q_stream_chunks_sanitize(spark, sf_dir):
+    out = st.run_available(st.stream_chunks_sanitize(_answer_stream(spark, sf_dir)), "append", "stream_chunks")
+    return out.select("request_id", "seq", "chunk", "done", "is_error")
+
+
+@register("assemble_stream")
+def q_assemble_stream(spark, sf_dir):
+    return st.run_latest(st.assemble_answers(_answer_stream(spark, sf_dir)), ["request_id"], "assemble")
+
+
+@register("stream_business")
+def q_stream_business(spark, sf_dir):
+    """ST11; the approximate distinct users are left to the operator's test."""
+    b = tb.business_events(st.event_stream(spark, sf_dir))
+    out = st.run_latest(st.stream_business(b), ["w", "kind"], "stream_business")
+    return out.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "kind", "events")
+
+
 @register("stream_alerts")
 def q_stream_alerts(spark, sf_dir):
     samples = st.event_stream(spark, sf_dir).withColumnRenamed("event_type", "metric")
@@ -934,3 +996,311 @@ def q_stream_alerts(spark, sf_dir):
 def q_stream_threats(spark, sf_dir):
     ev = st.event_stream(spark, sf_dir)
     return st.run_available(st.stream_threats(ev, limit=1), "append", "stream_threats")
+
+
+# ------------------------------------------------ ingest and collections ---
+import uuid  # noqa: E402
+
+from sluice.session import scratch_path  # noqa: E402
+
+
+def _fresh(spark, name):
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+@register("ingest")
+def q_ingest(spark, sf_dir):
+    """Documents -> hybrid chunks -> ids -> vectors -> collection (written,
+    read back): SRC10, J1, E1."""
+    d = tb.documents_meta(_docs(spark, sf_dir, True).drop("title").withColumn("source", F.lit("docs"))
+                          .withColumn("lang", F.lit("any")))
+    path = _fresh(spark, "collection")
+    sk.write_chunks(rag.ingest(d, "hybrid", keep=["title", "collection"]), path)
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    return spark.read.parquet(path).select(
+        "chunk_id", "doc_id", "collection", "chunk_index", "content",
+        F.size(F.filter(v, lambda x: x != 0)).alias("dims"),
+        F.aggregate(F.transform(v, lambda x, i: F.when(x != 0, i).otherwise(0)), F.lit(0), lambda a, i: a + i)
+        .cast("long").alias("dim_sum"))
+
+
+def _collection(spark, sf_dir):
+    c = ch.with_chunk_id(ch.chunk(_docs(spark, sf_dir, False), "sliding_window", keep=["title"]))
+    return c.select("chunk_id", "doc_id", "chunk_index", "content")
+
+
+def _next_version(spark, df):
+    """The changed collection as a new version, read back."""
+    return spark.read.parquet(sk.write_version(df, _fresh(spark, "chunks"), 2))
+
+
+@register("delete_chunks")
+def q_delete_chunks(spark, sf_dir):
+    c = _collection(spark, sf_dir)
+    ids = c.filter(F.col("chunk_index") % 3 == 1).select("chunk_id")
+    return _next_version(spark, sk.delete_chunks(c, ids)).select("chunk_id", "doc_id")
+
+
+@register("delete_document")
+def q_delete_document(spark, sf_dir):
+    c = _collection(spark, sf_dir)
+    return _next_version(spark, sk.delete_document(c, c.filter(F.col("doc_id") % 4 == 0).select("doc_id"))
+                         ).select("chunk_id", "doc_id")
+
+
+@register("upsert_chunks")
+def q_upsert_chunks(spark, sf_dir):
+    """Two updates of every first chunk (the second wins) and one new chunk
+    per third document."""
+    c = _collection(spark, sf_dir).withColumn("version", F.lit(0))
+    first = c.filter(F.col("chunk_index") == 0)
+    one = first.withColumn("content", F.lit("stale")).withColumn("version", F.lit(1))
+    two = first.withColumn("content", F.concat(F.lit("v2 "), "content")).withColumn("version", F.lit(2))
+    new = first.filter(F.col("doc_id") % 3 == 0).withColumn("chunk_id", F.concat(F.lit("new-"), "chunk_id")) \
+        .withColumn("chunk_index", F.lit(-1)).withColumn("version", F.lit(1))
+    out = sk.upsert_chunks(c, one.unionByName(two).unionByName(new), version_col="version")
+    return _next_version(spark, out).select("chunk_id", "doc_id", "chunk_index", "content", "version")
+
+
+@register("collection_schema")
+def q_collection_schema(spark, sf_dir):
+    """Chunks conformed to the base schema with a custom number field."""
+    labels = tb.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("quality_score"))
+    rows = _collection(spark, sf_dir).join(labels, "doc_id", "left")
+    out = sk.conform(rows, sk.collection_schema({"quality_score": "number"}))
+    return out.select("chunk_id", "doc_id", "language", "quality_score")
+
+
+@register("audit_sink")
+def q_audit_sink(spark, sf_dir):
+    path = _fresh(spark, "audit")
+    sk.audit_sink(_events(spark, sf_dir).select("event_id", "ts", "user_id"), path)
+    return spark.read.parquet(path).select("event_id", "user_id", F.col("date").cast("string").alias("date"))
+
+
+@register("cache_json")
+def q_cache_json(spark, sf_dir):
+    """SRC16: records as JSON text and back."""
+    j = _ops(spark, sf_dir).select("op_id", sk.to_json_record("key", "op", "size_bytes").alias("record"))
+    back = sk.from_json_record(F.col("record"), "key string, op string, size_bytes long")
+    return j.select("op_id", "record", back.alias("b")).select("op_id", "record", "b.key", "b.op", "b.size_bytes")
+
+
+@register("event_append")
+def q_event_append(spark, sf_dir):
+    b = _business(spark, sf_dir).filter(F.col("kind") == "revenue").drop("kind")
+    e = sk.event_append(b, "revenue")
+    return e.select("kind", "user_id", r6("amount"), "currency", "source", F.size("metadata").alias("n_metadata"))
+
+
+@register("doc_type_mime")
+def q_doc_type_mime(spark, sf_dir):
+    kinds = F.array(*[F.lit(x) for x in ("application/pdf", "text/html; charset=utf-8", "application/json",
+                                         "text/plain")])
+    return tb.table(spark, sf_dir, "pages").select(
+        "page_id", fl.doc_type_mime(F.element_at(kinds, (F.col("page_id") % 4 + 1).cast("int"))).alias("document_type"))
+
+
+@register("file_limits")
+def q_file_limits(spark, sf_dir):
+    raw = fl.upload_filter(_raw(spark, sf_dir)).withColumn("file_size", F.octet_length("content").cast("long") * 10000)
+    return fl.file_limits(raw).select("doc_id", "extension", "file_size")
+
+
+@register("validate_search")
+def q_validate_search(spark, sf_dir):
+    t = F.col("turn")
+    r = _user_turns(spark, sf_dir).withColumn("reasons", rq.validate_search("message", t * 15, t - 1, t * 0.25))
+    return r.select("request_id", F.array_join("reasons", "; ").alias("reasons"))
+
+
+@register("validate_ingest")
+def q_validate_ingest(spark, sf_dir):
+    n = F.col("n_chars")
+    return tb.table(spark, sf_dir, "documents").select(
+        "doc_id", F.array_join(rq.validate_ingest(n % 3000, n % 700), "; ").alias("reasons"))
+
+
+@register("result_projection")
+def q_result_projection(spark, sf_dir):
+    return rt.result_projection(_rag_hits(spark, sf_dir)).select(
+        "query_id", "chunk_id", "metadata.title", "metadata.chunk_index", "metadata.document_type",
+        "metadata.file_path", "metadata.rank")
+
+
+# ------------------------------------------------------- security events ---
+def _checked(spark, sf_dir):
+    """User turns as timed requests of ten users with their rate breaches."""
+    r = _user_turns(spark, sf_dir).withColumn("user_id", F.col("conv_id") % 10).withColumn(
+        "ts", F.timestamp_micros(F.unix_micros(_as_of()) - (F.col("request_id") % 5000) * 1_000_000))
+    return lm.rate_breach(r, id_col="request_id", limit=1)
+
+
+@register("threat_verdict")
+def q_threat_verdict(spark, sf_dir):
+    """F21 with its threat step: a breach (W1) ends the check."""
+    v = sop.request_verdict(_checked(spark, sf_dir), "message", "breach")
+    return v.select("request_id", "allowed", "reason", "pii_detected", r6("content_risk_score"), "security_events")
+
+
+def _security_events(spark, sf_dir):
+    return sop.security_events(_checked(spark, sf_dir), "request_id", "user_id", "ts", "message", "breach")
+
+
+@register("security_events")
+def q_security_events(spark, sf_dir):
+    return _security_events(spark, sf_dir).select("request_id", "user_id", "event_type", "severity", "blocked",
+                                                  "content_preview")
+
+
+@register("security_stats")
+def q_security_stats(spark, sf_dir):
+    s = sop.security_stats(_security_events(spark, sf_dir), _as_of())
+    return s.select("total_events", "events_last_hour", F.array_join(F.transform(
+        F.map_entries("event_types"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+        .alias("event_types"))
+
+
+@register("critical_events")
+def q_critical_events(spark, sf_dir):
+    """PF18 over security events whose severity is raised for repeated breaches."""
+    e = _security_events(spark, sf_dir).withColumn(
+        "severity", F.when(F.col("user_id") % 3 == 0, "critical").otherwise(F.col("severity")))
+    return sop.critical_events(e).select("request_id", "event_type")
+
+
+@register("entity_order")
+def q_entity_order(spark, sf_dir):
+    d = tb.text_table(spark, sf_dir, "documents").select("doc_id", sfn.entity_order_desc(sfn.pii_findings("text")).alias("f"))
+    return d.filter(F.size("f") > 0).select("doc_id", F.array_join(F.transform(
+        "f", lambda x: x["start"].cast("string")), ",").alias("starts"))
+
+
+@register("pattern_union")
+def q_pattern_union(spark, sf_dir):
+    """S3: configured patterns come before the defaults; blocked ones block."""
+    cr = sfn.content_risk("text", blocked_patterns=["mit license"], suspicious=["apache license", "idiot"])
+    d = tb.text_table(spark, sf_dir, "documents").select("doc_id", cr.alias("cr"))
+    return d.select("doc_id", "cr.blocked", F.round("cr.risk_score", 6).alias("risk_score"),
+                    F.array_join("cr.reasons", "; ").alias("reasons"))
+
+
+# ---------------------------------------------------------- more analytics ---
+@register("pipeline_counters")
+def q_pipeline_counters(spark, sf_dir):
+    """Files by extension and outcome, bytes as the amount."""
+    f = fl.upload_filter(_raw(spark, sf_dir)).withColumn("bytes", F.octet_length("content").cast("long"))
+    return us.counter(f, ["extension", "accepted"], F.col("bytes"), "bytes")
+
+
+@register("market_rollup")
+def q_market_rollup(spark, sf_dir):
+    ev = _events(spark, sf_dir).select(F.to_date("ts").cast("string").alias("day"),
+                                       F.col("event_type").alias("symbol"), "value")
+    m = us.market_rollup(ev, "day", "symbol", "value")
+    return m.select("day", F.explode("symbols").alias("symbol", "v")).select(
+        "day", "symbol", "v.trades", F.round("v.price", 6).alias("price"))
+
+
+@register("cache_size")
+def q_cache_size(spark, sf_dir):
+    return ca.cache_size(_entries(spark, sf_dir))
+
+
+@register("provider_totals")
+def q_provider_totals(spark, sf_dir):
+    return us.provider_totals(us.provider_stats(_usage(spark, sf_dir), ro.providers_df(spark)))
+
+
+@register("provider_union_all")
+def q_provider_union_all(spark, sf_dir):
+    """Configured providers and the providers of all requests, kept with
+    their multiplicity."""
+    seen = _usage(spark, sf_dir).select("provider")
+    return ro.providers_df(spark).select("provider").unionAll(seen).groupBy("provider").agg(
+        F.count("*").alias("rows"))
+
+
+@register("cosine")
+def q_cosine(spark, sf_dir):
+    v = F.reverse("embedding")
+    c = vec.cosine("embedding", v)
+    return tb.table(spark, sf_dir, "embeddings").select("vec_id", F.round(c, 6).alias("cosine"),
+                                                        F.round(vec.certainty(c), 6).alias("certainty"))
+
+
+@register("l2_normalize")
+def q_l2_normalize(spark, sf_dir):
+    n = vec.l2_normalize(F.transform("embedding", lambda x: x * F.lit(3.0)))
+    return tb.table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.posexplode(n).alias("pos", "x")).select("vec_id", "pos", F.round(F.col("x").cast("double"), 5).alias("x"))
+
+
+@register("llm_cache_key")
+def q_llm_cache_key(spark, sf_dir):
+    r = _user_turns(spark, sf_dir)
+    return r.select("request_id", ca.llm_cache_key({
+        "provider": F.coalesce("provider", F.lit("any")), "message": F.col("message"),
+        "max_tokens": F.col("max_tokens")}).alias("cache_key"))
+
+
+@register("plain_prompt")
+def q_plain_prompt(spark, sf_dir):
+    r = _user_turns(spark, sf_dir)
+    sys_ = F.when(F.col("conv_id") % 2 == 0, F.lit("Be brief."))
+    return r.select("request_id", rq.plain_prompt("message", sys_).alias("human"),
+                    rq.plain_prompt("message", sys_, "system").alias("system"))
+
+
+@register("content_preview")
+def q_content_preview(spark, sf_dir):
+    return tb.table(spark, sf_dir, "documents").select("doc_id", rq.content_preview("text").alias("preview"))
+
+
+# -------------------------------------------------------- plug-in queries ---
+@register("register_action")
+def q_register_action(spark, sf_dir):
+    """A named action over a column, with its result record."""
+    reg = pl.PluginRegistry()
+    reg.register_action("text", "head", lambda n: F.when(F.length("text") >= n, F.substring("text", 1, n)),
+                        "first characters", n=40)
+    out = reg.execute(tb.table(spark, sf_dir, "documents"), "text", "head", n=60)
+    return out.select("doc_id", "result.success", "result.result", "result.error")
+
+
+@register("custom_metrics")
+def q_custom_metrics(spark, sf_dir):
+    """A histogram declared as a metric."""
+    m = pl.metric_aggregate(_http(spark, sf_dir), {"type": "histogram", "labels": ["method"],
+                                                   "value": "duration_s", "buckets": [0.05, 0.1, 1.0]})
+    return m.select("method", "le", "bucket_count", "count", r6("sum"))
+
+
+@register("model_hooks")
+def q_model_hooks(spark, sf_dir):
+    """An embedder hook in place of the default one: a text's counts of
+    four vowels."""
+    def vowels(texts):
+        return texts.map(lambda t: [float(t.lower().count(c)) for c in "aeio"])
+    e = vec.embed("text", model=pl.model_hook(vowels, "array<float>"))
+    return tb.table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(e).alias("pos", "x")).select(
+        "item_id", "pos", F.col("x").cast("double").alias("x"))
+
+
+@register("sql_execute")
+def q_sql_execute(spark, sf_dir):
+    """Rows written as a table of the warehouse, then read back."""
+    name = "sluice_audit_" + uuid.uuid4().hex[:10]
+    rows = _events(spark, sf_dir).filter(F.col("event_type") == "error").select("event_id", "user_id")
+    n = pl.sql_execute(spark, name, rows, "overwrite")
+    return spark.table(name).select("event_id", "user_id", F.lit(n).cast("long").alias("affected_rows"))
+
+
+@register("custom_rules")
+def q_custom_rules(spark, sf_dir):
+    """Two rules of the caller in the content filter."""
+    text = F.col("text")
+    rules = [pl.custom_rule("licence", "licen[cs]e", 2, False)(text), pl.custom_rule("insult", "idiot|moron", 4, True)(text)]
+    d = tb.text_table(spark, sf_dir, "documents").select("doc_id", sfn.content_risk("text", custom_rules=rules).alias("cr"))
+    return d.select("doc_id", "cr.blocked", F.round("cr.risk_score", 6).alias("risk_score"),
+                    F.array_join("cr.reasons", "; ").alias("reasons"))

@@ -708,10 +708,7 @@ FROM fired GROUP BY ROLLUP (severity)"""
 ORACLE["stream_counters"] = """
 SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start,
        event_type, count(*)::BIGINT AS requests, round(sum(value), 6) AS value_sum
-FROM events
-WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR
-      <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
-GROUP BY ALL"""
+FROM events GROUP BY ALL"""
 
 ORACLE["stream_rate_limit"] = ORACLE["rate_limit_admit"]
 
@@ -996,16 +993,198 @@ ORACLE["links_udtf"] = ORACLE["extract_links"]
 
 ORACLE["stream_ingest"] = ORACLE["chunk_sliding"]
 ORACLE["stream_dedup"] = """
-SELECT DISTINCT user_id::VARCHAR || ':' || event_type AS cache_key FROM events"""
+WITH RECURSIVE r AS (
+  SELECT event_id, user_id::VARCHAR || ':' || event_type AS cache_key, epoch_us(ts) AS us,
+         row_number() OVER (PARTITION BY user_id, event_type ORDER BY epoch_us(ts), event_id) AS i FROM events),
+f(cache_key, i, event_id, answered, last_us) AS (
+  SELECT cache_key, i, event_id, true, us FROM r WHERE i = 1
+  UNION ALL
+  SELECT r.cache_key, r.i, r.event_id, r.us - f.last_us >= 3600000000,
+         CASE WHEN r.us - f.last_us >= 3600000000 THEN r.us ELSE f.last_us END
+  FROM f JOIN r ON r.cache_key = f.cache_key AND r.i = f.i + 1)
+SELECT cache_key, event_id FROM f WHERE answered"""
+
+ORACLE["stream_cache_ttl"] = f"""WITH {OPS}, {REPLAY} SELECT op_id, status FROM rp"""
+
+ORACLE["stream_write_behind"] = f"""WITH {OPS}
+SELECT key, round(arg_max(value, op_id), 6) AS value, max(op_id) AS last_seq FROM ops WHERE op = 'set' GROUP BY key"""
+
+ORACLE["stream_spans"] = f"""WITH {SPANS}
+SELECT span_id, round(duration_ms, 6) AS duration_ms FROM pairs WHERE NOT active AND duration_ms <= 3600000"""
+
+ANSWERS = """
+a AS (SELECT conv_id * 1000 + turn AS request_id, conv_id, text, greatest(ceil(length(text) / 50.0), 1)::INTEGER AS n
+      FROM conversations WHERE role = 'assistant'),
+chunks AS (
+  SELECT request_id, seq::INTEGER AS seq, substr(text, (seq * 50 + 1)::BIGINT, 50) AS chunk, seq = n - 1 AS done, false AS is_error
+  FROM (SELECT *, unnest(range(n)) AS seq FROM a)
+  UNION ALL SELECT request_id, n, 'Error: upstream', false, true FROM a WHERE conv_id % 10 = 0)"""
+
+ORACLE["stream_chunks_sanitize"] = f"""WITH {ANSWERS}
+SELECT request_id, seq, {chain_replace('chunk', None, lambda e: f'<{e}>')} AS chunk, done, is_error FROM chunks"""
+
+ORACLE["assemble_stream"] = f"""WITH {ANSWERS}
+SELECT request_id, text AS content, CASE WHEN conv_id % 10 = 0 THEN 'error_stream' ELSE 'success_stream' END AS status
+FROM a"""
+
+ORACLE["stream_business"] = f"""WITH {BUSINESS}
+SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts) - k * INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_start, kind,
+       count(*)::BIGINT AS events
+FROM business, range(24) h(k) GROUP BY ALL"""
 
 ORACLE["stream_gauges"] = """
 SELECT strftime(time_bucket(INTERVAL 60 SECOND, ts), '%Y-%m-%d %H:%M:%S') AS window_start, user_id,
        round(arg_max(value, (ts, event_id)), 6) AS value
-FROM events
-WHERE time_bucket(INTERVAL 60 SECOND, ts) + INTERVAL 60 SECOND
-      <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE
-GROUP BY ALL"""
+FROM events GROUP BY ALL"""
 
 ORACLE["stream_alerts"] = ORACLE["alert_cooldown"]
 
 ORACLE["stream_threats"] = ORACLE["rate_breach"]
+
+
+# ------------------------------------------------ ingest and collections ---
+def hybrid_ctes() -> str:
+    full = ORACLE["chunk_hybrid"]
+    return full[:full.rindex("\nSELECT doc_id, chunk_index")]
+
+
+ORACLE["ingest"] = f"""{hybrid_ctes()},
+ck AS ({chunk_select('hy')}),
+tk AS (SELECT chunk_id, unnest(list_filter(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS tok FROM ck),
+bk AS (SELECT chunk_id, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 384 AS dim, count(*) AS c FROM tk GROUP BY ALL),
+vs AS (SELECT chunk_id, count(*)::INTEGER AS dims, sum(dim)::BIGINT AS dim_sum FROM bk GROUP BY chunk_id)
+SELECT ck.chunk_id, doc_id, 'docs' AS collection, chunk_index, content, coalesce(dims, 0) AS dims,
+       coalesce(dim_sum, 0)::BIGINT AS dim_sum
+FROM ck LEFT JOIN vs USING (chunk_id)"""
+
+COLLECTION = f"col AS ({ORACLE['chunk_sliding']})"
+
+ORACLE["delete_chunks"] = f"""WITH {COLLECTION} SELECT chunk_id, doc_id FROM col WHERE chunk_index % 3 <> 1"""
+ORACLE["delete_document"] = f"""WITH {COLLECTION} SELECT chunk_id, doc_id FROM col WHERE doc_id % 4 <> 0"""
+ORACLE["upsert_chunks"] = f"""WITH {COLLECTION}
+SELECT chunk_id, doc_id, chunk_index, CASE WHEN chunk_index = 0 THEN 'v2 ' || content ELSE content END AS content,
+       CASE WHEN chunk_index = 0 THEN 2 ELSE 0 END AS version FROM col
+UNION ALL
+SELECT 'new-' || chunk_id, doc_id, -1, content, 1 FROM col WHERE chunk_index = 0 AND doc_id % 3 = 0"""
+ORACLE["collection_schema"] = f"""WITH {COLLECTION}
+SELECT chunk_id, col.doc_id::VARCHAR AS doc_id, NULL::VARCHAR AS language, quality::DOUBLE AS quality_score
+FROM col LEFT JOIN labels USING (doc_id)"""
+ORACLE["audit_sink"] = "SELECT event_id, user_id, ts::DATE::VARCHAR AS date FROM events"
+ORACLE["cache_json"] = f"""WITH {OPS}
+SELECT op_id, '{{"key":"' || key || '","op":"' || op || '","size_bytes":' || size_bytes::VARCHAR || '}}' AS record,
+       key, op, size_bytes FROM ops"""
+ORACLE["event_append"] = """
+SELECT 'revenue' AS kind, user_id, round(value, 6) AS amount, CASE WHEN user_id % 2 = 0 THEN 'USD' ELSE 'EUR' END AS currency,
+       'api' AS source, 0 AS n_metadata FROM events WHERE event_type = 'purchase'"""
+ORACLE["doc_type_mime"] = "SELECT page_id, ['pdf', 'html', 'json', 'txt'][page_id % 4 + 1] AS document_type FROM pages"
+ORACLE["file_limits"] = f"""WITH {RAW},
+s AS (SELECT doc_id, split_part(file_path, '.', -1) AS extension, octet_length(encode(text))::BIGINT * 10000 AS file_size FROM raw)
+SELECT * FROM s WHERE file_size <= 52428800 AND extension IN ('pdf', 'docx', 'txt', 'html', 'md', 'json')"""
+ORACLE["validate_search"] = f"""WITH {USER_TURNS}
+SELECT request_id, array_to_string(list_filter([
+  CASE WHEN length(message) < 1 OR length(message) > 1024 THEN 'query length outside 1..1024' END,
+  CASE WHEN turn * 15 < 1 OR turn * 15 > 50 THEN 'limit outside 1..50' END,
+  CASE WHEN turn - 1 < 0 THEN 'offset below 0' END,
+  CASE WHEN turn * 0.25 > 1 THEN 'threshold outside 0..1' END], lambda r: r IS NOT NULL), '; ') AS reasons FROM turns"""
+ORACLE["validate_ingest"] = """
+SELECT doc_id, array_to_string(list_filter([
+  CASE WHEN n_chars % 3000 < 100 OR n_chars % 3000 > 2048 THEN 'chunk_size outside 100..2048' END,
+  CASE WHEN n_chars % 700 > 500 THEN 'chunk_overlap outside 0..500' END,
+  CASE WHEN n_chars % 700 >= n_chars % 3000 THEN 'chunk_overlap not below chunk_size' END], lambda r: r IS NOT NULL), '; ') AS reasons
+FROM documents"""
+ORACLE["result_projection"] = f"""WITH {CORPUS_T}, {KNN5_T}
+SELECT query_id, chunk_id, title, NULL::INTEGER AS chunk_index, NULL::VARCHAR AS document_type, NULL::VARCHAR AS file_path, rank FROM hits"""
+
+# ------------------------------------------------------- security events ---
+CHECKED = f"""{USER_TURNS},
+timed AS (SELECT request_id, conv_id % 10 AS user_id, message,
+                 TIMESTAMP '2024-01-30 00:00:00' - (request_id % 5000) * INTERVAL 1 SECOND AS ts FROM turns),
+counted AS ({window_count_sql(60, src='timed', idc='request_id')}),
+chk AS (SELECT timed.*, n > 1 AS breach FROM timed JOIN counted USING (request_id)),
+{risk_cte('chk', 'message', 'request_id')},
+flagged AS (SELECT *, {has_pii_sql('message')} AS pii, length(message) < 10 AND NOT contains(message, ' ') AS probe FROM risk)"""
+ORACLE["threat_verdict"] = f"""WITH {CHECKED}
+SELECT request_id, CASE WHEN breach THEN false ELSE NOT blocked END AS allowed,
+       CASE WHEN breach THEN 'Security threat detected' END AS reason, CASE WHEN NOT breach THEN pii END AS pii_detected,
+       CASE WHEN NOT breach THEN round(risk_score, 6) END AS content_risk_score,
+       breach::INTEGER + probe::INTEGER AS security_events FROM flagged"""
+SECURITY = f"""{CHECKED},
+sec AS (
+  SELECT request_id, user_id, ts, message, 'rate_limit_exceeded' AS event_type, 'medium' AS severity, true AS blocked FROM flagged WHERE breach
+  UNION ALL SELECT request_id, user_id, ts, message, 'suspicious_activity', 'high', false FROM flagged WHERE probe
+  UNION ALL SELECT request_id, user_id, ts, message, 'pii_detected', 'medium', false FROM flagged WHERE NOT breach AND pii
+  UNION ALL SELECT request_id, user_id, ts, message, 'content_blocked', 'medium', true FROM flagged WHERE NOT breach AND blocked)"""
+ORACLE["security_events"] = f"""WITH {SECURITY}
+SELECT request_id, user_id, event_type, severity, blocked, substr(message, 1, 100) AS content_preview FROM sec"""
+ORACLE["security_stats"] = f"""WITH {SECURITY},
+late AS (SELECT event_type, count(*) AS n FROM sec WHERE ts > TIMESTAMP '2024-01-29 23:00:00' AND ts <= TIMESTAMP '2024-01-30 00:00:00' GROUP BY 1)
+SELECT (SELECT count(*) FROM sec)::BIGINT AS total_events, sum(n)::BIGINT AS events_last_hour,
+       string_agg(event_type || '=' || n::VARCHAR, ',' ORDER BY event_type) AS event_types FROM late"""
+ORACLE["critical_events"] = f"""WITH {SECURITY} SELECT request_id, event_type FROM sec WHERE user_id % 3 = 0"""
+ORACLE["entity_order"] = f"""
+SELECT doc_id, string_agg(start::VARCHAR, ',' ORDER BY start DESC) AS starts FROM ({ORACLE['pii_detect']}) GROUP BY doc_id"""
+
+
+def _risk_with(extra: str) -> str:
+    return f"""f AS (SELECT doc_id, text, {inj_tenths('text')} AS inj, length(text) > 10000 AS long, {extra},
+  {', '.join(f"{sus_flag('text', i)} AS d{i}" for i in range(6))} FROM documents)"""
+
+
+_DEFAULTS = " + ".join(f"3 * d{i}::INTEGER" for i in range(6))
+ORACLE["pattern_union"] = f"""WITH {_risk_with("regexp_matches(text, 'mit license', 'i') AS b0, regexp_matches(text, 'apache license', 'i') AS c0, regexp_matches(text, 'idiot', 'i') AS c1")},
+r AS (SELECT *, 3 * long::INTEGER + 5 * b0::INTEGER + 3 * c0::INTEGER + 3 * c1::INTEGER + {_DEFAULTS} + CASE WHEN inj > 5 THEN inj ELSE 0 END AS risk FROM f)
+SELECT doc_id, long OR b0 OR inj > 5 OR risk > 7 AS blocked, round(least(risk, 10) / 10.0, 6) AS risk_score,
+       array_to_string(list_filter([CASE WHEN long THEN 'Content too long (' || length(text) || ' > 10000)' END,
+         CASE WHEN b0 THEN 'Blocked pattern #0 matched' END, CASE WHEN c0 THEN 'Suspicious pattern #0 detected' END,
+         CASE WHEN c1 THEN 'Suspicious pattern #1 detected' END,
+         {', '.join(f"CASE WHEN d{i} THEN 'Suspicious pattern #{i + 2} detected' END" for i in range(6))},
+         CASE WHEN inj > 5 THEN 'Potential injection attack detected' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM r"""
+ORACLE["custom_rules"] = f"""WITH {_risk_with("regexp_matches(text, 'licen[cs]e', 'i') AS u0, regexp_matches(text, 'idiot|moron', 'i') AS u1")},
+r AS (SELECT *, 3 * long::INTEGER + 2 * u0::INTEGER + 4 * u1::INTEGER + {_DEFAULTS} + CASE WHEN inj > 5 THEN inj ELSE 0 END AS risk FROM f)
+SELECT doc_id, long OR u1 OR inj > 5 OR risk > 7 AS blocked, round(least(risk, 10) / 10.0, 6) AS risk_score,
+       array_to_string(list_filter([CASE WHEN long THEN 'Content too long (' || length(text) || ' > 10000)' END,
+         {', '.join(f"CASE WHEN d{i} THEN 'Suspicious pattern #{i} detected' END" for i in range(6))},
+         CASE WHEN inj > 5 THEN 'Potential injection attack detected' END, CASE WHEN u0 THEN 'Custom rule licence matched' END,
+         CASE WHEN u1 THEN 'Custom rule insult matched' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM r"""
+
+# ---------------------------------------------------------- more analytics ---
+ORACLE["pipeline_counters"] = f"""WITH {RAW},
+f AS (SELECT split_part(file_path, '.', -1) AS extension, octet_length(encode(text)) AS n FROM raw)
+SELECT extension, extension IN ('pdf', 'docx', 'txt', 'html', 'md', 'json') AS accepted, sum(n)::BIGINT AS bytes FROM f GROUP BY ALL"""
+ORACLE["market_rollup"] = """
+SELECT ts::DATE::VARCHAR AS day, event_type AS symbol, count(*)::BIGINT AS trades, round(avg(value), 6) AS price FROM events GROUP BY ALL"""
+ORACLE["cache_size"] = f"""WITH {OPS}, {ENTRIES} SELECT count(*)::BIGINT AS entries, sum(size_bytes)::BIGINT AS bytes FROM entries"""
+ORACLE["provider_totals"] = f"""WITH {USAGE}
+SELECT 3::BIGINT AS providers, 3::BIGINT AS enabled_providers, count(*)::BIGINT AS requests,
+       count_if(status <> 'success')::BIGINT AS failures FROM usage"""
+ORACLE["provider_union_all"] = f"""WITH {USAGE}
+SELECT provider, count(*)::BIGINT AS rows FROM (SELECT provider FROM prices UNION ALL SELECT provider FROM usage) GROUP BY provider"""
+ORACLE["cosine"] = """
+SELECT vec_id, round(list_cosine_similarity(v, list_reverse(v)), 6) AS cosine,
+       round((1 + list_cosine_similarity(v, list_reverse(v))) / 2, 6) AS certainty
+FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)"""
+ORACLE["l2_normalize"] = """
+SELECT vec_id, (i - 1)::INTEGER AS pos, round(((v[i] * 3) / sqrt(list_sum(list_transform(v, lambda x: x * x * 9))))::FLOAT::DOUBLE, 5) AS x
+FROM (SELECT vec_id, embedding::DOUBLE[] AS v, unnest(range(1, 65)) AS i FROM embeddings)"""
+ORACLE["llm_cache_key"] = f"""WITH {USER_TURNS}
+SELECT request_id, 'llm:' || md5(to_json({{'max_tokens': max_tokens, 'message': message, 'provider': coalesce(provider, 'any')}})) AS cache_key FROM turns"""
+ORACLE["plain_prompt"] = f"""WITH {USER_TURNS}
+SELECT request_id, CASE WHEN conv_id % 2 = 0 THEN 'Be brief.' || chr(10) || chr(10) ELSE '' END || 'Human: ' || message || chr(10) || chr(10) || 'Assistant:' AS human,
+       CASE WHEN conv_id % 2 = 0 THEN 'System: Be brief.' || chr(10) || chr(10) || 'User: ' || message || chr(10) || chr(10) || 'Assistant:' ELSE message END AS system
+FROM turns"""
+ORACLE["content_preview"] = "SELECT doc_id, substr(text, 1, 100) AS preview FROM documents"
+
+# -------------------------------------------------------- plug-in queries ---
+ORACLE["register_action"] = """
+SELECT doc_id, length(text) >= 60 AS success, CASE WHEN length(text) >= 60 THEN substr(text, 1, 60) END AS result,
+       CASE WHEN length(text) < 60 THEN 'null result' END AS error FROM documents"""
+ORACLE["custom_metrics"] = f"""WITH {HTTP},
+b(le, bound) AS (VALUES ('0.05', 0.05), ('0.1', 0.1), ('1.0', 1.0), ('+Inf', 'Infinity'::DOUBLE)),
+g AS (SELECT method, count(*)::BIGINT AS count, sum(duration_s) AS sum FROM http GROUP BY ALL)
+SELECT g.method, b.le, (SELECT count(*) FROM http h WHERE h.method = g.method AND h.duration_s <= b.bound)::BIGINT AS bucket_count,
+       g.count, round(g.sum, 6) AS sum FROM g, b"""
+ORACLE["model_hooks"] = """
+SELECT item_id, i::INTEGER AS pos, (length(lower(text)) - length(replace(lower(text), substr('aeio', (i + 1)::BIGINT, 1), '')))::DOUBLE AS x
+FROM (SELECT item_id, text, unnest(range(4)) AS i FROM benchmark)"""
+ORACLE["sql_execute"] = """
+SELECT event_id, user_id, count(*) OVER ()::BIGINT AS affected_rows FROM events WHERE event_type = 'error'"""

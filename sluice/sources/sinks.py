@@ -42,6 +42,12 @@ def collection_schema(custom_fields: dict[str, str] | None = None) -> T.StructTy
     return T.StructType(BASE_CHUNK_FIELDS + extra)
 
 
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """SRC11: the columns of a collection schema, cast; missing ones null."""
+    return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                       for f in schema.fields])
+
+
 def prepare_chunks(chunks: DataFrame) -> DataFrame:
     """SRC10 row shaping: missing string metadata -> '' (extra fields kept)."""
     strings = [f.name for f in chunks.schema.fields if isinstance(f.dataType, T.StringType)]

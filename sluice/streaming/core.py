@@ -1,11 +1,17 @@
 """Structured Streaming versions of the batch operators (ST1-ST13).
 
-Sources are file streams (parquet, one file per trigger as configured);
-event time is ``ts`` cast to TIMESTAMP with a watermark (default 10
-minutes: later rows are dropped and counted by Spark as
-``numRowsDroppedByWatermark``). Sinks write to the shared checkpoint folder
-of the cluster (``spark.checkpoint.dir``), with a checkpoint location next
-to them, so a restarted query resumes where it stopped.
+Sources are Parquet file streams, a few files per trigger; event time is
+``ts`` cast to TIMESTAMP with a watermark (default 10 minutes: later rows are
+dropped and counted by Spark as ``numRowsDroppedByWatermark``). Sinks write to
+the shared checkpoint folder of the cluster (``spark.checkpoint.dir``), with a
+checkpoint location next to them. A run with a caller-given ``run_id`` uses
+the same folder each time, so a restarted query resumes where it stopped;
+without one every run starts anew.
+
+Two kinds of results: append (a row is final when it comes out) and latest
+(``run_latest``: update mode, each epoch's rows are written as a version and
+the newest version of a key counts, so windows that are still open at the end
+are in the result too).
 """
 
 from __future__ import annotations
@@ -31,29 +37,62 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType | str,
             .parquet(path))
 
 
-def event_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
-    """The events table as a stream, ``ts`` as an event-time TIMESTAMP."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    s = file_stream(spark, f"{sf_dir.rstrip('/')}/events*.parquet", schema, max_files)
+def split_by_time(df: DataFrame, name: str, ts: str = "ts", files: int = 6) -> str:
+    """Write ``df`` under the shared folder as ``files`` parts in time order,
+    one write after the other, and return the path: the input of a stream of
+    several micro-batches."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    lo, hi = df.agg(F.min(us), F.max(us)).first()
+    width = ((hi or 0) - (lo or 0)) // files + 1
+    part = F.coalesce(F.floor((us - (lo or 0)) / width), F.lit(0))
+    for i in range(files):
+        df.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def event_stream(spark: SparkSession, sf_dir: str, max_files: int = 1, files: int = 6) -> DataFrame:
+    """The events table as a stream of ``files`` parts in time order, ``ts``
+    as an event-time TIMESTAMP."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    s = file_stream(spark, split_by_time(events, "events-in", files=files), events.schema, max_files)
     return s.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def run_available(df: DataFrame, mode: str = "append", name: str = "stream",
-                  foreach_batch=None) -> DataFrame:
+                  foreach_batch=None, run_id: str | None = None) -> DataFrame:
     """Run a streaming query over everything available (``availableNow``)
     into a parquet table in the shared folder and return that table."""
     spark = df.sparkSession
-    base = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+    base = scratch_path(spark, f"{name}-{run_id or uuid.uuid4().hex[:12]}")
     w = (df.writeStream.option("checkpointLocation", f"{base}/_checkpoint")
          .trigger(availableNow=True))
     if foreach_batch is not None:
-        q = w.foreachBatch(lambda b, i: foreach_batch(b, i, f"{base}/data")).start()
+        q = w.outputMode(mode).foreachBatch(lambda b, i: foreach_batch(b, i, f"{base}/data")).start()
     else:
         q = w.outputMode(mode).format("parquet").option("path", f"{base}/data").start()
     q.awaitTermination()
     return spark.read.parquet(f"{base}/data")
 
 
+def write_epoch(batch: DataFrame, epoch: int, base: str) -> None:
+    """foreachBatch body: the rows of an epoch as one version directory. A
+    retried epoch rewrites its own directory."""
+    batch.write.mode("overwrite").parquet(f"{base}/epoch={epoch}")
+
+
+def latest(versions: DataFrame, keys: list[str]) -> DataFrame:
+    """Newest version of each key."""
+    rest = [c for c in versions.columns if c not in (*keys, "epoch")]
+    return (versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("r"))
+            .select(*keys, "r.*"))
+
+
+def run_latest(df: DataFrame, keys: list[str], name: str, run_id: str | None = None) -> DataFrame:
+    """Run in update mode and return the newest row of each key."""
+    return latest(run_available(df, "update", name, write_epoch, run_id), keys)
+
+
 # ----------------------------------------------------------------- ST1 ---
 def stream_counters(events: DataFrame, window: str = "1 hour", labels=("event_type",),
                     watermark: str = WATERMARK) -> DataFrame:
@@ -120,7 +159,7 @@ def stream_chunks_sanitize(chunks: DataFrame, text_col: str = "chunk") -> DataFr
 
 # ----------------------------------------------------------------- ST9 ---
 def assemble_answers(chunks: DataFrame) -> DataFrame:
-    """ST9 (batch form): chunks of one request joined in seq order; a done
+    """ST9 (batch and stream): chunks of one request joined in seq order; a done
     row closes the answer; an error row ('Error: ...') closes it as failed."""
     ordered = F.array_sort(F.collect_list(F.struct("seq", "chunk", "is_error")))
     g = chunks.groupBy("request_id").agg(ordered.alias("xs"),
@@ -145,24 +184,68 @@ def stream_business(business: DataFrame, watermark: str = WATERMARK) -> DataFram
 
 
 # ---------------------------------------------------------------- ST13 ---
-def stream_dedup(requests: DataFrame, key_col: str = "cache_key",
-                 within: str = "1 hour") -> DataFrame:
-    """ST13: an equal request within the ttl is answered once."""
-    return requests.withWatermark("ts", within).dropDuplicatesWithinWatermark([key_col])
+def stream_dedup(requests: DataFrame, key_col: str = "cache_key", id_col: str = "event_id",
+                 ttl_s: int = 3600, watermark: str = WATERMARK) -> DataFrame:
+    """ST13: an equal request within the ttl of the last answer is not
+    answered again. Per key the time of the last answer is the state; rows of
+    a micro-batch are taken in (ts, id) order, so time-ordered input gives the
+    same answers in any number of files."""
+    kind = requests.schema[key_col].dataType.simpleString()
+    rows = requests.select(F.col(key_col).alias("name"), F.lit(ttl_s).alias("cooldown_s"), id_col, "ts")
+    out = f"name {kind}, {id_col} {requests.schema[id_col].dataType.simpleString()}"
+    return (rows.withWatermark("ts", watermark).groupBy("name")
+            .applyInPandasWithState(_cooldown_state(id_col), out, STATE_LAST, "append", "NoTimeout")
+            .withColumnRenamed("name", key_col))
+
+
+# ----------------------------------------------------------------- ST4 ---
+STATE_ENTRY = T.StructType([T.StructField("op", T.StringType()), T.StructField("until_us", T.LongType())])
+
+
+def _cache_state(id_col: str):
+    def fn(k, pdfs: Iterator[pd.DataFrame], state):
+        if state.hasTimedOut:                   # the entry has expired
+            state.remove()
+            return
+        op, until = state.get if state.exists else (None, None)
+        for rows in sorted_batches(pdfs, id_col):
+            status = []
+            for t, o, ttl in zip(rows["_us"].to_numpy(), rows["op"], rows["ttl_s"]):
+                if o == "get":
+                    status.append("miss" if op != "set" else "expired" if t > until else "hit")
+                    continue
+                status.append(o)
+                op, until = o, int(t) + int(ttl if ttl == ttl and ttl else 3600) * US
+            yield pd.DataFrame({id_col: rows[id_col].to_numpy(), "status": status})
+        if op is not None:
+            state.update((op, until))
+    return fn
+
+
+def sorted_batches(pdfs: Iterator[pd.DataFrame], id_col: str) -> Iterator[pd.DataFrame]:
+    """One key's rows of a micro-batch in (ts, id) order."""
+    rows = pd.concat(list(pdfs), ignore_index=True)
+    yield rows.assign(_us=rows["ts"].astype("int64") // 1000).sort_values(["_us", id_col])
+
+
+def stream_cache_ttl(ops: DataFrame, id_col: str = "op_id", watermark: str = WATERMARK) -> DataFrame:
+    """ST4: cache operations on a stream: each get is a hit, a miss or expired
+    against its key's last write (the state: operation and expiry time)."""
+    out = f"{id_col} {ops.schema[id_col].dataType.simpleString()}, status string"
+    return (ops.withWatermark("ts", watermark).groupBy("key")
+            .applyInPandasWithState(_cache_state(id_col), out, STATE_ENTRY, "append", "NoTimeout"))
 
 
 # ----------------------------------------------------------------- ST5 ---
-def write_behind(table_path: str, key: str = "key", seq: str = "op_id"):
-    """ST5 foreachBatch body: per micro-batch the last write per key wins
-    (W14); each batch is written as a new version directory, so a reader
-    never sees a half-written table and a retried batch rewrites its own
-    version."""
-    def run(batch: DataFrame, epoch: int, base: str) -> None:
-        last = batch.groupBy(key).agg(F.max_by("value", seq).alias("value"),
-                                      F.max(seq).alias("last_seq"))
-        last.withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(
-            f"{base}/epoch={epoch}")
-    return run
+def write_behind(writes: DataFrame, key: str = "key", seq: str = "op_id", name: str = "write-behind",
+                 run_id: str | None = None) -> DataFrame:
+    """ST5: each flush (micro-batch) writes the last value per key (W14) as a
+    new version; the newest version of a key over all flushes counts, which
+    is the upsert of the flushes in their order."""
+    def flush(batch: DataFrame, epoch: int, base: str) -> None:
+        write_epoch(batch.groupBy(key).agg(F.max_by("value", seq).alias("value"),
+                                           F.max(seq).alias("last_seq")), epoch, base)
+    return latest(run_available(writes, "append", name, flush, run_id), [key])
 
 
 # ----------------------------------------------------------------- ST7 ---
