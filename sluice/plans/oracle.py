@@ -1,6 +1,6 @@
 """Oracle SQL (DuckDB dialect) for the registered queries.
 
-Written independently of the Spark code from the operator definitions; the
+Written from the operator definitions, without imports from the operators; the
 driver tables are pre-registered views. Shared derivations are CTE snippets.
 """
 
@@ -187,41 +187,66 @@ k AS (
 
 
 # -------------------------------------------------------------- safety ---
-from sluice.functions.safety import (  # noqa: E402
-    INJECTION_INDICATORS, MASKS, PII_RECOGNIZERS, SUSPICIOUS_PATTERNS)
+# What the recognisers and filters look for, written out for RE2
+# (a finding's neighbours are checked in SQL).
+PII = [
+    ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0, "[EMAIL]"),
+    ("URL", r"https?://[^ \t\n\r\"'<>]+", 0.85, "[URL]"),
+    ("IBAN_CODE", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", 1.0, "[IBAN_CODE]"),
+    ("CREDIT_CARD", r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", 1.0, "[CREDIT_CARD]"),
+    ("US_SSN", r"[0-9]{3}-[0-9]{2}-[0-9]{4}", 0.85, "[US_SSN]"),
+    ("PHONE_NUMBER", r"(\+1[ .-]?)?\(?[0-9]{3}\)?[ .-]?[0-9]{3}-[0-9]{4}", 0.9, "[PHONE]"),
+    ("IP_ADDRESS", r"((25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])\.){3}(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])", 0.95, "[IP_ADDRESS]"),
+    ("US_PASSPORT", r"[A-Z][0-9]{8}", 0.4, "[US_PASSPORT]"),
+]
+SUSPICIOUS = [r"<script[^>]*>", r"javascript:", r"eval\s*\(", r"union\s+select", r"drop\s+table",
+              r"['\"];\s*(drop|delete|insert|update)"]
+INJECTION = ["' or '1'='1", "'; drop table", "<script>alert(", "javascript:void(0)", "onload=", "onerror=",
+             "../../../etc/passwd", "{{7*7}}", "${jndi:ldap://"]
 
 
 def lit(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def chain_replace(x: str, threshold: float | None, fmt) -> str:
-    for e, p, sc in PII_RECOGNIZERS:
-        if threshold is None or sc >= threshold:
-            x = f"regexp_replace({x}, {lit(p)}, {lit(fmt(e))}, 'g')"
-    return x
+OFFSET = ("coalesce(list_sum(list_transform(pieces[1:i], lambda x: length(x))), 0)"
+          " + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0)")
 
 
 def findings_sql(tab: str, idc: str, textc: str, threshold: float = 0.8) -> str:
+    """Findings with offsets whose neighbours are not letters or digits."""
     parts = []
-    for e, p, sc in PII_RECOGNIZERS:
+    for e, p, sc, mask in PII:
         if sc < threshold:
             continue
         parts.append(f"""
-  SELECT {idc}, {lit(e)} AS entity_type, m, i, pieces, ms, {sc}::DOUBLE AS score
-  FROM (SELECT {idc}, ms, pieces, unnest(ms) AS m, generate_subscripts(ms, 1) AS i
-        FROM (SELECT {idc}, regexp_extract_all({textc}, {lit(p)}) AS ms,
+  SELECT {idc}, {lit(e)} AS entity_type, {lit(mask)} AS mask, m, {OFFSET} AS off, {sc}::DOUBLE AS score, t
+  FROM (SELECT {idc}, t, ms, pieces, unnest(ms) AS m, generate_subscripts(ms, 1) AS i
+        FROM (SELECT {idc}, {textc} AS t, regexp_extract_all({textc}, {lit(p)}) AS ms,
                      regexp_split_to_array({textc}, {lit(p)}) AS pieces
               FROM {tab} WHERE trim({textc}) <> ''))""")
-    return " UNION ALL ".join(parts)
+    free = "NOT regexp_matches({0}, '[0-9A-Za-z]')"
+    return (f"SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE {free.format('substr(t, off::BIGINT, 1)')} "
+            f"AND {free.format('substr(t, off::BIGINT + length(m) + 1, 1)')}".replace(
+                "substr(t, off::BIGINT, 1)", "CASE WHEN off = 0 THEN '' ELSE substr(t, off::BIGINT, 1) END"))
 
 
-OFFSET = ("coalesce(list_sum(list_transform(pieces[1:i], lambda x: length(x))), 0)"
-          " + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0)")
+def replaced_sql(tab: str, idc: str, textc: str, threshold: float, name: str, mask: str) -> str:
+    """CTEs ending in ``name`` (id, text with its findings replaced)."""
+    return f"""
+{name}_f AS ({findings_sql(tab, idc, textc, threshold)}),
+{name}_o AS (SELECT *, max(off + length(m)) OVER (PARTITION BY {idc} ORDER BY off, length(m) DESC, score DESC, entity_type
+               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM {name}_f),
+{name}_k AS (SELECT {idc}, off, off + length(m) AS until, t, {mask} AS mask,
+                    coalesce(lag(off + length(m)) OVER (PARTITION BY {idc} ORDER BY off), 0) AS since
+             FROM {name}_o WHERE before IS NULL OR off >= before),
+{name}_r AS (SELECT {idc}, string_agg(substr(t, (since + 1)::BIGINT, (off - since)::BIGINT) || mask, '' ORDER BY off)
+                    || substr(any_value(t), (max(until) + 1)::BIGINT) AS done_text FROM {name}_k GROUP BY {idc}),
+{name} AS (SELECT x.*, coalesce(done_text, {textc}) AS replaced FROM {tab} x LEFT JOIN {name}_r USING ({idc}))"""
+
 
 ORACLE["pii_detect"] = f"""
-SELECT doc_id, entity_type, ({OFFSET})::INTEGER AS start,
-       ({OFFSET} + length(m))::INTEGER AS "end", score, m AS text
+SELECT doc_id, entity_type, off::INTEGER AS start, (off + length(m))::INTEGER AS "end", score, m AS text
 FROM ({findings_sql('documents', 'doc_id', 'text')})"""
 
 ORACLE["pii_stats"] = f"""
@@ -231,31 +256,31 @@ FROM (SELECT doc_id, entity_type, count(*) AS n, max(score) AS best
       FROM ({findings_sql('documents', 'doc_id', 'text')}) GROUP BY doc_id, entity_type)
 GROUP BY entity_type"""
 
-ORACLE["pii_mask"] = f"""
-SELECT doc_id, {chain_replace('text', 0.8, lambda e: MASKS.get(e, f'[{e}]'))} AS masked
-FROM documents"""
+ORACLE["pii_mask"] = f"""WITH {replaced_sql('documents', 'doc_id', 'text', 0.8, 'done', 'mask')}
+SELECT doc_id, replaced AS masked FROM done"""
 
-ORACLE["pii_anonymize"] = f"""
-SELECT doc_id, {chain_replace('text', None, lambda e: f'<{e}>')} AS anonymized FROM documents"""
+TAG = "'<' || entity_type || '>'"
+ORACLE["pii_anonymize"] = f"""WITH {replaced_sql('documents', 'doc_id', 'text', 0.0, 'done', TAG)}
+SELECT doc_id, replaced AS anonymized FROM done"""
 
 
 def inj_tenths(x: str) -> str:
-    terms = " + ".join(f"(CASE WHEN contains(lower({x}), {lit(i.lower())}) THEN 1 ELSE 0 END)"
-                       for i in INJECTION_INDICATORS)
+    terms = " + ".join(f"(CASE WHEN contains(lower({x}), {lit(i)}) THEN 1 ELSE 0 END)"
+                       for i in INJECTION)
     return f"least(2 * ({terms}), 10)"
 
 
 def sus_flag(x: str, i: int) -> str:
-    return f"regexp_matches({x}, {lit(SUSPICIOUS_PATTERNS[i])}, 'i')"
+    return f"regexp_matches({x}, {lit(SUSPICIOUS[i])}, 'i')"
 
 
 def risk_cte(src: str, x: str, idc: str) -> str:
     sus = " + ".join(f"(CASE WHEN {sus_flag(x, i)} THEN 3 ELSE 0 END)"
-                     for i in range(len(SUSPICIOUS_PATTERNS)))
+                     for i in range(len(SUSPICIOUS)))
     reasons = ", ".join(
         [f"CASE WHEN length({x}) > 10000 THEN 'Content too long (' || length({x}) || ' > 10000)' END"]
         + [f"CASE WHEN {sus_flag(x, i)} THEN 'Suspicious pattern #{i} detected' END"
-           for i in range(len(SUSPICIOUS_PATTERNS))]
+           for i in range(len(SUSPICIOUS))]
         + ["CASE WHEN inj > 5 THEN 'Potential injection attack detected' END"])
     return f"""
 r0 AS (SELECT *, {inj_tenths(x)} AS inj FROM {src}),
@@ -277,7 +302,7 @@ FROM documents"""
 
 ORACLE["suspicious_patterns"] = "SELECT page_id, " + " || ".join(
     f"(CASE WHEN {sus_flag('html', i)} THEN '1' ELSE '0' END)"
-    for i in range(len(SUSPICIOUS_PATTERNS))) + " AS flags FROM pages"
+    for i in range(len(SUSPICIOUS))) + " AS flags FROM pages"
 
 ORACLE["short_probe"] = """
 SELECT doc_id, (length(text) < 10 AND NOT contains(text, ' ')) AS short_probe,
@@ -287,7 +312,7 @@ ORACLE["filter_stats"] = f"""
 WITH t AS (SELECT text FROM documents UNION ALL SELECT html FROM pages)
 SELECT 'suspicious_pattern' AS filter_type, 'detected' AS action, count(*)::BIGINT AS events
 FROM ({" UNION ALL ".join(f"SELECT 1 FROM t WHERE {sus_flag('text', i)}"
-                          for i in range(len(SUSPICIOUS_PATTERNS)))})
+                          for i in range(len(SUSPICIOUS)))})
 HAVING count(*) > 0"""
 
 USER_TURNS = """
@@ -300,14 +325,15 @@ turns AS (
   FROM conversations WHERE role = 'user')"""
 
 ORACLE["sanitize_input"] = f"""WITH {USER_TURNS},
-anon AS (SELECT request_id, {chain_replace('message', None, lambda e: f'<{e}>')} AS a FROM turns),
+{replaced_sql('turns', 'request_id', 'message', 0.0, 'done', TAG)},
+anon AS (SELECT request_id, replaced AS a FROM done),
 {risk_cte('anon', 'a', 'request_id')}
 SELECT request_id, blocked, round(risk_score, 6) AS risk_score,
        CASE WHEN blocked THEN NULL ELSE a END AS sanitized FROM risk"""
 
 
 def has_pii_sql(x: str) -> str:
-    return "(" + " OR ".join(f"regexp_matches({x}, {lit(p)})" for e, p, sc in PII_RECOGNIZERS
+    return "(" + " OR ".join(f"regexp_matches({x}, {lit(p)})" for e, p, sc, _m in PII
                              if sc >= 0.8) + f") AND trim({x}) <> ''"
 
 
@@ -714,7 +740,11 @@ ORACLE["stream_rate_limit"] = ORACLE["rate_limit_admit"]
 
 
 # ------------------------------------------------- sources, html, rag ---
-from sluice.functions.html import DROP_BLOCKS, ENTITIES, LINK, TITLE  # noqa: E402
+# Character references, dropped blocks, links and titles.
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")]
+DROP_BLOCKS = [r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?s)<!--.*?-->"]
+LINK = r'(?is)<a[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+TITLE = r"(?is)<title[^>]*>(.*?)</title>"
 
 
 def unescape_sql(x: str) -> str:
@@ -1020,8 +1050,10 @@ chunks AS (
   FROM (SELECT *, unnest(range(n)) AS seq FROM a)
   UNION ALL SELECT request_id, n, 'Error: upstream', false, true FROM a WHERE conv_id % 10 = 0)"""
 
-ORACLE["stream_chunks_sanitize"] = f"""WITH {ANSWERS}
-SELECT request_id, seq, {chain_replace('chunk', None, lambda e: f'<{e}>')} AS chunk, done, is_error FROM chunks"""
+ORACLE["stream_chunks_sanitize"] = f"""WITH {ANSWERS},
+named AS (SELECT *, request_id * 10000 + seq AS piece FROM chunks),
+{replaced_sql('named', 'piece', 'chunk', 0.0, 'clean', TAG)}
+SELECT request_id, seq, replaced AS chunk, done, is_error FROM clean"""
 
 ORACLE["assemble_stream"] = f"""WITH {ANSWERS}
 SELECT request_id, text AS content, CASE WHEN conv_id % 10 = 0 THEN 'error_stream' ELSE 'success_stream' END AS status
