@@ -102,10 +102,14 @@ def findings_of(text: Column | str, entity: str, pattern: str, score: float) ->
                        lambda s: s["out"])
 
 
-def pii_findings(text: Column | str, threshold: float | None = PII_THRESHOLD) -> Column:
+def pii_findings(text: Column | str, threshold: float | None = PII_THRESHOLD, model=None) -> Column:
     """F14 + PF13: array<FINDING> of every recogniser (score >= threshold);
-    blank text -> empty array."""
+    blank text -> empty array. ``model`` (a U3 hook from text to
+    array<FINDING>) replaces the recognisers; the threshold still holds."""
     text = _c(text)
+    if model is not None:
+        found = F.coalesce(model(text), F.array().cast(T.ArrayType(FINDING)))
+        return found if threshold is None else F.filter(found, lambda f: f["score"] >= threshold)
     parts = [findings_of(text, e, p, s) for e, p, s in _recognizers(threshold)]
     allf = F.concat(*parts) if len(parts) > 1 else parts[0]
     return F.when(F.trim(F.coalesce(text, F.lit(""))) == "",

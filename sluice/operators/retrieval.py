@@ -146,11 +146,14 @@ def similar_chunks(chunks: DataFrame, k: int = 5, *, queries: DataFrame | None =
 
 # ------------------------------------------------------------------- W5 ---
 def rerank(hits: DataFrame, content_col: str = "content",
-           score_col: str = "similarity_score", rank_col: str = "rank") -> DataFrame:
-    """Score *= 0.8 + 0.2 * min(len/500, 1); new ranks by the new score,
-    ties keep the old order."""
+           score_col: str = "similarity_score", rank_col: str = "rank", model=None) -> DataFrame:
+    """Score *= 0.8 + 0.2 * min(len/500, 1), or the factor that ``model``
+    (a U3 hook from content to double) gives; new ranks by the new score, ties
+    keep the old order."""
     size = F.coalesce(F.length(content_col), F.lit(0))
     factor = F.lit(0.8) + F.lit(0.2) * F.least(size / 500.0, F.lit(1.0))
+    if model is not None:
+        factor = model(F.col(content_col))
     w = W.partitionBy("query_id").orderBy(F.col(score_col).desc(), F.col("_old_rank"))
     return (hits.withColumnRenamed(rank_col, "_old_rank")
             .withColumn("vector_score", F.col(score_col))

@@ -1304,3 +1304,45 @@ def q_custom_rules(spark, sf_dir):
     d = tb.text_table(spark, sf_dir, "documents").select("doc_id", sfn.content_risk("text", custom_rules=rules).alias("cr"))
     return d.select("doc_id", "cr.blocked", F.round("cr.risk_score", 6).alias("risk_score"),
                     F.array_join("cr.reasons", "; ").alias("reasons"))
+
+
+@register("chunk_semantic_breaks")
+def q_chunk_semantic_breaks(spark, sf_dir):
+    """F4 with breaks between dissimilar sentences."""
+    c = ch.chunk_semantic(_docs(spark, sf_dir, False), keep=["title"], threshold=0.2001)
+    return ch.with_chunk_id(c).select(*CHUNK_COLS)
+
+
+@register("stream_ingest_vectors")
+def q_stream_ingest_vectors(spark, sf_dir):
+    """ST12 with E1 and upsert: chunks of new documents with their vectors,
+    the newest version of a chunk id counts."""
+    docs = tb.table(spark, sf_dir, "documents")
+    parts = st.split_by_time(docs.withColumn("ts", F.timestamp_micros(F.col("doc_id"))), "documents-in", files=3)
+    s = st.file_stream(spark, parts, docs.schema)
+    out = st.stream_ingest(s, "hybrid").withColumn("embedding", vec.embed("content"))
+    out = st.run_latest(out, ["chunk_id"], "stream_ingest_vectors")
+    v = F.filter(F.transform("embedding", lambda x: x.cast("double")), lambda x: x != 0)
+    return out.select("chunk_id", "doc_id", "chunk_index", "content", F.size(v).alias("dims"))
+
+
+@register("hooked_rerank")
+def q_hooked_rerank(spark, sf_dir):
+    """U3 as a reranker: shorter texts first."""
+    hits = rt.knn_join(inp.vector_queries(spark, sf_dir), inp.vector_corpus(spark, sf_dir), 5, payload=["content"])
+    hits = hits.withColumn("content", F.coalesce("content", F.lit("")))
+    hook = pl.model_hook(lambda t: 1.0 / (1.0 + t.str.len()), "double")
+    return rt.rerank(hits, model=hook).select("query_id", "chunk_id", "rank", F.round("similarity_score", 9).alias("similarity_score"))
+
+
+@register("hooked_pii")
+def q_hooked_pii(spark, sf_dir):
+    """U3 as a PII analyser: runs of digits in brackets."""
+    import re
+
+    def find(texts):
+        return texts.map(lambda t: [{"entity_type": "BRACKET", "start": m.start(), "end": m.end(), "score": 0.9,
+                                     "text": m.group()} for m in re.finditer(r"\([0-9]+\)", t or "")])
+    hook = pl.model_hook(find, "array<struct<entity_type:string,start:int,end:int,score:double,text:string>>")
+    d = tb.table(spark, sf_dir, "documents").select("doc_id", sfn.pii_findings("text", model=hook).alias("f"))
+    return d.select("doc_id", F.explode("f").alias("f")).select("doc_id", "f.start", "f.text")

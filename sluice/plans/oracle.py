@@ -1220,3 +1220,56 @@ SELECT item_id, i::INTEGER AS pos, (length(lower(text)) - length(replace(lower(t
 FROM (SELECT item_id, text, unnest(range(4)) AS i FROM benchmark)"""
 ORACLE["sql_execute"] = """
 SELECT event_id, user_id, count(*) OVER ()::BIGINT AS affected_rows FROM events WHERE event_type = 'error'"""
+
+
+# sentences as in chunk_sentence; a chunk also ends where the next sentence's
+# token buckets have a cosine below 0.2001 with those of the one before it
+ORACLE["chunk_semantic_breaks"] = f"""WITH RECURSIVE
+{pieces_sql('sp', 'documents', "regexp_split_to_array(text, '[.!?]+')")},
+tk AS (SELECT doc_id, i, unnest(list_filter(regexp_split_to_array(lower(piece), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS tok FROM sp),
+bk AS (SELECT doc_id, i, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 384 AS dim, count(*) AS c FROM tk GROUP BY ALL),
+nm AS (SELECT doc_id, i, sqrt(sum(c * c)) AS norm FROM bk GROUP BY ALL),
+dt AS (SELECT b.doc_id, b.i, sum(a.c * b.c) AS dot FROM bk a JOIN bk b ON a.doc_id = b.doc_id AND a.i = b.i - 1 AND a.dim = b.dim GROUP BY ALL),
+sm AS (SELECT sp.doc_id, sp.i, sp.piece, coalesce(dot / (x.norm * y.norm), 0.0) < 0.2001 AS far
+       FROM sp LEFT JOIN dt USING (doc_id, i) LEFT JOIN nm x ON x.doc_id = sp.doc_id AND x.i = sp.i
+       LEFT JOIN nm y ON y.doc_id = sp.doc_id AND y.i = sp.i - 1),
+fo(doc_id, i, cur, st, out_c, out_s) AS (
+  SELECT doc_id, i, piece, 0::BIGINT, NULL::VARCHAR, NULL::BIGINT FROM sm WHERE i = 1
+  UNION ALL
+  SELECT f.doc_id, p.i, CASE WHEN p.far OR length(f.cur || ' ' || p.piece) > 512 THEN p.piece ELSE f.cur || ' ' || p.piece END,
+         CASE WHEN p.far OR length(f.cur || ' ' || p.piece) > 512 THEN f.st + length(f.cur) ELSE f.st END,
+         CASE WHEN p.far OR length(f.cur || ' ' || p.piece) > 512 THEN f.cur END,
+         CASE WHEN p.far OR length(f.cur || ' ' || p.piece) > 512 THEN f.st END
+  FROM fo f JOIN sm p ON p.doc_id = f.doc_id AND p.i = f.i + 1),
+sc AS (SELECT doc_id, i AS ord, out_c AS content, out_s AS start_char, out_s + length(out_c) AS end_char FROM fo WHERE out_c IS NOT NULL
+       UNION ALL
+       SELECT f.doc_id, f.i + 1, f.cur, f.st, f.st + length(f.cur) FROM fo f
+       JOIN (SELECT doc_id, max(i) AS mi FROM sm GROUP BY doc_id) m ON m.doc_id = f.doc_id AND f.i = m.mi)
+{chunk_select('sc')}"""
+
+ORACLE["stream_ingest_vectors"] = f"""WITH RECURSIVE
+{pieces_sql('pp', 'documents', f"string_split(text, {NL2})")},
+{fold_sql('pc', 'pp', NL2)},
+pcl AS (SELECT doc_id * 100000 + ord AS doc_id, doc_id AS real_doc, ord AS p_ord, content AS text, start_char AS p_start
+        FROM pc WHERE length(content) > 2048),
+{pieces_sql('sp', 'pcl', "regexp_split_to_array(text, '[.!?]+')")},
+{fold_sql('sc', 'sp', "' '")},
+hy AS (SELECT doc_id, ord * 100000 AS ord, content, start_char, end_char FROM pc WHERE length(content) <= 2048
+       UNION ALL
+       SELECT l.real_doc, l.p_ord * 100000 + s.ord, s.content, s.start_char + l.p_start, s.end_char + l.p_start
+       FROM sc s JOIN pcl l ON l.doc_id = s.doc_id),
+ck AS ({chunk_select('hy')}),
+tk AS (SELECT chunk_id, unnest(list_filter(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS tok FROM ck)
+SELECT ck.chunk_id, doc_id, chunk_index, content,
+       (SELECT count(DISTINCT ('0x' || substr(md5(tok), 1, 8))::BIGINT % 384) FROM tk WHERE tk.chunk_id = ck.chunk_id)::INTEGER AS dims
+FROM ck"""
+
+ORACLE["hooked_rerank"] = f"""WITH {CORPUS}, {knn_sql(5)},
+rr AS (SELECT query_id, chunk_id, rank AS old_rank, similarity_score * (1.0::DOUBLE / (1 + length(content))) AS s FROM hits)
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, old_rank) AS rank, round(s, 9) AS similarity_score FROM rr"""
+
+ORACLE["hooked_pii"] = """
+WITH p AS (SELECT doc_id, regexp_extract_all(text, '\\([0-9]+\\)') AS ms, regexp_split_to_array(text, '\\([0-9]+\\)') AS pieces FROM documents),
+u AS (SELECT doc_id, ms, pieces, unnest(ms) AS text, generate_subscripts(ms, 1) AS i FROM p)
+SELECT doc_id, (list_sum(list_transform(pieces[1:i], lambda x: length(x)))
+                + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::INTEGER AS start, text FROM u"""
