@@ -51,16 +51,45 @@ def histogram(df: DataFrame, value: str, labels: Sequence[str] = (),
 
 
 def summary(df: DataFrame, value: str, labels: Sequence[str] = (),
-            quantiles: Sequence[float] = DEFAULT_QUANTILES, exact: bool = True) -> DataFrame:
-    """Count, sum and quantiles per label set. ``exact`` uses
-    ``percentile`` (linear interpolation); otherwise ``percentile_approx``
-    (bounded memory per group, the choice at scale)."""
+            quantiles: Sequence[float] = DEFAULT_QUANTILES, exact: bool = True,
+            slots: int = 64) -> DataFrame:
+    """Count, sum and quantiles per label set. ``exact`` interpolates
+    linearly between the neighbouring values; otherwise ``percentile_approx``.
+
+    The exact way counts equal values first, cuts each label set at
+    approximate quantiles into ``slots`` ranges, and finds the values at the
+    wanted ranks from running counts per range: no task holds the values of a
+    whole label set."""
+    from sluice.operators.timeline import join_slots, running_counts
     v = F.col(value)
-    if exact:
-        qs = [F.percentile(v, float(q)).alias(f"q{int(q * 100)}") for q in quantiles]
-    else:
-        qs = [F.percentile_approx(v, float(q), 10000).alias(f"q{int(q * 100)}") for q in quantiles]
-    return df.groupBy(*labels).agg(F.count("*").alias("count"), F.sum(v).alias("sum"), *qs)
+    names = {q: f"q{int(q * 100)}" for q in quantiles}
+    if not exact:
+        qs = [F.percentile_approx(v, float(q), 10000).alias(n) for q, n in names.items()]
+        return df.groupBy(*labels).agg(F.count("*").alias("count"), F.sum(v).alias("sum"), *qs)
+    rows = df.select(F.struct(*[F.col(c) for c in labels], F.lit(0).alias("_")).alias("_key"), v.alias("_v"))
+    whole = rows.groupBy("_key").agg(
+        F.count("*").alias("count"), F.sum("_v").alias("sum"), F.count("_v").alias("_n"),
+        F.percentile_approx("_v", [i / slots for i in range(1, slots)], 1000).alias("_cuts"))
+    counts = rows.filter(F.col("_v").isNotNull()).groupBy("_key", "_v").agg(F.count("*").alias("_c"))
+    placed = join_slots(counts.withColumn("_slot", F.lit(0)), whole.withColumn("_slot", F.lit(0)), ["_key"])
+    slot = F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+    ranked = running_counts(placed.withColumn("_s", slot).drop("_slot"), "_key", ["_v"], F.col("_s"),
+                            {"_upto": F.col("_c")})
+
+    def at_rank(rank: Column) -> Column:
+        return F.min(F.when(F.col("_upto") > rank, F.col("_v")))
+    aggs = []
+    for q, n in names.items():
+        low = F.floor(F.lit(float(q)) * (F.col("_n") - 1))
+        aggs += [at_rank(low).alias(f"_a{n}"), at_rank(low + 1).alias(f"_b{n}")]
+    found = ranked.groupBy("_key").agg(*aggs)
+    out = whole.alias("w").join(found.alias("f"), F.col("w._key").eqNullSafe(F.col("f._key")), "left")
+    result = []
+    for q, n in names.items():
+        pos = F.lit(float(q)) * (F.col("_n") - 1)
+        a, b = F.col(f"_a{n}"), F.coalesce(F.col(f"_b{n}"), F.col(f"_a{n}"))
+        result.append((a + (pos - F.floor(pos)) * (b - a)).alias(n))
+    return out.select(*[F.col(f"w._key.{c}").alias(c) for c in labels], "count", "sum", *result)
 
 
 def token_estimate(text: Column | str) -> Column:

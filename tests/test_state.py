@@ -6,7 +6,7 @@ from collections import deque
 
 from pyspark.sql import functions as F
 
-from sluice.operators import alerts, cache, limits, routing, traces
+from sluice.operators import alerts, cache, limits, routing, traces, usage
 from sluice.operators.timeline import segments
 
 BASE = 1_700_000_000
@@ -117,3 +117,18 @@ def test_trace_roots_without_limits(spark):
     assert got[2000] == got[2001] == (None, None, False)
     assert got[3000] == (3000, 0, False) and len(got) == 155
     assert traces.trace_roots(spans.limit(0)).count() == 0
+
+
+def test_exact_quantiles(spark):
+    import numpy as np
+    r = random.Random(6)
+    rows = [("a", float(r.choice([1, 1, 1, 2, 50, r.random() * 100]))) for _ in range(500)]
+    rows += [("b", 3.0), ("c", None), (None, 1.0), (None, 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    got = {x.k: x for x in usage.summary(df, "v", ["k"], slots=7).collect()}
+    values = [v for k, v in rows if k == "a"]
+    for q in (50, 90, 95, 99):
+        assert abs(got["a"][f"q{q}"] - np.percentile(values, q)) < 1e-9
+    assert got["b"].q50 == 3.0 and got["c"].q50 is None and got[None].q50 == 1.5
+    assert got["c"]["count"] == 1
+    assert usage.summary(df, "v").count() == 1
