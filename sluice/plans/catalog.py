@@ -995,7 +995,8 @@ def q_stream_alerts(spark, sf_dir):
 @register("stream_threats")
 def q_stream_threats(spark, sf_dir):
     ev = st.event_stream(spark, sf_dir)
-    return st.run_available(st.stream_threats(ev, limit=1), "append", "stream_threats")
+    t = st.stream_threats(ev, limit=1, text_col="props", failed=F.col("event_type") == "error")
+    return st.run_available(t, "append", "stream_threats")
 
 
 # ------------------------------------------------ ingest and collections ---

@@ -1071,7 +1071,13 @@ FROM events GROUP BY ALL"""
 
 ORACLE["stream_alerts"] = ORACLE["alert_cooldown"]
 
-ORACLE["stream_threats"] = ORACLE["rate_breach"]
+ORACLE["stream_threats"] = f"""
+WITH n AS ({window_count_sql(60)}),
+f AS (SELECT event_id, sum((event_type = 'error')::INTEGER) OVER (PARTITION BY user_id ORDER BY ts, event_id
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT AS failures_so_far,
+             length(props) < 10 AND NOT contains(props, ' ') AS probe FROM events)
+SELECT event_id, user_id, n AS requests_in_window, n > 1 AS breach, failures_so_far, failures_so_far > 5 AS suspicious, probe
+FROM n JOIN f USING (event_id)"""
 
 
 # ------------------------------------------------ ingest and collections ---

@@ -20,7 +20,7 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -323,37 +323,43 @@ def stream_alerts(matches: DataFrame, id_col: str = "event_id",
 
 
 # ----------------------------------------------------------------- ST3 ---
-STATE_TIMES = T.StructType([T.StructField("times", T.ArrayType(T.LongType()))])
+STATE_THREAT = T.StructType([T.StructField("times", T.ArrayType(T.LongType())),
+                             T.StructField("failures", T.LongType())])
 
 
-def _threat_state(window_us: int, limit: int, id_col: str):
+def _threat_state(window_us: int, limit: int, id_col: str, suspicious_after: int):
     def fn(k, pdfs: Iterator[pd.DataFrame], state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(pdfs), ignore_index=True)
-        rows = rows.assign(_us=rows["ts"].astype("int64") // 1000).sort_values(["_us", id_col])
-        counts = []
-        for t in rows["_us"].to_numpy():
-            times = [x for x in times if t - x < window_us]   # age < window, this one included
-            times.append(int(t))
-            counts.append(len(times))
-        state.update((times,))
-        state.setTimeoutTimestamp(max(max(times) // 1000 + window_us // 1000,
-                                      state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({id_col: rows[id_col].to_numpy(), "user_id": rows["user_id"].to_numpy(),
-                            "requests_in_window": counts,
-                            "breach": [c > limit for c in counts]})
+        times, failures = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
+        for rows in sorted_batches(pdfs, id_col):
+            counts, failed = [], []
+            for t, bad in zip(rows["_us"].to_numpy(), rows["failed"].to_numpy()):
+                times = [x for x in times if t - x < window_us]   # age < window, this one included
+                times.append(int(t))
+                failures += int(bad)
+                counts.append(len(times))
+                failed.append(failures)
+            yield pd.DataFrame({id_col: rows[id_col].to_numpy(), "user_id": rows["user_id"].to_numpy(),
+                                "requests_in_window": counts, "breach": [c > limit for c in counts],
+                                "failures_so_far": failed,
+                                "suspicious": [f > suspicious_after for f in failed],
+                                "probe": rows["probe"].to_numpy()})
+        state.update((times, failures))
     return fn
 
 
-def stream_threats(requests: DataFrame, id_col: str = "event_id", limit: int = 100,
-                   seconds: int = 60, watermark: str = WATERMARK) -> DataFrame:
-    """ST3: W1 on a stream -- per user the request times of the last window
-    are the state (every request counts); breach when the count exceeds the
-    limit. State expires by event-time timeout."""
-    out = f"{id_col} long, user_id long, requests_in_window long, breach boolean"
-    return (requests.withWatermark("ts", watermark).groupBy("user_id")
-            .applyInPandasWithState(_threat_state(seconds * US, limit, id_col), out, STATE_TIMES,
-                                    "append", "EventTimeTimeout"))
+def stream_threats(requests: DataFrame, id_col: str = "event_id", limit: int = 100, seconds: int = 60,
+                   text_col: str | None = None, failed: Column | None = None,
+                   suspicious_after: int = 5, watermark: str = WATERMARK) -> DataFrame:
+    """ST3: threat rules on a stream. Per user the request times of the last
+    window (W1: every request counts; breach when the count exceeds the limit)
+    and the failures so far (W11: suspicious from the sixth) are the state;
+    short probes (F20) need none."""
+    from sluice.functions.safety import short_probe
+    rows = requests.select(
+        id_col, "user_id", "ts", F.coalesce(failed if failed is not None else F.lit(False), F.lit(False)).alias("failed"),
+        F.coalesce(short_probe(text_col) if text_col else F.lit(False), F.lit(False)).alias("probe"))
+    out = (f"{id_col} long, user_id long, requests_in_window long, breach boolean, failures_so_far long, "
+           "suspicious boolean, probe boolean")
+    return (rows.withWatermark("ts", watermark).groupBy("user_id")
+            .applyInPandasWithState(_threat_state(seconds * US, limit, id_col, suspicious_after), out,
+                                    STATE_THREAT, "append", "NoTimeout"))
