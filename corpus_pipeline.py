@@ -16,12 +16,12 @@ output of the same columns.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.decontam import clean_documents
 from sluice.llm.mixing import mixed_documents
-from sluice.llm.ngram_join import link_components
+from sluice.llm.ngram_join import one_per_group
 from sluice.llm.oracle import PIPELINE as ORACLE_SQL
 from sluice.llm.quality_rules import quality
 from sluice.llm.store import materialise
@@ -40,13 +40,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each linked group."""
     apply_sql_conf(spark)
-    cols = docs.columns
-    found = link_components(docs)
-    gone = found.filter(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
-    rest = docs.withColumn("__text", F.xxhash64("text")).join(gone, "doc_id", "left_anti")
-    first = F.row_number().over(Window.partitionBy("doc_id", "__text").orderBy("__text"))
-    return (rest.withColumn("__copy", first)
-            .filter((F.col("__copy") == 1) | F.col("doc_id").isNull()).select(*cols))
+    return one_per_group(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

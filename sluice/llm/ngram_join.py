@@ -40,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm import tokens as tk
@@ -198,18 +198,24 @@ def postings(rows: DataFrame, kind: str) -> DataFrame:
     return rows.mapInArrow(run, f"token bigint, doc {kind}, n bigint, first {kind}")
 
 
-def only_listed(docs: DataFrame, key: str, listed: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id may be among ``listed`` (column id): a
-    bitmap of 2**BITMAP_BITS bits, as at most 2**BITMAP_BITS / 64 broadcast
-    rows. Others may pass; a join follows."""
+def maybe_listed(docs: DataFrame, key: str, listed: DataFrame) -> DataFrame:
+    """``docs`` with ``__listed``: false if the row's id is not among
+    ``listed`` (column id), true if it may be. The ids travel as a bitmap of
+    2**BITMAP_BITS bits, at most 2**BITMAP_BITS / 64 broadcast rows."""
     bit = lambda c: F.shiftright(F.xxhash64(c), 64 - BITMAP_BITS - 1).bitwiseAND(
         F.lit((1 << BITMAP_BITS) - 1))
     words = (listed.select(bit("id").alias("bit"))
-             .groupBy(F.shiftright("bit", 6).alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")))
+             .groupBy(F.shiftright("bit", 6).alias("__word"))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("__bits")))
     probe = docs.withColumn("__bit", bit(key))
-    hit = probe.join(F.broadcast(words), F.shiftright("__bit", 6) == F.col("word"))
-    return hit.filter(F.expr("(shiftright(bits, cast(__bit & 63 as int)) & 1L) = 1")).select(*docs.columns)
+    met = probe.join(F.broadcast(words), F.shiftright("__bit", 6) == F.col("__word"), "left")
+    hit = F.expr("(shiftright(__bits, cast(__bit & 63 as int)) & 1L) = 1")
+    return met.select(*docs.columns, F.coalesce(hit, F.lit(False)).alias("__listed"))
+
+
+def only_listed(docs: DataFrame, key: str, listed: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id may be among ``listed``; a join follows."""
+    return maybe_listed(docs, key, listed).filter("__listed").drop("__listed")
 
 
 class Member:
@@ -394,3 +400,20 @@ def link_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         "doc", "n", F.col("doc").alias("component_id"), F.lit(0).cast("bigint").alias("n_links"))
     return linked.unionByName(alone).select(F.col("doc").alias(id_col),
                                             F.col("n").alias("n_shingles"), "component_id", "n_links")
+
+
+def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The document with the smallest id of each component, repeated rows
+    (same id, same text) once; rows without id stay. Only documents whose id
+    may be one to drop or repeated are shuffled."""
+    found = materialise(link_components(docs, id_col=id_col, text_col=text_col), "join-found")
+    ids = found.groupBy(F.col(id_col).alias("id")).agg(
+        F.max(F.col("component_id") != F.col(id_col)).alias("gone"), F.count("*").alias("rows"))
+    ids = materialise(ids.filter(F.col("id").isNotNull() & (F.col("gone") | (F.col("rows") > 1))), "join-drop")
+    flagged = maybe_listed(docs, id_col, ids)
+    plain = flagged.filter(~F.col("__listed")).select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy(id_col, "__text").orderBy("__text"))
+    rest = (flagged.filter("__listed").withColumn("__text", F.xxhash64(text_col))
+            .join(ids.filter("gone").select(F.col("id").alias(id_col)), id_col, "left_anti")
+            .withColumn("__copy", first).filter((F.col("__copy") == 1) | F.col(id_col).isNull()))
+    return plain.unionByName(rest.select(*docs.columns))
