@@ -110,10 +110,12 @@ def pii_findings(text: Column | str, threshold: float | None = PII_THRESHOLD, mo
     if model is not None:
         found = F.coalesce(model(text), F.array().cast(T.ArrayType(FINDING)))
         return found if threshold is None else F.filter(found, lambda f: f["score"] >= threshold)
-    parts = [findings_of(text, e, p, s) for e, p, s in _recognizers(threshold)]
+    none = F.array().cast(T.ArrayType(FINDING))
+    # offsets are worked out only where the recogniser matches at all
+    parts = [F.when(text.rlike(bounded(p)), findings_of(text, e, p, s)).otherwise(none)
+             for e, p, s in _recognizers(threshold)]
     allf = F.concat(*parts) if len(parts) > 1 else parts[0]
-    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "",
-                  F.array().cast(T.ArrayType(FINDING))).otherwise(allf)
+    return F.when(F.trim(F.coalesce(text, F.lit(""))) == "", none).otherwise(allf)
 
 
 def has_pii(text: Column | str, threshold: float | None = PII_THRESHOLD) -> Column:
