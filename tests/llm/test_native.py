@@ -5,6 +5,7 @@ import hashlib
 import io
 import random
 import re
+import textwrap
 from contextlib import redirect_stdout
 
 from pyspark.sql import functions as F
@@ -45,6 +46,70 @@ def test_license_rules(make):
     assert not plan_of(licenses.scan_licenses(make(rows)))
 
 
+GPL = ("This program is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General "
+       "Public License as published by the Free Software Foundation{} either version {} of the License, or (at your "
+       "option) any later version.")
+BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+       "the following conditions are met: 1. Redistributions of source code must retain the above copyright notice.")
+CANONICAL = [
+    ("GPL-3.0-or-later", GPL.format(":", "", ",", 3)),
+    ("GPL-2.0-or-later", GPL.format(";", "", ";", 2)),
+    ("LGPL-3.0-or-later", GPL.format(":", "Lesser ", ",", 3)),
+    ("LGPL-2.1-or-later", GPL.format(";", "Lesser ", ";", 2.1).replace("program", "library")),
+    ("AGPL-3.0-or-later", GPL.format(":", "Affero ", ",", 3).replace("This program", "Frob")),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except '
+                   "in compliance with the License. You may obtain a copy of the License at"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+            "associated documentation files. The above copyright notice and this permission notice shall be "
+            "included in all copies or substantial portions of the Software."),
+    ("MIT", "This file is released under the MIT License."),
+    ("BSD-2-Clause", BSD),
+    ("BSD-3-Clause", BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be "
+                           "used to endorse or promote products derived from this software without specific prior "
+                           "written permission."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of "
+                "the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+            "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("CC0-1.0", "To the extent possible under law, the author(s) have dedicated all copyright and related and "
+                "neighboring rights to this software to the public domain worldwide."),
+    ("GPL-3.0-or-later", "This work is licensed under the GNU General Public License, version 3 or (at your option) "
+                         "any later version."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+]
+
+
+def test_canonical_license_texts_in_any_layout(make):
+    rows = []
+    for i, (_, text) in enumerate(CANONICAL):
+        lines = textwrap.wrap(text, 34)
+        layouts = [text, "\n".join(lines), "\r\n".join(lines), "/*\n" + "\n".join(f" * {x}" for x in lines) + "\n */",
+                   *("\n".join(f"{c} {x}" for x in lines) for c in ("#", "//", "!", "--", "REM", "dnl", ";;"))]
+        rows += [(100 * i + k, f"Title\n\n{x}\n\nint x") for k, x in enumerate(layouts)]
+    got = licenses.scan_licenses(make(rows)).collect()
+    assert len(got) == len(rows) == 11 * len(CANONICAL)
+    for r in got:
+        assert r.licenses == [CANONICAL[r.doc_id // 100][0]] and r.n_matches == 1 and r.unmatched_ids == [], r
+
+
+def test_license_sentences_have_borders(make):
+    rows = [(1, "# SPDX-License-Identifier: (MIT OR Apache-2.0) AND GPL-2.0+\nonly x"),
+            (2, "// SPDX-License-Identifier: MIT-0"),
+            (3, "/* SPDX-License-Identifier: LGPL-2.1-only WITH GCC-exception-3.1 */ int x"),
+            (4, "It is not released under\nthe MIT License."),
+            (5, "Released under the MIT\n\nLicense"),            # a blank line ends a sentence
+            (6, "It is licensed. Under the MIT License, nothing is."),
+            (7, "unlicensed under the MIT License"),
+            (8, "Licensed under the Apache License, Version 2.0. The License is long."),
+            (9, "a\x01b Released under the MIT License" + " word" * 4000)]
+    got = {r.doc_id: r for r in licenses.scan_licenses(make(rows)).collect()}
+    assert got[1].sentence_ids == ["spdx-mit", "spdx-apache-2.0", "spdx-gpl-2.0-or-later"]
+    assert sorted(got[1].licenses) == ["Apache-2.0", "GPL-2.0-or-later", "MIT"] and got[1].n_matches == 3
+    assert got[3].licenses == ["LGPL-2.1-only"]
+    assert all(got[i].sentence_ids == [] for i in (2, 4, 5, 6, 7))
+    assert got[8].sentence_ids == ["apache2-short"] and got[9].licenses == ["MIT"]
+
+
 def brute_targets(sizes):
     """Deal 150 % by weight; what exceeds twice a source is dealt again."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s])
