@@ -1,6 +1,6 @@
 """Structured Streaming versions of the batch operators (ST1-ST13).
 
-Sources are Parquet file streams, a few files per trigger; event time is
+Sources are Parquet file streams, a few files or a part per trigger; event time is
 ``ts`` cast to TIMESTAMP with a watermark (default 10 minutes: later rows are
 dropped and counted by Spark as ``numRowsDroppedByWatermark``). Sinks write to
 the shared checkpoint folder of the cluster (``spark.checkpoint.dir``), with a
@@ -16,6 +16,7 @@ are in the result too).
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -28,11 +29,16 @@ from sluice.session import scratch_path
 
 WATERMARK = "10 minutes"
 US = 1_000_000
+ROWS_PER_FILE = 10_000      # of the largest part of a stream's input
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType | str,
-                max_files: int = 1) -> DataFrame:
-    """Parquet file stream (a directory or a glob of files)."""
+                max_files: int | None = None) -> DataFrame:
+    """Parquet file stream (a directory or a glob of files). A trigger takes
+    ``max_files`` files; without it a part of ``split_by_time``, else one file."""
+    if max_files is None:
+        part = re.search(r"-by([0-9]+)$", path)
+        max_files = int(part.group(1)) if part else 1
     return (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
             .parquet(path))
 
@@ -40,18 +46,31 @@ def file_stream(spark: SparkSession, path: str, schema: T.StructType | str,
 def split_by_time(df: DataFrame, name: str, ts: str = "ts", files: int = 6) -> str:
     """Write ``df`` under the shared folder as ``files`` parts in time order,
     one write after the other, and return the path: the input of a stream of
-    several micro-batches."""
-    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
+    several micro-batches.
+
+    Each part is dealt by time to the same number of files (``-byN`` in the
+    path), so that many tasks write and read it; a part that fills fewer gets
+    empty ones. Rows of one time may go to several files of their part."""
+    spark = df.sparkSession
     us = F.unix_micros(F.col(ts).cast("timestamp"))
     lo, hi = df.agg(F.min(us), F.max(us)).first()
     width = ((hi or 0) - (lo or 0)) // files + 1
     part = F.coalesce(F.floor((us - (lo or 0)) / width), F.lit(0))
+    most = df.groupBy(part.alias("part")).count().agg(F.max("count")).first()[0] or 0
+    n = min(max(-(-most // ROWS_PER_FILE), 1), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}-by{n}")
+    hashed = [F.col(f.name) for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+
+    def write(rows: DataFrame) -> None:
+        rows.write.option("maxRecordsPerFile", 0).mode("append").parquet(path)
     for i in range(files):
-        df.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+        write(df.filter(part == i).repartitionByRange(n, us, F.xxhash64(*hashed)).coalesce(n))
+        for _ in range((i + 1) * n - len(spark.read.schema(df.schema).parquet(path).inputFiles())):
+            write(df.limit(0))
     return path
 
 
-def event_stream(spark: SparkSession, sf_dir: str, max_files: int = 1, files: int = 6) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str, max_files: int | None = None, files: int = 6) -> DataFrame:
     """The events table as a stream of ``files`` parts in time order, ``ts``
     as an event-time TIMESTAMP."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")

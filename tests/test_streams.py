@@ -49,3 +49,22 @@ def test_business_distinct_users(spark):
     out = st.run_latest(st.stream_business(b), ["w", "kind"], "t-business")
     exact = tb.business_events(tb.table(spark, SF, "events")).agg(F.count_distinct("user_id")).first()[0]
     assert 0 < out.agg(F.max("unique_users")).first()[0] <= exact * 1.2
+
+
+def test_parts_are_written_and_read_by_many_tasks(spark):
+    # nearly all rows in the last part, half of them at one time
+    df = spark.range(60_000).withColumn("ts", F.timestamp_micros(F.when(F.col("id") < 10, F.col("id")).otherwise(
+        F.when(F.col("id") % 2 == 0, 10**9).otherwise(10**9 - F.col("id")))))
+    path = st.split_by_time(df, "t-parts", files=3)
+    written = spark.read.parquet(path)
+    sizes = [r["count"] for r in written.groupBy(F.input_file_name()).count().collect()]
+    assert len(written.inputFiles()) == 3 * 6 and sum(sizes) == 60_000 and max(sizes) < 30_000
+    seen = {}
+
+    def look(batch, epoch, base):
+        seen[epoch] = batch.agg(F.count("*"), F.min("ts"), F.max("ts")).first()
+        st.write_epoch(batch, epoch, base)
+    out = st.run_available(st.file_stream(spark, path, df.schema), "append", "t-parts", look)
+    assert out.select("id").distinct().count() == out.count() == 60_000
+    # a trigger takes a whole part, the parts come in time order
+    assert [seen[k][0] for k in sorted(seen)] == [10, 0, 59_990]
