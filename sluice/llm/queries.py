@@ -100,3 +100,9 @@ def op2_substring_dedup(spark, sf_dir):
 def op3_ngram_jaccard(spark, sf_dir):
     from sluice.llm.ngram_join import link_components
     return link_components(table(spark, sf_dir, "documents"))
+
+
+@register
+def op13_packing(spark, sf_dir):
+    from sluice.llm.packing import checksums, pack
+    return checksums(pack(table(spark, sf_dir, "documents")))
