@@ -78,11 +78,13 @@ def nnls(places: np.ndarray, weights: np.ndarray, goal: np.ndarray) -> np.ndarra
     x = np.zeros(cols)
     active: list[int] = []
 
+    known: dict[int, np.ndarray] = {}
+
     def dense(ks: list[int]) -> np.ndarray:
-        a = np.zeros((rows + 1, len(ks)))
-        for i, k in enumerate(ks):
-            np.add.at(a[:, i], places[k], weights[k])
-        return a[:rows]
+        for k in ks:
+            if k not in known:
+                known[k] = np.bincount(places[k], weights[k], rows + 1)[:rows]
+        return np.column_stack([known[k] for k in ks])
 
     tolerance = 1e-9 * max(1.0, float(np.abs(goal).max(initial=0.0)))
     for _ in range(4 * rows):
@@ -94,7 +96,10 @@ def nnls(places: np.ndarray, weights: np.ndarray, goal: np.ndarray) -> np.ndarra
             break
         active.append(best)
         while True:
-            z = np.linalg.lstsq(dense(active), goal, rcond=None)[0]
+            a = dense(active)
+            gram = a.T @ a
+            gram[np.diag_indices_from(gram)] *= 1 + 1e-12
+            z = np.linalg.solve(gram, a.T @ goal)
             if (z > 0).all():
                 x[active] = z
                 break
