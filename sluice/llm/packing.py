@@ -99,7 +99,10 @@ def nnls(places: np.ndarray, weights: np.ndarray, goal: np.ndarray) -> np.ndarra
             a = dense(active)
             gram = a.T @ a
             gram[np.diag_indices_from(gram)] *= 1 + 1e-12
-            z = np.linalg.solve(gram, a.T @ goal)
+            try:
+                z = np.linalg.solve(gram, a.T @ goal)
+            except np.linalg.LinAlgError:
+                z = np.linalg.lstsq(a, goal, rcond=None)[0]
             if (z > 0).all():
                 x[active] = z
                 break

@@ -106,3 +106,15 @@ def op3_ngram_jaccard(spark, sf_dir):
 def op13_packing(spark, sf_dir):
     from sluice.llm.packing import checksums, pack
     return checksums(pack(table(spark, sf_dir, "documents")))
+
+
+@register
+def op12_whitening(spark, sf_dir):
+    from sluice.llm.whitening import whitened_components
+    return whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+@register
+def op11_token_alignment(spark, sf_dir):
+    from sluice.llm.alignment import align
+    return align(table(spark, sf_dir, "documents"))
