@@ -36,6 +36,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,12 +52,13 @@ FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 CACHED = 300_000                # stretches kept by a Python worker
 CACHED_LINKS = 1 << 23          # links of them
 CACHED_CHARS = 64               # a longer one is not kept
+RUN = 64                        # stretches that are encoded as one text
 MAX_BROADCAST_PAIRS = 1 << 22
 PARTIAL_PAIRS = 1 << 22         # id pairs that a counting task holds at a time
 PART_BITS = 33
 SPACE = "▁"                # B's sign for a space
 BYTE = re.compile(r"<0x([0-9A-F]{2})>")
-LOOSE = re.compile(r"\s |^\s|^$|\s\Z")      # a cut of ' '.split that is none of ours
+LOOSE = re.compile(r"\s ")     # a cut of ' '.split that is none of ours
 
 
 class Vocabulary:
@@ -105,36 +107,46 @@ class Aligner:
         self.links = np.zeros(0, self.key)
         self.link_ends = array("q", [0])
 
-    # -- one run of text ----------------------------------------------------
-    def ends_a(self, s: str, char_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, byte ends) of A: character offsets, and decoded bytes where
-        tokens share a character."""
-        enc = self.a.encode(s, add_special_tokens=False)
-        ids = np.array(enc.ids, dtype=np.int64)
-        spans = np.array(enc.offsets, dtype=np.int64).reshape(-1, 2)
-        ends = char_byte[spans[:, 1]]
-        shared = np.append(spans[1:, 0] < spans[:-1, 1], False)
-        return ids, refine(ends, shared, self.vocab_a.size[ids])
-
-    def ends_b(self, s: str, char_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, byte ends) of B: spans of the pieces (of ``s`` without its first
-        space), and decoded bytes for byte fallback."""
-        pieces = self.b.encode(s[1:], return_type="proto").pieces
-        ids = np.array([p.id for p in pieces], dtype=np.int64)
-        ends = np.array([p.end for p in pieces], dtype=np.int64) + 1
-        if len(ends) and ends[-1] == len(s) < char_byte[-1]:     # spans in characters
-            ends = char_byte[ends]
+    # -- runs of text ---------------------------------------------------------
+    def ends_a(self, runs: list[str], chars: np.ndarray, char_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, byte ends) of A over the runs, which start at ``chars``:
+        character offsets, and decoded bytes where tokens share a character."""
+        found = self.a.encode_batch(runs, add_special_tokens=False)
+        ids = np.array(list(chain.from_iterable(e.ids for e in found)), dtype=np.int64)
+        spans = np.fromiter(chain.from_iterable(chain.from_iterable(e.offsets for e in found)),
+                            dtype=np.int64, count=2 * len(ids))
+        shift = np.repeat(chars, [len(e) for e in found])
+        begin, end = spans[::2] + shift, spans[1::2] + shift
+        shared = np.append(begin[1:] < end[:-1], False)[:len(ids)]
+        return ids, refine(char_byte[end], shared, self.vocab_a.size[ids])
+
+    def ends_b(self, runs: list[str], chars: np.ndarray, char_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, byte ends) of B over the runs, each without its first space:
+        spans of the pieces, and decoded bytes for byte fallback."""
+        found = [p.pieces for p in self.b.encode([x[1:] for x in runs], return_type="proto", num_threads=1)]
+        sizes = np.array([len(p) for p in found], dtype=np.int64)
+        both = np.fromiter(chain.from_iterable([(p.id, p.end) for f in found for p in f]), dtype=np.int64,
+                           count=2 * int(sizes.sum()))
+        ids, ends = both[::2], both[1::2] + 1
+        last = ends[(np.cumsum(sizes) - 1)[sizes > 0]]
+        if (last == np.array([len(x) for x in runs])[sizes > 0]).all():        # spans in characters
+            ends = char_byte[ends + np.repeat(chars, sizes)]
+        else:
+            ends = ends + np.repeat(char_byte[chars], sizes)
         return ids, refine(ends, self.fallback[ids], self.vocab_b.size[ids])
 
     def align(self, stretches: list[str]) -> bool:
         """Align stretches that follow each other in one text and remember
         them. False, and nothing remembered, if the bytes differ."""
-        s = "".join(stretches)
+        runs = ["".join(stretches[i:i + RUN]) for i in range(0, len(stretches), RUN)]
+        s = "".join(runs)
         raw = np.frombuffer(s.encode(), dtype=np.uint8)
         width = np.ones(len(s), np.int64) if len(raw) == len(s) else np.diff(np.append(
             np.flatnonzero((raw & 0xC0) != 0x80), len(raw)))
         char_byte = np.concatenate(([0], np.cumsum(width)))
-        (ids_a, end_a), (ids_b, end_b) = self.ends_a(s, char_byte), self.ends_b(s, char_byte)
+        chars = np.cumsum([0, *map(len, runs[:-1])])
+        ids_a, end_a = self.ends_a(runs, chars, char_byte)
+        ids_b, end_b = self.ends_b(runs, chars, char_byte)
         for ids, ends, v in ((ids_a, end_a, self.vocab_a), (ids_b, end_b, self.vocab_b)):
             got = v.join(ids)
             if len(got) != len(raw) or not (got == raw).all() or not (np.cumsum(v.size[ids]) == ends).all():
@@ -149,13 +161,18 @@ class Aligner:
         shut_b = shut_b[end_b]
         if not np.isin(stop, common).all():
             return False
-        merged = np.union1d(end_a, end_b)
+        either = is_b.copy()
+        either[end_a] = True
+        merged = np.flatnonzero(either)
         links = ((ids_a[np.searchsorted(end_a, merged)].astype(self.key) << self.shift)
                  | ids_b[np.searchsorted(end_b, merged)].astype(self.key))
         # the groups' text: ids of A in a group, then those of B
-        group_a, group_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
-        order = np.argsort(np.concatenate((2 * group_a, 2 * group_b + 1)), kind="stable")
-        word = np.concatenate((2 * ids_a + shut_a, 2 * len(self.vocab_a.size) + 2 * ids_b + shut_b))[order]
+        upto_a = np.searchsorted(end_a, common, "right")
+        upto_b = np.searchsorted(end_b, common, "right")
+        size_a, size_b = np.diff(upto_a, prepend=0), np.diff(upto_b, prepend=0)
+        word = np.empty(len(ids_a) + len(ids_b), dtype=np.int64)
+        word[np.arange(len(ids_a)) + np.repeat(upto_b - size_b, size_a)] = 2 * ids_a + shut_a
+        word[np.arange(len(ids_b)) + np.repeat(upto_a, size_b)] = 2 * (len(self.vocab_a.size) + ids_b) + shut_b
         words = self.words[word].tolist()
         per = [np.searchsorted(e, stop, "right") for e in (end_a, end_b, common, merged)]
         cut = (per[0] + per[1]).tolist()
@@ -196,7 +213,7 @@ class Aligner:
         if not self.cuts:
             return [" " + text]
         found = [" " + x for x in text.split(" ")]
-        if not LOOSE.search(text):
+        if not (text[0].isspace() or text[-1].isspace() or LOOSE.search(text)):
             return found
         out: list[str] = []
         for x in found:
@@ -216,7 +233,7 @@ class Aligner:
         cuts = [self.cut(t) if t else [] for t in texts]
         new = {x for c in cuts for x in c}.difference(self.code)
         if new:
-            self.learn(sorted(new))
+            self.learn(list(new))
         sums = np.stack([np.array(x) for x in (self.n_a, self.n_b, self.n_groups)])
         ends = np.array(self.link_ends)
         for c in cuts:

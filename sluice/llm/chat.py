@@ -8,7 +8,9 @@ together with the tokens the placeholder expands to. Turns are marked
     <|im_start|>role\\ntext<|im_end|>\\n
 
 Control strings inside texts are escaped reversibly (``&`` -> ``&amp;``, then
-``<|`` -> ``&lt;|``), so nothing in a text can open, close or fake a turn.
+``<|`` -> ``&lt;|``), so nothing in a text can open, close or fake a turn. So is
+a ``<`` at the end of a part that another part follows: two parts cannot join
+into a control string. A placeholder names a known kind or ``unknown``.
 Code-point spans mark the assistant texts (the loss mask); ``read_back``
 parses the formatted string again with those spans.
 
@@ -39,7 +41,15 @@ def escape(c: Column) -> Column:
 
 
 def unescape(c: Column) -> Column:
-    return F.replace(F.replace(c, F.lit("&lt;|"), F.lit("<|")), F.lit("&amp;"), F.lit("&"))
+    # every "&" of the text is "&amp;" here, so "&lt;" is an escape
+    return F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
+
+
+def escape_part(c: Column, last: Column) -> Column:
+    """``escape`` for a part of a text; ``last``: no part follows."""
+    plain = escape(c)
+    return F.when(last | ~plain.endswith("<"), plain).otherwise(
+        F.concat(F.substr(plain, F.lit(1), F.length(plain) - 1), F.lit("&lt;")))
 
 
 def escape_role(c: Column) -> Column:
@@ -78,8 +88,8 @@ def visit(parts: Column) -> tuple[Column, Column]:
         part_tokens(p).alias("tokens")))
     # the number of a placeholder is its place among the turn's attachments
     numbered = F.transform(parts, lambda p, i: F.when(
-        kind(p) == "text", escape(F.coalesce(p["text"], F.lit("")))).otherwise(
-        F.concat(F.lit("<|"), escape(kind(p)), F.lit("_"),
+        kind(p) == "text", escape_part(F.coalesce(p["text"], F.lit("")), i == F.size(parts) - 1)).otherwise(
+        F.concat(F.lit("<|"), F.when(kind(p).isin(*KINDS), kind(p)).otherwise("unknown"), F.lit("_"),
                  F.size(F.filter(F.slice(parts, 1, i), lambda q: kind(q) != "text")).cast("string"),
                  F.lit("|>"))))
     return F.array_join(numbered, ""), attachments

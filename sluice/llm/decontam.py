@@ -111,7 +111,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
     new = ["n_words", "hit_words", "hit_items", "hit_spans"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     sc = docs.sparkSession.sparkContext
-    out = docs.select(*keep, F.col(text_col).alias("__text"),
+    body, = tk.unused([*keep, *new], "body")
+    out = docs.select(*keep, F.col(text_col).alias(body),
                       F.lit(0).cast("bigint").alias("n_words"),
                       F.lit(0).cast("bigint").alias("hit_words"),
                       F.array().cast("array<string>").alias("hit_items"),
@@ -119,16 +120,16 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
     schema = out.schema
     for block in benchmark_blocks(benchmark, item_col, item_text, block_bytes):
         rows = [(r[0], r[1]) for r in block.collect()]      # bounded: at most a block
-        out = out.mapInArrow(_scanner(sc.broadcast(TestGrams(rows, n))), schema)
-    return out.drop("__text")
+        out = out.mapInArrow(_scanner(sc.broadcast(TestGrams(rows, n)), body), schema)
+    return out.drop(body)
 
 
-def _scanner(shared):
+def _scanner(shared, body: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = shared.value
         maps = {k: grams.bitmap(k) for k in grams.hashes}
         for b in batches:
-            text = b.column(b.schema.get_field_index("__text"))
+            text = b.column(b.schema.get_field_index(body))
             old_items = b.column(b.schema.get_field_index("hit_items"))
             old_spans = b.column(b.schema.get_field_index("hit_spans"))
             n_words = np.zeros(b.num_rows, dtype=np.int64)

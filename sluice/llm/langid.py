@@ -12,7 +12,8 @@ The matrix (languages x BUCKETS floats) is broadcast in blocks of at most
 ``BLOCK_LANGS`` languages; with more languages the documents pass block after
 block, carrying the best language and the log of the summed likelihoods.
 
-Defined results: null text and text without a letter is ``und`` with score 0;
+Defined results: bytes that are no UTF-8 are no letters, in their own text
+only; null text and text without a letter is ``und`` with score 0;
 rows without language do not train; without any training row every document is
 ``und``; equal likelihoods go to the smaller language name; repeated rows give
 repeated results; an empty table gives none. Other columns are not read.
@@ -63,37 +64,48 @@ def gram_slices(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, list]]:
     i, n = 0, len(off) - 1
     while i < n:
         j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + tk.SLICE_BYTES, "right")) - 1))
-        buf = raw[off[i]:off[j]]
-        code = np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
-        begins = np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))[off[i:j + 1] - off[i]]
-        doc = np.repeat(np.arange(j - i), np.diff(begins))
+        code, size = code_points(raw[off[i]:off[j]], off[i:j + 1] - off[i])
+        doc = np.repeat(np.arange(j - i), size)
         has = np.zeros(j - i, dtype=bool)
-        if len(doc) == len(code):
-            has[doc[letter[code]]] = True
-            c = fold[code]
-            blank = c == 0x20
-            keep = np.ones(len(c), dtype=bool)
-            keep[1:] = ~(blank[1:] & blank[:-1] & (doc[1:] == doc[:-1]))
-            c, doc = c[keep], doc[keep]
-            found = []
-            for k in ORDERS:
-                m = len(c) - k + 1
-                if m <= 0:
-                    continue
-                h = np.full(m, k, dtype=np.uint32)
-                for t in range(k):
-                    h += c[t:m + t] * _MULT[t]
-                    h ^= h >> np.uint32(15)
-                    h *= np.uint32(0x2C1B3C6D)
-                h ^= h >> np.uint32(13)
-                inside = doc[:m] == doc[k - 1:]
-                found.append((doc[:m][inside], (h[inside] & np.uint32(BUCKETS - 1)).astype(np.int64)))
-            yield i, j - i, has, found
-        else:                                   # not valid UTF-8: no n-grams
-            yield i, j - i, has, []
+        has[doc[letter[code]]] = True
+        c = fold[code]
+        blank = c == 0x20
+        keep = np.ones(len(c), dtype=bool)
+        keep[1:] = ~(blank[1:] & blank[:-1] & (doc[1:] == doc[:-1]))
+        c, doc = c[keep], doc[keep]
+        found = []
+        for k in ORDERS:
+            m = len(c) - k + 1
+            if m <= 0:
+                continue
+            h = np.full(m, k, dtype=np.uint32)
+            for t in range(k):
+                h += c[t:m + t] * _MULT[t]
+                h ^= h >> np.uint32(15)
+                h *= np.uint32(0x2C1B3C6D)
+            h ^= h >> np.uint32(13)
+            inside = doc[:m] == doc[k - 1:]
+            found.append((doc[:m][inside], (h[inside] & np.uint32(BUCKETS - 1)).astype(np.int64)))
+        yield i, j - i, has, found
         i = j
 
 
+def code_points(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of consecutive texts, number of each text). Bytes that are
+    no UTF-8 are read as U+FFFD in their own text, whatever stands beside it."""
+    def points(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    head = off[:-1][np.diff(off) > 0]
+    if not ((buf[head] & 0xC0) == 0x80).any():      # else a character would cross two texts
+        try:
+            code = points(buf.tobytes().decode())
+            return code, np.diff(np.concatenate(([0], np.cumsum((buf & 0xC0) != 0x80)))[off])
+        except UnicodeDecodeError:
+            pass
+    texts = [buf[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+    return points("".join(texts)), np.array([len(t) for t in texts], dtype=np.int64)
+
+
 def gram_counts(train: DataFrame, text: str, lang: str) -> DataFrame:
     """(lang, bucket, n) over all rows; bucket -1 counts documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,28 +171,27 @@ def predict(docs: DataFrame, models: list[Model], *, keep: list[str] | None = No
     """Columns ``keep`` (default: all), then lang_pred and score, the posterior
     of the predicted language. Columns of these names are replaced."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    text, best, top, every = names = tk.unused(keep, "text", "best", "top", "every")
     sc = docs.sparkSession.sparkContext
-    out = docs.select(*keep, F.col(text_col).alias("__text"),
-                      F.lit(None).cast("string").alias("__best"),
-                      F.lit(float("-inf")).alias("__top"), F.lit(float("-inf")).alias("__all"))
+    out = docs.select(*keep, F.col(text_col).alias(text), F.lit(None).cast("string").alias(best),
+                      F.lit(float("-inf")).alias(top), F.lit(float("-inf")).alias(every))
     schema = out.schema
     for m in models:
-        out = out.mapInArrow(_scorer(sc.broadcast(m)), schema)
-    known = F.col("__best").isNotNull()
-    return out.select(*keep, F.when(known, F.col("__best")).otherwise(UNKNOWN).alias("lang_pred"),
-                      F.when(known, F.least(F.exp(F.col("__top") - F.col("__all")), F.lit(1.0)))
+        out = out.mapInArrow(_scorer(sc.broadcast(m), names), schema)
+    known = F.col(best).isNotNull()
+    return out.select(*keep, F.when(known, F.col(best)).otherwise(UNKNOWN).alias("lang_pred"),
+                      F.when(known, F.least(F.exp(F.col(top) - F.col(every)), F.lit(1.0)))
                       .otherwise(0.0).alias("score"))
 
 
-def _scorer(shared):
+def _scorer(shared, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            at = b.schema.get_field_index
-            best = b.column(at("__best")).to_pylist()
-            top = b.column(at("__top")).to_numpy(zero_copy_only=False).copy()
-            every = b.column(at("__all")).to_numpy(zero_copy_only=False).copy()
-            for first, n, has, found in gram_slices(b.column(at("__text"))):
+            texts, best, top, every = [b.column(b.num_columns - len(names) + i) for i in range(len(names))]
+            best = best.to_pylist()
+            top, every = [x.to_numpy(zero_copy_only=False).copy() for x in (top, every)]
+            for first, n, has, found in gram_slices(texts):
                 ll = np.tile(m.prior, (n, 1))
                 for doc, bucket in found:
                     for k in range(len(m.langs)):
@@ -193,10 +204,9 @@ def _scorer(shared):
                     best[first + d] = m.langs[k[d]]
                     top[first + d] = high[d]
                 every[rows] = np.logaddexp(every[rows], lse)
-            new = {"__best": pa.array(best, pa.string()), "__top": pa.array(top),
-                   "__all": pa.array(every)}
             yield pa.RecordBatch.from_arrays(
-                [new.get(f.name, c) for f, c in zip(b.schema, b.columns)], names=b.schema.names)
+                [*b.columns[:-3], pa.array(best, pa.string()), pa.array(top), pa.array(every)],
+                names=b.schema.names)
     return run
 
 

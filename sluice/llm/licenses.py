@@ -5,7 +5,7 @@ Wrapped lines are joined, comment leaders dropped; blank lines and ``.``, ``!``
 or ``?`` before white space cut it into sentences. A fixed table of licence
 sentences is looked up in it: a known sentence counts wherever it stands as
 whole words inside one sentence (the longest at a place, none right after
-"not" or "never"), which gives the document's sequence of sentence
+a word that denies it), which gives the document's sequence of sentence
 identifiers. Each licence of an ``SPDX-License-Identifier`` expression is a
 sentence of its own. Ordered rules are then matched against the sequence: a
 rule is a list of identifiers that must occur in that order, with any others
@@ -29,8 +29,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sluice.llm import tokens as tk
+
 CUT = "\x01"      # stands between sentences
 
+# Words right before a known sentence that deny it.
+DENIALS = ("not", "never", "no longer", "not currently", "not yet")
+
 # Normalised sentence -> identifier.
 SENTENCES = {
     "licensed under the apache license version 2 0": "apache2-short",
@@ -85,6 +90,7 @@ SPDX = {x: x for x in (
                                                           "AGPL-3.0") for end in ("only", "or-later")))}
 SPDX |= {x.removesuffix("-only"): x for x in SPDX if x.endswith("-only")}
 SPDX_TAG = "spdx license identifier"
+SPDX_LINE = "spdx-license-identifier:"
 
 
 def spdx_id(licence: str) -> str:
@@ -143,18 +149,33 @@ def joined(lower: Column) -> Column:
     sub = lambda x, pattern, to: F.regexp_replace(x, F.lit(pattern), F.lit(to))
     x = sub(lower, CUT, " ")
     x = sub(x, "\r\n?", "\n")
-    x = sub(x, r"(?m)^(?:[ \t]|[^0-9a-z\s]|(?:rem|dnl)(?=\s))+", "")
-    # SPDX expressions: one tag a licence, each a sentence
-    tag = "spdx-license-identifier:"
-    x = F.when(F.contains(lower, F.lit(tag)), sub(sub(sub(
-        x, rf"[ \t()]+(?:and|or|with)[ \t()]+(?<={tag}[^\n]{{0,1000}})", f"\n\n{tag} "),
-        rf"({tag}[ \t(\"']*[0-9a-z.+-]+)", "\n\n$1\n\n"),
-        rf"({tag}[ \t(\"']*[0-9a-z.-]+)\+", "$1-or-later")).otherwise(x)
+    # no group is repeated without a bound: the JVM matches those by recursion
+    x = sub(x, r"(?m)^[^0-9a-z\n]+", "")
+    x = sub(x, r"(?m)^(?:rem|dnl)(?=\s)[^0-9a-z\n]*+", "")
+    x = F.when(F.contains(lower, F.lit(SPDX_LINE)), spdx_sentences(x)).otherwise(x)
     x = sub(x, r"\bv\.[ \t\n]+(?=[0-9])", "v ")
     x = sub(x, r"[.!?][\x20\x09-\x0D]+|\n[\x20\x09-\x0D]*\n", f" {CUT} ")
     return F.concat(F.lit(" "), F.btrim(sub(x, f"[^0-9a-z{CUT}]+", " ")), F.lit(f" {CUT} "))
 
 
+def spdx_sentences(text: Column) -> Column:
+    """Every licence of an SPDX expression as a tag and its identifier between
+    blank lines. An expression ends with its line and is cut at its operators."""
+    def licence(operand: Column) -> Column:
+        name = F.regexp_extract(operand, "^[ \t(\"']*+([0-9a-z.+-]++)", 1)
+        after = F.regexp_replace(operand, F.lit("^[ \t(\"']*+[0-9a-z.+-]++"), F.lit(""))
+        plus = F.when(name.endswith("+"), F.concat(F.rtrim(name, F.lit("+")), F.lit("-or-later"))).otherwise(name)
+        return F.when(name == "", F.concat(F.lit(f"\n\n{SPDX_LINE} "), operand)).otherwise(
+            F.concat(F.lit(f"\n\n{SPDX_LINE} "), plus, F.lit("\n\n"), after))
+
+    def tagged(part: Column, i: Column) -> Column:
+        line = F.substring_index(part, "\n", 1)
+        operands = F.split(line, r"(?<![ \t()])[ \t()]++(?:and|or|with)[ \t()]++", -1)
+        rest = F.substr(part, F.length(line) + 1)
+        return F.when(i == 0, part).otherwise(F.concat(F.array_join(F.transform(operands, licence), ""), rest))
+    return F.array_join(F.transform(F.split(text, SPDX_LINE, -1), tagged), "")
+
+
 def table_pattern(known: list[str]) -> str:
     """Pattern of the known sentences, the longest first, by shared beginnings."""
     tree: dict = {}
@@ -167,7 +188,7 @@ def table_pattern(known: list[str]) -> str:
     def branch(node: dict) -> str:
         ways = "|".join(f" {w}{branch(n)}" for w, n in node.items() if w)
         return f"(?:{ways})?" if ways and "" in node else f"(?:{ways})" if ways else ""
-    return f"(?<! not)(?<! never)({branch(tree)})(?= |$)"
+    return f"{''.join(f'(?<! {w})' for w in DENIALS)}({branch(tree)})(?= |$)"
 
 
 def needed_words(known: list[str]) -> list[str]:
@@ -201,8 +222,8 @@ def rule_pattern(ids: list[str]) -> str:
     return out
 
 
-def match_rules(d: DataFrame, rules) -> DataFrame:
-    """``d`` with ``__n0``, ``__n1`` ...: the matches of each rule in ``__rest``,
+def match_rules(d: DataFrame, rules, rest: str, hit: str) -> DataFrame:
+    """``d`` with columns ``hit`` + number: the matches of each rule in ``rest``,
     which keeps what is left over. Rules of one identifier that follow each
     other are one step."""
     k = 0
@@ -211,13 +232,13 @@ def match_rules(d: DataFrame, rules) -> DataFrame:
         while len(rules[k][1]) == 1 and end < len(rules) and len(rules[end][1]) == 1:
             end += 1
         step = list(dict.fromkeys(rule_pattern(ids) for _, ids in rules[k:end]))
-        counts = {p: F.regexp_count("__rest", F.lit(p)) for p in step}
+        counts = {p: F.regexp_count(rest, F.lit(p)) for p in step}
         gaps = "".join(f"${i + 1}" for i in range(len(rules[k][1]) - 1))
-        d = d.select(*[c for c in d.columns if c != "__rest"],
+        d = d.select(*[F.col(f"`{c}`") for c in d.columns if c != rest],
                      # a second rule for the same identifier finds nothing left
-                     *[counts.pop(rule_pattern(ids), F.lit(0)).alias(f"__n{k + i}")
+                     *[counts.pop(rule_pattern(ids), F.lit(0)).alias(f"{hit}{k + i}")
                        for i, (_, ids) in enumerate(rules[k:end])],
-                     F.regexp_replace("__rest", F.lit("|".join(step)), F.lit(gaps)).alias("__rest"))
+                     F.regexp_replace(rest, F.lit("|".join(step)), F.lit(gaps)).alias(rest))
         k = end
     return d
 
@@ -232,19 +253,24 @@ def scan_licenses(docs: DataFrame, *, keep: list[str] | None = None, text_col: s
     table, rules = table or SENTENCES, rules or RULES
     new = ["n_sentences", "sentence_ids", "licenses", "n_matches", "unmatched_ids"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    kept = [F.col(f"`{c}`") for c in keep]
+    body, low, rest, hits = tk.unused([*keep, *new], "body", "low", "rest", "hits")
+    hit = "hit"                 # its columns end with a number
+    while any(c.lower().startswith(hit) for c in [*keep, hits]):
+        hit += "_"
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(*keep, text.alias("__text"), F.lower(text).alias("__lower"))
-    d = d.select(*keep, F.size(sentences(F.col("__text"))).cast("bigint").alias("n_sentences"),
-                 identifiers(F.col("__lower"), table).alias("sentence_ids"))
+    d = docs.select(*kept, text.alias(body), F.lower(text).alias(low))
+    d = d.select(*kept, F.size(sentences(F.col(body))).cast("bigint").alias("n_sentences"),
+                 identifiers(F.col(low), table).alias("sentence_ids"))
     seq = F.array_join(F.transform("sentence_ids", lambda x: F.concat(F.lit(";"), x, F.lit(";"))), "")
-    d = match_rules(d.withColumn("__rest", seq), rules)
+    d = match_rules(d.withColumn(rest, seq), rules, rest, hit)
     none = F.lit(0)
-    d = d.select(*keep, "n_sentences", "sentence_ids",
-                 F.array(*[F.col(f"__n{k}") for k in range(len(rules))]).alias("__hits"), "__rest")
+    d = d.select(*kept, "n_sentences", "sentence_ids",
+                 F.array(*[F.col(f"{hit}{k}") for k in range(len(rules))]).alias(hits), rest)
     names = F.array(*[F.lit(name) for name, _ in rules])
-    matched = F.filter(F.zip_with("__hits", names, lambda n, x: F.when(n > 0, x)),
+    matched = F.filter(F.zip_with(hits, names, lambda n, x: F.when(n > 0, x)),
                        lambda x: x.isNotNull())
-    left = F.filter(F.split("__rest", F.lit(";")), lambda x: x != "")
-    return d.select(*keep, "n_sentences", "sentence_ids", F.array_distinct(matched).alias("licenses"),
-                    F.aggregate("__hits", none, lambda a, n: a + F.coalesce(n, none)).cast("bigint")
+    left = F.filter(F.split(rest, F.lit(";")), lambda x: x != "")
+    return d.select(*kept, "n_sentences", "sentence_ids", F.array_distinct(matched).alias("licenses"),
+                    F.aggregate(hits, none, lambda a, n: a + F.coalesce(n, none)).cast("bigint")
                     .alias("n_matches"), left.alias("unmatched_ids"))

@@ -198,24 +198,26 @@ def postings(rows: DataFrame, kind: str) -> DataFrame:
     return rows.mapInArrow(run, f"token bigint, doc {kind}, n bigint, first {kind}")
 
 
-def maybe_listed(docs: DataFrame, key: str, listed: DataFrame) -> DataFrame:
-    """``docs`` with ``__listed``: false if the row's id is not among
+def maybe_listed(docs: DataFrame, key: str, listed: DataFrame, flag: str) -> DataFrame:
+    """``docs`` with a column ``flag``: false if the row's id is not among
     ``listed`` (column id), true if it may be. The ids travel as a bitmap of
     2**BITMAP_BITS bits, at most 2**BITMAP_BITS / 64 broadcast rows."""
     bit = lambda c: F.shiftright(F.xxhash64(c), 64 - BITMAP_BITS - 1).bitwiseAND(
         F.lit((1 << BITMAP_BITS) - 1))
+    place, word, bits = tk.unused(docs.columns, "place", "word", "bits")
     words = (listed.select(bit("id").alias("bit"))
-             .groupBy(F.shiftright("bit", 6).alias("__word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("__bits")))
-    probe = docs.withColumn("__bit", bit(key))
-    met = probe.join(F.broadcast(words), F.shiftright("__bit", 6) == F.col("__word"), "left")
-    hit = F.expr("(shiftright(__bits, cast(__bit & 63 as int)) & 1L) = 1")
-    return met.select(*docs.columns, F.coalesce(hit, F.lit(False)).alias("__listed"))
+             .groupBy(F.shiftright("bit", 6).alias(word))
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias(bits)))
+    probe = docs.withColumn(place, bit(key))
+    met = probe.join(F.broadcast(words), F.shiftright(place, 6) == F.col(word), "left")
+    hit = F.expr(f"(shiftright({bits}, cast({place} & 63 as int)) & 1L) = 1")
+    return met.select(*docs.columns, F.coalesce(hit, F.lit(False)).alias(flag))
 
 
 def only_listed(docs: DataFrame, key: str, listed: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose id may be among ``listed``; a join follows."""
-    return maybe_listed(docs, key, listed).filter("__listed").drop("__listed")
+    flag, = tk.unused(docs.columns, "flag")
+    return maybe_listed(docs, key, listed, flag).filter(F.col(flag)).drop(flag)
 
 
 class Member:
@@ -410,10 +412,11 @@ def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     ids = found.groupBy(F.col(id_col).alias("id")).agg(
         F.max(F.col("component_id") != F.col(id_col)).alias("gone"), F.count("*").alias("rows"))
     ids = materialise(ids.filter(F.col("id").isNotNull() & (F.col("gone") | (F.col("rows") > 1))), "join-drop")
-    flagged = maybe_listed(docs, id_col, ids)
-    plain = flagged.filter(~F.col("__listed")).select(*docs.columns)
-    first = F.row_number().over(Window.partitionBy(id_col, "__text").orderBy("__text"))
-    rest = (flagged.filter("__listed").withColumn("__text", F.xxhash64(text_col))
+    listed, digest, copy = tk.unused(docs.columns, "listed", "digest", "copy")
+    flagged = maybe_listed(docs, id_col, ids, listed)
+    plain = flagged.filter(~F.col(listed)).select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy(id_col, digest).orderBy(digest))
+    rest = (flagged.filter(F.col(listed)).withColumn(digest, F.xxhash64(text_col))
             .join(ids.filter("gone").select(F.col("id").alias(id_col)), id_col, "left_anti")
-            .withColumn("__copy", first).filter((F.col("__copy") == 1) | F.col(id_col).isNull()))
+            .withColumn(copy, first).filter((F.col(copy) == 1) | F.col(id_col).isNull()))
     return plain.unionByName(rest.select(*docs.columns))

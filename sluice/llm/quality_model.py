@@ -226,11 +226,12 @@ def score(docs: DataFrame, model: Model, *, keep: list[str] | None = None,
     A column ``score`` of ``docs`` is replaced."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    body, = tk.unused([*keep, "score"], "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            text = b.column(b.schema.get_field_index("__text"))
+            text = b.column(b.schema.get_field_index(body))
             margins = np.zeros(b.num_rows)
             for s in tk.slices(text, tk.SPACES, _BLANK):
                 margins[s.first:s.first + s.n_docs] = [m.margin(f) for f in slice_features(s)]
@@ -238,8 +239,8 @@ def score(docs: DataFrame, model: Model, *, keep: list[str] | None = None,
             yield pa.RecordBatch.from_arrays(
                 [new if f.name == "score" else c for f, c in zip(b.schema, b.columns)],
                 names=b.schema.names)
-    out = docs.select(*keep, F.lit(0.0).alias("score"), F.col(text_col).alias("__text"))
-    return out.mapInArrow(run, out.schema).drop("__text")
+    out = docs.select(*keep, F.lit(0.0).alias("score"), F.col(text_col).alias(body))
+    return out.mapInArrow(run, out.schema).drop(body)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

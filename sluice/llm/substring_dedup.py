@@ -209,7 +209,7 @@ def search_shard(rows: pa.Table) -> pa.RecordBatch:
     text = rows["words"]
     again[again] = [text[i].as_py() == text[i - 1].as_py() for i in np.flatnonzero(again).tolist()]
     rows = rows.filter(pa.array(~again)).combine_chunks()
-    s = next(iter(tk.slices(rows["words"].combine_chunks().cast(pa.string()), limit=1 << 62)))
+    s = next(iter(tk.slices(tk.as_text(rows["words"].combine_chunks()), limit=1 << 62)))
     n = rows["n"].to_numpy().astype(np.int64)
     symbols = np.unique(s.hashes(), return_inverse=True)[1] + 1       # 0 separates runs
     text = np.zeros(len(s) + s.n_docs, dtype=np.int64)
@@ -346,7 +346,7 @@ def remove_words(b: pa.RecordBatch, with_text: bool) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays(
             [b.column(0).slice(s.first, s.n_docs), b.column(2).slice(s.first, s.n_docs),
              pa.array(s.counts.astype(np.int64)), pa.array(removed.astype(np.int64)),
-             pa.array(digests), pa.array(kept, pa.binary()).cast(pa.string())],
+             pa.array(digests), tk.as_text(pa.array(kept, pa.binary()))],
             names=["doc", "row", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
 

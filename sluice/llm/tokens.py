@@ -105,6 +105,25 @@ def column_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offsets.astype(np.int64)
 
 
+def as_text(col: pa.Array) -> pa.Array:
+    """A binary column as a string column of the same bytes, not checked for
+    UTF-8 (Spark's strings may hold any bytes)."""
+    big = pa.types.is_large_binary(col.type) or pa.types.is_large_string(col.type)
+    return pa.Array.from_buffers(pa.large_string() if big else pa.string(), len(col), col.buffers(),
+                                 offset=col.offset)
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with as many ``_`` behind it as no column's name has."""
+    taken, out = {c.lower() for c in columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 class Slice:
     """Words of consecutive documents ``first .. first + n_docs``.
 

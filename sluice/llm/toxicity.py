@@ -232,6 +232,7 @@ def score(docs: DataFrame, model: Model, *, keep: list[str] | None = None,
     A column ``score`` of ``docs`` is replaced."""
     keep = [c for c in (docs.columns if keep is None else keep) if c != "score"]
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    body, = tk.unused([*keep, "score"], "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -239,7 +240,7 @@ def score(docs: DataFrame, model: Model, *, keep: list[str] | None = None,
         bitmap[m.words >> np.uint64(44)] = True
         for b in batches:
             z = np.full(b.num_rows, m.bias)
-            at_text = b.schema.get_field_index("__text")
+            at_text = b.schema.get_field_index(body)
             for s in tk.slices(b.column(at_text), tk.NON_ALNUM, tk.fold_latin):
                 f = features(s, s.hashes()).ravel()
                 at = np.flatnonzero(bitmap[f >> np.uint64(44)])
@@ -254,8 +255,8 @@ def score(docs: DataFrame, model: Model, *, keep: list[str] | None = None,
             yield pa.RecordBatch.from_arrays(
                 [new if f.name == "score" else c for f, c in zip(b.schema, b.columns)],
                 names=b.schema.names)
-    out = docs.select(*keep, F.lit(0.0).alias("score"), F.col(text_col).alias("__text"))
-    return out.mapInArrow(run, out.schema).drop("__text")
+    out = docs.select(*keep, F.lit(0.0).alias("score"), F.col(text_col).alias(body))
+    return out.mapInArrow(run, out.schema).drop(body)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
