@@ -190,7 +190,7 @@ k AS (
 # What the recognisers and filters look for, written out for RE2
 # (a finding's neighbours are checked in SQL).
 PII = [
-    ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}", 1.0, "[EMAIL]"),
+    ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+){0,125}\.[A-Za-z]{2,}", 1.0, "[EMAIL]"),
     ("URL", r"https?://[^ \t\n\r\"'<>]+", 0.85, "[URL]"),
     ("IBAN_CODE", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}", 1.0, "[IBAN_CODE]"),
     ("CREDIT_CARD", r"[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}", 1.0, "[CREDIT_CARD]"),

@@ -21,11 +21,13 @@ def tokenizers():
     return a, SentencePieceProcessor(model_file=P.path(FILES[1]))
 
 
+PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BACK = {chr(b): b for b in PLAIN}
+BACK |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in PLAIN)}
+
+
 def bytes_of_a(name):
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    back = {chr(b): b for b in plain}
-    back |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-    return bytes(back[c] for c in name)
+    return bytes(BACK[c] for c in name)
 
 
 def bytes_of_b(piece):
