@@ -1,27 +1,25 @@
-"""Retrieval: metadata filter (PF1), exact kNN join (J2), approximate kNN
-(J3), similar chunks (J4), ranking (W4/T1), rerank (W5), paging (T2),
-top sources (T3), result projection (PF11) and previews (PF12).
-
-Exact kNN plan: queries and corpus are hashed into blocks of bounded size and
-meet block by block (equi-join on the pair of block numbers). A task scores
-one pair with one matrix product and sends on (query, chunk, score) of at most
-k rows per query; the final top-k per query is a window with a group limit.
-Texts are joined to the k winners only. Nothing passes through the driver but
-two row counts.
-
-Approximate kNN: signs against fixed hyperplanes give each vector one bucket
-per table; queries and chunks of equal (table, bucket) are candidates and are
-scored exactly.
+"""Retrieval: metadata filter (PF1), exact kNN join (J2), similar chunks (J4),
+ranking (W4/T1), rerank (W5), paging (T2), top sources (T3), result projection
+(PF11) and previews (PF12). Approximate kNN (J3) is in ``vector_index``.
+
+Exact kNN plan: a query set of at most ``MAX_QUERY_BYTES`` is broadcast and the
+corpus is scanned in place: a task scores its Arrow batches with one matrix
+product each and keeps the k best chunks of every query (``TopK``); only those
+leave the task, and a window with a group limit merges them. No corpus vector
+is shuffled. Larger query sets meet the corpus block by block: both sides are
+hashed into blocks of bounded size (equi-join on the pair of block numbers).
+Texts are joined to the k winners only.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
+from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,18 +60,136 @@ def apply_filter(df: DataFrame, filters: dict[str, Any] | None) -> DataFrame:
 
 
 # ------------------------------------------------------------------- J2 ---
-BLOCK_QUERIES = 1024    # queries of one block
-BLOCK_CHUNKS = 16384    # chunks of one block
+MAX_QUERY_BYTES = 64 << 20      # query vectors (as doubles) that are broadcast
+BLOCK_QUERIES = 1024            # queries of one matrix product
+BLOCK_CHUNKS = 16384            # chunks of one block, where blocks meet
 
 
-def unit_rows(vectors) -> np.ndarray:
+def unit_rows(m) -> np.ndarray:
     """Rows scaled to length one; a zero vector becomes NaN."""
-    m = np.stack([np.asarray(v, dtype=np.float64) for v in vectors])
+    m = np.asarray(m, dtype=np.float64)
     n = np.linalg.norm(m, axis=1)
     n[n == 0] = np.nan
     return m / n[:, None]
 
 
+class TopK:
+    """The k best (score, id) of each of ``n`` queries so far, by (score
+    descending, id)."""
+
+    def __init__(self, n: int, k: int):
+        self.n, self.k = n, k
+        self.row = np.zeros(0, np.int64)
+        self.score = np.zeros(0)
+        self.id: np.ndarray | None = None
+        self.least = np.full(n, -np.inf)        # a score below is none of the k best
+
+    def add(self, rows: np.ndarray, score: np.ndarray, ids: np.ndarray) -> None:
+        """``score``: one row for each query of ``rows``, one column per id."""
+        if score.shape[1] > self.k and np.isneginf(self.least[rows]).any():
+            kth = np.partition(score, score.shape[1] - self.k, axis=1)[:, -self.k]
+            least = np.maximum(self.least[rows], kth)
+        else:
+            least = self.least[rows]
+        i, j = np.nonzero((score >= least[:, None]) & np.isfinite(score))
+        if not len(i):
+            return
+        row, value, new = rows[i], score[i, j], ids[j]
+        if self.id is not None:
+            touched = np.zeros(self.n, dtype=bool)
+            touched[row] = True
+            old = touched[self.row]
+            row = np.concatenate((row, self.row[old]))
+            value = np.concatenate((value, self.score[old]))
+            new = np.concatenate((new, self.id[old]))
+            rest = self.row[~old], self.score[~old], self.id[~old]
+        order = np.lexsort((new, -value, row))
+        row, value, new = row[order], value[order], new[order]
+        begin = np.searchsorted(row, row, "left")
+        place = np.arange(len(row)) - begin
+        kept = place < self.k
+        full = place == self.k - 1
+        self.least[row[full]] = value[full]
+        row, value, new = row[kept], value[kept], new[kept]
+        if self.id is not None:
+            row, value, new = (np.concatenate(x) for x in zip((row, value, new), rest))
+        self.row, self.score, self.id = row, value, new
+
+
+class QuerySet:
+    """Queries of one dimension: ids, unit vectors, and the cells each asks
+    (none: all)."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, probes: np.ndarray | None = None):
+        self.ids, self.unit, self.probes = ids, unit_rows(vectors), probes
+
+    def score(self, rows: np.ndarray, chunks: np.ndarray) -> np.ndarray:
+        s = (1.0 + self.unit[rows] @ chunks.T) / 2.0
+        s[np.isnan(s)] = -np.inf
+        return s
+
+
+def query_sets(rows: list[tuple]) -> dict[int, QuerySet]:
+    """(id, vector) rows by dimension; a vector with nulls has no neighbours."""
+    by: dict[int, list[tuple]] = {}
+    for i, v in rows:
+        if v and None not in v:
+            by.setdefault(len(v), []).append((i, v))
+    return {d: QuerySet(np.array([i for i, _ in x]), np.array([v for _, v in x], dtype=np.float64))
+            for d, x in by.items()}
+
+
+def vector_groups(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(dimension, row numbers, matrix) of a list column, by length."""
+    size = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    for d in np.unique(size[size > 0]).tolist():
+        at = np.flatnonzero(size == d)
+        part = col if len(at) == len(col) else col.take(pa.array(at))
+        yield d, at, part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+
+
+def scan_topk(corpus: DataFrame, queries, k: int, *, cid: str, cvec: str, query_type: T.DataType,
+              exclude_self: bool = False, cell: str | None = None) -> DataFrame:
+    """(query_id, <cid>, similarity_score): the k best chunks that each task
+    found for each query of the broadcast ``queries``, a {dimension: QuerySet}.
+    With ``cell`` a chunk meets only the queries that ask its cell."""
+    out = T.StructType([T.StructField("query_id", query_type),
+                        T.StructField(cid, corpus.schema[cid].dataType),
+                        T.StructField("similarity_score", T.DoubleType())])
+    kinds = [pa_type(f.dataType) for f in out.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = queries.value
+        best = {d: TopK(len(s.ids), k) for d, s in sets.items()}
+        for b in batches:
+            ids = np.array(b.column(0).to_pylist())
+            cells = b.column(2).to_numpy(zero_copy_only=False) if cell else None
+            for d, at, m in vector_groups(b.column(1)):
+                if d not in sets:
+                    continue
+                m, s = unit_rows(m), sets[d]
+                for c in np.unique(cells[at]) if cell else [None]:
+                    here = np.arange(len(at)) if c is None else np.flatnonzero(cells[at] == c)
+                    asked = np.arange(len(s.ids)) if c is None else np.flatnonzero((s.probes == c).any(axis=1))
+                    for i in range(0, len(asked), BLOCK_QUERIES):
+                        rows = asked[i:i + BLOCK_QUERIES]
+                        score = s.score(rows, m[here])
+                        if exclude_self:
+                            score[s.ids[rows][:, None] == ids[at[here]][None, :]] = -np.inf
+                        best[d].add(rows, score, ids[at[here]])
+        for d, top in best.items():
+            if top.id is not None:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(sets[d].ids[top.row].tolist(), kinds[0]), pa.array(top.id.tolist(), kinds[1]),
+                     pa.array(top.score)], names=out.names)
+    return corpus.select(cid, cvec, *([cell] if cell else [])).mapInArrow(run, out)
+
+
+def pa_type(t: T.DataType) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+    return to_arrow_type(t)
+
+
 def _score_blocks(k: int, qid: str, cid: str, exclude_self: bool):
     """cogroup body: the k best chunks of a block for each query of a block,
     by (score descending, chunk id)."""
@@ -82,7 +198,7 @@ def _score_blocks(k: int, qid: str, cid: str, exclude_self: bool):
         if q.empty or c.empty:
             return pd.DataFrame({"query_id": q[qid][:0], cid: c[cid][:0],
                                  "similarity_score": np.zeros(0)})
-        score = (1.0 + unit_rows(q["_v"]) @ unit_rows(c["_v"]).T) / 2.0
+        score = (1.0 + unit_rows(np.stack(q["_v"])) @ unit_rows(np.stack(c["_v"])).T) / 2.0
         score[np.isnan(score)] = -np.inf
         if exclude_self:
             score[q[qid].to_numpy()[:, None] == c[cid].to_numpy()[None, :]] = -np.inf
@@ -103,34 +219,48 @@ def best_per_query(scored: DataFrame, k: int, cid: str) -> DataFrame:
 def knn_join(queries: DataFrame, corpus: DataFrame, k: int = 10, *,
              qid: str = "query_id", qvec: str = "embedding",
              cid: str = "chunk_id", cvec: str = "embedding",
-             payload: list[str] | None = None,
+             payload: list[str] | None = None, texts: DataFrame | None = None,
              filters: dict[str, Any] | None = None,
-             exclude_self: bool = False, block_queries: int = BLOCK_QUERIES,
-             block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
+             exclude_self: bool = False, max_broadcast: int = MAX_QUERY_BYTES,
+             block_queries: int = BLOCK_QUERIES, block_chunks: int = BLOCK_CHUNKS) -> DataFrame:
     """J2 exact k nearest chunks per query by certainty (1+cos)/2.
 
     Returns (query_id, <cid>, similarity_score, rank, *payload); rank is
     1..k by (score desc, chunk id asc) -- W4/T1. Queries without a vector and
-    zero vectors have no neighbours.
+    zero vectors have no neighbours. ``texts`` holds the payload by <cid>
+    (default: ``corpus``).
     """
     corpus = apply_filter(corpus, filters)
-    q = queries.select(qid, F.col(qvec).alias("_v")).filter(F.col("_v").isNotNull())
+    q = queries.select(F.col(qid).alias("query_id"), F.col(qvec).alias("_v")).filter(F.col("_v").isNotNull())
+    size = q.agg(F.sum(F.size("_v") * 8 + F.coalesce(F.octet_length(F.col("query_id").cast("string")), F.lit(0)))
+                 ).first()[0] or 0
+    if size <= max_broadcast:
+        sets = query_sets([tuple(r) for r in q.collect()])
+        scored = scan_topk(corpus, q.sparkSession.sparkContext.broadcast(sets), k, cid=cid, cvec=cvec,
+                           query_type=queries.schema[qid].dataType, exclude_self=exclude_self)
+    else:
+        scored = block_topk(q, corpus, k, cid, cvec, exclude_self, block_queries, block_chunks)
+    best = best_per_query(scored, k, cid)
+    if payload:
+        best = best.join((corpus if texts is None else texts).select(cid, *payload), cid, "left").select(
+            "query_id", cid, "similarity_score", "rank", *payload)
+    return best
+
+
+def block_topk(q: DataFrame, corpus: DataFrame, k: int, cid: str, cvec: str, exclude_self: bool,
+               block_queries: int, block_chunks: int) -> DataFrame:
+    """``scan_topk`` for any number of queries: block meets block."""
     c = corpus.select(cid, F.col(cvec).alias("_v")).filter(F.col("_v").isNotNull())
     n_q = max(1, math.ceil(q.count() / block_queries))
     n_c = max(1, math.ceil(c.count() / block_chunks))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = q.withColumn("_q", F.pmod(F.xxhash64(qid), F.lit(n_q)).cast("int")).withColumn("_c", every(n_c))
-    c = c.withColumn("_c", F.pmod(F.xxhash64(cid), F.lit(n_c)).cast("int")).withColumn("_q", every(n_q))
-    out = T.StructType([T.StructField("query_id", queries.schema[qid].dataType),
+    out = T.StructType([T.StructField("query_id", q.schema["query_id"].dataType),
                         T.StructField(cid, corpus.schema[cid].dataType),
                         T.StructField("similarity_score", T.DoubleType())])
-    scored = q.groupBy("_q", "_c").cogroup(c.groupBy("_q", "_c")).applyInPandas(
-        _score_blocks(k, qid, cid, exclude_self), out)
-    best = best_per_query(scored, k, cid)
-    if payload:
-        best = best.join(corpus.select(cid, *payload), cid, "left").select(
-            "query_id", cid, "similarity_score", "rank", *payload)
-    return best
+    q = q.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn("_c", every(n_c))
+    c = c.withColumn("_c", F.pmod(F.xxhash64(cid), F.lit(n_c)).cast("int")).withColumn("_q", every(n_q))
+    return q.groupBy("_q", "_c").cogroup(c.groupBy("_q", "_c")).applyInPandas(
+        _score_blocks(k, "query_id", cid, exclude_self), out)
 
 
 def similar_chunks(chunks: DataFrame, k: int = 5, *, queries: DataFrame | None = None,
@@ -167,7 +297,8 @@ def search_page(queries: DataFrame, corpus: DataFrame, *, limit: int = 5,
                 offset: int = 0, threshold: float = 0.7, do_rerank: bool = True,
                 filters: dict[str, Any] | None = None, qid: str = "query_id",
                 qvec: str = "embedding", cid: str = "chunk_id", cvec: str = "embedding",
-                content_col: str = "content", payload: list[str] | None = None) -> DataFrame:
+                content_col: str = "content", payload: list[str] | None = None,
+                texts: DataFrame | None = None) -> DataFrame:
     """Fetch limit+offset, rerank, keep score >= threshold, then the page
     [offset, offset+limit) of the survivors; total_results = survivors.
 
@@ -175,7 +306,7 @@ def search_page(queries: DataFrame, corpus: DataFrame, *, limit: int = 5,
     instead of OFFSET."""
     payload = list(dict.fromkeys([content_col, *(payload or [])]))
     hits = knn_join(queries, corpus, limit + offset, qid=qid, qvec=qvec, cid=cid,
-                    cvec=cvec, payload=payload, filters=filters)
+                    cvec=cvec, payload=payload, texts=texts, filters=filters)
     return page_hits(hits, limit=limit, offset=offset, threshold=threshold,
                      do_rerank=do_rerank, content_col=content_col)
 
@@ -212,49 +343,6 @@ def result_projection(hits: DataFrame) -> DataFrame:
         F.col("rank").alias("rank")))
 
 
-# ------------------------------------------------------------------- J3 ---
-TABLES = 16
-BITS = 4
-
-
-def hyperplanes(tables: int, bits: int, dim: int) -> np.ndarray:
-    """Fixed planes (tables, bits, dim): coordinate i of plane b of table t is
-    the first 32 bits of md5("t:b:i"), scaled to -1 .. 1."""
-    def value(t, b, i):
-        return int(hashlib.md5(f"{t}:{b}:{i}".encode()).hexdigest()[:8], 16) / 2 ** 31 - 1
-    return np.array([[[value(t, b, i) for i in range(dim)] for b in range(bits)] for t in range(tables)])
-
-
-def buckets(df: DataFrame, vec: str, tables: int, bits: int, dim: int) -> DataFrame:
-    """One row per vector and table: ``table`` and ``bucket``, the signs
-    against the table's planes."""
-    @F.pandas_udf("array<int>")
-    def signs(v: pd.Series) -> pd.Series:
-        planes = hyperplanes(tables, bits, dim)
-        m = np.stack([np.asarray(x, dtype=np.float64) for x in v])
-        positive = np.einsum("nd,tbd->ntb", m, planes) > 0
-        return pd.Series(list((positive * (1 << np.arange(bits))).sum(axis=2).astype(np.int32)))
-    return df.filter(F.col(vec).isNotNull()).select("*", F.posexplode(signs(F.col(vec))).alias("table", "bucket"))
-
-
-def knn_approx(queries: DataFrame, corpus: DataFrame, k: int = 10, *, tables: int = TABLES,
-               bits: int = BITS, qid: str = "query_id", qvec: str = "embedding",
-               cid: str = "chunk_id", cvec: str = "embedding") -> DataFrame:
-    """Candidates share the bucket of at least one table; exact scores.
-
-    Every chunk is indexed. More bits make smaller buckets, more tables find
-    more neighbours; ``recall_at_k`` measures the result against J2. Returns
-    the J2 columns."""
-    from sluice.functions.vectors import certainty, cosine
-    dim = corpus.agg(F.max(F.size(cvec))).first()[0] or 0
-    q = buckets(queries.select(F.col(qid).alias("query_id"), F.col(qvec).alias("_qv")), "_qv", tables, bits, dim)
-    c = buckets(corpus.select(cid, F.col(cvec).alias("_cv")), "_cv", tables, bits, dim)
-    met = q.join(c, ["table", "bucket"]).select("query_id", cid,
-                                                certainty(cosine("_qv", "_cv")).alias("similarity_score"))
-    return best_per_query(met.groupBy("query_id", cid).agg(F.max("similarity_score").alias("similarity_score")),
-                          k, cid)
-
-
 def recall_at_k(approx: DataFrame, exact: DataFrame, cid: str = "chunk_id") -> DataFrame:
     """Share of exact hits found by the approximate join."""
     a = approx.select("query_id", cid).withColumn("found", F.lit(1))

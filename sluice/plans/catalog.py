@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.operators import retrieval as rt
+from sluice.operators import vector_index as vi
 from sluice.plans import inputs as inp
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,8 +36,8 @@ SEARCH = dict(limit=5, offset=2, threshold=0.6)
 
 @register("search_page")
 def q_search_page(spark, sf_dir):
-    page = rt.search_page(inp.vector_queries(spark, sf_dir), inp.vector_corpus(spark, sf_dir),
-                          **SEARCH)
+    page = rt.search_page(inp.vector_queries(spark, sf_dir), inp.vectors(spark, sf_dir),
+                          texts=inp.vector_texts(spark, sf_dir), **SEARCH)
     return page.select("query_id", "chunk_id", "rank", "position", "total_results",
                        r6("similarity_score"), r6("vector_score"))
 
@@ -64,15 +65,15 @@ def q_similar_chunks(spark, sf_dir):
 
 @register("rerank")
 def q_rerank(spark, sf_dir):
-    hits = rt.knn_join(inp.vector_queries(spark, sf_dir), inp.vector_corpus(spark, sf_dir), 10,
-                       payload=["content"])
+    hits = rt.knn_join(inp.vector_queries(spark, sf_dir), inp.vectors(spark, sf_dir), 10,
+                       payload=["content"], texts=inp.vector_texts(spark, sf_dir))
     return rt.rerank(hits).select("query_id", "chunk_id", "rank", r6("similarity_score"))
 
 
 @register("top_sources")
 def q_top_sources(spark, sf_dir):
-    hits = rt.knn_join(inp.vector_queries(spark, sf_dir), inp.vector_corpus(spark, sf_dir), 5,
-                       payload=["content"])
+    hits = rt.knn_join(inp.vector_queries(spark, sf_dir), inp.vectors(spark, sf_dir), 5,
+                       payload=["content"], texts=inp.vector_texts(spark, sf_dir))
     return rt.top_sources(hits, 3).select("query_id", "chunk_id", "rank", "preview")
 
 
@@ -862,15 +863,21 @@ def q_latest_quote(spark, sf_dir):
 
 @register("knn_recall")
 def q_knn_recall(spark, sf_dir):
-    """Recall of J3 against J2 at 10, over the whole query set."""
+    """Recall of J3 against J2 at 10 over the whole query set, and the share of
+    all pairs that J3 scores."""
     q, c = inp.vector_queries(spark, sf_dir), inp.vectors(spark, sf_dir)
-    r = rt.recall_at_k(rt.knn_approx(q, c, 10), rt.knn_join(q, c, 10))
-    return r.select(r6("recall"), (F.col("recall") >= 0.9).alias("enough"))
+    index = vi.build(c)
+    found, pairs = vi.search(index, q, 10)
+    r = rt.recall_at_k(found, rt.knn_join(q, c, 10))
+    share = vi.touched_share(index, q.count(), pairs)
+    return r.select(r6("recall"), (F.col("recall") >= 0.9).alias("enough"),
+                    F.round(F.lit(share), 6).alias("touched_share"), F.lit(len(index.centres)).alias("cells"),
+                    F.lit(index.probes).alias("probes"))
 
 
 @register("knn_approx")
 def q_knn_approx(spark, sf_dir):
-    a = rt.knn_approx(inp.vector_queries(spark, sf_dir), inp.vectors(spark, sf_dir), 10)
+    a = vi.knn_approx(inp.vector_queries(spark, sf_dir), inp.vectors(spark, sf_dir), 10)
     return a.select("query_id", "chunk_id", "rank", r6("similarity_score"))
 
 
@@ -1330,7 +1337,8 @@ def q_stream_ingest_vectors(spark, sf_dir):
 @register("hooked_rerank")
 def q_hooked_rerank(spark, sf_dir):
     """U3 as a reranker: shorter texts first."""
-    hits = rt.knn_join(inp.vector_queries(spark, sf_dir), inp.vector_corpus(spark, sf_dir), 5, payload=["content"])
+    hits = rt.knn_join(inp.vector_queries(spark, sf_dir), inp.vectors(spark, sf_dir), 5, payload=["content"],
+                       texts=inp.vector_texts(spark, sf_dir))
     hits = hits.withColumn("content", F.coalesce("content", F.lit("")))
     hook = pl.model_hook(lambda t: 1.0 / (1.0 + t.str.len()), "double")
     return rt.rerank(hits, model=hook).select("query_id", "chunk_id", "rank", F.round("similarity_score", 9).alias("similarity_score"))

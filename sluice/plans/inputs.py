@@ -27,6 +27,13 @@ def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("vec_id").alias("query_id"), "embedding")
 
 
+def vector_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text and title by chunk, for the payload of hits (no vectors)."""
+    return tb.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"),
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"))
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors, without texts."""
     return tb.table(spark, sf_dir, "embeddings").select(

@@ -989,16 +989,48 @@ SELECT symbol, round(arg_max(value, (ts, event_id)), 6) AS price,
 FROM t GROUP BY symbol"""
 
 
-# planes: coordinate i of plane b of table t from md5('t:b:i'); 16 tables of 4 planes
+# k-means on unit vectors (the 20,000 smallest md5 of the id), then a search of
+# the cells of the nearest centres
+def _near(rows: str, centres: str, key: str) -> str:
+    return (f"SELECT {key}, u, cell FROM (SELECT {key}, u, cell, row_number() OVER (PARTITION BY {key} "
+            f"ORDER BY list_dot_product(u, c) DESC, cell) AS r FROM {rows}, {centres}) WHERE r = 1")
+
+
+def _kmeans(rounds: int) -> str:
+    out = []
+    for k in range(rounds):
+        out.append(f"""near{k} AS MATERIALIZED ({_near('sample', f'c{k}', 'o')}),
+mean{k} AS (SELECT cell, list(t ORDER BY i) AS m FROM (
+  SELECT cell, i, sum(x) AS t FROM (SELECT o, cell, unnest(u) AS x, generate_subscripts(u, 1) AS i FROM near{k})
+  GROUP BY cell, i) GROUP BY cell),
+c{k + 1} AS MATERIALIZED (
+  SELECT cell, CASE WHEN m IS NULL OR list_dot_product(m, m) = 0 THEN c
+                    ELSE list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) END AS c
+  FROM c{k} LEFT JOIN mean{k} USING (cell))""")
+    return ",\n".join(out)
+
+
 APPROX = f"""{CORPUS},
-plane AS (SELECT t, b, i, ('0x' || substr(md5(t::VARCHAR || ':' || b::VARCHAR || ':' || (i - 1)::VARCHAR), 1, 8))::BIGINT
-                 / 2147483648.0::DOUBLE - 1 AS v
-          FROM range(16) x(t), range(4) y(b), range(1, 65) z(i)),
-coord AS (SELECT chunk_id, i, cv[i] AS v FROM corpus, range(1, 65) z(i)),
-sign AS (SELECT chunk_id, t, b, sum(coord.v * plane.v) > 0 AS s FROM coord JOIN plane USING (i) GROUP BY ALL),
-bucket AS (SELECT chunk_id, t, sum(CASE WHEN s THEN 1 << b ELSE 0 END) AS k FROM sign GROUP BY ALL),
-met AS (SELECT DISTINCT q.chunk_id AS query_id, c.chunk_id FROM bucket q JOIN bucket c USING (t, k)
-        WHERE q.chunk_id % 50 = 0),
+unit AS MATERIALIZED (SELECT chunk_id, list_transform(cv, lambda x: x / sqrt(list_dot_product(cv, cv))) AS u FROM corpus),
+sample AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY md5(chunk_id::VARCHAR), chunk_id::VARCHAR) AS o, u FROM unit
+  QUALIFY o <= 20000),
+c0 AS MATERIALIZED (SELECT o - 1 AS cell, u AS c FROM sample
+                    WHERE o <= (SELECT greatest(1, least(1024, count(*) // 8)) FROM sample)),
+{_kmeans(6)},
+asker AS (SELECT * FROM sample WHERE o <= 200),
+friend AS (SELECT a.o, s.o AS f FROM asker a, sample s
+           QUALIFY row_number() OVER (PARTITION BY a.o ORDER BY list_dot_product(a.u, s.u) DESC, s.o) <= 10),
+place AS (SELECT o, cell, row_number() OVER (PARTITION BY o ORDER BY list_dot_product(u, c) DESC, cell) AS p
+          FROM asker, c6),
+shome AS ({_near('sample', 'c6', 'o')}),
+probe AS (SELECT list_sort(list(p))[ceil(0.95 * count(*))::BIGINT] AS n
+          FROM friend f JOIN shome h ON h.o = f.f JOIN place p ON p.o = f.o AND p.cell = h.cell),
+home AS MATERIALIZED ({_near('unit', 'c6', 'chunk_id')}),
+asked AS (SELECT chunk_id AS query_id, cell FROM unit, c6 WHERE chunk_id % 50 = 0
+          QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY list_dot_product(u, c) DESC, cell)
+                  <= (SELECT n FROM probe)),
+met AS MATERIALIZED (SELECT query_id, h.chunk_id FROM asked JOIN home h USING (cell)),
 approx AS (
   SELECT query_id, m.chunk_id, (1 + list_cosine_similarity(qv, cv)) / 2 AS similarity_score,
          row_number() OVER (PARTITION BY query_id ORDER BY similarity_score DESC, m.chunk_id) AS rank
@@ -1009,7 +1041,9 @@ SELECT query_id, chunk_id, rank, round(similarity_score, 6) AS similarity_score
 
 ORACLE["knn_recall"] = f"""WITH {APPROX}, {knn_sql(10)}
 SELECT round(avg(CASE WHEN a.chunk_id IS NULL THEN 0.0 ELSE 1.0 END), 6) AS recall,
-       avg(CASE WHEN a.chunk_id IS NULL THEN 0.0 ELSE 1.0 END) >= 0.9 AS enough
+       avg(CASE WHEN a.chunk_id IS NULL THEN 0.0 ELSE 1.0 END) >= 0.9 AS enough,
+       round((SELECT count(*) FROM met) / ((SELECT count(*) FROM qry) * (SELECT count(*) FROM corpus)::DOUBLE), 6) AS touched_share,
+       (SELECT count(*) FROM c6)::INTEGER AS cells, (SELECT n FROM probe)::INTEGER AS probes
 FROM hits h LEFT JOIN approx a ON a.query_id = h.query_id AND a.chunk_id = h.chunk_id"""
 
 

@@ -5,6 +5,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from sluice.operators import rag, retrieval as rt
+from sluice.operators import vector_index as vi
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_paging_fixture(spark):
@@ -62,11 +65,100 @@ def test_knn_query_blocks(spark):
     qdf = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(9)],
                                 "query_id long, embedding array<double>")
     a = sorted(map(tuple, rt.knn_join(qdf, cdf, 3).select("query_id", "chunk_id", "rank").collect()))
-    b = sorted(map(tuple, rt.knn_join(qdf, cdf, 3, block_queries=2, block_chunks=7)
+    b = sorted(map(tuple, rt.knn_join(qdf, cdf, 3, max_broadcast=0, block_queries=2, block_chunks=7)
                    .select("query_id", "chunk_id", "rank").collect()))
     assert a == b
 
 
+def plan_of(df):
+    import io
+    from contextlib import redirect_stdout
+    out = io.StringIO()
+    with redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
+def test_corpus_vectors_are_not_shuffled(spark):
+    from sluice.plans import inputs as inp
+    q, c = inp.vector_queries(spark, SF), inp.vectors(spark, SF)
+    for df in (rt.knn_join(q, c, 5), rt.similar_chunks(c, 5, queries=c.filter("chunk_id % 50 = 0")),
+               rt.search_page(q, c, texts=inp.vector_texts(spark, SF))):
+        plan = plan_of(df)
+        assert "MapInArrow" in plan and "CoGroup" not in plan
+        exchanges = [x for x in plan.split("\n\n") if " Exchange" in x.split("\n")[0]]
+        assert exchanges and not any("embedding" in x for x in exchanges)
+
+
+def test_scan_keeps_ties_strings_and_odd_rows(spark):
+    rows = [("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("c", [0.0, 0.0]), ("d", None), ("e", [1.0, None]), ("f", [1.0]),
+            ("é", [3.0, 0.0]), ("g", [0.0, 1.0]), ("z", [1.0, 0.0, 0.0])]
+    cdf = spark.createDataFrame(rows, "chunk_id string, embedding array<double>").repartition(4)
+    qdf = spark.createDataFrame([(1, [5.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [0.0, 2.0, 0.0])],
+                                "query_id int, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.chunk_id) for r in rt.knn_join(qdf, cdf, 3).collect())
+    assert got == [(1, 1, "a"), (1, 2, "b"), (1, 3, "é"), (4, 1, "z")]
+    assert rt.knn_join(qdf.limit(0), cdf, 3).count() == rt.knn_join(qdf, cdf.limit(0), 3).count() == 0
+
+
+def test_running_top_k_equals_a_full_sort():
+    rng = np.random.default_rng(3)
+    for k in (1, 3, 40):
+        top, every = rt.TopK(5, k), []
+        for _ in range(12):
+            rows = np.sort(rng.choice(5, rng.integers(1, 6), replace=False))
+            ids = rng.choice(10_000, rng.integers(1, 30), replace=False)
+            score = rng.integers(0, 6, (len(rows), len(ids))) / 5          # many ties
+            score[rng.random(score.shape) < 0.1] = -np.inf
+            top.add(rows, score, ids)
+            every += [(r, -s, i) for r, x in zip(rows.tolist(), score) for s, i in zip(x, ids.tolist()) if np.isfinite(s)]
+        want = [x for r in range(5) for x in sorted(e for e in every if e[0] == r)[:k]]
+        assert sorted(zip(top.row.tolist(), (-top.score).tolist(), top.id.tolist())) == want
+
+
+def clustered(n, seed=0, dim=16, groups=40):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(groups, dim))
+    return centres[rng.integers(0, groups, n)] + 0.15 * rng.normal(size=(n, dim))
+
+
+def test_cells_find_neighbours_with_few_pairs(spark):
+    v = clustered(4000)
+    c = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "chunk_id long, embedding array<double>").repartition(6)
+    q = c.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "query_id")
+    index = vi.build(c)
+    assert index.chunks.count() == 4000 == sum(index.sizes.values())        # every chunk in one cell
+    assert index.chunks.select("chunk_id").distinct().count() == 4000
+    found, pairs = vi.search(index, q, 10)
+    exact = rt.knn_join(q, c, 10)
+    assert rt.recall_at_k(found, exact).first().recall >= 0.9
+    assert vi.touched_share(index, q.count(), pairs) < 0.2                 # against 0.64 by hyperplanes
+    home = {r.chunk_id: r.cell for r in index.chunks.collect()}
+    assert {home[r.chunk_id] for r in found.collect()} <= set(index.sizes)
+    # parts of the query set, one after the other: the same hits
+    key = lambda df: sorted((r.query_id, r.rank, r.chunk_id) for r in df.collect())
+    small, again = vi.search(index, q, 10, max_broadcast=5000)
+    assert key(small) == key(found) and again == pairs
+    # asking every cell is the exact join
+    assert key(vi.search(index, q, 10, probes=10_000)[0]) == key(exact)
+
+
+def test_hot_cells_are_split_and_odd_rows_indexed(spark):
+    v = np.concatenate([np.ones((600, 4)), clustered(300, 2, 4)])
+    rows = [(i, x.tolist()) for i, x in enumerate(v)]
+    odd = [(9000, None), (9001, [0.0] * 4), (9002, [1.0] * 3), (9003, [1.0, None, 0.0, 0.0]), (9004, [])]
+    c = spark.createDataFrame(rows + odd, "chunk_id long, embedding array<double>").repartition(5)
+    index = vi.build(c, cell_rows=50)
+    hot = max(index.sizes, key=index.sizes.get)
+    files = [f for f in index.chunks.filter(F.col("cell") == hot).inputFiles() if f"cell={hot}/" in f]
+    assert index.sizes[hot] >= 600 and len(files) >= 12 and index.sizes[-1] == 4
+    q = spark.createDataFrame([(1, [1.0] * 4), (2, [0.0] * 4), (3, None), (4, [1.0])], "query_id long, embedding array<double>")
+    hits = vi.search(index, q, 5)[0].collect()
+    assert {r.query_id for r in hits} == {1} and [r.chunk_id for r in hits] == [0, 1, 2, 3, 4]
+    for empty in (c.limit(0), c.filter("chunk_id = 9001")):
+        assert vi.knn_approx(q, empty, 5).count() == 0
+
+
 def test_metadata_filter_folding(spark):
     assert rt.metadata_filter({}) is None
     assert rt.metadata_filter({"lang": [1, 2]}) is None          # list without strings

@@ -148,3 +148,20 @@ def test_risk_reads_each_pattern_once(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") == len(sf.SUSPICIOUS_PATTERNS)
     assert plan.count("lower(") == 1
+
+
+def test_email_hosts_of_any_length(spark):
+    """Long hosts and long runs of mailbox characters neither overflow a stack
+    nor are read again and again."""
+    long = "x@" + "a." * 6000 + "com"
+    runs = ["-", ".", "%", "a", "a.", "@", "a@", "@a.", "a@b.", "_@-."]
+    texts = [long, "x@" + "a." * 100 + "com", "Mail bob@mail.example.co.uk.", "a@b.com-x", "a@b.com.x1", "a@b..com",
+             "x@" + "a" * 1_000_000 + ".com", *(r * (1_000_000 // len(r)) + " bob@example.com" for r in runs)]
+    df = _docs(spark, texts).select("doc_id", sf.pii_findings("text").alias("f"), sf.pii_anonymize("text").alias("t"))
+    got = {r.doc_id: r for r in df.collect()}
+    mails = {i: [f.text for f in got[i].f if f.entity_type == "EMAIL_ADDRESS"] for i in got}
+    assert mails[1] == ["x@" + "a." * 100 + "com"] and mails[2] == ["bob@mail.example.co.uk"]
+    assert mails[3] == ["a@b.com"] and mails[4] == ["a@b.com"] and mails[5] == []
+    assert mails[0] == [] and mails[6] == ["x@" + "a" * 1_000_000 + ".com"]      # a host has at most 127 labels
+    assert all(mails[7 + i][-1] == "bob@example.com" for i in range(len(runs)))
+    assert got[2].t == "Mail <EMAIL_ADDRESS>."
