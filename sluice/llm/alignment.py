@@ -49,8 +49,10 @@ from sluice.llm.store import materialise
 from sluice.llm.word_bpe import byte_symbols
 
 FILE_A, FILE_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
-CACHED = 300_000                # stretches kept by a Python worker
-CACHED_LINKS = 1 << 23          # links of them
+CACHED = 200_000                # stretches kept by a Python worker
+CACHED_LINKS = 1 << 22          # links of them
+BLOCK = 1 << 14                 # stretches aligned at a time
+SLICE_BYTES = 1 << 20           # text of documents at a time
 CACHED_CHARS = 64               # a longer one is not kept
 RUN = 64                        # stretches that are encoded as one text
 MAX_BROADCAST_PAIRS = 1 << 22
@@ -104,7 +106,7 @@ class Aligner:
         self.code: dict[str, int] = {}
         self.text: list[bytes] = []                 # the groups; b"" where the bytes differ
         self.n_a, self.n_b, self.n_groups = array("q"), array("q"), array("q")
-        self.links = np.zeros(0, self.key)
+        self.links = np.zeros(1 << 16, self.key)     # grows by doubling
         self.link_ends = array("q", [0])
 
     # -- runs of text ---------------------------------------------------------
@@ -183,8 +185,11 @@ class Aligner:
             at = e
         for store, p in zip((self.n_a, self.n_b, self.n_groups), per):
             store.extend(np.diff(p, prepend=0).tolist())
-        self.link_ends.extend((self.link_ends[-1] + per[3]).tolist())
-        self.fresh.append(links)
+        at = self.link_ends[-1]
+        if at + len(links) > len(self.links):
+            self.links = np.concatenate((self.links, np.zeros(max(len(links), len(self.links)), self.key)))
+        self.links[at:at + len(links)] = links
+        self.link_ends.extend((at + per[3]).tolist())
         return True
 
     def unknown(self, stretch: str) -> None:
@@ -196,16 +201,16 @@ class Aligner:
         self.link_ends.append(self.link_ends[-1])
 
     def learn(self, stretches: list[str]) -> None:
-        self.fresh: list[np.ndarray] = []
         joined = [x for x in stretches if SPACE not in x and not x[-1].isspace()]
-        if joined and not self.align(joined):
-            for x in joined:
-                if not self.align([x]):
-                    self.unknown(x)
+        for i in range(0, len(joined), BLOCK):
+            block = joined[i:i + BLOCK]
+            if not self.align(block):
+                for x in block:
+                    if not self.align([x]):
+                        self.unknown(x)
         for x in stretches:
             if SPACE in x or (x[-1].isspace() and not self.align([x])):
                 self.unknown(x)
-        self.links = np.concatenate([self.links, *self.fresh])
 
     # -- documents ------------------------------------------------------------
     def cut(self, text: str) -> list[str]:
@@ -228,7 +233,7 @@ class Aligner:
 
     def documents(self, texts: list[str | None]):
         """Per text: n_a, n_b, n_groups, digest of the groups, links."""
-        if len(self.code) > CACHED or len(self.links) > CACHED_LINKS:
+        if len(self.code) > CACHED or self.link_ends[-1] > CACHED_LINKS:
             self.forget()
         cuts = [self.cut(t) if t else [] for t in texts]
         new = {x for c in cuts for x in c}.difference(self.code)
@@ -278,12 +283,12 @@ def loaded(file_a: str, file_b: str) -> Aligner:
 
 
 def slices(col: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
-    """(first row, texts) about ``SLICE_BYTES`` at a time; None for bytes that
+    """(first row, texts), about ``SLICE_BYTES`` at a time; None for bytes that
     are no UTF-8. Null reads as empty."""
     raw, off = tk.column_bytes(col)
     i, n = 0, len(off) - 1
     while i < n:
-        j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + tk.SLICE_BYTES, "right")) - 1))
+        j = min(n, max(i + 1, int(np.searchsorted(off, off[i] + SLICE_BYTES, "right")) - 1))
         texts: list[str | None] = []
         for a, b in zip(off[i:j].tolist(), off[i + 1:j + 1].tolist()):
             try:

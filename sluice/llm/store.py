@@ -1,18 +1,5 @@
 """Intermediate tables in the cluster's shared checkpoint folder."""
 
-from __future__ import annotations
+from sluice.session import write_table as materialise
 
-import uuid
-
-from pyspark.sql import DataFrame
-
-from sluice.session import scratch_path
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once as Parquet under ``spark.checkpoint.dir`` and read it
-    back: cuts the lineage, survives lost executors, keeps column pruning."""
-    spark = df.sparkSession
-    path = scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialise"]
