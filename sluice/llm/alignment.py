@@ -106,9 +106,32 @@ class Aligner:
         self.code: dict[str, int] = {}
         self.text: list[bytes] = []                 # the groups; b"" where the bytes differ
         self.n_a, self.n_b, self.n_groups = array("q"), array("q"), array("q")
-        self.links = np.zeros(1 << 16, self.key)     # grows by doubling
+        self.uses = np.zeros(1 << 16, np.int64)      # of each stretch; grows by doubling, like
+        self.links = np.zeros(1 << 16, self.key)
         self.link_ends = array("q", [0])
 
+    def make_room(self) -> None:
+        """Forget the stretches that were used least, at least half of them."""
+        uses = self.uses[:len(self.text)]
+        least = max(2, int(np.partition(uses, len(uses) // 2)[len(uses) // 2]) + 1)
+        kept = np.flatnonzero(uses >= least)
+        code, text, ends, links = self.code, self.text, np.array(self.link_ends), self.links
+        counts = [np.array(x)[kept] for x in (self.n_a, self.n_b, self.n_groups)]
+        size = ends[kept + 1] - ends[kept]
+        upto = np.cumsum(size)
+        place = np.arange(upto[-1] if len(kept) else 0) + np.repeat(ends[kept] - upto + size, size)
+        self.forget()
+        new = np.full(len(text), -1)
+        new[kept] = np.arange(len(kept))
+        new = new.tolist()
+        self.code = {x: new[c] for x, c in code.items() if new[c] >= 0}
+        self.text = [text[i] for i in kept.tolist()]
+        for mine, n in zip((self.n_a, self.n_b, self.n_groups), counts):
+            mine.extend(n.tolist())
+        self.link_ends.extend(upto.tolist())
+        self.links = np.concatenate((links[place], self.links))
+        self.uses = np.concatenate((uses[kept] // 2, self.uses))
+
     # -- runs of text ---------------------------------------------------------
     def ends_a(self, runs: list[str], chars: np.ndarray, char_byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, byte ends) of A over the runs, which start at ``chars``:
@@ -234,13 +257,15 @@ class Aligner:
     def documents(self, texts: list[str | None]):
         """Per text: n_a, n_b, n_groups, digest of the groups, links."""
         if len(self.code) > CACHED or self.link_ends[-1] > CACHED_LINKS:
-            self.forget()
+            self.make_room()
         cuts = [self.cut(t) if t else [] for t in texts]
         new = {x for c in cuts for x in c}.difference(self.code)
         if new:
             self.learn(list(new))
         sums = np.stack([np.array(x) for x in (self.n_a, self.n_b, self.n_groups)])
         ends = np.array(self.link_ends)
+        if len(self.text) > len(self.uses):
+            self.uses = np.concatenate((self.uses, np.zeros(max(len(self.text), len(self.uses)), np.int64)))
         for c in cuts:
             at = [self.code[x] for x in c]
             groups = [self.text[i] for i in at]
@@ -248,6 +273,7 @@ class Aligner:
                 yield 0, 0, 0, "", b""
                 continue
             k = np.array(at)
+            np.add.at(self.uses, k, 1)
             n = ends[k + 1] - ends[k]
             upto = np.cumsum(n)
             links = self.links[np.arange(upto[-1]) + np.repeat(ends[k] - upto + n, n)]
