@@ -1068,13 +1068,32 @@ f(cache_key, i, event_id, answered, last_us) AS (
   FROM f JOIN r ON r.cache_key = f.cache_key AND r.i = f.i + 1)
 SELECT cache_key, event_id FROM f WHERE answered"""
 
-ORACLE["stream_cache_ttl"] = f"""WITH {OPS}, {REPLAY} SELECT op_id, status FROM rp"""
+# an entry that no write replaces in time expires once a later operation of its
+# key or the last watermark (ten minutes before the newest row) is past it
+ORACLE["stream_cache_ttl"] = f"""WITH {OPS},
+o AS (SELECT op_id, key, op, epoch_us(ts) AS us, epoch_us(ts) + coalesce(nullif(ttl_s, 0), 3600) * 1000000 AS until FROM ops),
+w AS (SELECT *, lead(us) OVER (PARTITION BY key ORDER BY us, op_id) AS next_write FROM o WHERE op <> 'get'),
+g AS (SELECT *, max(us) OVER (PARTITION BY key) AS key_end, max(us) OVER () AS stream_end FROM o),
+before AS (
+  SELECT o.op_id, o.key, o.op, o.us, arg_max(w.op, (w.us, w.op_id)) AS last_op, arg_max(w.until, (w.us, w.op_id)) AS until
+  FROM o LEFT JOIN w ON w.key = o.key AND (w.us, w.op_id) < (o.us, o.op_id) GROUP BY ALL)
+SELECT op_id, key, CASE WHEN op <> 'get' THEN op WHEN last_op = 'set' AND us <= until THEN 'hit' ELSE 'miss' END AS status,
+       NULL::BIGINT AS until_us FROM before
+UNION ALL
+SELECT NULL, w.key, 'expired', w.until FROM w JOIN g USING (op_id)
+WHERE w.op = 'set' AND (next_write IS NULL OR next_write > w.until)
+  AND (key_end > w.until OR ceil(w.until / 1000.0) < floor(stream_end / 1000.0) - 600000)"""
 
 ORACLE["stream_write_behind"] = f"""WITH {OPS}
-SELECT key, round(arg_max(value, op_id), 6) AS value, max(op_id) AS last_seq FROM ops WHERE op = 'set' GROUP BY key"""
+SELECT key, round(arg_max(value, (us, op_id)), 6) AS value, arg_max(op_id, (us, op_id)) AS last_seq,
+       arg_max(stretch, (us, op_id)) AS flush_at, arg_max(part, (us, op_id)) AS flush_no
+FROM (SELECT *, ((row_number() OVER (PARTITION BY stretch ORDER BY us, op_id) - 1) // 100)::INTEGER AS part
+      FROM (SELECT key, value, op_id, epoch_us(ts) AS us, epoch_us(ts) // 5000000 * 5000000 AS stretch FROM ops WHERE op = 'set'))
+GROUP BY key"""
 
 ORACLE["stream_spans"] = f"""WITH {SPANS}
-SELECT span_id, round(duration_ms, 6) AS duration_ms FROM pairs WHERE NOT active AND duration_ms <= 3600000"""
+SELECT span_id, CASE WHEN NOT active AND duration_ms <= 3600000 THEN round(duration_ms, 6) END AS duration_ms,
+       active OR duration_ms > 3600000 AS active FROM pairs"""
 
 ANSWERS = """
 a AS (SELECT conv_id * 1000 + turn AS request_id, conv_id, text, greatest(ceil(length(text) / 50.0), 1)::INTEGER AS n
@@ -1095,7 +1114,7 @@ FROM a"""
 
 ORACLE["stream_business"] = f"""WITH {BUSINESS}
 SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts) - k * INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS window_start, kind,
-       count(*)::BIGINT AS events
+       count(*)::BIGINT AS events, count(DISTINCT user_id)::BIGINT AS unique_users
 FROM business, range(24) h(k) GROUP BY ALL"""
 
 ORACLE["stream_gauges"] = """

@@ -12,6 +12,12 @@ Two kinds of results: append (a row is final when it comes out) and latest
 (``run_latest``: update mode, each epoch's rows are written as a version and
 the newest version of a key counts, so windows that are still open at the end
 are in the result too).
+
+Per-key orders (ST2, ST3, ST5, ST6, ST13) are ``EpochStream``s: an epoch is a
+batch job over its rows and a versioned state table (``epochs``), so that a hot
+key is spread like in the batch operators. Rows of an epoch are taken in event
+time; a row within the watermark's delay that comes in a later epoch is placed
+among the state rows, and answers that are out already stay as they are.
 """
 
 from __future__ import annotations
@@ -22,14 +28,17 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.session import scratch_path
+from sluice.session import scratch_path, write_table
+from sluice.streaming.epochs import EpochStream, micros, run_epochs
 
 WATERMARK = "10 minutes"
 US = 1_000_000
 ROWS_PER_FILE = 10_000      # of the largest part of a stream's input
+STATE_TABLES = ["rows", "totals"]
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType | str,
@@ -82,6 +91,9 @@ def run_available(df: DataFrame, mode: str = "append", name: str = "stream",
                   foreach_batch=None, run_id: str | None = None) -> DataFrame:
     """Run a streaming query over everything available (``availableNow``)
     into a parquet table in the shared folder and return that table."""
+    if isinstance(df, EpochStream):
+        base = scratch_path(df.rows.sparkSession, f"{name}-{run_id or uuid.uuid4().hex[:12]}")
+        return run_epochs(df, base, STATE_TABLES)
     spark = df.sparkSession
     base = scratch_path(spark, f"{name}-{run_id or uuid.uuid4().hex[:12]}")
     w = (df.writeStream.option("checkpointLocation", f"{base}/_checkpoint")
@@ -122,50 +134,26 @@ def stream_counters(events: DataFrame, window: str = "1 hour", labels=("event_ty
             .agg(F.count("*").alias("requests"), F.sum("value").alias("value_sum")))
 
 
-# ----------------------------------------------------------------- ST2 ---
-STATE_LOG = T.StructType([T.StructField("log", T.ArrayType(T.LongType()))])
-
-
-def _admit_state(limit: int, window_us: int, key: str, id_col: str):
-    def fn(k, pdfs: Iterator[pd.DataFrame], state):
-        if state.hasTimedOut:          # the watermark passed the whole window
-            state.remove()
-            return
-        log = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(pdfs), ignore_index=True)
-        rows = rows.assign(_us=rows["ts"].astype("int64") // 1000).sort_values(["_us", id_col])
-        adm, cur, rem = [], [], []
-        for t in rows["_us"].to_numpy():
-            log = [x for x in log if x > t - window_us]
-            cur.append(len(log))
-            if len(log) >= limit:
-                adm.append(False)
-            else:
-                log.append(int(t))
-                adm.append(True)
-            rem.append(max(0, limit - len(log)))
-        if log:
-            state.update((log,))
-            state.setTimeoutTimestamp(max(int(max(log) // 1000) + window_us // 1000,
-                                          state.getCurrentWatermarkMs() + 1))
-        else:
-            state.remove()
-        yield pd.DataFrame({id_col: rows[id_col].to_numpy(), key: rows[key].to_numpy(),
-                            "admitted": adm, "in_window": cur, "remaining": rem})
-    return fn
+def mine_and(state: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """The epoch's rows (``_mine``) and the state's rows of the same columns."""
+    rows = rows.withColumn("_mine", F.lit(True))
+    return rows if state is None else rows.unionByName(state.withColumn("_mine", F.lit(False)))
 
 
+# ----------------------------------------------------------------- ST2 ---
 def stream_rate_limit(requests: DataFrame, key: str, id_col: str = "request_id",
-                      limit: int = 60, seconds: int = 60, watermark: str = WATERMARK) -> DataFrame:
-    """ST2: W3 as a stateful stream: per bucket the admitted timestamps of
-    the last window are the state (at most ``limit`` entries); state expires
-    by event-time timeout once the watermark passes the window."""
-    out = (f"{id_col} {requests.schema[id_col].dataType.simpleString()}, "
-           f"{key} {requests.schema[key].dataType.simpleString()}, admitted boolean, "
-           "in_window long, remaining long")
-    return (requests.withWatermark("ts", watermark).groupBy(key)
-            .applyInPandasWithState(_admit_state(limit, seconds * US, key, id_col), out,
-                                    STATE_LOG, "append", "EventTimeTimeout"))
+                      limit: int = 60, seconds: int = 60, watermark: str = WATERMARK) -> EpochStream:
+    """ST2: W3 on a stream. The state is the admitted requests of the last
+    window (at most ``limit`` per bucket and window); an epoch is W3 over them
+    and its own rows."""
+    from sluice.operators.limits import rate_limit_admit
+
+    def step(batch, state, mark):
+        out = rate_limit_admit(mine_and(state.get("rows"), batch.select(id_col, key, "ts")), key, "ts", id_col,
+                               limit, seconds)
+        log = out.filter(F.col("admitted") & (micros("ts") > mark - seconds * US)).select(id_col, key, "ts")
+        return out.filter("_mine").select(id_col, key, "admitted", "in_window", "remaining"), {"rows": log}
+    return EpochStream(requests.select(id_col, key, "ts"), step, watermark)
 
 
 # ----------------------------------------------------------------- ST8 ---
@@ -193,51 +181,88 @@ def assemble_answers(chunks: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- ST11 ---
-def stream_business(business: DataFrame, watermark: str = WATERMARK) -> DataFrame:
-    """ST11: activity over sliding 24 h windows every hour; distinct users
-    approximate (exact distinct is not allowed on streams)."""
+SKETCH_LG = 12      # the distinct sketch has 2**12 registers: about 1.6 % error
+
+
+def stream_business(business: DataFrame, watermark: str = WATERMARK, lg: int = SKETCH_LG) -> DataFrame:
+    """ST11 on the stream: per hour and kind the number of events and a sketch
+    of the users, so that an event is one row and not one for each of the 24
+    windows it lies in; ``business_days`` unites the hours."""
     return (business.withWatermark("ts", watermark)
-            .groupBy(F.window("ts", "24 hours", "1 hour").alias("w"), "kind")
-            .agg(F.count("*").alias("events"),
-                 F.approx_count_distinct("user_id").alias("unique_users")))
+            .groupBy(F.window("ts", "1 hour").alias("w"), "kind")
+            .agg(F.count("*").alias("events"), F.hll_sketch_agg("user_id", F.lit(lg)).alias("users")))
+
+
+def business_days(hours: DataFrame) -> DataFrame:
+    """ST11: activity over sliding 24 h windows every hour, from the hours'
+    counts and sketches; distinct users approximate."""
+    start = F.explode(F.expr("sequence(w.start - INTERVAL 23 HOURS, w.start, INTERVAL 1 HOUR)"))
+    return (hours.select(start.alias("window_start"), "kind", "events", "users")
+            .groupBy("window_start", "kind")
+            .agg(F.sum("events").alias("events"),
+                 F.hll_sketch_estimate(F.hll_union_agg("users")).alias("unique_users")))
 
 
 # ---------------------------------------------------------------- ST13 ---
 def stream_dedup(requests: DataFrame, key_col: str = "cache_key", id_col: str = "event_id",
-                 ttl_s: int = 3600, watermark: str = WATERMARK) -> DataFrame:
+                 ttl_s: int = 3600, watermark: str = WATERMARK) -> EpochStream:
     """ST13: an equal request within the ttl of the last answer is not
-    answered again. Per key the time of the last answer is the state; rows of
-    a micro-batch are taken in (ts, id) order, so time-ordered input gives the
-    same answers in any number of files."""
-    kind = requests.schema[key_col].dataType.simpleString()
-    rows = requests.select(F.col(key_col).alias("name"), F.lit(ttl_s).alias("cooldown_s"), id_col, "ts")
-    out = f"name {kind}, {id_col} {requests.schema[id_col].dataType.simpleString()}"
-    return (rows.withWatermark("ts", watermark).groupBy("name")
-            .applyInPandasWithState(_cooldown_state(id_col), out, STATE_LAST, "append", "NoTimeout")
-            .withColumnRenamed("name", key_col))
+    answered again. The state is the last answer of each key; a key leaves it
+    when the watermark has passed the ttl."""
+    rows = requests.select(F.col(key_col).alias("name"), F.lit(ttl_s).cast("long").alias("cooldown_s"), id_col, "ts")
+    return EpochStream(rows, cooldown_step(id_col, key_col), watermark)
+
+
+def cooldown_step(id_col: str, key_col: str):
+    """W12 over the last fired row of each key and the epoch's rows."""
+    from sluice.operators.alerts import alert_cooldown
+
+    def step(batch, state, mark):
+        rows = batch.select("name", "cooldown_s", id_col, "ts")
+        fired = write_table(alert_cooldown(mine_and(state.get("rows"), rows), "ts", id_col), "cooldown-fired")
+        last = (fired.groupBy("name").agg(F.max_by(F.struct("cooldown_s", id_col, "ts"), F.struct("ts", id_col)).alias("r"))
+                .select("name", "r.*").filter(micros("ts") + F.col("cooldown_s") * US > mark))
+        return fired.filter("_mine").select(F.col("name").alias(key_col), id_col), {"rows": last}
+    return step
 
 
 # ----------------------------------------------------------------- ST4 ---
-STATE_ENTRY = T.StructType([T.StructField("op", T.StringType()), T.StructField("until_us", T.LongType())])
+STATE_ENTRY = T.StructType([T.StructField("until_us", T.LongType())])
 
 
 def _cache_state(id_col: str):
     def fn(k, pdfs: Iterator[pd.DataFrame], state):
-        if state.hasTimedOut:                   # the entry has expired
+        if state.hasTimedOut:                   # the watermark passed the expiry time
+            until = state.get[0]
             state.remove()
+            yield pd.DataFrame({id_col: pd.array([None], dtype="Int64"), "key": [k[0]], "status": ["expired"],
+                                "until_us": [until]})
             return
-        op, until = state.get if state.exists else (None, None)
+        until = state.get[0] if state.exists else None
         for rows in sorted_batches(pdfs, id_col):
-            status = []
-            for t, o, ttl in zip(rows["_us"].to_numpy(), rows["op"], rows["ttl_s"]):
+            ids, status, at = [], [], []
+            for i, t, o, ttl in zip(rows[id_col], rows["_us"].to_numpy(), rows["op"], rows["ttl_s"]):
+                if until is not None and t > until:
+                    ids.append(None)
+                    status.append("expired")
+                    at.append(until)
+                    until = None
+                ids.append(int(i))
+                at.append(None)
                 if o == "get":
-                    status.append("miss" if op != "set" else "expired" if t > until else "hit")
+                    status.append("miss" if until is None else "hit")
                     continue
                 status.append(o)
-                op, until = o, int(t) + int(ttl if ttl == ttl and ttl else 3600) * US
-            yield pd.DataFrame({id_col: rows[id_col].to_numpy(), "status": status})
-        if op is not None:
-            state.update((op, until))
+                until = int(t) + int(ttl if ttl == ttl and ttl else 3600) * US if o == "set" else None
+            yield pd.DataFrame({id_col: pd.array(ids, dtype="Int64"), "key": [k[0]] * len(ids), "status": status,
+                                "until_us": pd.array(at, dtype="Int64")})
+        if until is None:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((until,))
+            # the timer must lie after the watermark; an entry that it has passed already goes next
+            state.setTimeoutTimestamp(max(-(-until // 1000), state.getCurrentWatermarkMs() + 1))
     return fn
 
 
@@ -248,23 +273,50 @@ def sorted_batches(pdfs: Iterator[pd.DataFrame], id_col: str) -> Iterator[pd.Dat
 
 
 def stream_cache_ttl(ops: DataFrame, id_col: str = "op_id", watermark: str = WATERMARK) -> DataFrame:
-    """ST4: cache operations on a stream: each get is a hit, a miss or expired
-    against its key's last write (the state: operation and expiry time)."""
-    out = f"{id_col} {ops.schema[id_col].dataType.simpleString()}, status string"
+    """ST4: cache operations on a stream. The state holds live entries only:
+    when the watermark passes an entry's expiry time (or an operation of its
+    key comes after it) the entry leaves the state and comes out as a row of
+    its own: no id, status ``expired``, ``until_us``. A get is a hit while the
+    entry lives, else a miss."""
+    out = f"{id_col} {ops.schema[id_col].dataType.simpleString()}, key string, status string, until_us long"
     return (ops.withWatermark("ts", watermark).groupBy("key")
-            .applyInPandasWithState(_cache_state(id_col), out, STATE_ENTRY, "append", "NoTimeout"))
+            .applyInPandasWithState(_cache_state(id_col), out, STATE_ENTRY, "append", "EventTimeTimeout"))
 
 
 # ----------------------------------------------------------------- ST5 ---
+FLUSH_ITEMS, FLUSH_SECONDS = 100, 5
+
+
 def write_behind(writes: DataFrame, key: str = "key", seq: str = "op_id", name: str = "write-behind",
-                 run_id: str | None = None) -> DataFrame:
-    """ST5: each flush (micro-batch) writes the last value per key (W14) as a
-    new version; the newest version of a key over all flushes counts, which
-    is the upsert of the flushes in their order."""
-    def flush(batch: DataFrame, epoch: int, base: str) -> None:
-        write_epoch(batch.groupBy(key).agg(F.max_by("value", seq).alias("value"),
-                                           F.max(seq).alias("last_seq")), epoch, base)
-    return latest(run_available(writes, "append", name, flush, run_id), [key])
+                 run_id: str | None = None, items: int = FLUSH_ITEMS, seconds: int = FLUSH_SECONDS,
+                 watermark: str = WATERMARK) -> DataFrame:
+    """ST5: a flush is at most ``items`` writes of one stretch of ``seconds`` of
+    event time, in (ts, seq) order; it writes the last value per key (W14).
+    Returns key, value, last_seq and the flush that wrote them (``flush_at``,
+    the start of the stretch, and ``flush_no`` in it): the upsert of all flushes
+    in their order. Stretches that the watermark has not closed wait in the
+    state table; what is left at the end is flushed then."""
+    width = seconds * US
+    stretch = F.floor(micros("ts") / width) * width
+
+    def flushed(rows: DataFrame) -> DataFrame:
+        order = W.partitionBy("_at").orderBy(micros("ts"), seq)
+        no = F.floor((F.row_number().over(order) - 1) / items)
+        return (rows.withColumn("_at", stretch).withColumn("_no", no.cast("int")).groupBy("_at", "_no", key)
+                .agg(F.max_by("value", F.struct("ts", seq)).alias("value"),
+                     F.max_by(seq, F.struct("ts", seq)).alias("last_seq"))
+                .select(key, "value", "last_seq", F.col("_at").alias("flush_at"), F.col("_no").alias("flush_no")))
+
+    def step(batch, state, mark):
+        rows = batch if "rows" not in state else batch.unionByName(state["rows"])
+        closed = F.coalesce(stretch + width <= mark, F.lit(True))
+        return flushed(rows.filter(closed)), {"rows": rows.filter(~closed)}
+    source = EpochStream(writes.select(key, "value", seq, "ts"), step, watermark,
+                         finish=lambda state: flushed(state["rows"]))
+    out = run_available(source, "append", name, run_id=run_id)
+    newest = F.struct("flush_at", "flush_no", "last_seq")
+    return (out.groupBy(key).agg(F.max_by(F.struct("value", "last_seq", "flush_at", "flush_no"), newest).alias("r"))
+            .select(key, "r.*"))
 
 
 # ----------------------------------------------------------------- ST7 ---
@@ -283,6 +335,14 @@ def stream_spans(starts: DataFrame, finishes: DataFrame, max_span: str = "1 hour
                     F.col("f.end_ts").isNull().alias("active"))
 
 
+def close_stream(spark: SparkSession, path: str, schema: T.StructType, values: dict) -> None:
+    """A last file with one row of these values (the others null): with an event
+    time far ahead it moves the watermark past everything before. Its join key
+    must not be null: such rows are filtered before the watermark sees them."""
+    row = [F.lit(values.get(f.name)).cast(f.dataType).alias(f.name) for f in schema.fields]
+    spark.range(1).select(*row).coalesce(1).write.mode("append").parquet(path)
+
+
 # ---------------------------------------------------------------- ST12 ---
 def document_stream(spark: SparkSession, sf_dir: str, max_files: int = 1) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
@@ -309,76 +369,44 @@ def stream_gauges(samples: DataFrame, labels=("user_id",), every: str = "60 seco
 
 
 # ----------------------------------------------------------------- ST6 ---
-STATE_LAST = T.StructType([T.StructField("last_us", T.LongType())])
-
-
-def _cooldown_state(id_col: str):
-    def fn(k, pdfs: Iterator[pd.DataFrame], state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(pdfs), ignore_index=True)
-        rows = rows.assign(_us=rows["ts"].astype("int64") // 1000).sort_values(["_us", id_col])
-        fired = []
-        for t, cd in zip(rows["_us"].to_numpy(), rows["cooldown_s"].to_numpy()):
-            ok = last is None or t - last >= int(cd) * US
-            if ok:
-                last = int(t)
-            fired.append(ok)
-        state.update((last,))
-        yield rows.loc[fired, ["name", id_col]]
-    return fn
-
-
-def stream_alerts(matches: DataFrame, id_col: str = "event_id",
-                  watermark: str = WATERMARK) -> DataFrame:
-    """ST6: matched samples (J13 on the stream) fire under the rule's
-    cooldown; the state per rule is the last fired time."""
-    out = f"name string, {id_col} long"
-    return (matches.withWatermark("ts", watermark).groupBy("name")
-            .applyInPandasWithState(_cooldown_state(id_col), out, STATE_LAST, "append",
-                                    "NoTimeout"))
+def stream_alerts(matches: DataFrame, id_col: str = "event_id", watermark: str = WATERMARK) -> EpochStream:
+    """ST6: matched samples (J13 on the stream) fire under the rule's cooldown.
+    The state is the last fired match of each rule; it goes when the watermark
+    has passed the cooldown."""
+    rows = matches.select("name", F.col("cooldown_s").cast("long").alias("cooldown_s"), id_col, "ts")
+    return EpochStream(rows, cooldown_step(id_col, "name"), watermark)
 
 
 # ----------------------------------------------------------------- ST3 ---
-STATE_THREAT = T.StructType([T.StructField("times", T.ArrayType(T.LongType())),
-                             T.StructField("failures", T.LongType())])
-
-
-def _threat_state(window_us: int, limit: int, id_col: str, suspicious_after: int):
-    def fn(k, pdfs: Iterator[pd.DataFrame], state):
-        times, failures = (list(state.get[0]), state.get[1]) if state.exists else ([], 0)
-        for rows in sorted_batches(pdfs, id_col):
-            counts, failed = [], []
-            for t, bad in zip(rows["_us"].to_numpy(), rows["failed"].to_numpy()):
-                times = [x for x in times if t - x < window_us]   # age < window, this one included
-                times.append(int(t))
-                failures += int(bad)
-                counts.append(len(times))
-                failed.append(failures)
-            yield pd.DataFrame({id_col: rows[id_col].to_numpy(), "user_id": rows["user_id"].to_numpy(),
-                                "requests_in_window": counts, "breach": [c > limit for c in counts],
-                                "failures_so_far": failed,
-                                "suspicious": [f > suspicious_after for f in failed],
-                                "probe": rows["probe"].to_numpy()})
-        state.update((times, failures))
-    return fn
-
-
 def stream_threats(requests: DataFrame, id_col: str = "event_id", limit: int = 100, seconds: int = 60,
                    text_col: str | None = None, failed: Column | None = None,
-                   suspicious_after: int = 5, watermark: str = WATERMARK) -> DataFrame:
-    """ST3: threat rules on a stream. Per user the request times of the last
-    window (W1: every request counts; breach when the count exceeds the limit)
-    and the failures so far (W11: suspicious from the sixth) are the state;
-    short probes (F20) need none."""
+                   suspicious_after: int = 5, watermark: str = WATERMARK) -> EpochStream:
+    """ST3: threat rules on a stream: requests of a user in the last window
+    (W1: every request counts; breach when the count exceeds the limit),
+    failures so far (W11: suspicious from the sixth) and short probes (F20). The
+    state is the rows of the last window, and one row of failures per user who
+    had any."""
     from sluice.functions.safety import short_probe
+    from sluice.operators.limits import window_count
+    from sluice.operators.timeline import running_counts
     rows = requests.select(
         id_col, "user_id", "ts", F.coalesce(failed if failed is not None else F.lit(False), F.lit(False)).alias("failed"),
         F.coalesce(short_probe(text_col) if text_col else F.lit(False), F.lit(False)).alias("probe"))
-    out = (f"{id_col} long, user_id long, requests_in_window long, breach boolean, failures_so_far long, "
-           "suspicious boolean, probe boolean")
-    return (rows.withWatermark("ts", watermark).groupBy("user_id")
-            .applyInPandasWithState(_threat_state(seconds * US, limit, id_col, suspicious_after), out,
-                                    STATE_THREAT, "append", "NoTimeout"))
+
+    def step(batch, state, mark):
+        every = mine_and(state.get("rows"), batch)
+        mine = window_count(every, "user_id", "ts", id_col, seconds, "requests_in_window").filter("_mine").drop("_mine")
+        day = F.floor(micros("ts") / (86400 * US))
+        run = running_counts(mine, "user_id", ["ts", id_col], day, {"failures_so_far": F.col("failed").cast("int")})
+        totals = batch.filter("failed").groupBy("user_id").agg(F.count("*").alias("failures"))
+        if "totals" in state:
+            old = state["totals"].select(F.col("user_id").alias("_user"), F.col("failures").alias("_before"))
+            run = (run.join(old, F.col("user_id").eqNullSafe(F.col("_user")), "left")
+                   .withColumn("failures_so_far", F.col("failures_so_far") + F.coalesce("_before", F.lit(0))))
+            totals = totals.unionByName(state["totals"]).groupBy("user_id").agg(F.sum("failures").alias("failures"))
+        out = run.select(id_col, "user_id", "requests_in_window",
+                         (F.col("requests_in_window") > limit).alias("breach"), "failures_so_far",
+                         (F.col("failures_so_far") > suspicious_after).alias("suspicious"), "probe")
+        recent = every.filter(micros("ts") > mark - seconds * US).drop("_mine")
+        return out, {"rows": recent, "totals": totals}
+    return EpochStream(rows, step, watermark)

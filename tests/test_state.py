@@ -132,3 +132,36 @@ def test_exact_quantiles(spark):
     assert got["b"].q50 == 3.0 and got["c"].q50 is None and got[None].q50 == 1.5
     assert got["c"]["count"] == 1
     assert usage.summary(df, "v").count() == 1
+
+
+def cooldown_fold(rows):
+    """(id, key, second, cooldown) -> ids that fire."""
+    last, fired = {}, set()
+    for i, k, s, cd in sorted(rows, key=lambda x: (x[2], x[0])):
+        if k not in last or s - last[k] >= cd:
+            last[k] = s
+            fired.add(i)
+    return fired
+
+
+def test_cooldown_pointers_equal_the_fold(spark):
+    r = random.Random(8)
+    for step, cd in ((3, 60), (40, 60), (0, 5)):
+        t, rows = 0, []
+        for i in range(600):
+            t += r.randrange(0, step + 1)
+            rows.append((i, r.choice(["hot", "hot", "cold", None]), BASE + t + (500 if i == 300 else 0), cd))
+        df = spark.createDataFrame(rows, "event_id long, name string, s long, cooldown_s long")
+        df = df.withColumn("ts", F.timestamp_seconds("s")).repartition(4)
+        for bound in (0, 40):       # all segments by pointers, some
+            got = [x.event_id for x in alerts.alert_cooldown(df, fold_rows=bound).collect()]
+            assert len(got) == len(set(got)) and set(got) == cooldown_fold(rows), (step, cd, bound)
+
+
+def test_a_million_matches_without_a_gap(spark):
+    n = 1_000_000
+    df = spark.range(n).select(F.col("id").alias("event_id"), F.lit("rule").alias("name"),
+                               (F.lit(BASE) + F.floor(F.col("id") / 40)).alias("s"), F.lit(60).cast("long").alias("cooldown_s"))
+    df = df.withColumn("ts", F.timestamp_seconds("s"))
+    got = sorted(x.event_id for x in alerts.alert_cooldown(df).select("event_id").collect())
+    assert got == [40 * 60 * k for k in range(-(-n // 2400))]
