@@ -105,10 +105,41 @@ def findings_of(text: Column | str, entity: str, pattern: str, score: float) ->
                        lambda s: s["out"])
 
 
-def pii_findings(text: Column | str, threshold: float | None = PII_THRESHOLD, model=None) -> Column:
+def luhn_ok(number: Column) -> Column:
+    """Whether the digits of a card number (other characters are skipped) add
+    up to a multiple of ten by Luhn's rule."""
+    digits = F.reverse(F.filter(F.split(F.regexp_replace(number, "[^0-9]", ""), ""), lambda d: d != ""))
+    parts = F.transform(digits, lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise(
+        d.cast("int") * 2 - F.when(d.cast("int") > 4, 9).otherwise(0)))
+    return (F.size(digits) > 0) & (F.aggregate(parts, F.lit(0), lambda a, x: a + x) % 10 == 0)
+
+
+def mod97_ok(iban: Column) -> Column:
+    """Whether an IBAN, its first four characters put last and its letters read
+    as 10 to 35, leaves 1 when divided by 97."""
+    turned = F.filter(F.split(F.concat(F.substr(iban, F.lit(5)), F.substring(iban, 1, 4)), ""), lambda c: c != "")
+
+    def step(a, c):
+        letter = F.ascii(c) >= 65
+        return (a * F.when(letter, 100).otherwise(10) + F.when(letter, F.ascii(c) - 55).otherwise(F.ascii(c) - 48)) % 97
+    return F.aggregate(turned, F.lit(0), step) == 1
+
+
+def check_digits_ok(f: Column) -> Column:
+    """Whether a finding's check digits hold (true for types without any)."""
+    return (F.when(f["entity_type"] == "CREDIT_CARD", luhn_ok(f["text"]))
+            .when(f["entity_type"] == "IBAN_CODE", mod97_ok(f["text"])).otherwise(F.lit(True)))
+
+
+def pii_findings(text: Column | str, threshold: float | None = PII_THRESHOLD, model=None,
+                 check_digits: bool = False) -> Column:
     """F14 + PF13: array<FINDING> of every recogniser (score >= threshold);
     blank text -> empty array. ``model`` (a U3 hook from text to
-    array<FINDING>) replaces the recognisers; the threshold still holds."""
+    array<FINDING>) replaces the recognisers; the threshold still holds. With
+    ``check_digits`` a card number or IBAN whose check digits are wrong is no
+    finding."""
+    if check_digits:
+        return F.filter(pii_findings(text, threshold, model), check_digits_ok)
     text = _c(text)
     if model is not None:
         found = F.coalesce(model(text), F.array().cast(T.ArrayType(FINDING)))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sluice.functions import html as fh
+from sluice.session import write_table
 
 MAX_CONTEXT = 4000
 
@@ -89,6 +90,6 @@ def ingest(documents: DataFrame, strategy: str = "hybrid", embed: bool = True,
     c = with_chunk_id(chunk(documents, strategy, doc_col, text_col, keep=keep))
     if not embed:
         return c
-    c = c.withColumn("_h", F.sha2("content", 256))
+    c = write_table(c.withColumn("_h", F.sha2("content", 256)), "ingest-chunks")      # read by both sides
     vecs = c.select("_h", "content").dropDuplicates(["_h"]).select("_h", embed_fn("content").alias("embedding"))
     return c.join(vecs, "_h").drop("_h")

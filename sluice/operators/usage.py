@@ -28,6 +28,18 @@ def counter(df: DataFrame, labels: Sequence[str], amount: str | Column | None =
     return df.groupBy(*labels).agg(agg.alias(name))
 
 
+def operation_counters(sources: dict[str, tuple[DataFrame, str | Column]]) -> DataFrame:
+    """(component, label, value) of several sources: component -> (rows,
+    label). Each is summed before the union, so only label sets meet."""
+    parts = [counter(df.select((F.col(label) if isinstance(label, str) else label).cast("string").alias("label")),
+                     ["label"]).select(F.lit(name).alias("component"), "label", "value")
+             for name, (df, label) in sources.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _fmt_le(b: float) -> str:
     return repr(float(b))
 

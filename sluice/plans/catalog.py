@@ -1362,3 +1362,58 @@ def q_hooked_pii(spark, sf_dir):
     hook = pl.model_hook(find, "array<struct<entity_type:string,start:int,end:int,score:double,text:string>>")
     d = tb.table(spark, sf_dir, "documents").select("doc_id", sfn.pii_findings("text", model=hook).alias("f"))
     return d.select("doc_id", F.explode("f").alias("f")).select("doc_id", "f.start", "f.text")
+
+
+@register("pii_checked")
+def q_pii_checked(spark, sf_dir):
+    """F14 with check digits: Luhn for cards, mod 97 for IBANs."""
+    d = tb.text_table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.explode(sfn.pii_findings("text", check_digits=True)).alias("f")).select("doc_id", "f.*")
+
+
+@register("check_digits")
+def q_check_digits(spark, sf_dir):
+    """every card and IBAN finding with the verdict of its check digits."""
+    d = tb.text_table(spark, sf_dir, "documents")
+    f = d.select("doc_id", F.explode(sfn.pii_findings("text")).alias("f")).filter(
+        F.col("f.entity_type").isin("CREDIT_CARD", "IBAN_CODE"))
+    return f.select("doc_id", "f.entity_type", "f.start", "f.text", sfn.check_digits_ok(F.col("f")).alias("valid"))
+
+
+@register("identifier_stats")
+def q_identifier_stats(spark, sf_dir):
+    """A5: identifiers with failures, and suspicious ones."""
+    return sop.identifier_stats(lm.failed_attempts(_failures(spark, sf_dir)))
+
+
+@register("operation_counters")
+def q_operation_counters(spark, sf_dir):
+    """Chunks by strategy, vector operations, and plug-in runs by outcome."""
+    chunks = [ch.chunk(_docs(spark, sf_dir, s == "paragraph"), s).select(F.lit(s).alias("strategy"))
+              for s in ("sliding_window", "sentence", "paragraph")]
+    reg = pl.PluginRegistry()
+    reg.register_action("text", "head", lambda n: F.when(F.length("text") >= n, F.substring("text", 1, n)), "", n=60)
+    runs = reg.execute(tb.table(spark, sf_dir, "documents"), "text", "head", n=60)
+    ops = tb.table(spark, sf_dir, "embeddings").select(F.when(F.col("vec_id") % 50 == 0, "search").otherwise("insert").alias("op"))
+    return us.operation_counters({
+        "chunks": (chunks[0].unionByName(chunks[1]).unionByName(chunks[2]), "strategy"),
+        "vector_ops": (ops, "op"),
+        "plugin_runs": (runs, F.when(F.col("result.success"), "success").otherwise("error"))})
+
+
+@register("sql_query_capped")
+def q_sql_query_capped(spark, sf_dir):
+    """T4: the first hundred rows of a longer result, marked as cut."""
+    tb.table(spark, sf_dir, "lineitem").createOrReplaceTempView("sluice_lineitem")
+    df = pl.sql_query(spark, "SELECT l_orderkey, l_linenumber, l_extendedprice FROM sluice_lineitem "
+                             "ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber", max_rows=100)
+    return df.select("l_orderkey", "l_linenumber", r6("l_extendedprice"), "truncated")
+
+
+@register("read_files")
+def q_read_files(spark, sf_dir):
+    """SRC1: the files below the folder, with size, type and digest."""
+    root = sf_dir.rstrip("/").split("/")[-1]
+    files = fl.read_files(spark, sf_dir)
+    return files.select(F.substring_index("file_path", f"/{root}/", -1).alias("file"), "title", "document_type",
+                        F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))

@@ -1140,9 +1140,10 @@ def hybrid_ctes() -> str:
 
 
 ORACLE["ingest"] = f"""{hybrid_ctes()},
-ck AS ({chunk_select('hy')}),
-tk AS (SELECT chunk_id, unnest(list_filter(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS tok FROM ck),
-bk AS (SELECT chunk_id, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 384 AS dim, count(*) AS c FROM tk GROUP BY ALL),
+ck AS MATERIALIZED ({chunk_select('hy')}),
+tk AS MATERIALIZED (SELECT DISTINCT chunk_id, unnest(list_filter(regexp_split_to_array(lower(content), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')) AS tok FROM ck),
+hx AS MATERIALIZED (SELECT tok, ('0x' || substr(md5(tok), 1, 8))::BIGINT % 384 AS dim FROM (SELECT DISTINCT tok FROM tk)),
+bk AS (SELECT DISTINCT chunk_id, dim FROM tk JOIN hx USING (tok)),
 vs AS (SELECT chunk_id, count(*)::INTEGER AS dims, sum(dim)::BIGINT AS dim_sum FROM bk GROUP BY chunk_id)
 SELECT ck.chunk_id, doc_id, 'docs' AS collection, chunk_index, content, coalesce(dims, 0) AS dims,
        coalesce(dim_sum, 0)::BIGINT AS dim_sum
@@ -1332,3 +1333,30 @@ WITH p AS (SELECT doc_id, regexp_extract_all(text, '\\([0-9]+\\)') AS ms, regexp
 u AS (SELECT doc_id, ms, pieces, unnest(ms) AS text, generate_subscripts(ms, 1) AS i FROM p)
 SELECT doc_id, (list_sum(list_transform(pieces[1:i], lambda x: length(x)))
                 + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::INTEGER AS start, text FROM u"""
+
+# ------------------------------------------------ check digits, counters ---
+_TURNED = "list_transform(string_split(substr(t, 5) || substr(t, 1, 4), ''), lambda c: ascii(c))"
+LUHN = ("list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN i % 2 = 1 THEN d[i] "
+        "ELSE d[i] * 2 - CASE WHEN d[i] > 4 THEN 9 ELSE 0 END END)) % 10 = 0")
+MOD97 = (f"list_reduce(list_prepend(0, {_TURNED}), lambda a, c: CASE WHEN c >= 65 THEN (a * 100 + c - 55) % 97 "
+         "ELSE (a * 10 + c - 48) % 97 END) = 1")
+CHECKED = f"""found AS (SELECT *, text AS t, list_transform(list_reverse(string_split(regexp_replace(text, '[^0-9]', '', 'g'), '')),
+                  lambda x: try_cast(x AS INTEGER)) AS d FROM ({ORACLE['pii_detect']})),
+checked AS (SELECT doc_id, entity_type, start, "end", score, text,
+  CASE WHEN entity_type = 'CREDIT_CARD' THEN {LUHN} WHEN entity_type = 'IBAN_CODE' THEN {MOD97} ELSE true END AS valid FROM found)"""
+ORACLE["pii_checked"] = f"""WITH {CHECKED} SELECT doc_id, entity_type, start, "end", score, text FROM checked WHERE valid"""
+ORACLE["check_digits"] = f"""WITH {CHECKED}
+SELECT doc_id, entity_type, start, text, valid FROM checked WHERE entity_type IN ('CREDIT_CARD', 'IBAN_CODE')"""
+ORACLE["identifier_stats"] = f"""
+SELECT count(*)::BIGINT AS failed_attempts, count_if(n > 5)::BIGINT AS suspicious_ips
+FROM (SELECT identifier, count(*) AS n FROM {FAILS} GROUP BY identifier)"""
+ORACLE["operation_counters"] = f"""
+SELECT 'chunks' AS component, 'sliding_window' AS label, count(*)::BIGINT AS value FROM ({ORACLE['chunk_sliding']})
+UNION ALL SELECT 'chunks', 'sentence', count(*) FROM ({ORACLE['chunk_sentence']})
+UNION ALL SELECT 'chunks', 'paragraph', count(*) FROM ({ORACLE['chunk_paragraph']})
+UNION ALL SELECT 'vector_ops', CASE WHEN vec_id % 50 = 0 THEN 'search' ELSE 'insert' END, count(*) FROM embeddings GROUP BY 2
+UNION ALL SELECT 'plugin_runs', CASE WHEN length(text) >= 60 THEN 'success' ELSE 'error' END, count(*) FROM documents GROUP BY 2"""
+ORACLE["sql_query_capped"] = """
+SELECT l_orderkey, l_linenumber, round(l_extendedprice, 6) AS l_extendedprice,
+       (SELECT count(*) > 100 FROM lineitem) AS truncated
+FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100"""

@@ -89,3 +89,46 @@ def test_checkpoint_folder_is_required_on_a_cluster():
         sparkContext, conf = Context(), Conf()
     with pytest.raises(ValueError):
         checkpoint_dir(Session())
+
+
+def test_check_digits(spark):
+    from sluice.functions import safety as sf
+    texts = [("card", "4539 1488 0343 6467", True), ("card", "4539 1488 0343 6468", False),
+             ("iban", "DE89370400440532013000", True), ("iban", "DE88370400440532013000", False),
+             ("iban", "GB82WEST12345698765432", True), ("card", "4111-1111-1111-1111", True), ("card", "0000000000000001", False)]
+    df = spark.createDataFrame([(i, f"pay {t} now") for i, (_, t, _) in enumerate(texts)], "id int, t string")
+    off = {r.id: [f.text for f in r.f] for r in df.select("id", sf.pii_findings("t").alias("f")).collect()}
+    on = {r.id: [f.text for f in r.f] for r in df.select("id", sf.pii_findings("t", check_digits=True).alias("f")).collect()}
+    for i, (_, t, ok) in enumerate(texts):
+        assert off[i] == [t] and on[i] == ([t] if ok else [])
+    other = spark.createDataFrame([(1, "mail bob@example.com"), (2, None), (3, "")], "id int, t string")
+    assert [len(r.f) for r in other.select("id", sf.pii_findings("t", check_digits=True).alias("f")).orderBy("id").collect()] == [1, 0, 0]
+
+
+def test_read_files_query(spark):
+    import hashlib
+    import os
+
+    from sluice.plans.catalog import QUERIES
+    folder = "/root/testdata/sf0.001"
+    got = {r.file: r for r in QUERIES["read_files"](spark, folder).collect()}
+    assert set(got) == set(os.listdir(folder))
+    for name, r in got.items():
+        data = open(f"{folder}/{name}", "rb").read()
+        assert (r.bytes, r.sha256, r.title) == (len(data), hashlib.sha256(data).hexdigest(), name.rsplit(".", 1)[0])
+
+
+def test_row_cap_of_the_sql_action(spark):
+    from sluice.functions import plugins as pl
+    spark.range(10).createOrReplaceTempView("t_cap")
+    for cap, cut in ((3, True), (10, False), (11, False), (0, True)):
+        rows = pl.sql_query(spark, "SELECT id FROM t_cap ORDER BY id", max_rows=cap).collect()
+        assert [r.id for r in rows] == list(range(min(cap, 10))) and all(r.truncated == cut for r in rows)
+
+
+def test_operation_counters(spark):
+    from sluice.operators import usage
+    a = spark.createDataFrame([("x",), ("x",), (None,)], "kind string")
+    out = usage.operation_counters({"a": (a, "kind"), "b": (spark.range(3), F.col("id") % 2)})
+    assert sorted((r.component, str(r.label), r.value) for r in out.collect()) == [
+        ("a", "None", 1), ("a", "x", 2), ("b", "0", 2), ("b", "1", 1)]
