@@ -556,6 +556,7 @@ from sluice.functions import requests as rq  # noqa: E402
 from sluice.functions import vectors as vec  # noqa: E402
 from sluice.operators import rag  # noqa: E402
 from sluice.sources import files as fl  # noqa: E402
+from sluice.sources import collections as cl  # noqa: E402
 from sluice.sources import sinks as sk  # noqa: E402
 
 
@@ -1044,23 +1045,28 @@ def _collection(spark, sf_dir):
     return c.select("chunk_id", "doc_id", "chunk_index", "content")
 
 
-def _next_version(spark, df):
-    """The changed collection as a new version, read back."""
-    return spark.read.parquet(sk.write_version(df, _fresh(spark, "chunks"), 2))
+def _table(spark, rows):
+    """The collection as a written table of one version."""
+    t = cl.ChunkTable(spark, _fresh(spark, "chunks"))
+    t.append(rows)
+    return t
 
 
 @register("delete_chunks")
 def q_delete_chunks(spark, sf_dir):
     c = _collection(spark, sf_dir)
-    ids = c.filter(F.col("chunk_index") % 3 == 1).select("chunk_id")
-    return _next_version(spark, sk.delete_chunks(c, ids)).select("chunk_id", "doc_id")
+    t = _table(spark, c)
+    t.delete(t.read().filter(F.col("chunk_index") % 3 == 1).select("chunk_id"))
+    return t.read().select("chunk_id", "doc_id")
 
 
 @register("delete_document")
 def q_delete_document(spark, sf_dir):
     c = _collection(spark, sf_dir)
-    return _next_version(spark, sk.delete_document(c, c.filter(F.col("doc_id") % 4 == 0).select("doc_id"))
-                         ).select("chunk_id", "doc_id")
+    t = _table(spark, c)
+    t.delete_documents(t.read().filter(F.col("doc_id") % 4 == 0).select("doc_id"))
+    t.compact()
+    return t.read().select("chunk_id", "doc_id")
 
 
 @register("upsert_chunks")
@@ -1068,13 +1074,14 @@ def q_upsert_chunks(spark, sf_dir):
     """Two updates of every first chunk (the second wins) and one new chunk
     per third document."""
     c = _collection(spark, sf_dir).withColumn("version", F.lit(0))
-    first = c.filter(F.col("chunk_index") == 0)
+    t = _table(spark, c)
+    first = t.read().filter(F.col("chunk_index") == 0)
     one = first.withColumn("content", F.lit("stale")).withColumn("version", F.lit(1))
     two = first.withColumn("content", F.concat(F.lit("v2 "), "content")).withColumn("version", F.lit(2))
     new = first.filter(F.col("doc_id") % 3 == 0).withColumn("chunk_id", F.concat(F.lit("new-"), "chunk_id")) \
         .withColumn("chunk_index", F.lit(-1)).withColumn("version", F.lit(1))
-    out = sk.upsert_chunks(c, one.unionByName(two).unionByName(new), version_col="version")
-    return _next_version(spark, out).select("chunk_id", "doc_id", "chunk_index", "content", "version")
+    t.upsert(one.unionByName(two).unionByName(new), version_col="version")
+    return t.read().select("chunk_id", "doc_id", "chunk_index", "content", "version")
 
 
 @register("collection_schema")

@@ -3,9 +3,9 @@ report (SRC12), audit log (SRC14), metrics exposition text (SRC15), JSON
 records (SRC16), business event append (SRC17), deletes and upserts
 (SRC18-SRC20).
 
-Plain Parquet has no transactions, so deletes and upserts never rewrite the
-path being read: they produce a new version directory (``.../v=<n>``) and
-readers move to it once it is complete.
+Plain Parquet has no transactions. The functions here give the changed rows as a
+DataFrame; ``collections.ChunkTable`` applies deletes and upserts to a written
+collection by merge on read, so that a change writes what it changes only.
 """
 
 from __future__ import annotations
@@ -124,6 +124,13 @@ def delete_document(chunks: DataFrame, doc_ids: DataFrame, key: str = "doc_id")
     return chunks.join(doc_ids.select(key).distinct(), key, "left_anti")
 
 
+def last_updates(updates: DataFrame, key: str = "chunk_id", version_col: str | None = None) -> DataFrame:
+    """One update per id: that of the largest ``version_col``, if given; then
+    the largest row, so reruns agree."""
+    order = F.struct(*([version_col] if version_col else []), F.xxhash64(*updates.columns).alias("h"))
+    return updates.groupBy(key).agg(F.max_by(F.struct(*updates.columns), order).alias("r")).select("r.*")
+
+
 def upsert_chunks(chunks: DataFrame, updates: DataFrame, key: str = "chunk_id",
                   embed_col: str = "embedding", embedder=None,
                   version_col: str | None = None) -> DataFrame:
@@ -131,10 +138,7 @@ def upsert_chunks(chunks: DataFrame, updates: DataFrame, key: str = "chunk_id",
     id the last counts (largest ``version_col``, if given; then the largest
     row, so reruns agree). An update without a vector is re-embedded with
     ``embedder(content_col) -> Column`` when given."""
-    order = F.struct(*([version_col] if version_col else []),
-                     F.xxhash64(*updates.columns).alias("h"))
-    row = F.struct(*updates.columns)
-    updates = updates.groupBy(key).agg(F.max_by(row, order).alias("r")).select("r.*")
+    updates = last_updates(updates, key, version_col)
     if embedder is not None and embed_col in updates.columns:
         updates = updates.withColumn(embed_col, F.coalesce(F.col(embed_col), embedder(F.col("content"))))
     kept = chunks.join(updates.select(key), key, "left_anti")

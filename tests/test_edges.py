@@ -132,3 +132,52 @@ def test_operation_counters(spark):
     out = usage.operation_counters({"a": (a, "kind"), "b": (spark.range(3), F.col("id") % 2)})
     assert sorted((r.component, str(r.label), r.value) for r in out.collect()) == [
         ("a", "None", 1), ("a", "x", 2), ("b", "0", 2), ("b", "1", 1)]
+
+
+def test_collection_changes_by_merge_on_read(spark, tmp_path):
+    import os
+
+    from sluice.sources.collections import ChunkTable
+    rows = spark.range(20_000).select(F.concat(F.lit("c"), F.col("id")).alias("chunk_id"), (F.col("id") % 500).alias("doc_id"),
+                                      F.md5(F.col("id").cast("string")).alias("content"), F.lit(0).alias("n"))
+    t = ChunkTable(spark, str(tmp_path / "t"))
+    with pytest.raises(ValueError):
+        t.read()
+    t.append(rows)
+    want = {r.chunk_id: r for r in rows.collect()}
+
+    def same(version=None):
+        got = t.read(version).collect()
+        assert len(got) == len(want) and {r.chunk_id: (r.doc_id, r.content, r.n) for r in got} == {
+            k: (r.doc_id, r.content, r.n) for k, r in want.items()}
+
+    def size(*parts):
+        return sum(os.path.getsize(os.path.join(d, f)) for d, _, fs in os.walk(os.path.join(t.path, *parts)) for f in fs)
+    t.delete(rows.filter("n = 0 and conv(substr(content, 1, 2), 16, 10) < 3").select("chunk_id"))    # about 1 %
+    for k in [k for k, r in want.items() if int(r.content[:2], 16) < 3]:
+        del want[k]
+    same()
+    assert size("gone") < 0.03 * size("data") and not os.path.exists(f"{t.path}/data/v=2")
+    first = dict(want)
+    up = spark.createDataFrame([("c1", 1, "new", 1), ("c1", 1, "newer", 2), ("x1", 9000, "added", 1), ("c2", 2, "b", 1)],
+                               "chunk_id string, doc_id long, content string, n int")
+    t.upsert(up, version_col="n")
+    for r in up.collect():
+        want[r.chunk_id] = r
+    same()
+    t.delete_documents(spark.createDataFrame([(7,), (9000,), (None,)], "doc_id long"))
+    want = {k: r for k, r in want.items() if r.doc_id not in (7, 9000)}
+    t.delete(spark.createDataFrame([("c2",), ("absent",), (None,)], "chunk_id string"))
+    want.pop("c2")
+    same()
+    # an id that was removed comes back; then one version without lists
+    t.append(spark.createDataFrame([("c2", 2, "back", 5)], up.schema))
+    want["c2"] = t.read().filter("chunk_id = 'c2'").first()
+    assert want["c2"].content == "back"
+    same()
+    t.compact()
+    same()
+    assert "_gone" not in t.read()._jdf.queryExecution().toString()
+    assert [r.content for r in t.read(key="c1").collect()] == ["newer"]
+    want = first
+    same(2)                                     # older versions stay readable
