@@ -552,6 +552,7 @@ def q_stream_rate_limit(spark, sf_dir):
 
 # ------------------------------------------------- sources, html, rag ---
 from sluice.functions import html as fh  # noqa: E402
+from sluice.functions import markup as mk  # noqa: E402
 from sluice.functions import requests as rq  # noqa: E402
 from sluice.functions import vectors as vec  # noqa: E402
 from sluice.operators import rag  # noqa: E402
@@ -1424,3 +1425,24 @@ def q_read_files(spark, sf_dir):
     files = fl.read_files(spark, sf_dir)
     return files.select(F.substring_index("file_path", f"/{root}/", -1).alias("file"), "title", "document_type",
                         F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+
+@register("markdown_to_text")
+def q_markdown_to_text(spark, sf_dir):
+    """SRC5 over documents written as Markdown."""
+    d = tb.text_table(spark, sf_dir, "documents")
+    i = F.col("doc_id").cast("string")
+    md = F.concat(F.lit("# Document "), i, F.lit("\n\n> "), F.col("text"), F.lit("\n\n---\n* **bold** item\n2. see [page "), i,
+                  F.lit("](http://h/"), i, F.lit(")\n```py\n# x  y\n\nz = "), i, F.lit("\n```\nlast *line*\n"))
+    return d.select("doc_id", mk.markdown_to_text(md).alias("text"))
+
+
+@register("json_to_text")
+def q_json_to_text(spark, sf_dir):
+    """SRC5 over documents written as JSON; every tenth is no JSON."""
+    d = tb.text_table(spark, sf_dir, "documents")
+    body = F.to_json(F.struct(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("title"),
+                              F.struct("text", "lang").alias("body"), F.array("source", "lang").alias("tags"),
+                              F.col("n_chars").alias("n"), F.lit(None).cast("string").alias("none")))
+    return mk.json_to_text(d.select("doc_id", F.when(F.col("doc_id") % 10 == 0, F.lit("{not json")).otherwise(body).alias("t")),
+                           "doc_id", "t")

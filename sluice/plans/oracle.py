@@ -1360,3 +1360,31 @@ ORACLE["sql_query_capped"] = """
 SELECT l_orderkey, l_linenumber, round(l_extendedprice, 6) AS l_extendedprice,
        (SELECT count(*) > 100 FROM lineitem) AS truncated
 FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100"""
+
+
+# ------------------------------------------------------ Markdown, JSON ---
+# What the extraction strips, in order, outside of code fences.
+MARKDOWN = [
+    ("\r\n?", "\n"), ("\x01", " "), (r"(?m)^ {0,3}[-*_][ \t]*[-*_][ \t]*[-*_][-*_ \t]*$", ""), (r"(?m)^[ \t]{0,3}>[> \t]*", ""),
+    (r"(?m)^ {0,3}#{1,6}[ \t]+([^\n]*)$", "\n\n\\1\n\n"), (r"(?m)^[ \t]*(?:[-*+]|[0-9]{1,9}[.)])[ \t]+", "\n\n"),
+    (r"!?\[([^\]\n]*)\]\([^)\n]*\)", "\\1"), (r"\*\*([^*\n]+)\*\*", "\\1"), (r"__([^_\n]+)__", "\\1"),
+    (r"\*([^* \t\n][^*\n]*)\*", "\\1"), (r"`([^`\n]+)`", "\\1"), (r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n\n+", "\x01"),
+    (r"\n", " "), ("\x01", "\n"), (r"^[ \n]+|[ \n]+$", "")]
+
+
+def markdown_sql(x: str) -> str:
+    for p, to in MARKDOWN:
+        x = f"regexp_replace({x}, {lit(p)}, {lit(to)}, 'g')"
+    return x
+
+
+ORACLE["markdown_to_text"] = f"""
+SELECT doc_id, array_to_string(list_filter([{markdown_sql('a')}, '# x  y' || chr(10) || chr(10) || 'z = ' || doc_id::VARCHAR,
+                                            {markdown_sql('b')}], lambda p: p <> ''), chr(10)) AS text
+FROM (SELECT doc_id, '# Document ' || doc_id::VARCHAR || chr(10) || chr(10) || '> ' || text || chr(10) || chr(10) || '---' || chr(10)
+             || '* **bold** item' || chr(10) || '2. see [page ' || doc_id::VARCHAR || '](http://h/' || doc_id::VARCHAR || ')' || chr(10) AS a,
+             chr(10) || 'last *line*' || chr(10) AS b FROM documents)"""
+ORACLE["json_to_text"] = """
+SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '{not json' ELSE concat_ws(chr(10), lang, text, n_chars::VARCHAR, source, lang,
+                                                                        'doc-' || doc_id::VARCHAR) END AS text
+FROM documents"""

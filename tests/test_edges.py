@@ -181,3 +181,20 @@ def test_collection_changes_by_merge_on_read(spark, tmp_path):
     assert [r.content for r in t.read(key="c1").collect()] == ["newer"]
     want = first
     same(2)                                     # older versions stay readable
+
+
+def test_markdown_and_json_text(spark):
+    from sluice.functions import markup as mk
+    md = ["# Head #1\nPara one\ngoes on.\n\n- a\n- b **c**\n  more\n\n1) x ![alt](u) [t](v)\n***\n> q1\n> q2\n",
+          "```\n# code\n\n- kept\n```\nafter", "~~~py\nopen", "", None, " plain  text ", "a\r\nb\r\n\r\nc", "* " * 50_000, "x\n" * 50_000, "*" * 100_000]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(md)], "id int, t string")
+    got = {r.id: r.x for r in df.select("id", mk.markdown_to_text("t").alias("x")).collect()}
+    assert got[0] == "Head #1\nPara one goes on.\na\nb c more\nx alt t\nq1 q2"
+    assert got[1] == "# code\n\n- kept\nafter" and got[2] == "open" and got[3] == "" and got[4] is None
+    assert got[5] == "plain text" and got[6] == "a b\nc" and got[8] == " ".join(["x"] * 50_000)
+    js = ['{"b": [1, {"z": "deep", "a": true}], "a": "first"}', '"only"', "[]", "{}", "null", "{broken", None, "",
+          '[' * 7 + '"far"' + ']' * 7, '{"a": null, "b": "x\\ny"}', '{"b": 2}']
+    df = spark.createDataFrame([(i % 10, t) for i, t in enumerate(js)], "id int, t string").repartition(3)
+    got = sorted(((r.id, r.text) for r in mk.json_to_text(df, "id", "t").collect()), key=str)
+    assert got == sorted([(0, "first\n1\ntrue\ndeep"), (1, "only"), (2, ""), (3, ""), (4, ""), (5, "{broken"), (6, None), (7, ""),
+                          (8, "far"), (9, "x\ny"), (0, "2")], key=str)
