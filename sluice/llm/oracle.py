@@ -90,6 +90,7 @@ _COMMON = {
     "es": "de del el en la las los para por que y",
     "fr": "de des du en et la le les que un une",
 }
+_LISTED = ", ".join(f"'{k}'" for k in _COMMON)
 _SHARES = "list_transform({0}, lambda x: x::DOUBLE / {1})"
 _PLOGP = "CASE WHEN {0} > 0 THEN {0} * log2({0} / ((p[i] + q[i]) / 2)) ELSE 0 END"
 
@@ -116,10 +117,10 @@ def _pool(name: str, rows: str) -> str:
 def _judge(name: str, refs: str) -> str:
     return f"""
 {name}0 AS (
-  SELECT h.*, CASE WHEN chars >= 400 AND rc IS NOT NULL
+  SELECT h.*, CASE WHEN chars >= 200 AND rc IS NOT NULL
                    THEN {_distance('c', "list_transform(classes, lambda x: x::DOUBLE / chars)", "rc")} END AS char_distance,
-         CASE WHEN n_tokens >= 80 AND len(rw) > 1
-              THEN {_distance('w', "list_transform(words, lambda x: x::DOUBLE / n_tokens)", "rw")} END AS word_distance
+         CASE WHEN n_words >= 40 AND len(rw) > 1
+              THEN {_distance('w', "list_transform(words, lambda x: x::DOUBLE / greatest(n_tokens, 1))", "rw")} END AS word_distance
   FROM h LEFT JOIN {refs} r ON h.lang IS NOT DISTINCT FROM r.lang),
 {name} AS (
   SELECT *, coalesce(char_distance > 0.3, false) OR coalesce(word_distance > 0.42, false)
@@ -145,12 +146,16 @@ f AS (
          [{', '.join(f"CAST(length(regexp_replace(text, '[^{c}]+', '', 'g')) AS BIGINT)" for c in _CLASSES)}] AS cls,
          list_filter(string_split(regexp_replace(lower(text), '[^\p{{L}}]+', ' ', 'g'), ' '), lambda t: t <> '') AS tokens
   FROM d LEFT JOIN l ON d.doc_id IS NOT DISTINCT FROM l.doc_id LEFT JOIN r ON d.doc_id IS NOT DISTINCT FROM r.doc_id),
+many AS (SELECT lang FROM f WHERE lang NOT IN ({_LISTED}) GROUP BY lang HAVING count(*) >= 20),
+held AS (SELECT lang, t, count(*) AS n FROM (SELECT lang, unnest(list_distinct(tokens)) AS t FROM f JOIN many USING (lang)) GROUP BY lang, t),
+known AS (SELECT lang, list(t ORDER BY t) AS known FROM (
+    SELECT lang, t, row_number() OVER (PARTITION BY lang ORDER BY n DESC, t) AS k FROM held) WHERE k <= 11 GROUP BY lang),
 h0 AS (
   SELECT *, len(tokens) AS n_tokens, list_append(cls, CAST(chars - list_sum(cls) AS BIGINT)) AS classes,
          CASE {' '.join(f"WHEN lang = '{k}' THEN [{', '.join(f'''len(list_filter(tokens, lambda t: t = '{x}'))''' for x in v.split())}]" for k, v in _COMMON.items())}
-              ELSE [] END AS bins,
+              ELSE coalesce(list_transform(known, lambda k: len(list_filter(tokens, lambda t: t = k))), []) END AS bins,
          n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed
-  FROM f),
+  FROM f LEFT JOIN known USING (lang)),
 h AS (SELECT *, list_append(bins, CAST(n_tokens - coalesce(list_sum(bins), 0) AS BIGINT)) AS words FROM h0),
 {_pool('ref1', "(SELECT * FROM h WHERE NOT base_failed)")},
 {_judge('j1', 'ref1')},

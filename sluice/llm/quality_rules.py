@@ -3,27 +3,35 @@
 DataFrame operations only. Each document gets two histograms: its characters
 by class and its words by common word of its language. Both are compared with
 the pooled histogram of the documents of the same language (the reference)
-by Jensen-Shannon distance (base 2, 0 to 1). Short documents are guarded: a
-histogram over fewer than ``MIN_CHARS`` characters or ``MIN_WORDS`` words is
-not judged. References are pooled over all documents of a language that pass
-the base rules, so no single document or sample decides.
+by Jensen-Shannon distance (base 2, 0 to 1). Short documents are guarded: the
+characters of a text of fewer than ``MIN_CHARS`` and the words of a text of
+fewer than ``MIN_WORDS`` are not judged; where both are, their mean has a
+tighter bound. References are pooled over all documents of a language that
+pass the base rules, so no single document or sample decides.
+
+The common words of four languages are given. Those of any other language with
+at least ``MIN_DOCS`` documents are the words that most of its documents hold,
+counted over all of them (``learned_words``).
 
 The base rules count words, symbols, repeated lines and words in repeated
-8-word windows inside each document. Repeats are found in the row: window
-hashes, and only where two are equal their sorted neighbours.
+8-word windows inside each document. Repeats are found in the row: words are
+hashed once, hashes of 2, 4 and 8 words are combined from neighbours, and only
+where two windows are equal their sorted neighbours are looked at.
 
-Texts are read once; the histograms (a few numbers a document) are written
-and read again for the references. References are one row per language.
+Texts are read once (those of other languages once more); the histograms (a
+few numbers a document) are written and read again for the references.
+References are one row per language.
 
 Defined results: null text is empty text, which fails the base rules; a null
-language is a language of its own; a language without a reference (no document
-passes the base rules) judges nothing; repeated rows give repeated results; an
-empty table gives none. Other columns are not read.
+language is a language of its own whose words are not judged (it may be many
+languages); a language without a reference (no document passes the base rules)
+judges nothing; a text without a letter has no common word; repeated rows give
+repeated results; an empty table gives none. Other columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.store import materialise
@@ -34,8 +42,9 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_BASE_WORDS = 20
 REPEAT_PERCENT = 30
-MIN_CHARS = 400
-MIN_WORDS = 80
+MIN_CHARS = 200
+MIN_WORDS = 40
+MIN_DOCS = 20                   # of a language whose common words are learned
 MAX_CHAR_DISTANCE = 0.3
 MAX_WORD_DISTANCE = 0.42
 MAX_MEAN_DISTANCE = 0.22
@@ -53,38 +62,65 @@ COMMON = {
 N_WORD_BINS = max(len(v) for v in COMMON.values())
 
 
-def histograms(docs: DataFrame, keep: list[str], text_col: str, lang_col: str) -> DataFrame:
-    """Per document: base counts, character classes and common words."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(*keep, F.col(lang_col).cast("string").alias("__lang"), text.alias("__text"))
-    d = d.withColumn("__w", F.filter(F.split("__text", F.lit(f"[{SPACE_CLASS}]+")), lambda w: w != ""))
-    d = d.withColumn("__lines", F.filter(F.split("__text", F.lit("\n")),
-                                         lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0))
-    n = F.size("__w")
-    windows = F.when(n >= WINDOW, F.transform(
-        F.sequence(F.lit(1), F.greatest(n - (WINDOW - 1), F.lit(1))),
-        lambda i: F.xxhash64(F.slice("__w", i, WINDOW))))
-    d = d.withColumn("__h", windows)
+def letter_words(text: str) -> Column:
+    """Runs of letters, lower case."""
+    runs = F.split(F.regexp_replace(F.lower(text), F.lit(r"[^\p{L}]+"), F.lit(" ")), F.lit(" "))
+    return F.filter(runs, lambda t: t != "")
+
+
+def learned_words(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """(lang, words): the words held by most documents of each language that
+    ``COMMON`` does not list, in code point order. Ties go to the smaller word."""
+    d = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    d = d.filter(~F.col("lang").isin(list(COMMON)))
+    held = (d.select("lang", F.explode(F.array_distinct(letter_words("text"))).alias("word"))
+            .groupBy("lang", "word").count())
+    order = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
+    top = held.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= N_WORD_BINS)
+    enough = d.groupBy("lang").count().filter(F.col("count") >= MIN_DOCS).select("lang")
+    return (top.groupBy("lang").agg(F.array_sort(F.collect_list("word")).alias("words"))
+            .join(enough, "lang"))
+
+
+def doubled(hashes: str, words: int) -> Column:
+    """Hashes of ``2 * words`` words from those of ``words`` words."""
+    n = F.greatest(F.size(hashes) - words, F.lit(0))
+    return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(words + 1), n),
+                      lambda a, b: F.xxhash64(a, b))
+
+
+def histograms(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    """Per document: row, lang, base counts, character classes and common words."""
+    d = docs.select("row", F.col(lang_col).cast("string").alias("lang"),
+                    F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    bare = F.btrim("text", F.lit(SPACES))
+    d = d.withColumn("w", F.when(bare == "", F.array().cast("array<string>"))
+                     .otherwise(F.split(bare, F.lit(f"[{SPACE_CLASS}]+"))))
+    d = d.withColumn("lines", F.filter(F.split("text", F.lit("\n")),
+                                       lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0))
+    d = d.withColumn("h", F.transform("w", lambda w: F.xxhash64(w)))
+    for words in (1, 2, 4):
+        d = d.withColumn("h", doubled("h", words))
     left = lambda keep_class: F.length(
-        F.regexp_replace("__text", F.lit(f"[^{keep_class}]+"), F.lit(""))).cast("bigint")
-    tokens = F.split(F.regexp_replace(F.lower("__text"), F.lit(r"[^\p{L}]+"), F.lit(" ")), F.lit(" "))
+        F.regexp_replace("text", F.lit(f"[^{keep_class}]+"), F.lit(""))).cast("bigint")
     every = sorted({w for v in COMMON.values() for w in v})
+    listed = F.coalesce(F.col("lang").isin(list(COMMON)), F.lit(False))
     d = d.select(
-        *keep, "__lang", n.cast("bigint").alias("n_words"),
-        F.length(F.array_join("__w", "")).cast("bigint").alias("word_chars"),
+        "row", "lang", F.size("w").cast("bigint").alias("n_words"),
+        F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
         left(SYMBOLS).alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint").alias("n_dup_lines"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         # (hash, start) in hash order, only for texts that repeat a window:
         # starts with an equal neighbour repeat; in text order each covers the
         # words, at most WINDOW, that the one before it does not
-        F.when(F.size(F.array_distinct("__h")) < F.size("__h"),
-               F.sort_array(F.transform("__h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-        .alias("__sorted"),
-        F.length("__text").cast("bigint").alias("__chars"),
-        F.array(*[left(c) for _, c in CLASSES]).alias("__classes"),
-        F.filter(tokens, lambda t: t != "").alias("__tokens"))
+        F.when(F.size(F.array_distinct("h")) < F.size("h"),
+               F.sort_array(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+        .alias("sorted"),
+        F.length("text").cast("bigint").alias("chars"),
+        F.array(*[left(c) for _, c in CLASSES]).alias("classes"),
+        letter_words("text").alias("tokens"))
     neighbours = F.zip_with(
-        F.slice("__sorted", F.lit(1), F.size("__sorted") - 1), F.slice("__sorted", F.lit(2), F.size("__sorted") - 1),
+        F.slice("sorted", F.lit(1), F.size("sorted") - 1), F.slice("sorted", F.lit(2), F.size("sorted") - 1),
         lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
     starts = F.sort_array(F.array_distinct(F.flatten(F.filter(neighbours, lambda x: x.isNotNull()))))
     covered = F.aggregate(
@@ -92,18 +128,25 @@ def histograms(docs: DataFrame, keep: list[str], text_col: str, lang_col: str) -
         lambda s, x: F.struct(x.alias("last"),
                               (s["n"] + F.least(F.lit(WINDOW), x - s["last"])).alias("n")),
         lambda s: s["n"])
-    common = F.concat(F.lit(" "), F.array_join(F.filter("__tokens", lambda t: t.isin(every)), "  "),
-                      F.lit(" "))
-    d = d.select(*keep, "__lang", "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                 F.coalesce(F.when(F.col("__sorted").isNotNull(), covered), F.lit(0)).cast("bigint")
-                 .alias("n_repeat_words"), "__chars", "__classes",
-                 F.size("__tokens").cast("bigint").alias("__n_tokens"), common.alias("__common"))
-    count = lambda w: ((F.length("__common") - F.length(
-        F.replace("__common", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("bigint")
-    bins = F.array().cast("array<bigint>")
+    spaced = lambda words: F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
+    common = spaced(F.filter("tokens", lambda t: t.isin(every)))
+    learned = docs.select(lang_col).filter(~F.col(lang_col).cast("string").isin(list(COMMON)))
+    if learned.isEmpty():
+        d = d.withColumn("known", F.lit(None).cast("array<string>"))
+    else:
+        words = materialise(learned_words(docs, text_col, lang_col), "quality-words")
+        d = d.join(words.select("lang", F.col("words").alias("known")), "lang", "left")
+        common = F.when(listed, common).when(F.col("known").isNotNull(), spaced(F.col("tokens")))
+    d = d.select("row", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                 F.coalesce(F.when(F.col("sorted").isNotNull(), covered), F.lit(0)).cast("bigint")
+                 .alias("n_repeat_words"), "chars", "classes",
+                 F.size("tokens").cast("bigint").alias("n_tokens"), common.alias("common"), "known")
+    count = lambda w: ((F.length("common") - F.length(
+        F.replace("common", F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2)).cast("bigint")
+    bins = F.coalesce(F.transform("known", count), F.array().cast("array<bigint>"))
     for lang, words in COMMON.items():
-        bins = F.when(F.col("__lang") == lang, F.array(*[count(w) for w in words])).otherwise(bins)
-    return d.withColumn("__words", bins).drop("__common")
+        bins = F.when(F.col("lang") == lang, F.array(*[count(F.lit(w)) for w in words])).otherwise(bins)
+    return d.withColumn("words", bins).drop("common", "known")
 
 
 def with_rest(bins: Column, total: Column) -> Column:
@@ -136,40 +179,45 @@ def quality(docs: DataFrame, *, keep: list[str] | None = None, text_col: str = "
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
            "char_distance", "word_distance", "kept"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
-    h = histograms(docs, keep, text_col, lang_col)
-    h = h.withColumn("__classes", with_rest(F.col("__classes"), F.col("__chars")))
-    h = h.withColumn("__words", with_rest(F.col("__words"), F.col("__n_tokens")))
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(True)
+    h = histograms(docs.select(row.alias("row"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")),
+                   "text", "lang")
+    h = h.withColumn("classes", with_rest(F.col("classes"), F.col("chars")))
+    h = h.withColumn("words", with_rest(F.col("words"), F.col("n_tokens")))
     h = h.withColumn("base_failed", (F.col("n_words") < MIN_BASE_WORDS)
                      | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT))
     h = materialise(h, "quality-histograms")
+    bounds = (max_char, max_word, max_mean)
     plain = h.filter(~F.col("base_failed"))
-    near = distances(plain, references(plain), max_char, max_word, max_mean).filter(~F.col("far"))
-    j = distances(h, materialise(references(near), "quality-references"), max_char, max_word, max_mean)
-    return j.select(*keep, *new[:-1], (~F.col("base_failed") & ~F.col("far")).alias("kept"))
+    near = distances(plain, references(plain), *bounds).filter(~F.col("far"))
+    j = distances(h, materialise(references(near), "quality-references"), *bounds)
+    return j.select(*(["row.*"] if keep else []), *new[:-1],
+                    (~F.col("base_failed") & ~F.col("far")).alias("kept"))
 
 
 def references(h: DataFrame) -> DataFrame:
     """One row per language: pooled class shares ``rc`` and word shares ``rw``."""
     n_classes = len(CLASSES) + 1
-    pool = h.groupBy("__lang").agg(
-        *[F.sum(F.get("__classes", F.lit(i))).alias(f"c{i}") for i in range(n_classes)],
-        *[F.sum(F.get("__words", F.lit(i))).alias(f"w{i}") for i in range(N_WORD_BINS + 1)])
+    pool = h.groupBy("lang").agg(
+        *[F.sum(F.get("classes", F.lit(i))).alias(f"c{i}") for i in range(n_classes)],
+        *[F.sum(F.get("words", F.lit(i))).alias(f"w{i}") for i in range(N_WORD_BINS + 1)])
     c = F.array(*[F.col(f"c{i}") for i in range(n_classes)])
     w = F.filter(F.array(*[F.col(f"w{i}") for i in range(N_WORD_BINS + 1)]), lambda x: x.isNotNull())
     add = lambda a: F.aggregate(a, F.lit(0).cast("bigint"), lambda s, x: s + x)
-    return pool.select("__lang", shares(c, add(c)).alias("rc"), shares(w, add(w)).alias("rw"))
+    return pool.select("lang", shares(c, add(c)).alias("rc"),
+                       F.when(add(w) > 0, shares(w, add(w))).alias("rw"))
 
 
 def distances(h: DataFrame, refs: DataFrame, max_char: float, max_word: float,
               max_mean: float) -> DataFrame:
     """``h`` with char_distance, word_distance and ``far`` (either, or their
     mean, too large; a null distance is not judged)."""
-    j = h.alias("d").join(refs.alias("r"), F.col("d.__lang").eqNullSafe(F.col("r.__lang")), "left")
-    char = F.when((F.col("__chars") >= MIN_CHARS) & F.col("rc").isNotNull(),
-                  js_distance(shares(F.col("__classes"), F.col("__chars")), F.col("rc")))
+    j = h.alias("d").join(refs.alias("r"), F.col("d.lang").eqNullSafe(F.col("r.lang")), "left")
+    char = F.when((F.col("chars") >= MIN_CHARS) & F.col("rc").isNotNull(),
+                  js_distance(shares(F.col("classes"), F.col("chars")), F.col("rc")))
     # one bin: no common words are known for the language
-    word = F.when((F.col("__n_tokens") >= MIN_WORDS) & (F.size("rw") > 1),
-                  js_distance(shares(F.col("__words"), F.col("__n_tokens")), F.col("rw")))
+    word = F.when((F.col("n_words") >= MIN_WORDS) & (F.size("rw") > 1),
+                  js_distance(shares(F.col("words"), F.greatest("n_tokens", F.lit(1))), F.col("rw")))
     j = j.select("d.*", char.alias("char_distance"), word.alias("word_distance"))
     mean = (F.col("char_distance") + F.col("word_distance")) / 2
     return j.withColumn("far", F.coalesce(F.col("char_distance") > max_char, F.lit(False))

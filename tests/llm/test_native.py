@@ -244,6 +244,62 @@ def test_quality_divergence(make):
     assert got[103].word_distance is None             # no common words known
 
 
+def made_up_language(r, n, own):
+    """Texts of a language without listed words: a fifth of the words are its own."""
+    return " ".join(r.choice(own) if r.random() < .4 else "".join(r.choice("abcdefgh") for _ in range(6))
+                    for _ in range(n)) + "."
+
+
+def test_quality_of_unlisted_languages(make):
+    r = random.Random(8)
+    own = [f"z{c}{d}" for c in "abcde" for d in "op"]
+    rows = [(i, made_up_language(r, 120, own), "xx") for i in range(40)]
+    rows += [(50 + i, made_up_language(r, 120, ["only", "few"]), "yy") for i in range(5)]
+    rows += [(90, made_up_language(r, 120, ["qqq"]), "xx"), (91, made_up_language(r, 120, own), None),
+             (92, "1 2 3 4 " * 3 + " ".join(map(str, range(60))), "xx")]
+    docs = make(rows)
+    words = quality_rules.learned_words(docs, "text", "lang").collect()
+    assert [x.lang for x in words] == ["xx"]                    # yy has too few documents
+    assert len(words[0].words) == quality_rules.N_WORD_BINS and set(own) < set(words[0].words)
+    got = {x.doc_id: x for x in quality_rules.quality(docs).collect()}
+    assert all(got[i].kept and got[i].word_distance is not None for i in range(40))
+    assert got[91].kept and got[91].word_distance is None and got[50].word_distance is None
+    assert not got[90].kept and got[90].word_distance > .42     # its common words are not the language's
+    assert not got[92].kept and got[92].word_distance > .42     # no letter at all
+
+
+def test_quality_agrees_with_sql_on_odd_rows(make):
+    import duckdb
+
+    from sluice.llm.oracle import ORACLE
+    r = random.Random(9)
+    own = [f"z{c}{d}" for c in "abcde" for d in "op"]
+    langs = ["en", "xx", None, "yy", "de"]
+    rows = [(i, made_up_language(r, r.choice([10, 30, 39, 40, 45, 90, 200]),
+                                 own if langs[i % 5] != "en" else quality_rules.COMMON["en"]),
+             langs[i % 5]) for i in range(150)]
+    rows += [(200, "1 2 | " * 40, "xx"), (201, None, "xx"), (202, "", None), (203, "| # " * 300, "zz")]
+    docs = make(rows)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    cols = ["doc_id", "n_words", "n_repeat_words", "kept", "char_distance", "word_distance"]
+    want = {x[0]: x[1:] for x in con.sql(f"SELECT {', '.join(cols)} FROM ({ORACLE['op9_quality_rules']})").fetchall()}
+    got = {x[0]: tuple(x[1:]) for x in quality_rules.quality(docs, keep=["doc_id"]).select(cols).collect()}
+    assert got.keys() == want.keys()
+    for i, (n, rep, kept, char, word) in got.items():
+        assert (n, rep, kept) == want[i][:3], i
+        for a, b in ((char, want[i][3]), (word, want[i][4])):
+            assert (a is None) == (b is None) and (a is None or abs(a - b) < 2e-6), i
+
+
+def test_quality_passes_clashing_columns_on(make):
+    docs = make([(1, "a b c " * 20), (2, "x")], "row string").withColumnsRenamed({"source": "__text", "n_chars": "tokens"})
+    got = quality_rules.quality(docs)
+    assert got.columns[:6] == docs.columns
+    assert {x["__text"] for x in got.collect()} == {"src0"} and {x.row for x in got.collect()} == {"x"}
+    assert quality_rules.quality(docs, keep=[]).columns[0] == "n_words"
+
+
 def test_js_distance(spark):
     df = spark.createDataFrame([([0.5, 0.5], [0.5, 0.5]), ([1.0, 0.0], [0.0, 1.0]), ([1.0, 0.0], [0.5, 0.5])],
                                "p array<double>, q array<double>")
