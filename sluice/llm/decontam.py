@@ -8,9 +8,10 @@ looked up in a bitmap, survivors in the hash set, and each hit is verified on
 the words themselves.
 
 The benchmark's words are measured first. Up to ``block_bytes`` they travel
-as one broadcast; a larger benchmark is cut by item into blocks of at most
-about that size and the documents pass block after block, so no broadcast
-grows with the data.
+as one broadcast of about ten times that size in memory (``Grams``); a larger
+benchmark is cut by item into blocks of at most about that size and the
+documents pass block after block, ``CHAIN`` of them in a task and then through
+a written table, so neither a broadcast nor a task's memory grows with the data.
 
 Defined results: null text has no words and no hits; null item text gives no
 n-gram; a null item id reads as the empty string; repeated items and rows give
@@ -21,6 +22,7 @@ either input are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import tokens as tk
+from sluice.llm.store import materialise
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
+CHAIN = 4
 SPANS = "array<struct<first:bigint,last:bigint>>"
 
 
@@ -47,55 +51,86 @@ def benchmark_blocks(benchmark: DataFrame, id_col: str, text_col: str,
     return [items.filter(block == i) for i in range(n)]
 
 
+@dataclass
+class Grams:
+    """Test n-grams of one length in hash order: entry i has the words
+    ``words[lo[i]:hi[i]]`` and the items ``owner[first[i]:first[i + 1]]``.
+    Different n-grams of one hash are neighbours."""
+
+    hashes: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    first: np.ndarray
+    owner: np.ndarray
+    bits: int
+
+    def bitmap(self) -> np.ndarray:
+        m = np.zeros(1 << self.bits, dtype=bool)
+        m[self.hashes >> np.uint64(64 - self.bits)] = True
+        return m
+
+
 class TestGrams:
-    """Hash set of one block: per n-gram length a bitmap, the n-gram hashes
-    and, for verification, the words with the items that hold them."""
+    """Hash set of one block: the words of all items once, and per n-gram
+    length the ``Grams``, about 60 bytes for each word of the block."""
 
     __test__ = False        # not a pytest class
 
     def __init__(self, rows: list[tuple[str, str]], n: int):
         self.items = sorted({r[0] for r in rows})
         place = {x: i for i, x in enumerate(self.items)}
-        self.owners: dict[bytes, tuple[int, ...]] = {}
-        owners: dict[bytes, set[int]] = {}
-        hashes: dict[int, list[np.ndarray]] = {}
+        words = bytearray()
+        found: dict[int, list[tuple[np.ndarray, ...]]] = {}
         for item, text in rows:
             for s in tk.slices(pa.array([text]), tk.NON_ALNUM, tk.LOWER):
                 k = min(n, len(s))
                 if not k:
                     continue
-                words = s.words_of(0, len(s))
-                hashes.setdefault(k, []).append(tk.grams(s.hashes(), k))
-                for i in range(len(words) - k + 1):
-                    owners.setdefault(b" ".join(words[i:i + k]), set()).add(place[item])
-        self.owners = {k: tuple(sorted(v)) for k, v in owners.items()}
-        self.hashes = {k: np.unique(np.concatenate(v)) for k, v in hashes.items()}
-        self.bits = {k: max(16, int(8 * len(v)).bit_length()) for k, v in self.hashes.items()}
-
-    def bitmap(self, k: int) -> np.ndarray:
-        m = np.zeros(1 << self.bits[k], dtype=bool)
-        m[self.hashes[k] >> np.uint64(64 - self.bits[k])] = True
-        return m
-
-
-def find_hits(s: tk.Slice, grams: TestGrams, maps: dict[int, np.ndarray]):
+                own = s.words_of(0, len(s))
+                stop = len(words) + np.cumsum([len(w) + 1 for w in own]) - 1
+                start = stop - np.array([len(w) for w in own])
+                words += b" ".join(own) + b" "
+                h = tk.grams(s.hashes(), k)[:len(own) - k + 1]
+                found.setdefault(k, []).append(
+                    (h, start[:len(h)], stop[k - 1:], np.full(len(h), place[item], np.int32)))
+        self.words = bytes(words)
+        self.grams = {k: self._grams(*map(np.concatenate, zip(*v))) for k, v in found.items()}
+
+    def _grams(self, h: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray) -> Grams:
+        order = np.lexsort((item, h))
+        h, lo, hi, item = h[order], lo[order], hi[order], item[order]
+        entry = np.append(True, h[1:] != h[:-1])
+        odd = [i for i in np.flatnonzero(~entry).tolist()       # equal hashes, other words
+               if self.words[lo[i]:hi[i]] != self.words[lo[i - 1]:hi[i - 1]]]
+        entry[odd] = True
+        number = np.cumsum(entry) - 1
+        once = entry | np.append(True, item[1:] != item[:-1])   # an item counts once
+        item, number = item[once], number[once]
+        first = np.append(np.flatnonzero(np.append(True, number[1:] != number[:-1])), len(number))
+        return Grams(h[entry], lo[entry], hi[entry], first, item, max(16, int(8 * entry.sum()).bit_length()))
+
+
+def find_hits(s: tk.Slice, tests: TestGrams, maps: dict[int, np.ndarray]):
     """(word mask of hits, {document: item numbers}) of one slice."""
     edge = np.zeros(len(s) + 1, dtype=np.int32)
     found: dict[int, set[int]] = {}
     h = s.hashes()
     room = s.room()
-    for k, known in grams.hashes.items():
+    for k, known in tests.grams.items():
         g = tk.grams(h, k)
-        at = np.flatnonzero(maps[k][g >> np.uint64(64 - grams.bits[k])])
+        at = np.flatnonzero(maps[k][g >> np.uint64(64 - known.bits)])
         at = at[room[at] >= k]
-        pos = np.searchsorted(known, g[at])
-        at = at[known[np.minimum(pos, len(known) - 1)] == g[at]]
-        for i in at.tolist():
-            owners = grams.owners.get(b" ".join(s.words_of(i, i + k)))
-            if owners is not None:                     # verified on the words
-                edge[i] += 1
-                edge[i + k] -= 1
-                found.setdefault(int(s.doc[i]), set()).update(owners)
+        lo = np.searchsorted(known.hashes, g[at])
+        hi = np.searchsorted(known.hashes, g[at], "right")
+        some = hi > lo
+        for i, j, end in zip(at[some].tolist(), lo[some].tolist(), hi[some].tolist()):
+            words = b" ".join(s.words_of(i, i + k))
+            for e in range(j, end):
+                if tests.words[known.lo[e]:known.hi[e]] == words:       # verified on the words
+                    edge[i] += 1
+                    edge[i + k] -= 1
+                    found.setdefault(int(s.doc[i]), set()).update(
+                        known.owner[known.first[e]:known.first[e + 1]].tolist())
     return np.cumsum(edge[:-1]) > 0, found
 
 
@@ -118,7 +153,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
                       F.array().cast("array<string>").alias("hit_items"),
                       F.array().cast(SPANS).alias("hit_spans"))
     schema = out.schema
-    for block in benchmark_blocks(benchmark, item_col, item_text, block_bytes):
+    for i, block in enumerate(benchmark_blocks(benchmark, item_col, item_text, block_bytes)):
+        if i and i % CHAIN == 0:
+            out = materialise(out, "decontam-blocks")
         rows = [(r[0], r[1]) for r in block.collect()]      # bounded: at most a block
         out = out.mapInArrow(_scanner(sc.broadcast(TestGrams(rows, n)), body), schema)
     return out.drop(body)
@@ -127,7 +164,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text",
 def _scanner(shared, body: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = shared.value
-        maps = {k: grams.bitmap(k) for k in grams.hashes}
+        maps = {k: g.bitmap() for k, g in grams.grams.items()}
         for b in batches:
             text = b.column(b.schema.get_field_index(body))
             old_items = b.column(b.schema.get_field_index("hit_items"))

@@ -3,10 +3,15 @@ brute force, with edge rows and with the parameters that spread work."""
 
 import hashlib
 import random
+import re
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from sluice.llm import decontam, ngram_join, substring_dedup
+from sluice.llm import tokens as tk
 from sluice.llm.components import components
 
 EDGE = [(None, "a b c"), (900, None), (901, ""), (902, " \t\n"), (903, "one"), (904, "one"),
@@ -156,7 +161,7 @@ def test_decontamination(make, spark):
     hit = "one two, three four five six seven eight nine ten and"
     rows = [(1, "zero " + hit), (2, "a short-item b"), (3, "one two three"), (4, None), (5, ""),
             (6, "x nobody KNOWS this x short item"), (7, "clean " * 3000)]
-    for block in (decontam.BLOCK_BYTES, 60):
+    for block in (decontam.BLOCK_BYTES, 60, 20):        # one block, a few, more than CHAIN
         out = {r.doc_id: r for r in decontam.scan(make(rows), bench, block_bytes=block).collect()}
         assert (out[1].hit_words, out[1].hit_items) == (10, ["b1"])
         assert [tuple(s) for s in out[1].hit_spans] == [(1, 10)]
@@ -169,3 +174,50 @@ def test_decontamination(make, spark):
     assert decontam.scan(make([]), bench).count() == 0
     none = decontam.scan(make(rows), bench.limit(0))
     assert none.agg(F.sum("hit_words")).first()[0] == 0
+
+
+def brute_hits(text, items, n=10):
+    norm = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(
+        {c: c + 32 for c in range(65, 91)}))
+    w = norm(text)
+    hit, who = set(), set()
+    for item, t in items:
+        b = norm(t)
+        k = min(n, len(b))
+        for i in range(len(b) - k + 1 if k else 0):
+            for j in range(len(w) - k + 1):
+                if w[j:j + k] == b[i:i + k]:
+                    hit.update(range(j, j + k))
+                    who.add(item)
+    return hit, who
+
+
+@pytest.mark.parametrize("coarse", [64, 6, 1])
+def test_hits_match_brute_force_with_equal_hashes(monkeypatch, coarse):
+    whole = tk.grams
+    monkeypatch.setattr(tk, "grams", lambda h, m: whole(h, m) & np.uint64(((1 << coarse) - 1) << (64 - coarse)))
+    r = random.Random(coarse)
+    text = lambda n: " ".join(r.choice(["Ab", "ab", "c", "d\u00e9", "e-f", "9", "."]) for _ in range(n))
+    items = [(f"i{k}", text(r.choice([0, 2, 4, 7, 12]))) for k in range(12)] + [("i3", "c c 9"), ("i5", "c c 9")]
+    docs = [text(r.randint(0, 60)) for _ in range(40)] + ["", "c c 9", items[0][1]]
+    tests = decontam.TestGrams(items, 4)
+    maps = {k: g.bitmap() for k, g in tests.grams.items()}
+    seen = 0
+    for s in tk.slices(pa.array(docs), tk.NON_ALNUM, tk.LOWER):
+        mask, found = decontam.find_hits(s, tests, maps)
+        for d in range(s.n_docs):
+            hit, who = brute_hits(docs[s.first + d], items, 4)
+            assert set(np.flatnonzero(mask[s.word_off[d]:s.word_off[d + 1]]).tolist()) == hit
+            assert {tests.items[i] for i in found.get(d, ())} == who
+            seen += bool(hit)
+    assert seen > 5
+
+
+def test_a_block_is_small_in_memory():
+    r = random.Random(1)
+    rows = [(str(i), " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(100)))
+            for i in range(500)]
+    tests = decontam.TestGrams(rows, 10)
+    held = len(tests.words) + sum(x.nbytes for g in tests.grams.values()
+                                  for x in (g.hashes, g.lo, g.hi, g.first, g.owner, g.bitmap()))
+    assert held < 12 * sum(len(t) for _, t in rows)
