@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.llm import langid, quality_model, toxicity
+from sluice.llm import tokens as tk
 
 TABLES = "/root/testdata/sf0.01"
 EDGE = [(None, "a b"), (9000, None), (9001, ""), (9002, "12 345 !!"), (9003, "word " * 20000),
@@ -124,6 +125,58 @@ def test_quality_accuracy(docs, spark):
     assert all(0 <= x.score <= 1 for x in got)
 
 
+def plain_quality_features(text):
+    """Buckets of one text, gram by gram."""
+    low = (1 << 64) - 1
+    b = bytes(0x20 if 9 <= c <= 13 else c for c in (text or "").encode())
+    words = [w for w in b.split(b" ") if w]
+    bucket = lambda h: int(tk.mix(np.array([h & low], dtype=np.uint64))[0]) % quality_model.BUCKETS
+    gram = lambda hs: int(tk.grams(np.array(hs, dtype=np.uint64), len(hs))[0])
+    out = set()
+    for k in (1, 2, 3):
+        for i in range(len(b) - k + 1):
+            h = k
+            for c in b[i:i + k]:
+                h = h << 8 | c
+            out.add(bucket(h))
+    shapes = []
+    for i, w in enumerate(words):
+        upper, digit = sum(65 <= c <= 90 for c in w), sum(48 <= c <= 57 for c in w)
+        lower = sum(97 <= c <= 122 or c >= 128 for c in w)
+        other = len(w) - upper - digit - lower
+        kind = min(upper, 2) + 3 * min(lower, 2) + 9 * min(digit, 1) + 18 * min(other, 3)
+        shapes.append(2 * kind + (i > 0 and words[i - 1] == w) + 1)
+    for k in (1, 2, 3):
+        out |= {bucket(gram(shapes[i:i + k])) for i in range(len(shapes) - k + 1)}
+    triples = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+    if triples:
+        out.add(bucket(1000 + int(10 * (1 - len(set(triples)) / len(triples))) << 32))
+    return out
+
+
+def test_quality_scores_match_plain_python(make, docs):
+    r = random.Random(5)
+    texts = [x.text for x in docs.filter("doc_id % 37 = 1").select("text").collect()][:20]
+    texts += ["".join(r.choice(["Ab", "a ", " ", "\n", "9", "#", "é", "漢 ", "x x x ", "|"]) for _ in range(r.randint(0, 60)))
+              for _ in range(60)] + [None, "", " ", "a", "a a a a"]
+    g = np.random.default_rng(6)
+    m = quality_model.Model(g.standard_normal(quality_model.BUCKETS), g.random(quality_model.BUCKETS), 0.1, 1.5, -0.2)
+    got = {x.doc_id: x.score for x in quality_model.score(make(list(enumerate(texts))), m).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        f = sorted(plain_quality_features(t))
+        margin = sum(m.weight[f]) / sum(m.square[f]) ** .5 + m.bias if f else m.bias
+        assert abs(got[i] - 1 / (1 + np.exp(-(1.5 * margin - 0.2)))) < 1e-9, repr(t)
+
+
+def test_log_count_ratio_counts_indicators():
+    rows = [np.array([1, 5]), np.array([5]), np.array([1, 7])]
+    r = quality_model.log_count_ratio(rows, np.array([0, 1, 1]))
+    n = quality_model.BUCKETS
+    assert abs(r[5] - np.log((2 / (n + 3)) / (2 / (n + 2)))) < 1e-12
+    assert abs(r[7] - np.log((2 / (n + 3)) / (1 / (n + 2)))) < 1e-12
+
+
 def test_quality_edges(make, spark):
     lab = spark.createDataFrame([], "doc_id long, quality int")
     m = quality_model.fit(make(EDGE), lab, "quality", F.lit(True))
