@@ -117,6 +117,30 @@ def test_toxicity_without_labels(make, spark):
     assert toxicity.score(make([]), m).count() == 0
 
 
+def plain_words(text):
+    """Lower-case words of the letters that the test's texts hold."""
+    return [w for w in "".join(c if c.isalnum() else " " for c in (text or "").lower()).split(" ") if w]
+
+
+def test_toxicity_scores_match_plain_python(make):
+    r = random.Random(7)
+    vocabulary = ["Idiots", "idiot", "women", "WOMEN", "stupidly", "stupid", "été", "ÉTÉ", "naïveté", "a", "9", "ab-c"]
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randint(0, 25))) for _ in range(60)] + [None, "", "!", "zz"]
+    known = sorted({w for v in vocabulary for w in plain_words(v)})
+    whole = tk.word_hash(known)
+    head = tk.mix(tk.word_hash(["idiot", "stupi"]) + np.uint64(toxicity.PREFIX))     # beginnings of longer words
+    weights = np.random.default_rng(3).standard_normal(len(known) + 2)
+    m = toxicity.Model(np.concatenate([whole, head]), weights.copy(), 0.25)
+    weight = dict(zip([*known, "idiot-", "stupi-"], weights))
+    got = {x.doc_id: x.score for x in toxicity.score(make(list(enumerate(texts))), m).collect()}
+    assert len(got) == len(texts)
+    for i, t in enumerate(texts):
+        words = set(plain_words(t))
+        held = words | {w[:5] + "-" for w in words if len(w.encode()) > toxicity.PREFIX}
+        z = 0.25 + sum(weight.get(f, 0.0) for f in held)
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9, repr(t)
+
+
 def test_quality_accuracy(docs, spark):
     labels = spark.read.parquet(f"{TABLES}/labels.parquet")
     got = quality_model.quality_scores(docs, labels).join(labels, "doc_id").collect()
