@@ -46,10 +46,14 @@ def trace_roots(spans: DataFrame) -> DataFrame:
 
     Pointer doubling: each round looks at the ancestor's ancestor, so a chain
     of depth d takes log2(d) joins, each from a written table; there is no
-    limit on rows or depth.
+    limit on rows or depth. Only spans that still have an ancestor to look at
+    are joined: the others share the null key, which would be one task's.
     """
-    known = spans.select(F.col("span_id").alias("parent_span_id"), F.lit(True).alias("there")).distinct()
-    first = (spans.select("span_id", "parent_span_id").join(known, "parent_span_id", "left")
+    child = write_table(spans.select("span_id", "parent_span_id"), "trace-spans")     # read three times
+    known = child.select(F.col("span_id").alias("parent_span_id"), F.lit(True).alias("there")).distinct()
+    roots = child.filter(F.col("parent_span_id").isNull()).withColumn("there", F.lit(None).cast("boolean"))
+    first = (child.filter(F.col("parent_span_id").isNotNull()).join(known, "parent_span_id", "left")
+             .select("span_id", "parent_span_id", "there").unionByName(roots)
              .select("span_id", F.when(F.col("there"), F.col("parent_span_id")).alias("up"),
                      F.when(F.col("there"), 1).otherwise(0).cast("long").alias("depth"),
                      (F.col("parent_span_id").isNotNull() & F.col("there").isNull()).alias("orphan")))
@@ -62,12 +66,13 @@ def trace_roots(spans: DataFrame) -> DataFrame:
         above = state.select(F.col("span_id").alias("up"), F.col("up").alias("up2"),
                              F.col("depth").alias("depth2"), F.col("top").alias("top2"),
                              F.col("orphan").alias("orphan2"))
-        state = write_table(
-            state.join(above, "up", "left").select(
-                "span_id", F.col("up2").alias("up"),
-                (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
-                F.coalesce("top2", "top").alias("top"),
-                F.coalesce("orphan2", "orphan").alias("orphan")), "trace-up")
+        climbed = (state.filter(F.col("up").isNotNull()).join(above, "up", "left").select(
+            "span_id", F.col("up2").alias("up"),
+            (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
+            F.coalesce("top2", "top").alias("top"),
+            F.coalesce("orphan2", "orphan").alias("orphan")))
+        state = write_table(state.filter(F.col("up").isNull()).select(*climbed.columns).unionByName(climbed),
+                            "trace-up")
         left, rounds = state.filter(F.col("up").isNotNull()).count(), rounds + 1
     done = F.col("up").isNull()
     return state.select("span_id", F.when(done, F.col("top")).alias("trace_id"),

@@ -107,6 +107,25 @@ def test_lookup_of_a_cached_null(spark):
     assert miss == {"a": "L2", "b": "warm", "c": "warm"}
 
 
+def test_trace_roots_join_no_null_keys(spark, monkeypatch):
+    """Finished spans share the null key: they must not meet in one task."""
+    plans, write = [], traces.write_table
+
+    def record(df, name):
+        if name == "trace-up":
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, name)
+    monkeypatch.setattr(traces, "write_table", record)
+    rows = [(i, i - 1 if i % 5 else None) for i in range(20)] + [(90, 91), (None, 3)]
+    got = traces.trace_roots(spark.createDataFrame(rows, "span_id long, parent_span_id long")).collect()
+    want = [(i, i - i % 5, i % 5, False) for i in range(20)] + [(90, 90, 0, True), (None, 0, 4, False)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert len(plans) > 2
+    for plan in plans[1:]:
+        assert "isnotnull(up#" in plan and "Join LeftOuter" in plan
+    assert "isnotnull(parent_span_id#" in plans[0]
+
+
 def test_trace_roots_without_limits(spark):
     chain = [(i, i - 1 if i else None) for i in range(150)]
     extra = [(1000, 999), (1001, 1000), (2000, 2001), (2001, 2000), (3000, None)]
