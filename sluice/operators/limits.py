@@ -12,8 +12,10 @@ W11 adds up counts per slot.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -57,20 +59,40 @@ def hourly_count(df: DataFrame, key: str = "user_id", ts: str = "ts",
 
 
 def _admit_fold(limit: int, window_us: int, key: str):
+    """Rows of one segment follow each other in time order, over batches. Only
+    admitted rows are visited: while the log is full every row is rejected, so
+    the next row to look at is the first one that the log's oldest entry has
+    left."""
     def run(batches):
         segment, log = None, deque()
         for pdf in batches:
-            admitted, remaining, current = [], [], []
-            for k, seg, t in zip(pdf[key].to_numpy(), pdf["_seg"].to_numpy(), pdf["_us"].to_numpy()):
-                if (k, seg) != segment:         # rows of one segment follow each other
-                    segment, log = (k, seg), deque()
-                while log and log[0] <= t - window_us:
-                    log.popleft()
-                current.append(len(log))
-                admitted.append(len(log) < limit)
-                if admitted[-1]:
-                    log.append(t)
-                remaining.append(max(0, limit - len(log)))
+            n = len(pdf)
+            us, keys, segs = pdf["_us"].to_numpy(), pdf[key].to_numpy(), pdf["_seg"].to_numpy()
+            admitted = np.zeros(n, dtype=bool)
+            current = np.full(n, max(0, limit), dtype=np.int64)
+            times = us.tolist()
+            turns = np.flatnonzero(segs[1:] != segs[:-1]) + 1
+            names = pd.factorize(keys, use_na_sentinel=False)[0]
+            turns = np.union1d(turns, np.flatnonzero(names[1:] != names[:-1]) + 1)
+            bounds = [0, *turns.tolist(), n]
+            for begin, end in zip(bounds[:-1], bounds[1:]):
+                if begin == end:
+                    continue
+                here = (None if pd.isna(keys[begin]) else keys[begin], segs[begin])
+                if here != segment:
+                    segment, log = here, deque()
+                i = begin
+                while i < end and limit > 0:
+                    t = times[i]
+                    while log and log[0] <= t - window_us:
+                        log.popleft()
+                    if len(log) < limit:
+                        admitted[i], current[i] = True, len(log)
+                        log.append(t)
+                        i += 1
+                    else:
+                        i = bisect_left(times, log[0] + window_us, i + 1, end)
+            remaining = np.where(admitted, limit - current - 1, 0)
             yield pdf.drop(columns=["_us", "_seg"]).assign(
                 admitted=admitted, in_window=pd.array(current, dtype="int64"),
                 remaining=pd.array(remaining, dtype="int64"))

@@ -42,19 +42,19 @@ def segments(df: DataFrame, key: str, us: str, id_col: str, gap: Column) -> Data
     """Adds ``_seg``: the time of the first row of the row's segment. A segment
     starts where the row before is at least ``gap`` microseconds older (or
     there is none); a state that such a gap resets is independent between
-    segments. ``gap`` is constant per key."""
+    segments. ``gap`` is constant per key. Rows without a time are left out.
+
+    Slots are as wide as the gap, so only the first row of a slot can start a
+    segment: the starts come from one row per (key, slot)."""
     width = F.greatest(gap, F.lit(1))
-    rows = with_previous_slot(df, F.floor(F.col(us) / width))
-    order = W.partitionBy(key, "_slot").orderBy(us, F.col("_own"), id_col)
-    before = F.lag(us).over(order)
-    rows = (rows.withColumn("_start", F.when(before.isNull() | (F.col(us) - before >= gap), F.col(us)))
-            .filter("_own"))
-    here = F.max("_start").over(W.partitionBy(key, "_slot").orderBy(us, id_col)
-                                .rowsBetween(W.unboundedPreceding, 0))
-    rows = rows.withColumn("_here", here)
-    rows = join_slots(rows, carried(rows, [key], F.max("_start")), [key])
-    return (rows.withColumn("_seg", F.coalesce("_here", "carry"))
-            .drop("_slot", "_own", "_start", "_here", "carry"))
+    rows = df.filter(F.col(us).isNotNull()).withColumn("_slot", F.floor(F.col(us) / width).cast("long"))
+    slots = rows.groupBy(key, "_slot").agg(F.min(us).alias("_first"), F.max(us).alias("_end"), F.max(gap).alias("_gap"))
+    order = W.partitionBy(key).orderBy("_slot")
+    near = F.lag("_slot").over(order) == F.col("_slot") - 1
+    started = F.coalesce(~near, F.lit(True)) | (F.col("_first") - F.lag("_end").over(order) >= F.col("_gap"))
+    slots = slots.withColumn("_start", F.when(started, F.col("_first")))
+    seg = F.last("_start", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
+    return join_slots(rows, slots.select(key, "_slot", seg.alias("_seg")), [key]).drop("_slot")
 
 
 def running_counts(df: DataFrame, key: str, order: list[str], slot: Column,

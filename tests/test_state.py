@@ -56,6 +56,47 @@ def test_hot_key_is_spread(spark):
     assert parts > 3
 
 
+def test_segments_copy_no_rows(spark):
+    """One pass over the rows: no row is copied into the next slot or sorted."""
+    d = _frame(spark, _rows(3)).withColumn("us", F.col("s") * 1_000_000)
+    d = d.unionByName(spark.createDataFrame([(-1, None, BASE), (-2, None, BASE + 30), (-3, "hot", None)],
+                                            "id long, k string, s long")
+                      .withColumn("ts", F.timestamp_seconds("s")).withColumn("us", F.col("s") * 1_000_000))
+    seg = segments(d, "k", "us", "id", F.lit(60_000_000))
+    assert "Generate" not in seg._jdf.queryExecution().optimizedPlan().toString()
+    got, want, last, start = {r.id: r._seg for r in seg.collect()}, {}, {}, {}
+    for r in sorted(d.filter("us IS NOT NULL").collect(), key=lambda r: (r.us, r.id)):
+        if r.k not in last or r.us - last[r.k] >= 60_000_000:
+            start[r.k] = r.us
+        last[r.k], want[r.id] = r.us, start[r.k]
+    assert got == want
+
+
+def test_limiter_of_a_full_bucket_visits_admitted_rows():
+    import pandas as pd
+    from sluice.operators.limits import _admit_fold
+    r = random.Random(7)
+    for limit in (0, 1, 3):
+        us = sorted(r.randrange(5000) for _ in range(900))
+        keys, log, want = [None] * 300 + ["a"] * 300 + ["b"] * 300, deque(), []
+        us = sorted(us[:300]) + sorted(us[300:600]) + sorted(us[600:])
+        for i, t in enumerate(us):
+            log = deque() if i % 300 == 0 else log
+            while log and log[0] <= t - 100:
+                log.popleft()
+            n, ok = len(log), len(log) < limit
+            if ok:
+                log.append(t)
+            want.append((ok, n, max(0, limit - len(log))))
+        rows = pd.DataFrame({"k": keys, "_us": us, "_seg": [1] * 900})
+        got = pd.concat(_admit_fold(limit, 100, "k")([rows[i:i + 70] for i in range(0, 900, 70)]))
+        assert list(zip(got.admitted, got.in_window, got.remaining)) == want
+    n = 400_000                     # a bucket that is always full: rejected rows are stepped over
+    rows = pd.DataFrame({"k": ["a"] * n, "_us": range(n), "_seg": [1] * n})
+    got = pd.concat(_admit_fold(2, n, "k")([rows]))
+    assert got.admitted.sum() == 2 and got.in_window.iloc[-1] == 2
+
+
 def test_cooldown_segments(spark):
     rows = _rows(4)
     m = _frame(spark, rows).withColumnRenamed("k", "name").withColumn("cooldown_s", F.lit(60))
