@@ -62,6 +62,7 @@ def apply_filter(df: DataFrame, filters: dict[str, Any] | None) -> DataFrame:
 # ------------------------------------------------------------------- J2 ---
 MAX_QUERY_BYTES = 64 << 20      # query vectors (as doubles) that are broadcast
 BLOCK_QUERIES = 1024            # queries of one matrix product
+BLOCK_SCORES = 1 << 20          # scores of one matrix product
 BLOCK_CHUNKS = 16384            # chunks of one block, where blocks meet
 
 
@@ -73,6 +74,15 @@ def unit_rows(m) -> np.ndarray:
     return m / n[:, None]
 
 
+def certainties(queries: np.ndarray, chunks: np.ndarray) -> np.ndarray:
+    """(1 + cos) / 2 of unit rows; -inf where one is no unit row."""
+    s = queries @ chunks.T
+    s += 1.0
+    s /= 2.0
+    s[np.isnan(s)] = -np.inf
+    return s
+
+
 class TopK:
     """The k best (score, id) of each of ``n`` queries so far, by (score
     descending, id)."""
@@ -124,9 +134,7 @@ class QuerySet:
         self.ids, self.unit, self.probes = ids, unit_rows(vectors), probes
 
     def score(self, rows: np.ndarray, chunks: np.ndarray) -> np.ndarray:
-        s = (1.0 + self.unit[rows] @ chunks.T) / 2.0
-        s[np.isnan(s)] = -np.inf
-        return s
+        return certainties(self.unit[rows], chunks)
 
 
 def query_sets(rows: list[tuple]) -> dict[int, QuerySet]:
@@ -148,6 +156,15 @@ def vector_groups(col: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         yield d, at, part.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
 
 
+def score_blocks(n_queries: int, n_chunks: int) -> Iterator[tuple[slice, slice]]:
+    """Slices of queries and chunks of at most ``BLOCK_QUERIES`` queries and
+    ``BLOCK_SCORES`` scores, so that the memory of a product does not grow."""
+    wide = max(1, BLOCK_SCORES // max(1, min(n_queries, BLOCK_QUERIES)))
+    for j in range(0, n_chunks, wide):
+        for i in range(0, n_queries, BLOCK_QUERIES):
+            yield slice(i, min(i + BLOCK_QUERIES, n_queries)), slice(j, min(j + wide, n_chunks))
+
+
 def scan_topk(corpus: DataFrame, queries, k: int, *, cid: str, cvec: str, query_type: T.DataType,
               exclude_self: bool = False, cell: str | None = None) -> DataFrame:
     """(query_id, <cid>, similarity_score): the k best chunks that each task
@@ -171,12 +188,12 @@ def scan_topk(corpus: DataFrame, queries, k: int, *, cid: str, cvec: str, query_
                 for c in np.unique(cells[at]) if cell else [None]:
                     here = np.arange(len(at)) if c is None else np.flatnonzero(cells[at] == c)
                     asked = np.arange(len(s.ids)) if c is None else np.flatnonzero((s.probes == c).any(axis=1))
-                    for i in range(0, len(asked), BLOCK_QUERIES):
-                        rows = asked[i:i + BLOCK_QUERIES]
-                        score = s.score(rows, m[here])
+                    for rows, cols in score_blocks(len(asked), len(here)):
+                        rows, cols = asked[rows], here[cols]
+                        score = s.score(rows, m[cols])
                         if exclude_self:
-                            score[s.ids[rows][:, None] == ids[at[here]][None, :]] = -np.inf
-                        best[d].add(rows, score, ids[at[here]])
+                            score[s.ids[rows][:, None] == ids[at[cols]][None, :]] = -np.inf
+                        best[d].add(rows, score, ids[at[cols]])
         for d, top in best.items():
             if top.id is not None:
                 yield pa.RecordBatch.from_arrays(
@@ -198,15 +215,19 @@ def _score_blocks(k: int, qid: str, cid: str, exclude_self: bool):
         if q.empty or c.empty:
             return pd.DataFrame({"query_id": q[qid][:0], cid: c[cid][:0],
                                  "similarity_score": np.zeros(0)})
-        score = (1.0 + unit_rows(np.stack(q["_v"])) @ unit_rows(np.stack(c["_v"])).T) / 2.0
-        score[np.isnan(score)] = -np.inf
-        if exclude_self:
-            score[q[qid].to_numpy()[:, None] == c[cid].to_numpy()[None, :]] = -np.inf
-        best = np.argsort(-score, axis=1, kind="stable")[:, :k]      # ties: chunk order
-        value = np.take_along_axis(score, best, axis=1)
-        row, col = np.nonzero(np.isfinite(value))
-        return pd.DataFrame({"query_id": q[qid].to_numpy()[row], cid: c[cid].to_numpy()[best[row, col]],
-                             "similarity_score": value[row, col]})
+        asked, chunks = unit_rows(np.stack(q["_v"])), unit_rows(np.stack(c["_v"]))
+        q_ids, c_ids, found = q[qid].to_numpy(), c[cid].to_numpy(), []
+        some = max(1, BLOCK_SCORES // len(c))
+        for i in range(0, len(q), some):
+            score = certainties(asked[i:i + some], chunks)
+            if exclude_self:
+                score[q_ids[i:i + some, None] == c_ids[None, :]] = -np.inf
+            np.negative(score, out=score)
+            best = np.argsort(score, axis=1, kind="stable")[:, :k]      # ties: chunk order
+            value = -np.take_along_axis(score, best, axis=1)
+            row, col = np.nonzero(np.isfinite(value))
+            found.append((q_ids[i + row], c_ids[best[row, col]], value[row, col]))
+        return pd.DataFrame({n: np.concatenate(x) for n, x in zip(("query_id", cid, "similarity_score"), zip(*found))})
     return run
 
 

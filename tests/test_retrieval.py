@@ -206,3 +206,54 @@ def test_registry_shapes():
     qs, orc = E.queries(), E.oracle_sql()
     assert set(orc) <= set(qs)
     assert len(qs) >= 90
+
+
+def test_scores_at_hand_are_bounded(spark):
+    """The memory of a scan and of a meeting of blocks does not grow with the
+    rows of a batch."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from sluice.operators import retrieval as rt
+    r = np.random.default_rng(1)
+    asked, chunks = r.normal(size=(1024, 8)), r.normal(size=(16384, 8))
+    asked[5], chunks[7], chunks[9] = chunks[3], chunks[3], 0.0
+
+    class Frame:
+        schema = T.StructType([T.StructField("chunk_id", T.LongType())])
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    class Shared:
+        value = {8: rt.QuerySet(np.arange(1024), asked)}
+    run = rt.scan_topk(Frame(), Shared, 3, cid="chunk_id", cvec="v", query_type=T.LongType())
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(16384)), pa.array(list(chunks))], names=["chunk_id", "v"])
+    q = pd.DataFrame({"query_id": np.arange(1024), "_v": list(asked)})
+    c = pd.DataFrame({"chunk_id": np.arange(16384), "_v": list(chunks)})
+
+    def peak(f):
+        tracemalloc.start()
+        out = f()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return out, most
+    scanned, most = peak(lambda: pa.Table.from_batches(run(iter([batch]))).to_pandas())
+    assert most < 80 << 20
+    met, most = peak(lambda: rt._score_blocks(3, "query_id", "chunk_id", False)(q, c))
+    assert most < 80 << 20
+    s = (1 + (asked / np.linalg.norm(asked, axis=1)[:, None]) @ (
+        chunks / np.maximum(np.linalg.norm(chunks, axis=1), 1e-300)[:, None]).T) / 2
+    s[:, 9] = -1
+    for got in (scanned, met):
+        got = got.sort_values(["query_id", "similarity_score", "chunk_id"], ascending=[True, False, True])
+        assert len(got) == 3 * 1024
+        best = np.sort(s, axis=1)[:, :-4:-1].ravel()
+        assert np.allclose(got["similarity_score"], best, atol=1e-12)
+        assert {3, 7} <= set(got[got["query_id"] == 5]["chunk_id"])
