@@ -72,6 +72,34 @@ def test_embed_sparse_equals_dense(spark):
     assert sum(x != 0 for x in dense[1]) == 2 and not any(dense[3])
 
 
+def test_embed_shuffles_no_text(spark):
+    """Copies, repeated ids, nulls, odd tokens; against plain Python."""
+    import hashlib
+    import math
+    import re
+    from collections import Counter
+    texts = ["a b b", "a b b", "", None, "...", " Ünï 9x, 9X!", "x" * 5000, "日本 語 日本", "a b"]
+    df = spark.createDataFrame([(i // 2, t) for i, t in enumerate(texts)] + [(None, "a")], "id long, t string")
+    sparse = vec.embed_sparse(df, "id", "t")
+    plan = sparse._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    want = []
+    for i, t in [(i // 2, t) for i, t in enumerate(texts)] + [(None, "a")]:
+        n = Counter(int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % vec.EMBED_DIM
+                    for w in re.split(r"[\W_]+", (t or "").lower()) if w)
+        norm = math.sqrt(sum(x * x for x in n.values()))
+        want += [(i, b, x / norm) for b, x in n.items()]
+    assert sorted(map(str, map(tuple, sparse.collect()))) == sorted(map(str, want))
+    dense = df.select("t", vec.embed("t").alias("v")).collect()
+    assert [None if r.v is None else sum(x != 0 for x in r.v) for r in dense] == [2, 2, 0, None, 0, 2, 1, 2, 2, 1]
+
+
+def test_arrow_batches_of_texts_are_small(spark):
+    from sluice.session import ARROW_BYTES, apply_sql_conf
+    apply_sql_conf(spark)
+    assert spark.conf.get(ARROW_BYTES) in ("16m", str(16 << 20), f"{16 << 20}b")
+
+
 def test_checkpoint_folder_is_required_on_a_cluster():
     from sluice.session import checkpoint_dir
 
