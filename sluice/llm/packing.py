@@ -45,6 +45,7 @@ END = 2
 VOCABULARY = "word_bpe_49k.json"
 DEPTHS = ((1, 3), (2, 4), (4, 4), (8, 4), (16, 4))    # repeats of a combination, its most pieces
 PART_BITS = 33
+WIDEN_ROWS = 512        # packed pieces widened at a time: at most 8 MB
 PIECES = ("piece bigint, part int, doc_id {id}, start bigint, length int, doc_tokens bigint, "
           "class int, rank bigint, ids binary")
 
@@ -320,14 +321,24 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
     def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index("ids")
-            n = b.column(b.schema.get_field_index("length")).to_pylist()
-            ids = [x if len(x) == 4 * k else np.frombuffer(x, np.uint16).astype("<u4").tobytes()
-                   for x, k in zip(b.column(at).to_pylist(), n)]
-            yield b.set_column(at, "ids", pa.array(ids, pa.binary()))
+            for i in range(0, b.num_rows, WIDEN_ROWS):
+                some = b.slice(i, WIDEN_ROWS)
+                at = some.schema.get_field_index("ids")
+                n = some.column(some.schema.get_field_index("length")).to_numpy()
+                yield some.set_column(at, "ids", wide_ids(some.column(at), n))
     return cut.mapInArrow(widen, cut.schema)
 
 
+def wide_ids(col: pa.Array, length: np.ndarray) -> pa.Array:
+    """A column of 16- or 32-bit numbers (all rows alike), ``length`` in each
+    row, as 32-bit numbers."""
+    raw = np.frombuffer(b"".join(col.to_pylist()), np.uint8)
+    if len(raw) != 4 * int(length.sum()):
+        raw = raw.view("<u2").astype("<u4").view(np.uint8)
+    ends = np.concatenate(([0], np.cumsum(4 * length))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(col), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+
+
 def checksums(packed: DataFrame) -> DataFrame:
     """The packed pieces with the crc32 of their ids in place of the ids."""
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",

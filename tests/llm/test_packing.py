@@ -175,3 +175,16 @@ def test_plan_takes_no_more_than_there_is():
             used.update({g: m * n for g, m in pieces.items()})
         assert all(used[g] <= histogram[g] for g in used) and 0 not in used
         assert used.total() > 0.8 * histogram[1:].sum()             # most pieces are placed
+
+
+def test_widened_ids_are_a_slice_at_a_time():
+    import pyarrow as pa
+    r = np.random.default_rng(3)
+    n = r.integers(1, 50, 300)
+    ids = [r.integers(0, 60000, k) for k in n]
+    want = [x.astype("<u4").tobytes() for x in ids]
+    for kind in ("<u2", "<u4"):
+        col = pa.array([b"x", *[x.astype(kind).tobytes() for x in ids]], pa.binary()).slice(1)
+        assert pk.wide_ids(col, n).to_pylist() == want
+    assert pk.wide_ids(pa.array([], pa.binary()), n[:0]).to_pylist() == []
+    assert pk.WIDEN_ROWS * 4 * pk.WINDOW <= 8 << 20
