@@ -226,3 +226,53 @@ def test_markdown_and_json_text(spark):
     got = sorted(((r.id, r.text) for r in mk.json_to_text(df, "id", "t").collect()), key=str)
     assert got == sorted([(0, "first\n1\ntrue\ndeep"), (1, "only"), (2, ""), (3, ""), (4, ""), (5, "{broken"), (6, None), (7, ""),
                           (8, "far"), (9, "x\ny"), (0, "2")], key=str)
+
+
+def test_embedder_tokens_are_those_of_the_pattern(spark):
+    """ASCII texts are spaced by bytes, others by the pattern: the same buckets
+    as each token hashed by itself."""
+    import hashlib
+
+    texts = ["Ab, c-D 1x\ty\n\x00\x7f_z", " lead and trail. ", "Übung ÀÉ, naïve  №5 x²", "İstanbul Σας", "a b c", "", None, "...", "é"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").union(
+        spark.sql("SELECT 100, CAST(unhex('6162FF6364') AS STRING)")).coalesce(1)
+    want = {r.id: r.k for r in df.select("id", vec.tokens("t").alias("k")).collect()}
+    rows = df.select("id", vec.embed("t").alias("v")).withColumn("u", vec.used_dims("v")).collect()
+    assert len(rows) == len(texts) + 1 and want[100] == ["ab", "cd"]
+    for r in rows:
+        if want[r.id] is None:
+            assert r.v is None and r.u.dims is None and r.u.dim_sum is None
+            continue
+        counts = [0] * vec.EMBED_DIM
+        for k in want[r.id]:
+            counts[int(hashlib.md5(k.encode()).hexdigest()[:8], 16) % vec.EMBED_DIM] += 1
+        norm = sum(c * c for c in counts) ** 0.5 or 1
+        assert r.v == pytest.approx([c / norm for c in counts], abs=1e-6)
+        used = [i for i, c in enumerate(counts) if c]
+        assert (r.u.dims, r.u.dim_sum) == (len(used), sum(used))
+    plan = df.select(vec.embed("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan          # one string a text goes to Python, not an array of tokens
+
+
+def test_packing_strips_and_measures_as_before(spark):
+    """Pieces stripped by the pattern (also before line ends that are no white
+    space) and packed while the joined length fits."""
+    def packed(text, split, joiner, size):
+        import re
+        out, cur, st = [], "", 0
+        for s in filter(None, (re.sub(r"^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+(?=[\x85  ]?\Z)", "", p) for p in re.split(split, text))):
+            pot = cur + joiner + s if cur else s
+            if cur and len(pot) > size:
+                out.append((cur, st, st + len(cur)))
+                cur, st = s, st + len(cur)
+            else:
+                cur = pot
+        return out + ([(cur, st, st + len(cur))] if cur else [])
+
+    texts = [" a b.  c d \x0b! \t.e", "x" * 9 + ". y. " + "ü😀" * 4 + "? z", "one  . two \x85!three   ", "", "...", "a.b.c.d.e.f.g.h.i", " \n\n p1\n\n\n\np2 \n\n" + "q" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    for split, joiner in ((ch.SENTENCE_SPLIT, " "), (ch.PARAGRAPH_SPLIT, "\n\n")):
+        for size in (1, 5, 10, 512):
+            got = df.select("id", ch.packed_pieces(F.col("t"), split, joiner, size).alias("p")).collect()
+            for r in got:
+                assert [tuple(p) for p in r.p] == packed(texts[r.id], split, joiner, size), (r.id, split, size)
