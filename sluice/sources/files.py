@@ -46,14 +46,19 @@ def decode_text(content: Column) -> Column:
     return F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\ufffd"), F.lit(""))
 
 
+def scan_files(spark: SparkSession, fmt: str, path: str, glob: str | None = None, **options) -> DataFrame:
+    """All files below a folder by one of Spark's file sources."""
+    r = spark.read.format(fmt).options(**options)
+    if glob:
+        r = r.option("pathGlobFilter", glob)
+    return r.option("recursiveFileLookup", "true").load(path)
+
+
 def read_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """SRC1: files -> raw_documents (doc_id = path, title = file stem, size,
     modified time, document type, content bytes). Creation time has no
     source in the file listing and stays null."""
-    r = spark.read.format("binaryFile")
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    df = r.option("recursiveFileLookup", "true").load(path)
+    df = scan_files(spark, "binaryFile", path, glob)
     name = F.element_at(F.split("path", "/"), -1)
     return df.select(
         F.col("path").alias("doc_id"), F.col("path").alias("file_path"),

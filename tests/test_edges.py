@@ -146,6 +146,48 @@ def test_read_files_query(spark):
         assert (r.bytes, r.sha256, r.title) == (len(data), hashlib.sha256(data).hexdigest(), name.rsplit(".", 1)[0])
 
 
+def test_digests_of_long_files_by_parts(spark, tmp_path):
+    import hashlib
+    import random
+
+    from sluice.sources import digests as dg
+    rnd = random.Random(7)
+    (tmp_path / "a b%20[1]").mkdir()
+    data = {"a b%20[1]/x {y}.pdf": rnd.randbytes(100_000), "crlf.txt": b"a\r\n\n" * 15_000,
+            "no_end.txt": rnd.randbytes(70_000) + b"z", "bom.md": dg.BOM + b"q\n" * 30_000,
+            "bom_no_end.md": dg.BOM + b"q\n" * 30_000 + b"e", "lines.csv": b"\n" * 40_000, "one_line.json": b"\xff\xfe\x00" * 15_000,
+            "x.gz": rnd.randbytes(50_000), "part.txt": b"x" * 29_999 + b"\n", "over.txt": b"x" * 30_000 + b"\n", "short.txt": b"hello"}
+    for name, body in data.items():
+        (tmp_path / name).write_bytes(body)
+    key, part, split = "spark.sql.files.maxPartitionBytes", 30_000, 10_000
+    was = spark.conf.get(key)
+    spark.conf.set(key, split)
+    try:
+        files = fl.read_files(spark, str(tmp_path))
+        got = {r.file_path.split(f"{tmp_path}/")[1]: (r.bytes, r.sha256, r.title)
+               for r in dg.content_digest(files, str(tmp_path), part_bytes=part).collect()}
+        assert got == {n: (len(b), hashlib.sha256(b).hexdigest(), n.split("/")[-1].rsplit(".", 1)[0]) for n, b in data.items()}
+        pdf = {r.file_path[-9:]: r.sha256 for r in dg.content_digest(
+            fl.read_files(spark, str(tmp_path), "*.pdf"), str(tmp_path), "*.pdf", part).collect()}
+        assert pdf == {"x {y}.pdf": hashlib.sha256(data["a b%20[1]/x {y}.pdf"]).hexdigest()}
+        ids = fl.scan_files(spark, "binaryFile", str(tmp_path), "no_end.txt").select(
+            F.col("_metadata.file_path").alias("uri"), F.lit(0).alias("file_no"))
+        sums = dg._pieces(spark, str(tmp_path), "no_end.txt", ids, part).groupBy("part").agg(F.sum("n").alias("n")).collect()
+        assert sorted(r.part for r in sums) == [0, 1, 2] and max(r.n for r in sums) <= part + split + 5_000
+    finally:
+        spark.conf.set(key, was)
+
+
+def test_a_file_read_short_gets_no_digest(spark, tmp_path, monkeypatch):
+    import gzip
+
+    from sluice.sources import digests as dg
+    monkeypatch.setattr(dg, "CODEC_NAMES", "^$")
+    (tmp_path / "x.gz").write_bytes(gzip.compress(b"line\n" * 5_000))
+    with pytest.raises(Exception, match="bytes read differ from the size"):
+        dg.content_digest(fl.read_files(spark, str(tmp_path)), str(tmp_path), part_bytes=50).collect()
+
+
 def test_row_cap_of_the_sql_action(spark):
     from sluice.functions import plugins as pl
     spark.range(10).createOrReplaceTempView("t_cap")
