@@ -21,6 +21,9 @@ from sluice.sources.files import scan_files
 # Files of at most this many bytes are hashed whole; longer ones in such parts.
 PART_BYTES = 128 << 20
 PIECE_BYTES = 256 << 10
+# Files with a longer stretch without a newline byte are hashed whole: the text
+# source passes over such a line, so the bytes read fall short of the file.
+LINE_BYTES = 32 << 20
 # Names that the text source would decompress; their files are hashed whole.
 CODEC_NAMES = r"\.(gz|bz2|deflate|lz4|snappy|zst|passthrough)$"
 BOM = b"\xef\xbb\xbf"
@@ -106,7 +109,8 @@ def _hash_part(batches):
 
 def _pieces(spark: SparkSession, path: str, glob: str | None, ids: DataFrame, part_bytes: int) -> DataFrame:
     """The bytes of the long files, read in splits and written once."""
-    lines = scan_files(spark, "text", path, glob, lineSep="\n").filter(_long(part_bytes)).select(
+    options = {"lineSep": "\n", "mapreduce.input.linerecordreader.line.maxlength": LINE_BYTES}
+    lines = scan_files(spark, "text", path, glob, **options).filter(_long(part_bytes)).select(
         F.col("value").cast("binary"), "_metadata.file_path", "_metadata.file_block_start")
     rows = lines.mapInArrow(_join_lines, PIECES).join(F.broadcast(ids.select("uri", "file_no")), "uri").select(
         "file_no", F.floor(F.col("start") / part_bytes).alias("part"), "start", "seq", "n", "body")
@@ -121,41 +125,46 @@ def _long(part_bytes: int):
     return (F.col("_metadata.file_size") > part_bytes) & ~F.col("_metadata.file_name").rlike(CODEC_NAMES)
 
 
-def _long_digests(spark: SparkSession, path: str, glob: str | None, part_bytes: int) -> DataFrame | None:
-    """file_path, sha256 of the long files; None if there is none."""
+def _long_digests(spark: SparkSession, path: str, glob: str | None, part_bytes: int) -> tuple[DataFrame | None, list[str]]:
+    """file_path, sha256 of the long files (None if there is none), and the
+    names of those among them that the text source did not read whole."""
     found = scan_files(spark, "binaryFile", path, glob).filter(_long(part_bytes)).select(
         F.col("path").alias("file_path"), "length", F.col("_metadata.file_path").alias("uri"))
-    count, longest = found.agg(F.count("*"), F.max("length")).first()
-    if not count:
-        return None
+    if found.isEmpty():
+        return None, []
     ids = found.withColumn("file_no", F.row_number().over(Window.orderBy("uri")) - 1)
     pieces = _pieces(spark, path, glob, ids, part_bytes)
     # Every line has got a newline (the last of a file may have none), and the
-    # text source leaves a byte order mark out; anything else is an error.
+    # text source leaves a byte order mark out; other files were not read whole.
     extra = F.coalesce("total", F.lit(0)) - F.col("length")
-    bad = F.raise_error(F.concat(F.lit("bytes read differ from the size of "), "file_path")).cast("long")
-    state = ids.join(pieces.groupBy("file_no").agg(F.sum("n").alias("total")), "file_no", "left").select(
-        "file_no", "file_path", F.when(extra.isin(0, 1, -2, -3), F.col("length")).otherwise(bad).alias("left"),
-        (extra < 0).alias("bom"), F.lit(None).cast("binary").alias("state"), F.lit(None).cast("string").alias("sha256"))
-    for part in range(-(-longest // part_bytes)):
+    sizes = cut_lineage(ids.join(pieces.groupBy("file_no").agg(F.sum("n").alias("total")), "file_no", "left").select(
+        "file_no", "file_path", "uri", "length", extra.isin(0, 1, -2, -3).alias("read"), (extra < 0).alias("bom")))
+    torn = [r.uri for r in sizes.filter(~F.col("read")).select("uri").collect()]
+    state = sizes.filter("read").select(
+        "file_no", "file_path", F.col("length").alias("left"), "bom", F.lit(None).cast("binary").alias("state"),
+        F.lit(None).cast("string").alias("sha256"))
+    last, longest = state.agg(F.max("file_no"), F.max("left")).first()
+    for part in range(-(-(longest or 0) // part_bytes)):
         rows = state.withColumns({"start": F.lit(-1).cast("long"), "seq": F.lit(-1).cast("long")}).unionByName(
-            pieces.filter(F.col("part") == part).select("file_no", "start", "seq", "body"), allowMissingColumns=True)
-        state = cut_lineage(rows.repartitionById(count, "file_no").sortWithinPartitions("file_no", "start", "seq")
+            pieces.filter(F.col("part") == part).join(F.broadcast(state.select("file_no")), "file_no", "left_semi")
+            .select("file_no", "start", "seq", "body"), allowMissingColumns=True)
+        state = cut_lineage(rows.repartitionById(last + 1, "file_no").sortWithinPartitions("file_no", "start", "seq")
                             .mapInArrow(_hash_part, STATES))
-    return state.select("file_path", "sha256")
+    return state.select("file_path", "sha256"), torn
 
 
 def content_digest(files: DataFrame, path: str, glob: str | None = None, part_bytes: int = PART_BYTES) -> DataFrame:
     """``read_files(spark, path, glob)`` with length and SHA-256 of the content
     in its place (``bytes``, ``sha256``). No task reads more of a file than a
-    part and a split. Names of CODEC_NAMES, and all where ``hashlib`` is not
-    built on OpenSSL, are hashed as one value."""
+    part and a split. Names of CODEC_NAMES, files with longer lines than
+    LINE_BYTES, and all where ``hashlib`` is not built on OpenSSL, are hashed
+    as one value."""
     spark = files.sparkSession
-    digests = _long_digests(spark, path, glob, part_bytes) if openssl_sha256() else None
-    whole = files if digests is None else files.filter(~_long(part_bytes))
-    out = whole.withColumns({"bytes": F.octet_length("content").cast("long"),
-                             "sha256": F.sha2("content", 256)}).drop("content")
+    digests, torn = _long_digests(spark, path, glob, part_bytes) if openssl_sha256() else (None, [])
+    by_part = F.lit(False) if digests is None else _long(part_bytes) & ~F.col("_metadata.file_path").isin(torn)
+    whole = files.filter(~by_part).withColumns(
+        {"bytes": F.octet_length("content").cast("long"), "sha256": F.sha2("content", 256)}).drop("content")
     if digests is None:
-        return out
-    rest = files.filter(_long(part_bytes)).withColumn("bytes", F.col("file_size")).drop("content")
-    return out.unionByName(rest.join(F.broadcast(digests), "file_path", "left"))
+        return whole
+    rest = files.filter(by_part).withColumn("bytes", F.col("file_size")).drop("content")
+    return whole.unionByName(rest.join(F.broadcast(digests), "file_path", "left"))

@@ -178,14 +178,29 @@ def test_digests_of_long_files_by_parts(spark, tmp_path):
         spark.conf.set(key, was)
 
 
-def test_a_file_read_short_gets_no_digest(spark, tmp_path, monkeypatch):
+def test_files_that_no_line_reader_reads_are_hashed_whole(spark, tmp_path, monkeypatch):
     import gzip
+    import hashlib
 
     from sluice.sources import digests as dg
     monkeypatch.setattr(dg, "CODEC_NAMES", "^$")
-    (tmp_path / "x.gz").write_bytes(gzip.compress(b"line\n" * 5_000))
-    with pytest.raises(Exception, match="bytes read differ from the size"):
-        dg.content_digest(fl.read_files(spark, str(tmp_path)), str(tmp_path), part_bytes=50).collect()
+    monkeypatch.setattr(dg, "LINE_BYTES", 1_000)
+    data = {"x y.gz": gzip.compress(b"line\n" * 5_000), "zeros.bin": b"\0" * 20_000, "one_long.txt": b"a\n" * 900 + b"b" * 2_500 + b"\na",
+            "lines.txt": b"abc\n" * 1_000}
+    for name, body in data.items():
+        (tmp_path / name).write_bytes(body)
+    key = "spark.sql.files.maxPartitionBytes"
+    was = spark.conf.get(key)
+    try:
+        for split in (was, 4_000, 700):
+            spark.conf.set(key, split)
+            out = dg.content_digest(fl.read_files(spark, str(tmp_path)), str(tmp_path), part_bytes=1_500)
+            got = {r.file_path.split("/")[-1]: (r.bytes, r.sha256) for r in out.collect()}
+            assert got == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in data.items()}
+            _, torn = dg._long_digests(spark, str(tmp_path), "*.[bt]*", 1_500)
+            assert sorted(u.split("/")[-1] for u in torn) == ["one_long.txt", "zeros.bin"]
+    finally:
+        spark.conf.set(key, was)
 
 
 def test_row_cap_of_the_sql_action(spark):
